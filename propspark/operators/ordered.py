@@ -141,22 +141,25 @@ def average_ranks(df: DataFrame, col: str, weight: str, by: Iterable[str] = ())
     return out.select(*by, col, "rank", "ties")
 
 
-def join_ranks(rows: DataFrame, ranks: DataFrame, keys: list[str], name: str, *, hot_keys: int = 1000) -> DataFrame:
-    """Bring ``rank`` to every row. The values with most rows (at most ``hot_keys``) are joined by broadcast,
-    all others by shuffle, so a value shared by a third of the rows does not land in one task."""
-    cols = [*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("rank").alias(name)]
-    hot = ranks.filter(F.col("ties") > GROUP_ROWS_PER_TASK).orderBy(F.desc("ties")).limit(hot_keys)
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], values: dict[str, str], count_col: str, *,
+                 hot_rows: int = GROUP_ROWS_PER_TASK, max_hot: int = 1000) -> DataFrame:
+    """Bring ``values`` (table column to new name) to every row by a unique key that is never missing.
+
+    ``count_col`` says how many rows share a key. The keys with most rows (at most ``max_hot``, so the
+    broadcast is bounded) are joined by broadcast, all others by shuffle: a key that holds a third of all
+    rows does not land in one task.
+    """
+    side_cols = [*[F.col(k).alias(f"_r_{k}") for k in keys], *[F.col(c).alias(n) for c, n in values.items()]]
+    drop = [f"_r_{k}" for k in keys]
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    hot = table.filter(F.col(count_col) > hot_rows).orderBy(F.desc(count_col), *keys).limit(max_hot)
     if is_empty(hot):
-        side = ranks.select(*cols)
-        return rows.join(side, [rows[k].eqNullSafe(side[f"_r_{k}"]) for k in keys]).drop(*[f"_r_{k}" for k in keys])
-    hot = cut_lineage(hot.select(*cols))
-    hot_side = F.broadcast(hot)
-    cold = ranks.select(*cols).join(F.broadcast(hot.select(*[F.col(f"_r_{k}").alias(f"_h_{k}") for k in keys])),
-                                    [F.col(f"_r_{k}").eqNullSafe(F.col(f"_h_{k}")) for k in keys], "left_anti")
-    on_hot = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    first = rows.join(hot_side, on_hot)
-    rest = rows.join(F.broadcast(hot.drop(name)), on_hot, "left_anti").join(cold, on_hot)
-    return first.unionByName(rest).drop(*[f"_r_{k}" for k in keys])
+        return rows.join(broadcast_if_small(table.select(*side_cols)), on).drop(*drop)
+    hot = cut_lineage(hot.select(*side_cols))
+    hot_keys = F.broadcast(hot.select(*drop))
+    first = rows.join(F.broadcast(hot), on)
+    rest = rows.join(hot_keys, on, "left_anti").join(table.select(*side_cols), on)
+    return first.unionByName(rest).drop(*drop)
 
 
 def sequential_ids(df: DataFrame, order: Iterable[str | Column], prefix: str, name: str = "mol_id") -> DataFrame:

@@ -186,8 +186,8 @@ def _by_chunks(l_rows, r_rows, blocks, feature_sets, keys, k, exclude_self, sche
     return lx.groupBy("_lc", "_rc").cogroup(rx.groupBy("_lc", "_rc")).applyInPandas(run, schema)
 
 
-def summarize_top(top: DataFrame, *, k: int, n_right: dict[str, int] | None = None) -> DataFrame:
-    """Per left row: the maximum and the mean of the k best (fewer when the right side has fewer rows)."""
+def summarize_top(top: DataFrame) -> DataFrame:
+    """Per left row: the maximum and the mean of the kept values (fewer than k when the right side is short)."""
     return top.groupBy("id", "feature_set", "scope").agg(F.max("sim").alias("max_sim"), F.avg("sim").alias("mean_topk"))
 
 
@@ -208,13 +208,13 @@ def train_neighbours(
     """
     single = {b.name: [b.name] for b in blocks}
     best = nearest(train, train, blocks, single, k=1, id_col=id_col, finetune_col=finetune_col, exclude_self=True, **sizes)
-    member = train.sparkSession.createDataFrame(
-        [(fs, n, len(names)) for fs, names in feature_sets.items() for n in names], "fs string, block string, n_blocks int"
-    )
+    member = F.array(*[
+        F.struct(F.lit(fs).alias("fs"), F.lit(n).alias("block")) for fs, names in feature_sets.items() for n in names
+    ])
     who = train.select(F.col(id_col).alias("id"), F.lit("all").alias("scope"))
     if finetune_col:
         who = who.unionByName(train.filter(F.col(finetune_col)).select(F.col(id_col).alias("id"), F.lit("finetune").alias("scope")))
-    expected = who.join(F.broadcast(member), F.lit(True))
+    expected = who.select("id", "scope", F.inline(member))
     found = best.select(F.col("id"), "scope", F.col("feature_set").alias("block"), "sim")
     return (
         expected.join(found, ["id", "scope", "block"], "left")
