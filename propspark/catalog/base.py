@@ -37,3 +37,12 @@ def price_pairs(spark: SparkSession, root: str) -> DataFrame:
 
 PRICE_PAIRS = """(select l.*, p.p_brand, p.p_type, l_extendedprice as y_true, l_quantity * p_retailprice as y_pred
  from lineitem l join part p on l_partkey = p_partkey)"""
+
+
+def fold_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """Stored out-of-fold predictions: return flag as model, part type as feature set, line number as fold."""
+    return price_pairs(spark, root).select(
+        F.col("l_returnflag").alias("model"), F.col("p_type").alias("feature_set"), F.col("l_linenumber").alias("outer_fold"), "y_true", "y_pred")
+
+
+FOLD_PAIRS = f"(select l_returnflag as model, p_type as feature_set, l_linenumber as outer_fold, y_true, y_pred from {PRICE_PAIRS})"

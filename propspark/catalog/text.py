@@ -146,32 +146,48 @@ def words_sql(text: str) -> str:
     return f"list_filter(string_split({norm_sql(text)}, ' '), lambda w: w <> '')"
 
 
-def fold_sql(pieces: str, n: int) -> str:
-    return f"list_sort(list_distinct(list_transform(list_distinct({pieces}), lambda s: ('0x' || substr(md5(s), 1, 8))::bigint % {n})))"
+def words_table(source: str, key: str) -> str:
+    """One row per word with its position."""
+    return f"(select {key}, unnest(w) as w, generate_subscripts(w, 1) as i from (select {key}, {words_sql('text')} as w from {source}))"
 
 
-def runs_sql(words: str, n: int, glue: str) -> str:
-    return f"list_transform(range(1, len({words}) - {n} + 2), lambda i: array_to_string({words}[i:i + {n - 1}], '{glue}'))"
+def chars_table(source: str, key: str) -> str:
+    return f"""(select {key}, unnest(c) as w, generate_subscripts(c, 1) as i from
+        (select {key}, string_split(array_to_string({words_sql('text')}, ' '), '') as c from {source}))"""
 
 
-def path_sql(lo: int, hi: int, n: int) -> str:
-    return fold_sql("flatten([" + ", ".join(runs_sql("w", k, " ") for k in range(lo, hi + 1)) + "])", n)
+def bits_sql(key: str, pieces: str, n: int) -> str:
+    """Distinct (key, bit) of a table of text pieces."""
+    return f"(select distinct {key}, ('0x' || substr(md5(s), 1, 8))::bigint % {n} as b from ({pieces}) where s is not null)"
 
 
-def chars_sql(n: int, size: int = 3) -> str:
-    return fold_sql(runs_sql("c", size, ""), n)
+def runs_sql(items: str, key: str, lo: int, hi: int, glue: str) -> str:
+    win = f"over (partition by {key} order by i)"
+    return " union all ".join(
+        f"select {key}, w" + "".join(f" || '{glue}' || lead(w, {j}) {win}" for j in range(1, k)) + f" as s from {items}" for k in range(lo, hi + 1))
 
 
-def around_sql(radius: int, n: int) -> str:
-    parts = [
-        f"list_transform(range(1, len(w) + 1), lambda i: '{r}:' || array_to_string(w[greatest(i - {r}, 1):least(i + {r}, len(w))], ' '))"
-        for r in range(radius + 1)
-    ]
-    return fold_sql("flatten([" + ", ".join(parts) + "])", n)
+def path_sql(source: str, key: str, lo: int, hi: int, n: int) -> str:
+    return bits_sql(key, runs_sql(words_table(source, key), key, lo, hi, " "), n)
 
 
-CHARS = f"(select doc_id, string_split(array_to_string({words_sql('text')}, ' '), '') as c from documents)"
-WORDS = f"(select doc_id, {words_sql('text')} as w from documents)"
+def chars_sql(source: str, key: str, n: int, size: int = 3) -> str:
+    return bits_sql(key, runs_sql(chars_table(source, key), key, size, size, ""), n)
+
+
+def around_sql(source: str, key: str, radius: int, n: int) -> str:
+    pieces = " union all ".join(
+        f"""select {key}, '{r}:' || string_agg(w, ' ') over (partition by {key} order by i rows between {r} preceding and {r} following) as s
+            from {words_table(source, key)}""" for r in range(radius + 1))
+    return bits_sql(key, pieces, n)
+
+
+def listed_sql(source: str, key: str, bits: str) -> str:
+    return f"select t.{key}, coalesce(string_agg(b, ',' order by b), '') as bits from {source} t left join {bits} x on x.{key} = t.{key} group by 1"
+
+
+def counted_sql(source: str, key: str, bits: str) -> str:
+    return f"select t.{key}, count(b) as n_on, coalesce(sum(b), 0)::bigint as bit_sum from {source} t left join {bits} x on x.{key} = t.{key} group by 1"
 
 
 def classify_sql(text: str, classes) -> str:
@@ -183,8 +199,9 @@ def classify_sql(text: str, classes) -> str:
 
 
 _STD = f"""select doc_id, trim(regexp_replace(key, '^{BLANKS}|{BLANKS}$', '', 'g')) as raw from {KEYS}"""
+_CHAR_BITS = chars_sql("documents", "doc_id", 1024)
 _SUPPORT = f"""(select b as bit, count(*) / (select count(*) from documents) as frequency
- from (select unnest({chars_sql(1024)}) as b from {CHARS}) group by 1 having count(*) / (select count(*) from documents) between 0.02 and 0.6)"""
+ from {_CHAR_BITS} group by 1 having count(*) / (select count(*) from documents) between 0.02 and 0.6)"""
 
 ORACLES = {
     "text_normalize": f"""select doc_id, trim(regexp_replace(replace(lower(text || ' | ' || lang || ' | ' || case when lang <> 'de' then source else '' end),
@@ -206,10 +223,10 @@ ORACLES = {
         list_filter(string_split(p_name, ' '), lambda x: x not in ('small', 'ring', 'red')) as k from part)""",
     "standardize_hook": f"""select case when coalesce(raw, '') = '' then 'empty_smiles' when contains(raw, '@') then 'standardize_error:ValueError' end as preprocess_reason,
         count(*) as n, count(*) filter (where coalesce(raw, '') <> '' and not contains(raw, '@')) as n_keys from ({_STD}) group by 1""",
-    "neighbourhood_bits": f"select doc_id, array_to_string({around_sql(2, 1024)}, ',') as bits from {WORDS}",
-    "path_bits": f"select item_id, array_to_string({path_sql(1, 5, 2048)}, ',') as bits from (select item_id, {words_sql('text')} as w from benchmark)",
-    "path_bits_documents": f"select doc_id, len(b) as n_on, coalesce(list_sum(b), 0)::bigint as bit_sum from (select doc_id, {path_sql(2, 4, 4096)} as b from {WORDS})",
-    "substructure_bits": f"select doc_id, len(b) as n_on, coalesce(list_sum(b), 0)::bigint as bit_sum from (select doc_id, {chars_sql(1024)} as b from {CHARS})",
+    "neighbourhood_bits": listed_sql("documents", "doc_id", around_sql("documents", "doc_id", 2, 1024)),
+    "path_bits": listed_sql("benchmark", "item_id", path_sql("benchmark", "item_id", 1, 5, 2048)),
+    "path_bits_documents": counted_sql("documents", "doc_id", path_sql("documents", "doc_id", 2, 4, 4096)),
+    "substructure_bits": counted_sql("documents", "doc_id", _CHAR_BITS),
     "text_profile": f"""with a as (select doc_id, text, length(text) as n, {words_sql('text')} as w, string_split(text, e'\\n') as l from documents)
         select doc_id, n::double as n_chars, len(w)::double as n_words, round(len(list_distinct(w)) / nullif(len(w), 0), 6) as distinct_word_ratio,
         round(length(array_to_string(w, '')) / nullif(len(w), 0), 6) as mean_word_len,
@@ -218,7 +235,8 @@ ORACLES = {
         round((n - length(regexp_replace(text, '[A-Z]', '', 'g'))) / nullif(n, 0), 6) as upper_share,
         len(l)::double as n_lines, round(1 - len(list_distinct(l)) / len(l), 6) as repeated_line_ratio from a""",
     "bit_selector": f"select bit, round(frequency, 6) as frequency from {_SUPPORT}",
-    "selected_bits": f"""select d.doc_id, count(s.bit) as n_on from (select doc_id, unnest({chars_sql(1024)}) as b from {CHARS}) d left join {_SUPPORT} s on s.bit = d.b group by 1""",
+    "selected_bits": f"""with x as {_CHAR_BITS}, s as {_SUPPORT.replace(_CHAR_BITS, 'x')}
+        select t.doc_id, count(s.bit) as n_on from documents t left join x on x.doc_id = t.doc_id left join s on s.bit = x.b group by 1""",
     "vector_norms": "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as norm from embeddings",
     "embed_hook": """select doc_id, length(text) as chars, length(text) - length(replace(text, ' ', '')) as blanks,
         length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) as digits from documents""",

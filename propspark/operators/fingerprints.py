@@ -46,45 +46,52 @@ def _fold(pieces: Column, n_bits: int) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.array_distinct(pieces), bit)))
 
 
-def _runs(words: Column, n: int, glue: str) -> Column:
-    """All runs of exactly ``n`` neighbouring items, joined with ``glue``."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - F.lit(n - 1)))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), glue))
-    return F.coalesce(runs, F.array().cast("array<string>"))
+def _word_runs(text: Column, n: int) -> Column:
+    """All runs of exactly ``n`` neighbouring words of a text with single blanks: one regex pass, with a
+    look-ahead at each word start so that runs may overlap."""
+    return F.regexp_extract_all(text, F.lit(r"(?<![^ ])(?=((?:[^ ]+ ){%d}[^ ]+))" % (n - 1)), F.lit(1))
+
+
+def _char_runs(text: Column, n: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{%d}))" % n), F.lit(1))
+
+
+def _edge_windows(words: Column, r: int) -> Column:
+    """Windows of half-width ``r`` that are cut off at the start or the end of the text."""
+    n = F.size(words)
+    upto = F.sequence(F.lit(1), F.least(n, F.lit(r + 1)))
+    head = F.transform(upto, lambda i: F.array_join(F.slice(words, F.lit(1), F.least(i + r, n)), " "))
+    tail = F.transform(upto, lambda i: F.array_join(F.slice(words, F.greatest(n - i + 1 - r, F.lit(1)), n), " "))
+    return F.when(n > 0, F.concat(head, tail)).otherwise(F.array().cast("array<string>"))
 
 
 def neighbourhood_bits(c: Column, cfg: NeighbourhoodConfig = NeighbourhoodConfig()) -> Column:
     if cfg.radius < 0 or cfg.n_bits < 1:
         raise ValueError("radius must be >= 0 and n_bits >= 1")
 
-    def body(words: Column) -> Column:
-        n = F.size(words)
-
-        def around(r: int) -> Column:
-            idx = F.when(n > 0, F.sequence(F.lit(1), n))
-            lo = lambda i: F.greatest(i - r, F.lit(1))
-            piece = lambda i: F.concat(
-                F.lit(f"{r}:"), F.array_join(F.slice(words, lo(i), F.least(i + r, n) - lo(i) + 1), " ")
-            )
-            return F.coalesce(F.transform(idx, piece), F.array().cast("array<string>"))
-
-        return _fold(F.concat(*[around(r) for r in range(cfg.radius + 1)]), cfg.n_bits)
+    def body(text: Column) -> Column:
+        words = F.filter(F.split(text, " "), lambda w: w != "")
+        parts = []
+        for r in range(cfg.radius + 1):
+            whole = _word_runs(text, 2 * r + 1)
+            every = let(words, lambda ws: F.concat(whole, _edge_windows(ws, r))) if r else whole  # noqa: B023
+            parts.append(F.transform(F.array_distinct(every), lambda s: F.concat(F.lit(f"{r}:"), s)))  # noqa: B023
+        return _fold(F.concat(*parts), cfg.n_bits)
 
-    return let(tokens(c), body)
+    return let(F.array_join(tokens(c), " "), body)
 
 
 def path_bits(c: Column, cfg: PathConfig = PathConfig()) -> Column:
     if not 1 <= cfg.min_path <= cfg.max_path:
         raise ValueError("need 1 <= min_path <= max_path")
     return let(
-        tokens(c),
-        lambda words: _fold(F.concat(*[_runs(words, n, " ") for n in range(cfg.min_path, cfg.max_path + 1)]), cfg.n_bits),
+        F.array_join(tokens(c), " "),
+        lambda text: _fold(F.concat(*[_word_runs(text, n) for n in range(cfg.min_path, cfg.max_path + 1)]), cfg.n_bits),
     )
 
 
 def substructure_bits(c: Column, cfg: SubstructureConfig = SubstructureConfig()) -> Column:
-    chars = F.split(F.array_join(tokens(c), " "), "")
-    return let(chars, lambda cs: _fold(_runs(cs, cfg.size, ""), cfg.n_bits))
+    return _fold(_char_runs(F.array_join(tokens(c), " "), cfg.size), cfg.n_bits)
 
 
 def bit_names(token: str, n_bits: int) -> list[str]:
@@ -133,12 +140,11 @@ def project(c: Column | str, in_dim: int, out_dim: int, seed: int = 0) -> Column
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def apply(v: pd.Series) -> pd.Series:
-        have = v.notna()
-        out = pd.Series([None] * len(v), index=v.index, dtype=object)
+        have = v.notna().to_numpy()
+        dense = np.zeros((len(v), w.shape[1]), dtype=np.float32)
         if have.any():
-            dense = np.stack([np.asarray(x, dtype=np.float32) for x in v[have]]) @ w
-            out[have] = list(dense)
-        return out
+            dense[have] = np.stack(v[have].to_list()).astype(np.float32) @ w
+        return pd.Series([row if ok else None for row, ok in zip(dense, have)], dtype=object)
 
     return apply(c)
 

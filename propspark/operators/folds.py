@@ -101,13 +101,12 @@ def _assign_groups(groups: DataFrame, order: list[Column], k: int, name: str) ->
     table = groups.sparkSession.createDataFrame(
         [(s, p) for s, p in plan.items()], "_size bigint, _plan array<struct<lo:bigint,hi:bigint,turn:array<int>>>"
     )
-    placed = global_index(groups, [F.desc("_n"), *order], "_at")
+    placed = global_index(groups, [F.desc("_n"), *order], "_rank")
     joined = placed.join(broadcast_if_small(table), F.col("_n") == F.col("_size"))
-    phase = F.filter("_plan", lambda p: (p["lo"] <= F.col("_at")) & (F.col("_at") < p["hi"]))[0]
+    phase = F.filter("_plan", lambda p: (p["lo"] <= F.col("_rank")) & (F.col("_rank") < p["hi"]))[0]
     joined = joined.withColumn("_phase", phase)
-    pick = F.element_at(
-        F.col("_phase.turn"), (F.pmod(F.col("_at") - F.col("_phase.lo"), F.size("_phase.turn").cast("bigint")) + 1).cast("int")
-    )
+    turn = F.col("_phase.turn")
+    pick = F.get(turn, F.pmod(F.col("_rank") - F.col("_phase.lo"), F.size(turn)).cast("int"))
     return joined.select("_key", "_n", (pick + 1).cast("int").alias(name))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from propspark.operators.ordered import GROUP_ROWS_PER_TASK, average_ranks, has_large_groups, join_counted, running_total
-from propspark.session import broadcast_if_small
+from propspark.session import broadcast_if_small, cut_lineage
 
 ERROR_METRICS = ("rmse", "mse", "mae")
 SPREAD_METRICS = ("r2", "rae")
@@ -305,6 +305,10 @@ def metric_table(
     rows = src.select(
         *keys, F.col(y).cast("double").alias("_x"), F.col(p).cast("double").alias("_y"), w.alias("_w")
     ).filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    ranked = bool(set(SPEARMAN_METRICS + KENDALL_METRICS) & set(metrics))
+    if ranked:
+        # Rank metrics read the rows many times; all metrics then use the stored distinct pairs.
+        rows = cut_lineage(rows.groupBy(*keys, "_x", "_y").agg(F.sum("_w").alias("_w")).filter("_w > 0"))
     ww, err = F.col("_w"), F.col("_x") - F.col("_y")
     base = rows.groupBy(*keys).agg(
         F.sum(ww).alias("_n"), (F.sum(ww * F.col("_x")) / F.sum(ww)).alias("_mean"),
@@ -322,7 +326,7 @@ def metric_table(
         out = out.withColumn("r2", F.coalesce(r2, F.lit(0.0)) if undefined_as_zero else r2)
         out = out.withColumn("rae", F.try_divide(F.col("mae") * F.col("_n"), F.col("_sad")))
     ranks = []
-    dist = rows.groupBy(*keys, "_x", "_y").agg(F.sum(ww).alias("_w")).filter("_w > 0")
+    dist = rows
     if set(SPEARMAN_METRICS) & set(metrics):
         ranks.append(_spearman(dist, keys, leaf, "spearman_pvalue" in metrics))
     if set(KENDALL_METRICS) & set(metrics):

@@ -89,6 +89,6 @@ class BitFrequencySelector:
         The support is bounded by the fingerprint width, so it travels as one literal array.
         """
         bits = sorted(r["bit"] for r in self.support().select("bit").collect())
-        lit = F.array(*[F.lit(b) for b in bits]) if bits else F.array().cast("array<int>")
-        kept = F.filter(F.col(bits_col), lambda b: F.array_contains(lit, b))
-        return df.withColumn(bits_col, F.transform(kept, lambda b: (F.array_position(lit, b) - 1).cast("int")))
+        rank = {b: i for i, b in enumerate(bits)}
+        new = F.array(*[F.lit(rank.get(b)).cast("int") for b in range(bits[-1] + 1 if bits else 1)])
+        return df.withColumn(bits_col, F.filter(F.transform(F.col(bits_col), lambda b: F.get(new, b)), lambda b: b.isNotNull()))
