@@ -48,7 +48,7 @@ def gradient_boosting(spark, root):
 
 
 def kernel_regression(spark, root):
-    return _model(spark, root, "svm", {"n_components": 128})
+    return _model(spark, root, "svm", {"n_components": 64})
 
 
 CANDIDATES = (H.Candidate("rf", "rf", SMALL_RF), H.Candidate("gbt", "lgbm", SMALL_GBT), H.Candidate("svm", "svm", {"n_components": 64}),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,7 +123,9 @@ def assemble(df: DataFrame, features: Sequence[Feature], numbers: Sequence[str],
             df = vec.transform(df.withColumn(f"_t_{f.name}", F.col(f.name).cast("array<string>"))).drop(f"_t_{f.name}")
             cols.append(f"_v_{f.name}")
         else:
-            df = df.withColumn(f"_v_{f.name}", array_to_vector(F.col(f.name).cast("array<double>")))
+            dense = F.coalesce(F.col(f.name).cast("array<double>"), F.array_repeat(F.lit(0.0), f.size))
+            df = df.withColumn(f"_v_{f.name}", array_to_vector(dense))
+            df = VectorSizeHint(inputCol=f"_v_{f.name}", size=f.size, handleInvalid="optimistic").transform(df)
             cols.append(f"_v_{f.name}")
     plain = {c: f"_n{i}" for i, c in enumerate(cols) if c in set(numbers)}
     df = df.withColumns({n: F.col(f"`{c}`").cast("double") for c, n in plain.items()}) if plain else df
