@@ -9,6 +9,7 @@ from propspark.catalog.text import chars_sql, path_sql
 from propspark.operators import domain as D
 from propspark.operators.fingerprints import PathConfig, SubstructureConfig, path_bits, substructure_bits
 from propspark.operators.similarity import Block, nearest, summarize_top, train_neighbours
+from propspark.sources.tables import spread_scan
 
 BLOCKS = (Block("emb", "embedding", "dense", 64), Block("pos", "bits", "binary", 64))
 SETS = {"emb": ["emb"], "pos": ["pos"], "emb+pos": ["emb", "pos"]}
@@ -50,7 +51,7 @@ def nearest_all_vectors(spark, root):
 
 
 def _documents(spark, root):
-    bits = lambda t, i: table(spark, root, t).select(
+    bits = lambda t, i: spread_scan(table(spark, root, t), i).select(
         F.col(i).alias("id"), path_bits(F.col("text"), PathConfig(1, 3, 2048)).alias("path"), substructure_bits(F.col("text"), SubstructureConfig(3, 1024)).alias("chars"))
     return bits("documents", "doc_id"), bits("benchmark", "item_id")
 

@@ -10,6 +10,7 @@ from propspark.operators.lookups import missing_keys, pair_predictions
 from propspark.operators.metrics import metric_table
 from propspark.operators.resample import REPORT_METRICS, bootstrap_metrics
 from propspark.plans import evaluate as E
+from propspark.session import cut_lineage
 
 SAMPLES = 100
 
@@ -62,9 +63,10 @@ def rank_pvalues(spark, root):
 
 def _suppliers(spark, root):
     """Truth and predictions per supplier: mean price, and mean quantity times a mean list price."""
-    return price_pairs(spark, root).groupBy(F.col("l_suppkey").alias("key")).agg(
+    means = price_pairs(spark, root).groupBy(F.col("l_suppkey").alias("key")).agg(
         F.avg("y_true").alias("price"), F.avg("y_pred").alias("price_hat"), F.avg("l_quantity").alias("qty"),
         (F.avg("y_pred") / F.avg("p_retailprice")).alias("qty_hat"))
+    return cut_lineage(means)
 
 
 def prediction_pairs(spark, root):
@@ -104,13 +106,12 @@ def evaluation(spark, root):
 
 def model_comparison(spark, root):
     """Three models, each the mean price under one return flag, against the overall mean price."""
-    p = price_pairs(spark, root)
-    true = p.groupBy(F.col("l_suppkey").alias("key")).agg(F.avg("y_true").alias("value_true"))
-    by_flag = lambda f: p.filter(F.col("l_returnflag") == f).groupBy(F.col("l_suppkey").alias("key")).agg(F.avg("y_true").alias("m"))
-    covered = lambda df: true.select("key").join(df, "key", "left")
-    models = {"flag_A": covered(by_flag("A")).select("key", F.log1p("m").cast("string").alias("y_pred_log1p")),
-              "flag_N": covered(by_flag("N")).select("key", F.col("m").alias("y_pred_normal")),
-              "flag_R": covered(by_flag("R")).select("key", F.log1p("m").alias("y_pred_log1p"))}
+    flag = lambda f: F.avg(F.when(F.col("l_returnflag") == f, F.col("y_true"))).alias(f)
+    means = price_pairs(spark, root).groupBy(F.col("l_suppkey").alias("key")).agg(F.avg("y_true").alias("value_true"), flag("A"), flag("N"), flag("R"))
+    true = cut_lineage(means)
+    models = {"flag_A": true.select("key", F.log1p("A").cast("string").alias("y_pred_log1p")),
+              "flag_N": true.select("key", F.col("N").alias("y_pred_normal")),
+              "flag_R": true.select("key", F.log1p("R").alias("y_pred_log1p"))}
     out = E.compare_models(models, true, "key", "value_true", samples=SAMPLES)
     return out.select(F.col("Rank").cast("bigint").alias("Rank"), "Name", "Endpoint", *[r6(F.col(f"`{c}`"), c) for c in out.columns[3:]])
 

@@ -11,10 +11,15 @@ from propspark.operators import fingerprints as P
 from propspark.operators.selectors import BitFrequencySelector
 from propspark.operators.standardize import standardize_key, standardize_with, strip_fragments
 from propspark.operators.summaries import counts_by_reason, counts_with_zeros
+from propspark.sources.tables import spread_scan
+
+
+def documents(spark, root):
+    return spread_scan(table(spark, root, "documents"), "doc_id")
 
 
 def text_normalize(spark, root):
-    d = table(spark, root, "documents")
+    d = documents(spark, root)
     missing = F.when(F.col("lang") != "de", F.col("source"))
     return d.select("doc_id", normalize_text(F.col("text"), F.col("lang"), missing, fixes=(("onthe", "on the"),)).alias("text"))
 
@@ -29,7 +34,7 @@ WORD_CLASSES = (
 def pattern_classifier(spark, root):
     """Ordered classes with vetoes: a vetoed text tries the next class."""
     text = normalize_text(F.col("text"), F.col("source"))
-    return table(spark, root, "documents").select("doc_id", classify(text, WORD_CLASSES).alias("bucket"))
+    return documents(spark, root).select("doc_id", classify(text, WORD_CLASSES).alias("bucket"))
 
 
 def classifier_counts(spark, root):
@@ -43,7 +48,7 @@ def classifier_counts(spark, root):
 
 def _keys(spark, root):
     """Document texts with blank and missing ones among them."""
-    d = table(spark, root, "documents")
+    d = documents(spark, root)
     return d.select("doc_id", F.when(F.col("source") == "src3", F.lit("  \n ")).when(F.col("source") != "src4", F.col("text")).alias("key"))
 
 
@@ -77,7 +82,7 @@ def standardize_hook(spark, root):
 
 
 def neighbourhood_bits(spark, root):
-    d = table(spark, root, "documents")
+    d = documents(spark, root)
     return d.select("doc_id", F.array_join(P.neighbourhood_bits(F.col("text"), P.NeighbourhoodConfig(2, 1024)), ",").alias("bits"))
 
 
@@ -86,28 +91,28 @@ def path_bits(spark, root):
 
 
 def path_bits_documents(spark, root):
-    d = table(spark, root, "documents").select("doc_id", P.path_bits(F.col("text"), P.PathConfig(2, 4, 4096)).alias("b"))
+    d = documents(spark, root).select("doc_id", P.path_bits(F.col("text"), P.PathConfig(2, 4, 4096)).alias("b"))
     return d.select("doc_id", F.size("b").cast("bigint").alias("n_on"), F.aggregate("b", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("bit_sum"))
 
 
 def substructure_bits(spark, root):
-    d = table(spark, root, "documents").select("doc_id", P.substructure_bits(F.col("text"), P.SubstructureConfig(3, 1024)).alias("b"))
+    d = documents(spark, root).select("doc_id", P.substructure_bits(F.col("text"), P.SubstructureConfig(3, 1024)).alias("b"))
     return d.select("doc_id", F.size("b").cast("bigint").alias("n_on"), F.aggregate("b", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("bit_sum"))
 
 
 def text_profile(spark, root):
-    d = P.text_profile(table(spark, root, "documents").select("doc_id", "text"), "text")
+    d = P.text_profile(documents(spark, root).select("doc_id", "text"), "text")
     return d.select("doc_id", *[r6(c) for c in P.PROFILE_COLUMNS])
 
 
 def bit_selector(spark, root):
-    d = table(spark, root, "documents").select("doc_id", P.substructure_bits(F.col("text")).alias("bits"))
+    d = documents(spark, root).select("doc_id", P.substructure_bits(F.col("text")).alias("bits"))
     sel = BitFrequencySelector(0.02, 0.6).fit(d, "bits", 1024)
     return sel.support().select(F.col("bit").cast("bigint").alias("bit"), r6("frequency"))
 
 
 def selected_bits(spark, root):
-    d = table(spark, root, "documents").select("doc_id", P.substructure_bits(F.col("text")).alias("bits"))
+    d = documents(spark, root).select("doc_id", P.substructure_bits(F.col("text")).alias("bits"))
     out = BitFrequencySelector(0.02, 0.6).fit(d, "bits", 1024).transform(d, "bits")
     return out.select("doc_id", F.size("bits").cast("bigint").alias("n_on"))
 
@@ -125,7 +130,7 @@ def embed_hook(spark, root):
     def encode(texts):
         return np.array([[len(t), t.count(" "), sum(c.isdigit() for c in t)] for t in texts], dtype=np.float32)
 
-    out = P.embed(table(spark, root, "documents").select("doc_id", "text"), encode, "text", 3)
+    out = P.embed(documents(spark, root).select("doc_id", "text"), encode, "text", 3)
     return out.select("doc_id", *[F.col("embedding")[i].cast("bigint").alias(n) for i, n in enumerate(("chars", "blanks", "digits"))])
 
 

@@ -11,7 +11,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,17 +144,70 @@ def _net(dist: DataFrame, keys: list[str], leaf: int) -> DataFrame:
     return out.groupBy(*keys).agg(F.sum("s").alias("s"))
 
 
+TIES = ("_n", "_tie_x", "_tie_y", "_t0_x", "_t0_y", "_t1_x", "_t1_y")
+MOMENTS = ("_sxy", "_sxx", "_syy")
+
+
+def rank_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[float]:
+    """All sums behind rho and tau of one bounded group: net order, size, tie terms, rank moments."""
+    sums, ranks = {}, {}
+    n = float(w.sum())
+    for tag, v in (("_x", x), ("_y", y)):
+        _, at = np.unique(v, return_inverse=True)
+        t = np.bincount(at, weights=w)
+        ranks[tag] = (np.cumsum(t) - (t - 1) / 2.0)[at] - (n + 1) / 2.0
+        sums[f"_tie{tag}"], sums[f"_t0{tag}"] = np.sum(t * (t - 1) / 2), np.sum(t * (t - 1) * (t - 2))
+        sums[f"_t1{tag}"] = np.sum(t * (t - 1) * (2 * t + 5))
+    rx, ry = ranks["_x"], ranks["_y"]
+    sums |= {"_n": n, "_sxy": np.sum(w * rx * ry), "_sxx": np.sum(w * rx * rx), "_syy": np.sum(w * ry * ry)}
+    return [net_order(x, y, w), *[float(sums[c]) for c in (*TIES, *MOMENTS)]]
+
+
+def _rank_sums_small(dist: DataFrame, keys: list[str]) -> DataFrame:
+    """One shuffle for all rank metrics of groups that fit a task."""
+    out = ["s", *TIES, *MOMENTS]
+    schema = T.StructType([*[dist.schema[k] for k in keys], *[T.StructField(c, T.DoubleType()) for c in out]])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sums = rank_sums(*(pdf[c].to_numpy(dtype=float) for c in ("_x", "_y", "_w")))
+        return pd.DataFrame([[*key, *sums]], columns=[*keys, *out])
+
+    return dist.groupBy(*keys).applyInPandas(run, schema)
+
+
+def _rank_sums_large(dist: DataFrame, keys: list[str], leaf: int, kendall: bool, spearman: bool) -> DataFrame:
+    """The same sums from distributed order statistics."""
+    out = dist.groupBy(*keys).agg(F.sum("_w").cast("double").alias("_n"))
+    parts = [_tie_terms(dist, keys, "_x"), _tie_terms(dist, keys, "_y"), _net(dist, keys, leaf)] if kendall else []
+    parts += [_rank_moments(dist, keys)] if spearman else []
+    for i, part in enumerate(parts):
+        side = _tag(part, keys, f"_p{i}_", *[c for c in part.columns if c not in keys])
+        out = out.join(side, _null_safe(out, side, keys, f"_p{i}_")).drop(*[f"_p{i}_{k}" for k in keys])
+    return out
+
+
 def _tie_terms(dist: DataFrame, keys: list[str], col: str) -> DataFrame:
     t = F.col("_t").cast("double")
     per_value = dist.groupBy(*keys, col).agg(F.sum("_w").alias("_t"))
     return per_value.groupBy(*keys).agg(
-        F.sum(t).alias(f"_n{col}"),
         F.sum(t * (t - 1) / 2).alias(f"_tie{col}"),
         F.sum(t * (t - 1) * (t - 2)).alias(f"_t0{col}"),
         F.sum(t * (t - 1) * (2 * t + 5)).alias(f"_t1{col}"),
     )
 
 
+def _rank_moments(dist: DataFrame, keys: list[str]) -> DataFrame:
+    ranked = dist
+    for col in ("_x", "_y"):
+        table = average_ranks(dist, col, "_w", keys)
+        ranked = join_counted(ranked, table, [*keys, col], {"rank": f"_r{col}"}, "ties")
+    size = broadcast_if_small(_tag(dist.groupBy(*keys).agg(F.sum("_w").alias("_m")), keys, "_g_", "_m"))
+    w, mid = F.col("_w").cast("double"), (F.col("_m") + 1) / 2
+    dx, dy = F.col("_r_x") - mid, F.col("_r_y") - mid
+    return ranked.join(size, _null_safe(ranked, size, keys, "_g_")).groupBy(*keys).agg(
+        F.sum(w * dx * dy).alias("_sxy"), F.sum(w * dx * dx).alias("_sxx"), F.sum(w * dy * dy).alias("_syy"))
+
+
 def _kendall_exact_p(n: int, discordant: int) -> float:
     """Two-sided p-value from the exact distribution of inversions of n untied rows."""
     pairs = n * (n - 1) // 2
@@ -190,20 +243,6 @@ def _kendall_p_udf(s: pd.Series, n: pd.Series, xt: pd.Series, yt: pd.Series, x0:
     return pd.Series([_kendall_p(*v) for v in zip(s, n, xt, yt, x0, y0, x1, y1)], dtype="float64")
 
 
-def _kendall(dist: DataFrame, keys: list[str], leaf: int, with_p: bool) -> DataFrame:
-    net = _net(dist, keys, leaf)
-    tx, ty = _tie_terms(dist, keys, "_x"), _tie_terms(dist, keys, "_y")
-    tx, ty = _tag(tx, keys, "_a_", "_n_x", "_tie_x", "_t0_x", "_t1_x"), _tag(ty, keys, "_b_", "_tie_y", "_t0_y", "_t1_y")
-    all_ = net.join(tx, _null_safe(net, tx, keys, "_a_"))
-    all_ = all_.join(ty, _null_safe(all_, ty, keys, "_b_"))
-    pairs = F.col("_n_x") * (F.col("_n_x") - 1) / 2
-    tau = F.try_divide(F.col("s"), F.sqrt(pairs - F.col("_tie_x")) * F.sqrt(pairs - F.col("_tie_y")))
-    cols = [_clip(tau).alias("kendall_tau")]
-    if with_p:
-        cols.append(_kendall_p_udf("s", "_n_x", "_tie_x", "_tie_y", "_t0_x", "_t0_y", "_t1_x", "_t1_y").alias("kendall_tau_pvalue"))
-    return all_.select(*keys, *cols)
-
-
 # ---- Spearman -------------------------------------------------------------------------------------
 
 
@@ -249,30 +288,28 @@ def _spearman_p_udf(rho: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([one(r, k) for r, k in zip(rho, n)], dtype="float64")
 
 
-def _spearman(dist: DataFrame, keys: list[str], leaf: int, with_p: bool) -> DataFrame:
-    if has_large_groups(dist, keys, leaf):
-        ranked = dist
-        for col in ("_x", "_y"):
-            table = average_ranks(dist, col, "_w", keys)
-            ranked = join_counted(ranked, table, [*keys, col], {"rank": f"_r{col}"}, "ties")
-    else:
-        def rank(col: str) -> Column:
-            upto = Window.partitionBy(*keys).orderBy(col).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-            return F.sum("_w").over(upto) - (F.sum("_w").over(Window.partitionBy(*keys, col)) - 1) / 2
-
-        ranked = dist.withColumn("_r_x", rank("_x")).withColumn("_r_y", rank("_y"))
-    w = F.col("_w").cast("double")
-    size = dist.groupBy(*keys).agg(F.sum("_w").alias("_n"))
-    side = broadcast_if_small(_tag(size, keys, "_g_", "_n"))
-    mid = (F.col("_n") + 1) / 2
-    dx, dy = F.col("_r_x") - mid, F.col("_r_y") - mid
-    sums = ranked.join(side, _null_safe(ranked, side, keys, "_g_")).groupBy(*keys).agg(
-        F.first("_n").alias("_n"), F.sum(w * dx * dy).alias("_sxy"), F.sum(w * dx * dx).alias("_sxx"), F.sum(w * dy * dy).alias("_syy"))
-    rho = F.try_divide(F.col("_sxy"), F.sqrt("_sxx") * F.sqrt("_syy"))
-    out = sums.select(*keys, _clip(rho).alias("spearman_rho"), "_n")
-    if with_p:
-        out = out.withColumn("spearman_pvalue", _spearman_p_udf("spearman_rho", F.col("_n").cast("double")))
-    return out.drop("_n")
+def _rank_metrics(dist: DataFrame, keys: list[str], leaf: int, metrics: list[str]) -> DataFrame:
+    kendall, spearman = bool(set(KENDALL_METRICS) & set(metrics)), bool(set(SPEARMAN_METRICS) & set(metrics))
+    large = has_large_groups(dist, keys, leaf)
+    sums = _rank_sums_large(dist, keys, leaf, kendall, spearman) if large else _rank_sums_small(dist, keys)
+    cols = []
+    if spearman:
+        rho = _clip(F.try_divide(F.col("_sxy"), F.sqrt("_sxx") * F.sqrt("_syy")))
+        sums = sums.withColumn("spearman_rho", rho)
+        cols.append("spearman_rho")
+        if "spearman_pvalue" in metrics:
+            sums = sums.withColumn("spearman_pvalue", _spearman_p_udf("spearman_rho", "_n"))
+            cols.append("spearman_pvalue")
+    if kendall:
+        pairs = F.col("_n") * (F.col("_n") - 1) / 2
+        tau = F.try_divide(F.col("s"), F.sqrt(pairs - F.col("_tie_x")) * F.sqrt(pairs - F.col("_tie_y")))
+        sums = sums.withColumn("kendall_tau", _clip(tau))
+        cols.append("kendall_tau")
+        if "kendall_tau_pvalue" in metrics:
+            p = _kendall_p_udf("s", "_n", "_tie_x", "_tie_y", "_t0_x", "_t0_y", "_t1_x", "_t1_y")
+            sums = sums.withColumn("kendall_tau_pvalue", p)
+            cols.append("kendall_tau_pvalue")
+    return sums.select(*keys, *cols)
 
 
 # ---- all together ---------------------------------------------------------------------------------
@@ -325,16 +362,11 @@ def metric_table(
         r2 = F.lit(1.0) - F.try_divide(F.col("mse") * F.col("_n"), F.col("_sst"))
         out = out.withColumn("r2", F.coalesce(r2, F.lit(0.0)) if undefined_as_zero else r2)
         out = out.withColumn("rae", F.try_divide(F.col("mae") * F.col("_n"), F.col("_sad")))
-    ranks = []
-    dist = rows
-    if set(SPEARMAN_METRICS) & set(metrics):
-        ranks.append(_spearman(dist, keys, leaf, "spearman_pvalue" in metrics))
-    if set(KENDALL_METRICS) & set(metrics):
-        ranks.append(_kendall(dist, keys, leaf, "kendall_tau_pvalue" in metrics))
-    for i, part in enumerate(ranks):
+    if ranked:
+        part = _rank_metrics(rows, keys, leaf, metrics)
         cols = [c for c in part.columns if c not in keys]
-        part = _tag(part, keys, f"_j{i}_", *cols)
-        out = out.join(part, _null_safe(out, part, keys, f"_j{i}_"), "left")
+        part = _tag(part, keys, "_j_", *cols)
+        out = out.join(part, _null_safe(out, part, keys, "_j_"), "left")
         for c in cols:
             if c.endswith("pvalue"):
                 out = out.withColumn(c, F.coalesce(F.col(c), F.lit(1.0)))

@@ -16,7 +16,7 @@ from propspark.session import broadcast_if_small, cut_lineage, shuffle_width
 from propspark.sources.tables import is_empty
 
 # Groups up to this many rows may be handled inside one task.
-GROUP_ROWS_PER_TASK = 200_000
+GROUP_ROWS_PER_TASK = 1_000_000
 
 
 def _as_cols(order: Iterable[str | Column]) -> list[Column]:

@@ -2,8 +2,9 @@
 
 Tanimoto for on-bit arrays, cosine for dense vectors, and the mean over blocks for combined feature
 sets. Pairs never become rows: each task multiplies two blocks and emits only the k best values per left
-row. Two routes give the same result:
+row. Three routes give the same result:
 
+* the right side is shown to be small: it is broadcast and every left row is finished where it lies;
 * the left side is shown to be small: it is broadcast, the right side streams by without a shuffle;
 * otherwise both sides are cut into chunks by hash of id and every chunk pair is one bounded task.
 """
@@ -136,23 +137,48 @@ def nearest(
         T.StructField("scope", T.StringType()), T.StructField("sim", T.DoubleType()),
     ])
     fits = max(1, broadcast_cells // width)
+    args = (blocks, feature_sets, keys, k, exclude_self, schema, bool(flag))
+    if r_rows.limit(fits + 1).count() <= fits:
+        return _by_broadcast_right(l_rows, r_rows, *args)
     if l_rows.limit(fits + 1).count() <= fits:
-        part = _by_broadcast(l_rows, r_rows, blocks, feature_sets, keys, k, exclude_self, schema, bool(flag))
+        part = _by_broadcast_left(l_rows, r_rows, *args)
     else:
-        part = _by_chunks(l_rows, r_rows, blocks, feature_sets, keys, k, exclude_self, schema, bool(flag), max(1, chunk_cells // width))
+        part = _by_chunks(l_rows, r_rows, *args, max(1, chunk_cells // width))
     order = Window.partitionBy("id", "feature_set", "scope").orderBy(F.desc("sim"))
     return part.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= k).drop("_rn")
 
 
-def _by_broadcast(l_rows, r_rows, blocks, feature_sets, keys, k, exclude_self, schema, scoped) -> DataFrame:
+def _share(rows: DataFrame, blocks, scoped: bool):
+    """A side of checked size as matrices on every executor."""
+    pdf = rows.toPandas()
+    mats = {b.name: _matrix(pdf[b.column].tolist(), b) for b in blocks}
+    return rows.sparkSession.sparkContext.broadcast((pdf["id"], mats, pdf["_ft"].to_numpy(bool) if scoped else None))
+
+
+def _by_broadcast_right(l_rows, r_rows, blocks, feature_sets, keys, k, exclude_self, schema, scoped) -> DataFrame:
+    """Right side on every executor: each left row sees all candidates at once, nothing is shuffled."""
+    shared = _share(r_rows, blocks, scoped)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, mats, scope = shared.value
+        step = max(1, CHUNK_CELLS // max(1, len(ids)))
+        for batch in it:
+            for at in range(0, len(batch), step):
+                lp = batch.iloc[at : at + step]
+                best = _Best(len(lp), k, keys)
+                left = {b.name: _matrix(lp[b.column].tolist(), b) for b in blocks}
+                _score(best, left, mats, blocks, feature_sets, lp["id"], ids, scope, exclude_self)
+                yield from best.rows(lp["id"])
+
+    return l_rows.mapInPandas(run, schema)
+
+
+def _by_broadcast_left(l_rows, r_rows, blocks, feature_sets, keys, k, exclude_self, schema, scoped) -> DataFrame:
     """Left side on every executor; the right side is read once, without any shuffle."""
-    pdf = l_rows.toPandas()
-    shared = l_rows.sparkSession.sparkContext.broadcast(
-        (pdf["id"], {b.name: _matrix(pdf[b.column].tolist(), b) for b in blocks})
-    )
+    shared = _share(l_rows, blocks, False)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, mats = shared.value
+        ids, mats, _ = shared.value
         best = _Best(len(ids), k, keys)
         step = max(1, CHUNK_CELLS // max(1, len(ids)))
         for batch in it:

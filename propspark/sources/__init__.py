@@ -3,6 +3,7 @@ from propspark.sources.tables import (  # noqa: F401
     nan_to_null,
     read_table,
     require_columns,
+    spread_scan,
     write_artifacts,
     write_buckets,
     write_lookup,

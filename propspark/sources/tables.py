@@ -66,6 +66,25 @@ def read_table(
     return nan_to_null(df)
 
 
+def spread_scan(df: DataFrame, key: str, *, row_group_bytes: int = 128 << 20) -> DataFrame:
+    """Give a CPU-heavy stage enough tasks when the files below it are few and small.
+
+    A row group cannot be split, so a small table may arrive in a single task. Inputs with at least one
+    row group of usual size per core are returned as they are: at scale this adds no shuffle.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if len(files) >= cores:
+        return df
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    size = 0
+    for f in files:
+        at = jvm.org.apache.hadoop.fs.Path(f)
+        size += at.getFileSystem(conf).getFileStatus(at).getLen()
+    return df if size >= cores * row_group_bytes else df.repartition(cores, key)
+
+
 def write_table(
     df: DataFrame, path: str, *, fmt: str = "parquet", mode: str = "overwrite", partition_by: Iterable[str] = ()
 ) -> str:

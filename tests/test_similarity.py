@@ -34,8 +34,8 @@ def _sims(pdf_a, pdf_b):
     return tan, cos
 
 
-@pytest.mark.parametrize("sizes", [{}, {"broadcast_cells": 1, "chunk_cells": 46 * 20}])
-def test_both_routes_match_brute_force(rows, sizes):
+@pytest.mark.parametrize("sizes", [{}, {"broadcast_cells": 46 * 30}, {"broadcast_cells": 1, "chunk_cells": 46 * 20}])
+def test_routes_match_brute_force(rows, sizes):
     test, train = rows.filter("id < 25"), rows.filter("id >= 25")
     top = summarize_top(nearest(test, train, BLOCKS, SETS, k=5, finetune_col="is_finetune", **sizes)).collect()
     a, b = test.toPandas(), train.toPandas()
