@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from propspark.session import broadcast_if_small, cut_lineage, shuffle_width
+from propspark.session import broadcast_if_small, cut_lineage
 from propspark.sources.tables import is_empty
 
 # Groups up to this many rows may be handled inside one task.
@@ -24,9 +24,11 @@ def _as_cols(order: Iterable[str | Column]) -> list[Column]:
 
 
 def _range_sorted(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Globally sorted rows, fixed on reliable storage, with partition number and position in it."""
-    parts = shuffle_width(df.sparkSession)
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    """Globally sorted rows, fixed on reliable storage, with partition number and position in it.
+
+    No partition count is given, so AQE may merge neighbouring ranges of a small table; order is kept.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
     fixed = cut_lineage(placed.withColumn("_at", F.monotonically_increasing_id()))
     # The id holds the partition in its upper 31 bits and the position in its lower 33.
     return fixed.withColumn("_part", F.shiftright("_at", 33)).withColumn(

@@ -6,7 +6,8 @@ row. Three routes give the same result:
 
 * the right side is shown to be small: it is broadcast and every left row is finished where it lies;
 * the left side is shown to be small: it is broadcast, the right side streams by without a shuffle;
-* otherwise both sides are cut into chunks by hash of id and every chunk pair is one bounded task.
+* otherwise both sides are cut into chunks and every chunk pair is one bounded task. Fingerprints are
+  chunked by their number of on-bits, and chunk pairs that cannot reach a row's k best are left out.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from propspark.operators.ordered import global_index
+from propspark.session import broadcast_if_small, cut_lineage
 from propspark.sources.tables import is_empty, require_columns
 
 # Cells (rows x feature width) of a left side that may be broadcast: 160 MB as float64.
@@ -142,6 +145,8 @@ def nearest(
         return _by_broadcast_right(l_rows, r_rows, *args)
     if l_rows.limit(fits + 1).count() <= fits:
         part = _by_broadcast_left(l_rows, r_rows, *args)
+    elif main := _shared_binary(blocks, feature_sets):
+        part = _by_pruned_chunks(l_rows, r_rows, *args, max(1, chunk_cells // width), main)
     else:
         part = _by_chunks(l_rows, r_rows, *args, max(1, chunk_cells // width))
     order = Window.partitionBy("id", "feature_set", "scope").orderBy(F.desc("sim"))
@@ -199,6 +204,11 @@ def _by_chunks(l_rows, r_rows, blocks, feature_sets, keys, k, exclude_self, sche
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     lx = l_rows.withColumn("_lc", chunk(n_l, 1)).withColumn("_rc", every(n_r))
     rx = r_rows.withColumn("_rc", chunk(n_r, 2)).withColumn("_lc", every(n_l))
+    return _multiply(lx, rx, blocks, feature_sets, keys, k, exclude_self, schema, scoped)
+
+
+def _multiply(lx, rx, blocks, feature_sets, keys, k, exclude_self, schema, scoped) -> DataFrame:
+    """One bounded block product per (_lc, _rc)."""
 
     def run(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
@@ -209,9 +219,74 @@ def _by_chunks(l_rows, r_rows, blocks, feature_sets, keys, k, exclude_self, sche
         _score(best, left, right, blocks, feature_sets, lp["id"], rp["id"], rp["_ft"].to_numpy(bool) if scoped else None, exclude_self)
         return pd.concat(list(best.rows(lp["id"])), ignore_index=True)
 
+    # Both sides may come from one table; fresh column identities keep the pairing unambiguous.
+    lx, rx = lx.toDF(*lx.columns), rx.toDF(*rx.columns)
     return lx.groupBy("_lc", "_rc").cogroup(rx.groupBy("_lc", "_rc")).applyInPandas(run, schema)
 
 
+def _shared_binary(blocks, feature_sets) -> Block | None:
+    """A fingerprint block that every feature set uses."""
+    return next((b for b in blocks if b.family == "binary" and all(b.name in names for names in feature_sets.values())), None)
+
+
+def _sized_chunks(rows: DataFrame, main: Block, chunk_rows: int, name: str) -> tuple[DataFrame, list]:
+    """Chunks of equal size in order of on-bit count, and (first count, last count, rows) of each."""
+    on = F.greatest(F.coalesce(F.size(main.column), F.lit(0)), F.lit(0))
+    at = global_index(rows.withColumn("_on", on), ["_on", F.xxhash64("id"), "id"], "_i")
+    cut = at.withColumn(name, F.floor(F.col("_i") / chunk_rows).cast("int")).drop("_i")
+    meta = cut.groupBy(name).agg(F.min("_on").alias("lo"), F.max("_on").alias("hi"), F.count(F.lit(1)).alias("n")).orderBy(name).collect()
+    return cut.drop("_on"), [(r["lo"], r["hi"], r["n"]) for r in meta]
+
+
+def reachable(l_lo: int, l_hi: int, r_lo: np.ndarray, r_hi: np.ndarray, ratio: float) -> tuple[int, int]:
+    """First and last right chunk that may hold a row of the needed similarity.
+
+    Tanimoto never exceeds the smaller on-bit count over the larger one. Chunks are in count order, so the
+    admissible ones are neighbours. Rounding is given a little room.
+    """
+    if ratio <= 0:
+        return 0, len(r_lo) - 1
+    ratio *= 1 - 1e-9
+    return int(np.searchsorted(r_hi, ratio * l_lo, "left")), int(np.searchsorted(r_lo, l_hi / ratio, "right")) - 1
+
+
+def _by_pruned_chunks(l_rows, r_rows, blocks, feature_sets, keys, k, exclude_self, schema, scoped, chunk_rows, main) -> DataFrame:
+    """Exact, in two rounds. Chunks of similar on-bit count are multiplied first; the k-th best value found
+    there bounds, per left chunk, which other chunks can still matter. Only chunk ranges pass the driver."""
+    lx, l_meta = _sized_chunks(l_rows, main, chunk_rows, "_lc")
+    rx, r_meta = _sized_chunks(r_rows, main, chunk_rows, "_rc")
+    r_lo, r_hi = np.array([m[0] for m in r_meta]), np.array([m[1] for m in r_meta])
+    spark, last = l_rows.sparkSession, len(r_meta) - 1
+
+    def products(ranges: list[tuple[int, int, int]]) -> DataFrame:
+        table = spark.createDataFrame(ranges, "_lc int, _from int, _to int")
+        pairs = broadcast_if_small(table.select("_lc", F.explode(F.sequence("_from", "_to")).alias("_rc")))
+        return _multiply(lx.join(pairs, "_lc"), rx.join(pairs, "_rc"), blocks, feature_sets, keys, k, exclude_self, schema, scoped)
+
+    band = []
+    for lo, hi, _ in l_meta:
+        mid = min(last, max(0, int(np.searchsorted(r_lo, (lo + hi) / 2, "right")) - 1))
+        band.append((max(0, mid - 1), min(last, mid + 1)))
+    first = cut_lineage(products([(c, b, e) for c, (b, e) in enumerate(band)]))
+    order = Window.partitionBy("id", "feature_set", "scope").orderBy(F.desc("sim"))
+    kept = first.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= k)
+    per_row = kept.groupBy("id", "feature_set", "scope").agg(F.count(F.lit(1)).alias("_n"), F.min("sim").alias("_kth"))
+    bound = F.when(F.col("_n") >= k, F.col("_kth")).otherwise(F.lit(-1.0))
+    floors = (
+        per_row.join(lx.select("id", "_lc"), "id").groupBy("_lc", "feature_set", "scope")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(bound).alias("floor")).collect()
+    )
+    found = {(r["_lc"], r["feature_set"], r["scope"]): r["floor"] if r["n"] == l_meta[r["_lc"]][2] else -1.0 for r in floors}
+    rest = []
+    for c, (lo, hi, _) in enumerate(l_meta):
+        # The mean over B blocks can reach f only if this block's share reaches B f - (B - 1).
+        ratio = min(len(feature_sets[fs]) * found.get((c, fs, s), -1.0) - (len(feature_sets[fs]) - 1) for fs, s in keys)
+        a, z = reachable(lo, hi, r_lo, r_hi, ratio)
+        b, e = band[c]
+        rest += [(c, f, t) for f, t in ((a, min(z, b - 1)), (max(a, e + 1), z)) if f <= t]
+    return first.unionByName(products(rest)) if rest else first
+
+
 def summarize_top(top: DataFrame) -> DataFrame:
     """Per left row: the maximum and the mean of the kept values (fewer than k when the right side is short)."""
     return top.groupBy("id", "feature_set", "scope").agg(F.max("sim").alias("max_sim"), F.avg("sim").alias("mean_topk"))

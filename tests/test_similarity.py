@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from propspark.operators import domain as D
 from propspark.operators.fingerprints import SubstructureConfig, substructure_bits
-from propspark.operators.similarity import Block, block_similarity, nearest, summarize_top, train_neighbours
+from propspark.operators.similarity import Block, block_similarity, nearest, reachable, summarize_top, train_neighbours
 
 BLOCKS = (Block("bits", "bits", "binary", 40), Block("vec", "vec", "dense", 6))
 SETS = {"bits": ["bits"], "both": ["bits", "vec"]}
@@ -68,6 +68,31 @@ def test_train_neighbours(rows, sizes):
     assert got[0, "both", "all"] == pytest.approx(1.0)
 
 
+def test_chunk_pruning_is_exact(spark):
+    """Very different on-bit counts: far chunks are skipped and the result stays the same."""
+    rng = np.random.default_rng(2)
+    data = []
+    for i in range(240):
+        size = [4, 12, 60, 200][i % 4]
+        base = rng.choice(256, size, replace=False) if i < 8 else np.array(data[i % 8][1])
+        keep = base if i < 8 else base[rng.random(len(base)) > 0.05]
+        data.append((i, sorted(set(keep.tolist()))))
+    df = spark.createDataFrame(data, "id long, bits array<int>")
+    blocks, sets = [Block("bits", "bits", "binary", 256)], {"bits": ["bits"]}
+    run = lambda **kw: {(r["id"]): (r["max_sim"], r["mean_topk"]) for r in summarize_top(
+        nearest(df, df, blocks, sets, k=3, exclude_self=True, **kw)).collect()}
+    whole, pruned = run(), run(broadcast_cells=1, chunk_cells=256 * 20)
+    assert len(whole) == len(pruned) == 240
+    assert all(pruned[i] == pytest.approx(whole[i]) for i in whole)
+
+
+def test_reachable_chunks():
+    lo, hi = np.array([1, 10, 50, 100]), np.array([9, 40, 90, 200])
+    assert reachable(20, 25, lo, hi, 0.5) == (1, 2)
+    assert reachable(20, 25, lo, hi, -1.0) == (0, 3)
+    assert reachable(20, 20, lo, hi, 1.0) == (1, 1)
+
+
 def test_lone_and_empty_train(rows):
     one = rows.filter("id = 3")
     assert train_neighbours(one, BLOCKS, SETS).agg(F.min("nn_sim")).first()[0] == 1.0
