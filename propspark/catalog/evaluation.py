@@ -8,7 +8,7 @@ from propspark.catalog.base import PRICE_PAIRS, price_pairs, r6, table
 from propspark.functions.scalars import abs_error, squared_error
 from propspark.operators.lookups import missing_keys, pair_predictions
 from propspark.operators.metrics import metric_table
-from propspark.operators.resample import REPORT_METRICS, bootstrap_metrics
+from propspark.operators.resample import _POISSON_CDF, REPORT_METRICS, bootstrap_metrics
 from propspark.plans import evaluate as E
 from propspark.session import cut_lineage
 
@@ -96,7 +96,7 @@ def bootstrap(spark, root):
 def bootstrap_poisson(spark, root):
     """Approximate form for very large tables."""
     m = bootstrap_metrics(_log_pairs(spark, root), "y_true", "y_pred", by=["Endpoint"], key="key", samples=20, method="poisson")
-    return m.groupBy("Endpoint", "Metric").agg(F.avg("Value").alias("mean"))
+    return m.groupBy("Endpoint", "Metric").agg(r6(F.avg("Value"), "mean"))
 
 
 def evaluation(spark, root):
@@ -159,14 +159,23 @@ _SUP = f"""(select l_suppkey as key, avg(y_true) as price, avg(y_pred) as price_
  from (select a.*, p_retailprice from {PRICE_PAIRS} a join part on p_partkey = l_partkey) group by 1)"""
 
 
-def boot_sql(pairs: str, keys: str) -> str:
+def poisson_sql(samples: int) -> str:
+    """Rows repeated by their Poisson(1) weight."""
+    u = "('0x' || substr(md5('0:' || Sample || ':' || key), 1, 15))::bigint / 1152921504606846976::double"
+    weight = " + ".join(f"(u >= {c!r}::double)::int" for c in _POISSON_CDF)
+    return f"""w as (select *, {u} as u from p, range({samples}) r(Sample)),
+        b as materialized (select Endpoint, Sample, x, y from (select *, unnest(range({weight})) from w))"""
+
+
+def boot_sql(pairs: str, keys: str, draws: str | None = None) -> str:
     """Resamples of (keys, key, x, y) in log scale and their metrics in long form."""
     ks = [c.strip() for c in keys.split(",")]
     on = " and ".join(f"a.{c} = b.{c}" for c in [*ks, "Sample"])
-    return f"""with p as materialized (select {keys}, log10(greatest(x, 0) + 1) as x, log10(greatest(y, 0) + 1) as y,
+    draws = draws or f"""draw as (select {keys}, Sample, ('0x' || substr(md5('0:' || Sample || ':' || pos), 1, 15))::bigint % size as pos from p, range({SAMPLES}) r(Sample)),
+        b as materialized (select {', '.join('p.' + c for c in ks)}, Sample, x, y from draw join p on p.pos = draw.pos and {' and '.join(f'p.{c} = draw.{c}' for c in ks)})"""
+    return f"""with p as materialized (select {keys}, key, log10(greatest(x, 0) + 1) as x, log10(greatest(y, 0) + 1) as y,
           row_number() over (partition by {keys} order by key) - 1 as pos, count(*) over (partition by {keys}) as size from ({pairs}) where x is not null and y is not null),
-        draw as (select {keys}, Sample, ('0x' || substr(md5('0:' || Sample || ':' || pos), 1, 15))::bigint % size as pos from p, range({SAMPLES}) r(Sample)),
-        b as materialized (select {', '.join('p.' + c for c in ks)}, Sample, x, y from draw join p on p.pos = draw.pos and {' and '.join(f'p.{c} = draw.{c}' for c in ks)}),
+        {draws},
         m as (select {keys}, Sample, avg(x) as mx from b group by all),
         e as (select {', '.join('b.' + c for c in ks)}, b.Sample, avg(abs(x - y)) as mae, avg(abs(x - y)) / nullif(avg(abs(x - mx)), 0) as rae,
           1 - sum(pow(x - y, 2)) / nullif(sum(pow(x - mx, 2)), 0) as r2 from b join m on {' and '.join(f'b.{c} = m.{c}' for c in [*ks, 'Sample'])} group by all),
@@ -221,6 +230,8 @@ ORACLES = {
     "prediction_pairs": f"select key, round(price_hat, 6) as \"HLM_pred\", round(price, 6) as \"HLM_true\" from {_SUP}",
     "unpredicted_keys": "select p_partkey as key from part except select l_partkey from lineitem where l_quantity > 49",
     "bootstrap": boot_sql(_ENDS, "Endpoint") + ' select Endpoint as "Endpoint", Sample as "Sample", Metric as "Metric", round(Value, 6) as "Value" from long',
+    "bootstrap_poisson": boot_sql(_ENDS, "Endpoint", poisson_sql(20))
+    + ' select Endpoint as "Endpoint", Metric as "Metric", round(avg(Value), 6) as mean from long group by 1, 2',
     "evaluation": boot_sql(_ENDS, "Endpoint") + f""", w as ({_wide('Endpoint')}), u as (select * from w union all select 'Macro Average',
         {', '.join(f'avg("{c}")' for c in _NAMES)} from w) select Endpoint as "Endpoint", {_ROUNDED} from u""",
     "model_comparison": boot_sql(_FLAG, "Name") + f""", w as ({_wide('Name')}) select row_number() over (order by "mean_MAE", Name) as "Rank", Name as "Name", 'HLM' as "Endpoint", {_ROUNDED} from w""",

@@ -6,7 +6,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from propspark.catalog.base import FOLD_PAIRS, fold_pairs, price_pairs, r6, scratch, table
-from propspark.operators.folds import SplitConfig, holdout
+from propspark.catalog.text import chars_sql
+from propspark.operators.folds import SplitConfig, holdout, random_folds
 from propspark.plans import nested_cv as N
 from propspark.plans import search as H
 from propspark.plans.features import Feature, assemble, featurize
@@ -73,8 +74,6 @@ def stored_leaderboard(spark, root):
 
 def parameter_search(spark, root):
     cfg = H.SearchConfig(True, n_trials=4, startup_trials=2, space={"n_estimators": ("int", 5, 15, 5), "max_depth": ("int", 2, 6, 1)})
-    from propspark.operators.folds import random_folds
-
     rows = random_folds(_vectors(spark, root), "vec_id", 3, name="_inner").persist()
     _, trials = H.tune(rows, EMB, "label", "rf", cfg, split=SplitConfig("random"), n_folds=3)
     return H.trials_table(rows, trials)
@@ -120,6 +119,8 @@ QUERIES = {f.__name__: f for f in (
 
 _RMSE = "sqrt(avg(pow(y_true - y_pred, 2)))"
 ORACLES = {
+    "assembled_features": f"""select t.doc_id, 521::bigint as width, count(b) as n_on from documents t
+        left join {chars_sql('documents', 'doc_id', 512)} x on x.doc_id = t.doc_id group by 1""",
     "stored_leaderboard": """with e as (select unnest(['list', 'flat', 'discounted']) as pipeline, unnest([l_quantity * p_retailprice, l_quantity * 1000, l_quantity * p_retailprice * (1 - l_discount)])
         - l_extendedprice as d from lineitem join part on l_partkey = p_partkey)
         select pipeline, round(-avg(d * d) / 1e6::double, 6) as cv_score, round(sqrt(avg(d * d)), 6) as cv_rmse from e group by 1""",
