@@ -21,16 +21,17 @@ def last_written(df: DataFrame, key: str, order: Iterable[str]) -> DataFrame:
     return df.groupBy(key).agg(picked.alias("_row")).select(key, "_row.*")
 
 
-def lookup(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, cols: dict[str, str], *, hit: str | None = None) -> DataFrame:
-    """Left join that brings ``cols`` (dim column to new name); the dim must hold one row per key.
+def lookup(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, cols: dict[str, str], *, hit: str | None = None, how: str = "left") -> DataFrame:
+    """Join that brings ``cols`` (dim column to new name); the dim must hold one row per key.
 
-    The dim is broadcast only when its row count is shown to be small. ``hit`` adds a found flag.
+    The dim is broadcast only when its row count is shown to be small. ``hit`` adds a found flag;
+    ``how="inner"`` keeps matching rows only, a semi join and a lookup in one.
     """
     take = [F.col(dim_key).alias("_k"), *[F.col(c).alias(n) for c, n in cols.items()]]
     if hit:
         take.append(F.lit(True).alias(hit))
     side = broadcast_if_small(dim.select(*take))
-    out = fact.join(side, fact[fact_key] == side["_k"], "left").drop("_k")
+    out = fact.join(side, fact[fact_key] == side["_k"], how).drop("_k")
     return out.withColumn(hit, F.coalesce(F.col(hit), F.lit(False))) if hit else out
 
 

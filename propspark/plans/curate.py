@@ -54,10 +54,12 @@ def harvest(
 
     ``assays``, ``molecules`` and ``targets`` hold one row per id. One lazy plan, no per-batch requests.
     """
-    found = having_match(activities, assays, cols.assay_id, cols.assay_id, F.col(cols.kind) == kind)
-    rows = exact_values(with_value_and_id(found, cols.value, cols.molecule_id), cols.relation)
+    kept = activities.filter(F.col(cols.kind) == kind)
+    kept = exact_values(with_value_and_id(kept, cols.value, cols.molecule_id), cols.relation)
     if assay_cols:
-        rows = lookup(rows, assays, cols.assay_id, cols.assay_id, dict(assay_cols))
+        rows = lookup(kept, assays, cols.assay_id, cols.assay_id, dict(assay_cols), how="inner")
+    else:
+        rows = having_match(kept, assays, cols.assay_id, cols.assay_id)
     rows = lookup(rows, molecules, cols.molecule_id, cols.molecule_id, {cols.structure: cols.structure}, hit="_returned")
     rows = lookup(rows, targets, cols.target_id, cols.target_id, {cols.target_name: cols.target_name})
     return rows.withColumn("structure_status", structure_status("_returned", cols.structure)).drop("_returned")
