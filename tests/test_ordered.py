@@ -59,7 +59,7 @@ def test_join_counted_splits_hot_keys(skewed):
 
 def test_sequential_ids(spark):
     df = spark.createDataFrame([(3,), (1,), (2,)], "k int")
-    got = {r["k"]: r["mol_id"] for r in sequential_ids(df, ["k"], "fang_").collect()}
-    assert got == {1: "fang_1", 2: "fang_2", 3: "fang_3"}
+    got = {r["k"]: r["mol_id"] for r in sequential_ids(df, ["k"], "src_").collect()}
+    assert got == {1: "src_1", 2: "src_2", 3: "src_3"}
     with pytest.raises(ValueError):
         sequential_ids(df, [], "x")
