@@ -45,11 +45,14 @@ def read_table(
     fmt: str | None = None,
     required: Iterable[str] = (),
     drop_index_columns: bool = True,
+    nan_as_null: bool = True,
     options: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Scan a parquet, CSV, JSON or ORC table.
 
     CSV wants an explicit schema (no inference pass over the data); without one, columns stay text.
+    ``nan_as_null`` keeps filters on floating columns from reaching the parquet scan, so switch it off for
+    tables that are known to hold no NaN.
     """
     fmt = fmt or ("csv" if path.endswith((".csv", ".csv.gz")) else "parquet")
     reader = spark.read.format(fmt).options(**dict(options or {}))
@@ -63,7 +66,7 @@ def read_table(
     if drop_index_columns:
         df = df.drop(*[c for c in INDEX_COLUMNS if c in df.columns])
     require_columns(df, *required)
-    return nan_to_null(df)
+    return nan_to_null(df) if nan_as_null else df
 
 
 def spread_scan(df: DataFrame, key: str, *, row_group_bytes: int = 128 << 20) -> DataFrame:
