@@ -6,8 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propspark.llm.common import read
+from propspark.llm.common import read, text_of, words_of
+from propspark.llm.grades import fitted, graded
+from propspark.llm.licenses import scanned
+from propspark.llm.licenses import sql as license_sql
+from propspark.llm.mixing import mixed
 from propspark.llm.packing import packed
+from propspark.llm.quality import checked
 from propspark.llm.sharding import sharded
 from propspark.llm.simhash import near_duplicates
 
@@ -16,14 +21,40 @@ def op1_packing(spark: SparkSession, root: str) -> DataFrame:
     return packed(read(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op2_licenses(spark: SparkSession, root: str) -> DataFrame:
+    return scanned(read(spark, root, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 6).alias("score"))
+
+
 def op3_sharding(spark: SparkSession, root: str) -> DataFrame:
     return sharded(read(spark, root, "documents"), 16).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_quality(spark: SparkSession, root: str) -> DataFrame:
+    return checked(read(spark, root, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: Toxic texts are the lowest grade, poor ones the middle, all others the best.
+GRADE = "case when toxic = 1 then 0 when quality = 0 then 1 when toxic is not null and quality is not null then 2 end"
+
+
+def op7_grades(spark: SparkSession, root: str) -> DataFrame:
+    docs = read(spark, root, "documents")
+    out = graded(docs, fitted(docs, read(spark, root, "labels"), F.expr(GRADE)), F.col("doc_id"))
+    tail = lambda k: F.get("tails", F.lit(k - 1))
+    return out.select("doc_id", "expected_grade", tail(1).alias("p_grade_1"), tail(2).alias("p_grade_2"), (tail(2) >= 0.3).alias("kept"))
+
+
+def op8_mixing(spark: SparkSession, root: str) -> DataFrame:
+    size = F.size(words_of(text_of()))
+    return mixed(read(spark, root, "documents"), size).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_simhash(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates(read(spark, root, "documents"), radius=2, shingle=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_sharding, op10_simhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_licenses, op3_sharding, op5_quality, op7_grades, op8_mixing, op10_simhash)}
+ORACLES: dict[str, str] = {"op2_licenses": license_sql()}
