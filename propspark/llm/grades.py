@@ -62,7 +62,7 @@ def _featurizer():
 
 
 def fit_ordinal(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: np.ndarray, n_grades: int, buckets: int, *, rounds: int = 200,
-                rate: float = 0.5, penalty: float = 2e-5, min_rows: int = 3) -> GradeModel:
+                rate: float = 0.5, penalty: float = 2e-6, min_rows: int = 5) -> GradeModel:
     """Penalised maximum likelihood of the cumulative logit model, by Adam on all rows.
 
     Buckets held by fewer than ``min_rows`` rows keep weight 0. Without rows the chances are even.
@@ -171,7 +171,7 @@ def graded(docs: DataFrame, model: GradeModel, *carry: Column, text_col: str = "
     return src.mapInArrow(run, kinds + ", expected_grade double, tails array<double>")
 
 
-def selected(docs: DataFrame, model: GradeModel, *, min_tail: float = 0.3, grade: int = 2, text_col: str = "text") -> DataFrame:
+def selected(docs: DataFrame, model: GradeModel, *, min_tail: float = 0.4, grade: int = 2, text_col: str = "text") -> DataFrame:
     """The documents (all columns) whose chance of ``grade`` or better is at least ``min_tail``."""
     out = graded(docs, model, F.struct("*").alias("_row"), text_col=text_col)
     return out.filter(F.get("tails", F.lit(grade - 1)) >= min_tail).select("_row.*")

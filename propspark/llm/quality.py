@@ -99,7 +99,7 @@ def divergence(p: Column, q: Column) -> Column:
     return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(total(terms), F.lit(0.0)))).otherwise(0.0)
 
 
-def judged(rows: DataFrame, refs: DataFrame, *, max_chars: float = 0.3, max_common: float = 0.5, min_words: int = 50, min_common: int = 100,
+def judged(rows: DataFrame, refs: DataFrame, *, max_chars: float = 0.3, max_common: float = 0.23, min_words: int = 100, min_common: int = 200,
            min_reference: int = 1000) -> DataFrame:
     """Add ``js_chars``, ``js_common`` and ``kept`` to measured rows.
 

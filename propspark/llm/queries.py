@@ -44,7 +44,7 @@ def op7_grades(spark: SparkSession, root: str) -> DataFrame:
     docs = read(spark, root, "documents")
     out = graded(docs, fitted(docs, read(spark, root, "labels"), F.expr(GRADE)), F.col("doc_id"))
     tail = lambda k: F.get("tails", F.lit(k - 1))
-    return out.select("doc_id", "expected_grade", tail(1).alias("p_grade_1"), tail(2).alias("p_grade_2"), (tail(2) >= 0.3).alias("kept"))
+    return out.select("doc_id", "expected_grade", tail(1).alias("p_grade_1"), tail(2).alias("p_grade_2"), (tail(2) >= 0.4).alias("kept"))
 
 
 def op8_mixing(spark: SparkSession, root: str) -> DataFrame:
