@@ -15,6 +15,7 @@ from propspark.llm.packing import packed
 from propspark.llm.quality import checked
 from propspark.llm.sharding import sharded
 from propspark.llm.simhash import near_duplicates
+from propspark.llm.urls import judged_urls, labelled_urls
 
 
 def op1_packing(spark: SparkSession, root: str) -> DataFrame:
@@ -52,9 +53,13 @@ def op8_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixed(read(spark, root, "documents"), size).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_urls(spark: SparkSession, root: str) -> DataFrame:
+    return judged_urls(read(spark, root, "pages"), labelled_urls(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_simhash(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates(read(spark, root, "documents"), radius=2, shingle=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_licenses, op3_sharding, op5_quality, op7_grades, op8_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_licenses, op3_sharding, op5_quality, op7_grades, op8_mixing, op9_urls, op10_simhash)}
 ORACLES: dict[str, str] = {"op2_licenses": license_sql()}
