@@ -11,6 +11,7 @@ from propspark.llm.grades import fitted, graded
 from propspark.llm.licenses import scanned
 from propspark.llm.licenses import sql as license_sql
 from propspark.llm.mixing import mixed
+from propspark.llm.neighbours import nearest
 from propspark.llm.packing import packed
 from propspark.llm.quality import checked
 from propspark.llm.sharding import sharded
@@ -37,6 +38,10 @@ def op5_quality(spark: SparkSession, root: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    return nearest(read(spark, root, "embeddings"), lambda i: i % 20 == 0, 20)
+
+
 #: Toxic texts are the lowest grade, poor ones the middle, all others the best.
 GRADE = "case when toxic = 1 then 0 when quality = 0 then 1 when toxic is not null and quality is not null then 2 end"
 
@@ -61,5 +66,5 @@ def op10_simhash(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates(read(spark, root, "documents"), radius=2, shingle=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_licenses, op3_sharding, op5_quality, op7_grades, op8_mixing, op9_urls, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_licenses, op3_sharding, op5_quality, op6_neighbours, op7_grades, op8_mixing, op9_urls, op10_simhash)}
 ORACLES: dict[str, str] = {"op2_licenses": license_sql()}
