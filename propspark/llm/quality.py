@@ -85,8 +85,9 @@ def measured(docs: DataFrame, *carry: Column, id_col: str = "doc_id", text_col:
 
 def references(rows: DataFrame) -> DataFrame:
     """One histogram per language over all documents that pass the base rules: a sum with map-side combine."""
-    sums = [F.sum(c).cast("double").alias(c) for c in (*CHARS, *WORDS)]
-    refs = rows.filter(~F.col("base_failed")).groupBy("lang_key").agg(F.sum("n_words").alias("ref_words"), *sums)
+    # No filter: one that is pushed below the counts would compute them over and over.
+    good = lambda c: F.sum(F.when(~F.col("base_failed"), F.col(c)))
+    refs = rows.groupBy("lang_key").agg(good("n_words").alias("ref_words"), *[good(c).cast("double").alias(c) for c in (*CHARS, *WORDS)])
     return refs.select("lang_key", "ref_words", F.array(*CHARS).alias("ref_chars"), F.array(*WORDS).alias("ref_common"))
 
 
@@ -113,7 +114,9 @@ def judged(rows: DataFrame, refs: DataFrame, *, max_chars: float = 0.3, max_comm
     known = known.withColumn("js_common", divergence(F.array(*[F.col(c).cast("double") for c in WORDS]), F.col("ref_common")))
     enough = F.coalesce(F.col("ref_words"), F.lit(0)) >= min_reference
     far = ((F.col("n_words") >= min_words) & (F.col("js_chars") > max_chars)) | ((F.col("n_words") >= min_common) & (F.col("js_common") > max_common))
-    return known.withColumn("kept", ~F.col("base_failed") & ~(enough & F.coalesce(far, F.lit(False))))
+    # A sum of values that cannot be null, so that no part of it is pushed below the counts as a filter of its own.
+    against = F.coalesce(F.col("base_failed"), F.lit(True)).cast("int") + (enough & F.coalesce(far, F.lit(False))).cast("int")
+    return known.withColumn("kept", against == 0)
 
 
 def checked(docs: DataFrame, **options) -> DataFrame:
