@@ -175,9 +175,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, *, projections: int = 8,
                     see = np.zeros(far.shape, bool) if not shut else far <= limit[at : at + 256, None]
                     see[np.arange(len(own)), home] = not shut
                     row, leaf = np.nonzero(see)
+                    if not len(row):
+                        continue
                     many = parts[leaf]
                     row, leaf = np.repeat(row, many), np.repeat(leaf, many)
-                    salt = np.concatenate([np.arange(m) for m in many]) if len(many) else np.zeros(0, np.int64)
+                    salt = np.concatenate([np.arange(m) for m in many])
                     ids = part["query_id"].to_numpy()[at : at + 256]
                     yield pd.DataFrame({"query_id": ids[row], "q": [q[at + r] for r in row], "bound": part["bound"].to_numpy()[at + row], "leaf": leaf_ids[leaf], "salt": salt})
 

@@ -133,3 +133,37 @@ def passing(docs: DataFrame, **options) -> DataFrame:
     """The documents (all columns) that pass, without a shuffle of texts: they are measured again instead."""
     refs = Stored(docs.sparkSession)(references(measured(docs, **options)))
     return judged(measured(docs, F.struct("*").alias("_row"), **options), refs).filter("kept").select("_row.*")
+
+
+def sql(max_chars: float = 0.3, max_common: float = 0.23, min_words: int = 100, min_common: int = 200, min_reference: int = 1000) -> str:
+    """The base counts and the verdict for DuckDB, by unnesting words, windows and lines."""
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    common = ", ".join(f"({q('=' + lang)}, {k}, {q(v)})" for lang, ws in COMMON_WORDS.items() for k, w in enumerate(ws) for v in (w, w[0].upper() + w[1:]))
+    drop = lambda p: f"length(tx) - length(regexp_replace(tx, {q(p)}, '', 'g'))"
+    js = lambda cols: "sqrt(greatest(" + " + ".join(
+        f"(case when p_{c} > 0 then p_{c} * log2(p_{c} / ((p_{c} + q_{c}) / 2)) else 0 end + case when q_{c} > 0 then q_{c} * log2(q_{c} / ((p_{c} + q_{c}) / 2)) else 0 end) / 2"
+        for c in cols) + ", 0))"
+    share = lambda side, total, cols, name: ", ".join(f"{side}.{c}::double / greatest({total}, 1) as {name}_{c}" for c in cols)
+    kinds = ", ".join(f"count(*) filter (k = {k}) n_common{k}" for k in range(8))
+    sums = ", ".join(f"sum({c}) {c}" for c in (*CHARS, *WORDS))
+    return f"""
+with d as (select row_number() over () rid, doc_id, case when lang is null then '' else '=' || lang end lang_key, coalesce(text, '') tx,
+  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') ws from documents),
+w as (select rid, lang_key, unnest(ws) w, generate_subscripts(ws, 1) i from d),
+t as (select rid, i, count(*) over (partition by rid, w, w2, w3) n from (select rid, i, w, lead(w) over (partition by rid order by i) w2, lead(w, 2) over (partition by rid order by i) w3 from w) where w3 is not null),
+rep as (select rid, count(distinct p) n_repeat_words from (select rid, unnest([i, i + 1, i + 2]) p from t where n > 1) group by rid),
+ln as (select rid, count(*) - count(distinct l) n_dup_lines from (select rid, unnest(string_split(tx, chr(10))) l from d) where regexp_matches(l, '[^\\x20\\x09-\\x0D]') group by rid),
+common(lang_key, k, v) as (values {common}),
+cw as (select rid, {kinds} from w join common on w.lang_key = common.lang_key and w.w = common.v group by rid),
+m as (select d.rid, doc_id, lang_key, len(ws)::bigint n_words, length(array_to_string(ws, ''))::bigint word_chars, length(tx) - length(array_to_string(ws, '')) n_spaces,
+  ({drop(SYMBOLS)})::bigint n_symbols, {', '.join(f'{drop(p)} n_{c}' for c, p in CHAR_CLASSES.items())},
+  coalesce(n_dup_lines, 0)::bigint n_dup_lines, coalesce(n_repeat_words, 0)::bigint n_repeat_words, {', '.join(f'coalesce(n_common{k}, 0) n_common{k}' for k in range(8))}
+  from d left join rep using (rid) left join ln using (rid) left join cw using (rid)),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, word_chars - n_symbols - n_upper - n_digits - n_marks n_others,
+  n_words - ({' + '.join(WORDS[:-1])}) n_rare from m),
+r as (select lang_key, sum(n_words) ref_words, {sums} from f where not base_failed group by lang_key),
+s as (select f.rid, ref_words, {share('f', 'f.n_spaces + f.word_chars', CHARS, 'p')}, {share('f', 'f.n_words', WORDS, 'p')},
+  {share('r', ' + '.join('r.' + c for c in CHARS), CHARS, 'q')}, {share('r', 'r.ref_words', WORDS, 'q')} from f join r using (lang_key))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not coalesce(ref_words >= {min_reference} and ((n_words >= {min_words} and {js(CHARS)} > {max_chars}) or (n_words >= {min_common} and {js(WORDS)} > {max_common})), false) as kept
+from f left join s using (rid)"""

@@ -14,6 +14,7 @@ from propspark.llm.mixing import mixed
 from propspark.llm.neighbours import nearest
 from propspark.llm.packing import packed
 from propspark.llm.quality import checked
+from propspark.llm.quality import sql as quality_sql
 from propspark.llm.sharding import sharded
 from propspark.llm.simhash import near_duplicates
 from propspark.llm.toolcalls import linked
@@ -107,4 +108,4 @@ def op10_simhash(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_licenses, op3_sharding, op4_tool_calls, op5_quality, op6_neighbours, op7_grades, op8_mixing, op9_urls, op10_simhash)}
-ORACLES: dict[str, str] = {"op2_licenses": license_sql(), "op4_tool_calls": OP4_SQL}
+ORACLES: dict[str, str] = {"op2_licenses": license_sql(), "op4_tool_calls": OP4_SQL, "op5_quality": quality_sql()}
