@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from propspark.session import ensure_checkpoint_dir
 from propspark.sources.tables import read_table
 
 
@@ -23,9 +23,9 @@ def r6(c: Column | str, name: str | None = None) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for sink round trips: below the shared checkpoint folder, or local when there is none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/propspark-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="propspark-sink-")
+    """A new folder for sink round trips below the checkpoint folder, which every executor can reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/propspark-{uuid.uuid4().hex}"
 
 
 def price_pairs(spark: SparkSession, root: str) -> DataFrame:

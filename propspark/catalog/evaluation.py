@@ -12,7 +12,7 @@ from propspark.operators.resample import _POISSON_CDF, REPORT_METRICS, bootstrap
 from propspark.plans import evaluate as E
 from propspark.session import cut_lineage
 
-SAMPLES = 100
+SAMPLES = 1000
 
 
 def row_errors(spark, root):
@@ -95,7 +95,7 @@ def bootstrap(spark, root):
 
 def bootstrap_poisson(spark, root):
     """Approximate form for very large tables."""
-    m = bootstrap_metrics(_log_pairs(spark, root), "y_true", "y_pred", by=["Endpoint"], key="key", samples=20, method="poisson")
+    m = bootstrap_metrics(_log_pairs(spark, root), "y_true", "y_pred", by=["Endpoint"], key="key", samples=SAMPLES, method="poisson")
     return m.groupBy("Endpoint", "Metric").agg(r6(F.avg("Value"), "mean"))
 
 

@@ -7,9 +7,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from propspark.functions.scalars import prefer_literal
-from propspark.operators.ordered import GROUP_ROWS_PER_TASK, quantiles
+from propspark.operators.ordered import GROUP_ROWS_PER_TASK, has_large_groups, quantiles
 from propspark.operators.rows import drop_missing
 from propspark.sources.tables import require_columns
 
@@ -22,8 +23,16 @@ def first_nonnull(col: str, order: Iterable[str], only: Column | None = None) ->
     return F.min_by(F.when(keep, F.col(col)), F.when(keep, F.struct(*order)))
 
 
-def _preferred(prefer_col: str, prefer_value: Any) -> Column:
-    return F.coalesce(F.col(prefer_col) == F.lit(prefer_literal(prefer_value)), F.lit(False))
+def _preferred(df: DataFrame, prefer_col: str, prefer_value: Any) -> Column:
+    """Whether a row has the preferred value; a value of another kind than the column never matches.
+
+    Text is not compared with booleans or numbers, so the text "False" is not the boolean false.
+    """
+    value, kind = prefer_literal(prefer_value), df.schema[prefer_col].dataType
+    same = {bool: T.BooleanType, str: T.StringType, int: T.NumericType, float: T.NumericType}.get(type(value))
+    if same is not None and not isinstance(kind, same):
+        return F.lit(False)
+    return F.coalesce(F.col(prefer_col) == F.lit(value), F.lit(False))
 
 
 def _check_preference(df: DataFrame, prefer_col: str, prefer_value: Any) -> None:
@@ -40,7 +49,7 @@ def prefer_rows(df: DataFrame, *, key_cols: Iterable[str], prefer_col: str, pref
     """
     keys = list(key_cols)
     _check_preference(df, prefer_col, prefer_value)
-    flagged = df.withColumn("_p", _preferred(prefer_col, prefer_value))
+    flagged = df.withColumn("_p", _preferred(df, prefer_col, prefer_value))
     owners = flagged.filter("_p").select(*[F.col(k).alias(f"_k_{k}") for k in keys]).distinct()
     others = flagged.filter("NOT _p")
     kept = others.join(owners, [others[k].eqNullSafe(owners[f"_k_{k}"]) for k in keys], "left_anti")
@@ -81,30 +90,29 @@ def deduplicate(
         raise ValueError("keep_cols need order_cols to say which row comes first")
 
     work = drop_missing(df, keys=keys if drop_missing_keys else (), target=target_col if drop_missing_target else None)
-    if method == "median":
-        if prefer_col is not None:
-            work = prefer_rows(work, key_cols=keys, prefer_col=prefer_col, prefer_value=prefer_value)
-        prefer = None
-    else:
-        prefer = _preferred(prefer_col, prefer_value) if prefer_col is not None else None
+    # Groups that fit a task take their median in the same aggregate as all else; others are range-sorted.
+    sort = method == "median" and has_large_groups(work, keys, group_rows)
+    if sort and prefer_col is not None:
+        work = prefer_rows(work, key_cols=keys, prefer_col=prefer_col, prefer_value=prefer_value)
+    prefer = _preferred(work, prefer_col, prefer_value) if prefer_col is not None and not sort else None
 
     def stats(only: Column | None, tag: str) -> list[Column]:
         y = F.col(target_col) if only is None else F.when(only, F.col(target_col))
-        main = {"mean": F.avg(y), "min": F.min(y), "max": F.max(y)}
+        main = {"mean": F.avg(y), "median": F.percentile(y, F.lit(0.5)), "min": F.min(y), "max": F.max(y)}
         out = [first_nonnull(c, order, only).alias(f"{tag}{c}") for c in kept]
-        if method != "median":
+        if not sort:
             out.append(main[method].alias(f"{tag}_main"))
         return [*out, F.count(y).alias(f"{tag}n_reps"), F.stddev_samp(y).alias(f"{tag}y_std"),
                 F.min(y).alias(f"{tag}y_min"), F.max(y).alias(f"{tag}y_max")]
 
     target = f"{target_col}_deduplicated"
-    names = [*kept, *(["_main"] if method != "median" else []), "n_reps", "y_std", "y_min", "y_max"]
+    names = [*kept, *([] if sort else ["_main"]), "n_reps", "y_std", "y_min", "y_max"]
     if prefer is None:
         grouped = work.groupBy(*keys).agg(*stats(None, ""))
     else:
         both = work.groupBy(*keys).agg(F.max(prefer).alias("_any"), *stats(prefer, "p_"), *stats(None, "a_"))
         grouped = both.select(*keys, *[F.when(F.col("_any"), F.col(f"p_{n}")).otherwise(F.col(f"a_{n}")).alias(n) for n in names])
-    if method == "median":
+    if sort:
         med = quantiles(work, target_col, {"_main": 0.5}, keys, group_rows=group_rows)
         med = med.select(*[F.col(k).alias(f"_m_{k}") for k in keys], "_main")
         grouped = grouped.join(med, [grouped[k].eqNullSafe(med[f"_m_{k}"]) for k in keys], "left")

@@ -10,9 +10,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from propspark.functions.text import seeded_key
-from propspark.operators.ordered import global_index, join_counted
+from propspark.operators.ordered import global_index, join_counted, pieces
 from propspark.session import broadcast_if_small
 from propspark.sources.tables import require_columns
 
@@ -45,12 +46,30 @@ def random_folds(df: DataFrame, id_col: str, k: int, *, seed: int = 0, shuffle:
     """Balanced folds over a seeded order of unique ids; the first ``n % k`` folds are one row larger."""
     n = df.count()
     _check_size(n, k)
-    order = [seeded_key(seed, F.col(id_col)), F.col(id_col)] if shuffle else [F.col(id_col)]
-    at = F.col("_idx")
     size, longer = divmod(n, k)
-    head = longer * (size + 1)
-    fold = F.when(at < head, F.floor(at / (size + 1))).otherwise(longer + F.floor((at - head) / size))
-    return global_index(df, order, "_idx").withColumn(name, (fold + 1).cast("int")).drop("_idx")
+    starts = [j * size + min(j, longer) for j in range(1, k)]
+    if shuffle:
+        fold = _shuffled_pieces(df, id_col, seed, starts)
+    elif isinstance(df.schema[id_col].dataType, T.IntegralType):
+        fold = pieces(df, F.col(id_col).cast("long"), [F.col(id_col)], starts)
+    else:
+        at = F.col("_idx")
+        run = sum(((at >= s).cast("int") for s in starts), F.lit(0))
+        return global_index(df, [F.col(id_col)], "_idx").withColumn(name, run + 1).drop("_idx")
+    return df.withColumn(name, fold + 1)
+
+
+def _shuffled_pieces(df: DataFrame, id_col: str, seed: int, starts: list[int]) -> Column:
+    """Runs of the seeded order; its key is hexadecimal text, whose first 15 digits are a number."""
+    key = seeded_key(seed, F.col(id_col))
+    return pieces(df, F.conv(F.substring(key, 1, 15), 16, 10).cast("long"), [key, F.col(id_col)], starts)
+
+
+def _timed_pieces(df: DataFrame, time_col: str, id_col: str, ascending: bool, starts: list[int]) -> Column:
+    """Runs of the time order; rows without a time come first, or last where the order falls."""
+    number = F.coalesce(F.unix_micros(F.to_timestamp(time_col)), F.lit(-(1 << 62)))
+    number = number if ascending else -number
+    return pieces(df, number, [number, F.col(id_col)], starts)
 
 
 def lightest_first_schedule(classes: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
@@ -141,11 +160,6 @@ def derived_group_folds(df: DataFrame, key: Column | str, k: int, *, order_col:
     return _spread(df, key, _assign_groups(sizes, [F.col("_first"), F.col("_key")], k, name), name)
 
 
-def _time_index(df: DataFrame, time_col: str, id_col: str, ascending: bool) -> DataFrame:
-    key = F.to_timestamp(time_col)
-    return global_index(df, [key.asc() if ascending else key.desc(), F.col(id_col)], "_idx")
-
-
 def time_splits(df: DataFrame, time_col: str, id_col: str, k: int, *, ascending: bool = True) -> DataFrame:
     """Expanding windows: ``split, role, <id>``. Each test window has ``n // (k + 1)`` rows, and everything
     before it is its training side."""
@@ -156,15 +170,10 @@ def time_splits(df: DataFrame, time_col: str, id_col: str, k: int, *, ascending:
     if size == 0:
         raise ValueError(f"too few rows ({n}) for {k} time splits")
     first = n - k * size
-    splits = F.transform(
-        F.sequence(F.lit(1), F.lit(k)),
-        lambda s: F.struct(s.alias("split"), (F.lit(first) + (s - 1) * F.lit(size)).alias("start")),
-    )
-    rows = _time_index(df.select(id_col, time_col), time_col, id_col, ascending)
-    laid = rows.select(id_col, "_idx", F.explode(splits).alias("_s"))
-    role = F.when(F.col("_idx") < F.col("_s.start"), F.lit("train")).when(
-        F.col("_idx") < F.col("_s.start") + size, F.lit("test"))
-    return laid.select(F.col("_s.split").alias("split"), role.alias("role"), id_col).filter(F.col("role").isNotNull())
+    window = _timed_pieces(df, time_col, id_col, ascending, [first + j * size for j in range(k)])
+    laid = df.select(id_col, window.alias("_w"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("split"))
+    role = F.when(F.col("_w") < F.col("split"), F.lit("train")).when(F.col("_w") == F.col("split"), F.lit("test"))
+    return laid.select("split", role.alias("role"), id_col).filter(F.col("role").isNotNull())
 
 
 def assign_folds(df: DataFrame, id_col: str, cfg: SplitConfig, k: int, *, name: str = "fold") -> DataFrame:
@@ -196,9 +205,7 @@ def _time_fold_column(df: DataFrame, id_col: str, cfg: SplitConfig, k: int, name
     if size == 0:
         raise ValueError(f"too few rows ({n}) for {k} time splits")
     first = n - k * size
-    at = F.col("_idx")
-    fold = F.when(at < first, F.lit(0)).otherwise(F.floor((at - first) / size) + 1)
-    return _time_index(df, cfg.time_column, id_col, cfg.time_ascending).withColumn(name, fold.cast("int")).drop("_idx")
+    return df.withColumn(name, _timed_pieces(df, cfg.time_column, id_col, cfg.time_ascending, [first + j * size for j in range(k)]))
 
 
 def train_test(df: DataFrame, cfg: SplitConfig, fold: int, *, name: str = "fold") -> tuple[DataFrame, DataFrame]:
@@ -213,10 +220,9 @@ def holdout(df: DataFrame, id_col: str, cfg: SplitConfig, fraction: float, *, na
         raise ValueError("need at least 4 rows to hold out a validation set")
     n_valid = min(max(1, math.ceil(n * fraction)), n - 1)
     if cfg.method == "random":
-        order = [seeded_key(cfg.random_state, F.col(id_col)), F.col(id_col)]
-        return global_index(df, order, "_idx").withColumn(name, F.col("_idx") < n_valid).drop("_idx")
+        return df.withColumn(name, _shuffled_pieces(df, id_col, cfg.random_state, [n_valid]) == 0)
     if cfg.method == "time_series":
         if not cfg.time_column:
             raise ValueError("time_column must be provided for time_series split")
-        return _time_index(df, cfg.time_column, id_col, cfg.time_ascending).withColumn(name, F.col("_idx") >= n - n_valid).drop("_idx")
+        return df.withColumn(name, _timed_pieces(df, cfg.time_column, id_col, cfg.time_ascending, [n - n_valid]) == 1)
     return assign_folds(df, id_col, cfg, min(5, n), name="_fold").withColumn(name, F.col("_fold") == 1).drop("_fold")

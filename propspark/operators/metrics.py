@@ -347,21 +347,27 @@ def metric_table(
         # Rank metrics read the rows many times; all metrics then use the stored distinct pairs.
         rows = cut_lineage(rows.groupBy(*keys, "_x", "_y").agg(F.sum("_w").alias("_w")).filter("_w > 0"))
     ww, err = F.col("_w"), F.col("_x") - F.col("_y")
+    # Without weights the spread of the truth comes from the same pass; only absolute deviations need the mean first.
+    one_pass = [] if weight or ranked else [(F.var_pop("_x") * F.count("_x")).alias("_sst")]
     base = rows.groupBy(*keys).agg(
         F.sum(ww).alias("_n"), (F.sum(ww * F.col("_x")) / F.sum(ww)).alias("_mean"),
-        (F.sum(ww * err * err) / F.sum(ww)).alias("mse"), (F.sum(ww * F.abs(err)) / F.sum(ww)).alias("mae"),
+        (F.sum(ww * err * err) / F.sum(ww)).alias("mse"), (F.sum(ww * F.abs(err)) / F.sum(ww)).alias("mae"), *one_pass,
     ).withColumn("rmse", F.sqrt("mse"))
     out = base
-    if {"r2", "rae"} & set(metrics):
+    second = "rae" in metrics or ("r2" in metrics and not one_pass)
+    if second:
+        out = base = cut_lineage(base)
         side = broadcast_if_small(_tag(base, keys, "_g_", "_mean"))
         dev = F.col("_x") - F.col("_mean")
-        spread = rows.join(side, _null_safe(rows, side, keys, "_g_")).groupBy(*keys).agg(
-            F.sum(ww * dev * dev).alias("_sst"), F.sum(ww * F.abs(dev)).alias("_sad"))
-        spread = _tag(spread, keys, "_s_", "_sst", "_sad")
+        more = [F.sum(ww * F.abs(dev)).alias("_sad"), *([] if one_pass else [F.sum(ww * dev * dev).alias("_sst")])]
+        spread = rows.join(side, _null_safe(rows, side, keys, "_g_")).groupBy(*keys).agg(*more)
+        spread = _tag(spread, keys, "_s_", *[c for c in spread.columns if c not in keys])
         out = out.join(spread, _null_safe(out, spread, keys, "_s_")).drop(*[f"_s_{k}" for k in keys])
+        if "rae" in metrics:
+            out = out.withColumn("rae", F.try_divide(F.col("mae") * F.col("_n"), F.col("_sad")))
+    if "r2" in metrics:
         r2 = F.lit(1.0) - F.try_divide(F.col("mse") * F.col("_n"), F.col("_sst"))
         out = out.withColumn("r2", F.coalesce(r2, F.lit(0.0)) if undefined_as_zero else r2)
-        out = out.withColumn("rae", F.try_divide(F.col("mae") * F.col("_n"), F.col("_sad")))
     if ranked:
         part = _rank_metrics(rows, keys, leaf, metrics)
         cols = [c for c in part.columns if c not in keys]

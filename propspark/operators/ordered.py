@@ -53,6 +53,51 @@ def global_index(df: DataFrame, order: Iterable[str | Column], name: str = "row_
     )
 
 
+def cut_keys(df: DataFrame, number: Column, order: list[Column], ranks: Iterable[int], *, bins: int = 4096, limit: int = 100_000) -> list[tuple]:
+    """The order key at each 0-based rank of the total order, by counting passes over the key columns alone.
+
+    ``number`` is a whole number that never falls along ``order``. The range around a rank is counted in
+    ``bins`` equal steps until it holds at most ``limit`` rows, which are sorted on the driver; a single
+    number shared by more rows is sorted in Spark. No row of ``df`` is moved.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    keys = df.select(number.alias("_n"), *[c.alias(n) for c, n in zip(order, names)])
+    low, high, total = keys.agg(F.min("_n"), F.max("_n"), F.count(F.lit(1))).first()
+    counted: dict[tuple, dict[int, int]] = {}
+    held: dict[tuple, list[tuple]] = {}
+    found = []
+    for rank in ranks:
+        lo, hi, n, at = low, high, total, rank
+        while n > limit and lo < hi:
+            step = (hi - lo) // bins + 1
+            inside = keys.filter(F.col("_n").between(lo, hi))
+            if (lo, hi) not in counted:
+                counted[lo, hi] = {r["b"]: r["count"] for r in inside.groupBy(F.expr(f"(_n - {lo}L) div {step}L").alias("b")).count().collect()}
+            for b, m in sorted(counted[lo, hi].items()):
+                if at < m:
+                    break
+                at -= m
+            lo, hi, n = lo + b * step, min(hi, lo + (b + 1) * step - 1), m
+        own = keys.filter(F.col("_n").between(lo, hi)).select(*names)
+        if n > limit:
+            found.append(tuple(global_index(own, names, "_at").filter(F.col("_at") == at).select(*names).first()))
+            continue
+        if (lo, hi) not in held:
+            held[lo, hi] = [tuple(r) for r in own.orderBy(*names).collect()]
+        found.append(held[lo, hi][at])
+    return found
+
+
+def pieces(df: DataFrame, number: Column, order: list[Column], starts: Iterable[int]) -> Column:
+    """Into which run of the total order a row falls, runs beginning at the given ranks (above 0): a column from 0.
+
+    The cuts become constants, so the rows stay where they are. The order should be total (unique ids).
+    """
+    key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    cuts = cut_keys(df, number, order, starts)
+    return sum(((key >= F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(cut)])).cast("int") for cut in cuts), F.lit(0))
+
+
 def running_total(df: DataFrame, order: Iterable[str | Column], weight: str, name: str) -> DataFrame:
     """Add the sum of ``weight`` over all rows that come earlier in the total order."""
     cols = _as_cols(order)

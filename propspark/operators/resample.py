@@ -28,13 +28,16 @@ def position_in_group(df: DataFrame, by: Iterable[str], key: str) -> DataFrame:
 
 
 def bootstrap_draws(df: DataFrame, by: Iterable[str], key: str, cols: Iterable[str], *, samples: int, seed: int = 0) -> DataFrame:
-    """``samples`` resamples of full size with replacement, per group: ``by, Sample, cols``."""
+    """``samples`` resamples of full size with replacement, per group: ``by, Sample, cols, _weight``.
+
+    Draws of the same row are counted before the rows are joined, so a resample has each row once.
+    """
     by, cols = list(by), list(cols)
     rows = cut_lineage(position_in_group(df.select(*by, key, *cols), by, key))
     slot = rows.select(*by, "_pos", "_size", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("Sample"))
     drawn = F.pmod(hash60(F.concat_ws(":", F.lit(str(seed)), F.col("Sample"), F.col("_pos"))), F.col("_size"))
-    slot = slot.select(*by, "Sample", drawn.alias("_pos"))
-    return slot.join(broadcast_if_small(rows.select(*by, "_pos", *cols)), [*by, "_pos"]).select(*by, "Sample", *cols)
+    slot = slot.groupBy(*by, "Sample", drawn.alias("_pos")).agg(F.count(F.lit(1)).alias("_weight"))
+    return slot.join(broadcast_if_small(rows.select(*by, "_pos", *cols)), [*by, "_pos"]).select(*by, "Sample", *cols, "_weight")
 
 
 def poisson_draws(df: DataFrame, key: str, cols: Iterable[str], *, samples: int, seed: int = 0) -> DataFrame:
@@ -51,11 +54,11 @@ def bootstrap_metrics(
     """Long table ``by, Sample, Metric, Value`` of the five report metrics."""
     by = list(by)
     if method == "exact":
-        draws, weight = bootstrap_draws(df, by, key, [y, p], samples=samples, seed=seed), None
+        draws = bootstrap_draws(df, by, key, [y, p], samples=samples, seed=seed)
     elif method == "poisson":
-        draws, weight = poisson_draws(df, key, [*by, y, p], samples=samples, seed=seed), "_weight"
+        draws = poisson_draws(df, key, [*by, y, p], samples=samples, seed=seed)
     else:
         raise ValueError(f"unknown bootstrap method: {method}")
-    wide = metric_table(draws, y, p, metrics=list(REPORT_METRICS.values()), by=[*by, "Sample"], weight=weight, undefined_as_zero=False)
+    wide = metric_table(draws, y, p, metrics=list(REPORT_METRICS.values()), by=[*by, "Sample"], weight="_weight", undefined_as_zero=False)
     pairs = F.array(*[F.struct(F.lit(n).alias("Metric"), F.col(c).alias("Value")) for n, c in REPORT_METRICS.items()])
     return wide.select(*by, "Sample", F.inline(pairs))

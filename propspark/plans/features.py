@@ -134,15 +134,16 @@ def assemble(df: DataFrame, features: Sequence[Feature], numbers: Sequence[str],
 
 
 def fit_numbers(train: DataFrame, features: Sequence[Feature]) -> tuple[list[str], dict[str, float]]:
-    """Which numeric columns survive and the medians that fill their gaps, from training rows only."""
+    """Which numeric columns survive and their medians, from training rows only.
+
+    Every surviving column keeps its median: rows to be scored may have gaps that the training rows had not.
+    """
     names = [c for f in features for c in f.numbers]
     if not names:
         return [], {}
-    stats = kept_columns(train, names).collect()
-    kept = {r["feature"] for r in stats}
-    with_gaps = [r["feature"] for r in stats if r["null_fraction"] > 0]
-    medians = {r["feature"]: r["median"] for r in column_medians(train, with_gaps).collect()} if with_gaps else {}
-    return [c for c in names if c in kept], medians
+    found = {r["feature"] for r in kept_columns(train, names).collect()}
+    kept = [c for c in names if c in found]
+    return kept, {r["feature"]: r["median"] for r in column_medians(train, kept).collect()} if kept else {}
 
 
 def fill_numbers(df: DataFrame, medians: dict[str, float]) -> DataFrame:

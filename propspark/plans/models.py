@@ -22,12 +22,12 @@ from propspark.plans.features import Feature, assemble, fill_numbers, fit_number
 
 MAX_DEPTH = 30  # MLlib's limit
 
-# Defaults of each model. MLlib has no leaf penalties and no column sampling per tree, so
-# those parameters do not exist here; an unlimited depth means MLlib's limit.
+# Defaults of each model. MLlib has no leaf penalties, no column sampling per tree and no
+# trees without a depth limit, so those parameters do not exist here.
 DEFAULTS: dict[str, dict[str, Any]] = {
-    "rf": {"n_estimators": 500, "max_depth": None, "min_samples_leaf": 1, "max_features": 1.0, "bootstrap": True},
-    "xgb": {"n_estimators": 2000, "learning_rate": 0.03, "max_depth": 6, "subsample": 0.8, "min_child_weight": 1},
-    "lgbm": {"n_estimators": 5000, "learning_rate": 0.03, "max_depth": 6, "subsample": 0.8, "min_child_weight": 20},
+    "rf": {"n_estimators": 500, "max_depth": MAX_DEPTH, "min_samples_leaf": 1, "max_features": 1.0, "bootstrap": True},
+    "xgb": {"n_estimators": 2000, "learning_rate": 0.03, "max_depth": 6, "subsample": 0.8, "min_instances": 1},
+    "lgbm": {"n_estimators": 5000, "learning_rate": 0.03, "max_depth": 6, "subsample": 0.8, "min_instances": 20},
     "svm": {"C": 10.0, "epsilon": 0.1, "gamma": "scale", "n_components": 256},
     "linear": {"reg_param": 0.0},
 }
@@ -45,17 +45,18 @@ def make_estimator(model: str, params: dict[str, Any] | None = None, seed: int =
         raise ValueError(f"{model} has no parameters {sorted(unknown)}")
     p = {**DEFAULTS[model], **(params or {})}
     cols = dict(featuresCol="_features", labelCol="_label", predictionCol="_prediction")
-    depth = MAX_DEPTH if p.get("max_depth") is None else min(int(p["max_depth"]), MAX_DEPTH)
+    if "max_depth" in p and (p["max_depth"] is None or not 0 <= p["max_depth"] <= MAX_DEPTH):
+        raise ValueError(f"max_depth must be from 0 to {MAX_DEPTH}, not {p['max_depth']}")
     if model == "rf":
         share = p["max_features"]
         subset = share if isinstance(share, str) else ("all" if share >= 1.0 else str(float(share)))
         return RandomForestRegressor(
-            **cols, seed=seed, numTrees=int(p["n_estimators"]), maxDepth=depth, bootstrap=bool(p["bootstrap"]),
+            **cols, seed=seed, numTrees=int(p["n_estimators"]), maxDepth=int(p["max_depth"]), bootstrap=bool(p["bootstrap"]),
             minInstancesPerNode=int(p["min_samples_leaf"]), featureSubsetStrategy=subset)
     if model in ("xgb", "lgbm"):
         return GBTRegressor(
-            **cols, seed=seed, maxIter=int(p["n_estimators"]), stepSize=float(p["learning_rate"]), maxDepth=depth,
-            subsamplingRate=float(p["subsample"]), minInstancesPerNode=max(1, round(p["min_child_weight"])))
+            **cols, seed=seed, maxIter=int(p["n_estimators"]), stepSize=float(p["learning_rate"]), maxDepth=int(p["max_depth"]),
+            subsamplingRate=float(p["subsample"]), minInstancesPerNode=int(p["min_instances"]))
     if model == "svm":
         return LinearRegression(**cols, loss="huber", epsilon=1.0 + float(p["epsilon"]), regParam=0.01 / float(p["C"]))
     return LinearRegression(**cols, regParam=float(p["reg_param"]))
@@ -71,8 +72,10 @@ def fourier_features(c: Column, width: int, components: int, gamma: float, seed:
     def apply(v: pd.Series) -> pd.Series:
         if v.empty:
             return pd.Series([], dtype=object)
-        z = np.sqrt(2.0 / components) * np.cos(np.stack(v.to_list()) @ w + shift)
-        return pd.Series(list(z))
+        # At most 16 MB of inputs at a time, whatever the width.
+        step = max(1, (1 << 21) // width)
+        parts = [np.cos(np.stack(v.iloc[i : i + step].to_list()) @ w + shift) for i in range(0, len(v), step)]
+        return pd.Series(list(np.sqrt(2.0 / components) * np.concatenate(parts)))
 
     return array_to_vector(apply(vector_to_array(c)))
 
@@ -116,18 +119,19 @@ def _scaled(df: DataFrame, scaler: StandardScalerModel | None, fourier: dict | N
 def fit_model(train: DataFrame, features: Sequence[Feature], target: str, model: str, *, params: dict | None = None, seed: int = 0) -> FittedModel:
     """Fit one model on featurised rows.
 
-    Column pruning and medians come from these rows alone; medians are only used for columns with gaps.
-    Only the kernel model scales its inputs.
+    Column pruning and medians come from the rows that have a target. Only the kernel model scales its inputs.
     """
     features = tuple(features)
+    train = train.filter(F.col(target).isNotNull())
     estimator = make_estimator(model, params, seed)
     p = {**DEFAULTS[model], **(params or {})}
     numbers, medians = fit_numbers(train, features)
-    rows = assemble(fill_numbers(train.filter(F.col(target).isNotNull()), medians), features, numbers)
+    rows = assemble(fill_numbers(train, medians), features, numbers)
     rows = rows.select("_features", F.col(target).cast("double").alias("_label"))
     scaler, fourier = None, None
     if model == "svm":
         width = sum(len(f.numbers and [c for c in f.numbers if c in set(numbers)]) or (0 if f.numbers else f.size) for f in features)
+        # Inputs have unit variance, so "scale" and "auto" are the same here.
         gamma = 1.0 / width if p["gamma"] in ("scale", "auto") else float(p["gamma"])
         scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True).fit(rows.withColumnRenamed("_features", "_raw"))
         fourier = {"width": width, "components": int(p["n_components"]), "gamma": gamma, "seed": seed}

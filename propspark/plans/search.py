@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -16,37 +17,42 @@ from propspark.operators.folds import SplitConfig, train_test
 from propspark.operators.metrics import ERROR_METRICS, KENDALL_METRICS, SPEARMAN_METRICS, metric_table
 from propspark.operators.summaries import HIGHER_BETTER
 from propspark.plans.features import Feature
-from propspark.plans.models import DEFAULTS, FittedModel, fit_model
+from propspark.plans.models import DEFAULTS, MAX_DEPTH, FittedModel, fit_model
 from propspark.session import cut_lineage
 
 REPORT = (*ERROR_METRICS, "r2", *KENDALL_METRICS, *SPEARMAN_METRICS)
 
-# Search spaces. ("int", low, high, step), ("float", low, high), ("log", low, high),
-# ("choice", values). Depths beyond MLlib's limit are not offered.
+# Search spaces. ("int", low, high, step), ("float", low, high), ("log", low, high), ("choice", values), and
+# ("mode", {name: spec or value}): first a mode, then, where it is a spec, a value. Ranges are fixed values
+# but for these: depths end at MLlib's limit, and having no limit means that depth; the weight of a leaf
+# becomes its number of rows.
 SPACES: dict[str, dict[str, tuple]] = {
     "rf": {
         "n_estimators": ("int", 200, 2000, 100),
-        "max_depth": ("choice", (None, *range(2, 31))),
+        "max_depth": ("mode", {"none": MAX_DEPTH, "int": ("int", 2, MAX_DEPTH, 1)}),
         "min_samples_leaf": ("int", 1, 20, 1),
-        "max_features": ("choice", ("sqrt", "log2", 0.1, 0.25, 0.5, 0.75, 1.0)),
+        "max_features": ("mode", {"sqrt": "sqrt", "log2": "log2", "fraction": ("float", 0.1, 1.0)}),
         "bootstrap": ("choice", (True, False)),
     },
-    "svm": {"C": ("log", 1e-2, 1e3), "epsilon": ("log", 1e-4, 1.0), "gamma": ("log", 1e-6, 1e-1)},
+    "svm": {
+        "C": ("log", 1e-2, 1e3),
+        "epsilon": ("log", 1e-4, 1.0),
+        "gamma": ("mode", {"scale": "scale", "auto": "auto", "value": ("log", 1e-6, 1e-1)}),
+    },
     "xgb": {
         "n_estimators": ("int", 300, 6000, 100),
         "learning_rate": ("log", 5e-3, 0.3),
         "max_depth": ("int", 2, 12, 1),
-        "min_child_weight": ("log", 0.1, 20.0),
+        "min_instances": ("int", 1, 20, 1),
         "subsample": ("float", 0.5, 1.0),
     },
     "lgbm": {
         "n_estimators": ("int", 500, 10000, 250),
         "learning_rate": ("log", 5e-3, 0.2),
-        "max_depth": ("int", 3, 20, 1),
-        "min_child_weight": ("int", 5, 60, 1),
+        "max_depth": ("mode", {"none": MAX_DEPTH, "int": ("int", 3, 20, 1)}),
+        "min_instances": ("int", 5, 60, 1),
         "subsample": ("float", 0.5, 1.0),
     },
-    "linear": {"reg_param": ("log", 1e-6, 10.0)},
 }
 
 
@@ -59,6 +65,7 @@ class SearchConfig:
     startup_trials: int = 5
     warmup_folds: int = 1
     parallelism: int = 1
+    timeout_s: float | None = None
     space: Mapping[str, tuple] | None = None
 
 
@@ -77,18 +84,20 @@ class Trial:
 def draw_params(space: Mapping[str, tuple], seed: int, number: int) -> dict[str, Any]:
     """Parameters of one trial; they depend on seed and trial number only."""
     rng = np.random.default_rng([seed, number])
-    out: dict[str, Any] = {}
-    for name, (kind, *spec) in space.items():
+
+    def draw(kind: str, *spec):
         if kind == "int":
             low, high, step = spec
-            out[name] = int(low + step * rng.integers(0, (high - low) // step + 1))
-        elif kind == "float":
-            out[name] = float(rng.uniform(*spec))
-        elif kind == "log":
-            out[name] = float(np.exp(rng.uniform(np.log(spec[0]), np.log(spec[1]))))
-        else:
-            out[name] = spec[0][int(rng.integers(0, len(spec[0])))]
-    return out
+            return int(low + step * rng.integers(0, (high - low) // step + 1))
+        if kind == "float":
+            return float(rng.uniform(*spec))
+        if kind == "log":
+            return float(np.exp(rng.uniform(np.log(spec[0]), np.log(spec[1]))))
+        choices = list(spec[0].values() if kind == "mode" else spec[0])
+        picked = choices[int(rng.integers(0, len(choices)))]
+        return draw(*picked) if kind == "mode" and isinstance(picked, tuple) else picked
+
+    return {name: draw(*spec) for name, spec in space.items()}
 
 
 def should_prune(trial: Trial, done: Sequence[Trial], cfg: SearchConfig) -> bool:
@@ -113,13 +122,15 @@ def tune(
 ) -> tuple[dict[str, Any], list[Trial]]:
     """Best parameters over inner folds of the training rows. ``fold_col`` is a column of ``train``.
 
-    The driver only holds parameters and scores; every fit and score is a Spark job, and ``parallelism``
-    submits several trials at once.
+    The driver only holds parameters and scores; every fit and score is a Spark job. ``parallelism`` trials
+    are submitted at once, as a round; a trial is pruned against the trials of earlier rounds only, so the
+    result depends on seed and ``parallelism``, not on which trial ends first. After ``timeout_s`` seconds no
+    further round begins (the first always runs); the number of trials then depends on the time taken.
     """
     if model not in SPACES:
         raise ValueError(f"no search space for {model}")
     space = {k: v for k, v in (cfg.space or SPACES[model]).items() if k not in (fixed or {})}
-    done: list[Trial] = []
+    trials: list[Trial] = []
 
     def run(number: int) -> Trial:
         trial = Trial(number, {**(fixed or {}), **draw_params(space, cfg.random_state, number)})
@@ -129,16 +140,19 @@ def tune(
             fitted = fit_model(tr, features, target, model, params=trial.params, seed=seed)
             scores.append(score(fitted.predict(va, "_p"), target, "_p", cfg.metric))
             trial.running.append(sum(scores) / len(scores))
-            if fold < n_folds and should_prune(trial, list(done), cfg):
+            if fold < n_folds and should_prune(trial, trials, cfg):
                 trial.state = "pruned"
                 break
         else:
             trial.state = "complete"
-        done.append(trial)
         return trial
 
-    with ThreadPoolExecutor(max(1, cfg.parallelism)) as pool:
-        trials = list(pool.map(run, range(cfg.n_trials)))
+    began, width = time.monotonic(), max(1, cfg.parallelism)
+    with ThreadPoolExecutor(width) as pool:
+        for first in range(0, cfg.n_trials, width):
+            if first and cfg.timeout_s is not None and time.monotonic() - began >= cfg.timeout_s:
+                break
+            trials += list(pool.map(run, range(first, min(first + width, cfg.n_trials))))
     complete = [t for t in trials if t.state == "complete"]
     sign = -1.0 if cfg.metric in HIGHER_BETTER else 1.0
     best = min(complete, key=lambda t: (sign * t.value, t.number))

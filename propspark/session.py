@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def get_spark(app: str = "propspark", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -46,9 +47,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only when the frame is shown to hold at most ``max_rows`` rows.
+def _bytes_of(field: T.StructField) -> Column:
+    """About how many bytes a value takes in memory."""
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.BooleanType)):
+        return F.greatest(F.size(c), F.lit(0)) * 8 + 16
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.length(F.to_json(F.struct(c))), F.lit(0)) * 4 + 16
+    return F.lit(16)
 
-    Beyond that the frame is returned as it is and Spark picks a shuffled join with AQE skew handling.
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20, max_estimate: int = 8 << 20) -> DataFrame:
+    """Hint a broadcast only when the frame is shown to be small in rows and bytes.
+
+    The optimizer's upper estimate decides where it is low, so the plan is not run for that; otherwise rows
+    and bytes of at most ``max_rows`` + 1 rows are counted. Beyond the limits the frame is returned as it is
+    and Spark picks a shuffled join with AQE skew handling.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= max_estimate:
+        return F.broadcast(df)
+    size = sum((_bytes_of(f) for f in df.schema.fields), F.lit(0)).cast("long")
+    rows, held = df.select(size.alias("_b")).limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum("_b")).first()
+    return F.broadcast(df) if rows <= max_rows and (held or 0) <= max_bytes else df
