@@ -66,7 +66,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int =
     and bytes of at most ``max_rows`` + 1 rows are counted. Beyond the limits the frame is returned as it is
     and Spark picks a shuffled join with AQE skew handling.
     """
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= max_estimate:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= max_estimate:
         return F.broadcast(df)
     size = sum((_bytes_of(f) for f in df.schema.fields), F.lit(0)).cast("long")
     rows, held = df.select(size.alias("_b")).limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum("_b")).first()
