@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from propspark.catalog.base import r6, table
+from propspark.catalog.base import r6, scratch, table
 from propspark.catalog.text import chars_sql, path_sql
 from propspark.operators import domain as D
 from propspark.operators.fingerprints import PathConfig, SubstructureConfig, path_bits, substructure_bits
@@ -126,9 +126,31 @@ def pca_variance(spark, root):
     return pcs.agg(r6(F.var_samp("pc1"), "var1"), r6(F.var_samp("pc2"), "var2"), r6(F.abs(F.avg("pc1")), "mean1"))
 
 
+def ad_sink(spark, root):
+    """A batch's table written by feature set and read back."""
+    train, test = _sides(spark, root)
+    table_, summary = D.run_ad_batch(train, test, BLOCKS, SETS, id_col="vec_id", **CUTS)
+    path = scratch(spark)
+    D.write_ad_batch(table_, summary, path)
+    back = spark.read.parquet(f"{path}/table")
+    counts = spark.read.parquet(f"{path}/summary").select(F.col("feature_set").alias("_fs"), "n_test")
+    flags = [f"{s}_ad_{r}" for r in ("user_cutoff", "train_p5") for s in ("inside", "outside")]
+    out = back.join(F.broadcast(counts), F.col("feature_set") == F.col("_fs"))
+    return out.select("vec_id", "label", "feature_set", *[r6(c) for c in COLUMNS], *flags)
+
+
+def pca_blocks(spark, root):
+    """Both blocks of a set, training and test rows together: centred, uncorrelated axes, the wider first."""
+    train, test = _sides(spark, root)
+    at = D.pca_blocks(train, test, BLOCKS, id_col="vec_id")
+    whole = at.agg((F.abs(F.avg("pc1")) < 1e-6).alias("centred"), (F.abs(F.corr("pc1", "pc2")) < 1e-6).alias("uncorrelated"),
+                   (F.var_samp("pc1") >= F.var_samp("pc2")).alias("wider_first"))
+    return at.groupBy("role").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(whole))
+
+
 QUERIES = {f.__name__: f for f in (
     nearest_cosine, nearest_cosine_chunked, nearest_all_vectors, tanimoto_documents, multi_block_texts, train_neighbour, document_neighbour,
-    ad_table, dual_ad_table, ad_summary, dual_ad_summary, pca_variance,
+    ad_table, dual_ad_table, ad_summary, dual_ad_summary, pca_variance, ad_sink, pca_blocks,
 )}
 
 _V = """v as (select vec_id, label, embedding::double[] as e, list_filter(range(0, 64), lambda i: embedding[i + 1] > 0.1::float) as bits, label < 4 as ft from embeddings)"""
@@ -208,3 +230,5 @@ ORACLES = {
         round(tf - ta, 6) as delta_mean_topk_finetune_minus_all, round(100.0 * npf / n_test, 6)::double as pct_outside_ad_train_finetune_p5, tf > ta as fine_tuning_preferred,
         row_number() over (order by npf, mf desc, feature_set) = 1 as is_best from s""",
 }
+ORACLES["ad_sink"] = ORACLES["ad_table"]
+ORACLES["pca_blocks"] = "select case when label < 8 then 'train' else 'test' end as role, count(*) as n, true as centred, true as uncorrelated, true as wider_first from embeddings group by 1"

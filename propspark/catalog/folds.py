@@ -42,7 +42,14 @@ def holdout_time(spark, root):
     return S.holdout(table(spark, root, "events").select("event_id", "ts"), "event_id", cfg, 0.2).select("event_id", "is_valid")
 
 
-QUERIES = {f.__name__: f for f in (random_folds, group_folds, group_fold_sizes, derived_key_folds, time_splits, holdout_random, holdout_time)}
+def holdout_group(spark, root):
+    """Whole groups are held out: fold 1 of five."""
+    cfg = S.SplitConfig("group", group_column="l_suppkey")
+    out = S.holdout(table(spark, root, "lineitem").select("l_suppkey", "l_linenumber"), "l_linenumber", cfg, 0.2)
+    return out.groupBy("l_suppkey", "is_valid").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (random_folds, group_folds, group_fold_sizes, derived_key_folds, time_splits, holdout_random, holdout_time, holdout_group)}
 
 
 def greedy_sql(sizes: str, order: str, k: int) -> str:
@@ -57,6 +64,8 @@ ORACLES = {
     "random_folds": "select o_orderkey, ntile(7) over (order by md5('3:' || o_orderkey), o_orderkey) as fold from orders",
     "group_folds": greedy_sql("select l_suppkey::varchar as key, count(*) as n from lineitem group by 1", "n desc, key desc", 5)
     + " select l_suppkey, fold, count(*) as n from lineitem join r on key = l_suppkey::varchar group by 1, 2",
+    "holdout_group": greedy_sql("select l_suppkey::varchar as key, count(*) as n from lineitem group by 1", "n desc, key desc", 5)
+    + " select l_suppkey, fold = 1 as is_valid, count(*) as n from lineitem join r on key = l_suppkey::varchar group by 1, 2",
     "group_fold_sizes": greedy_sql("select l_partkey::varchar as key, count(*) as n from lineitem group by 1", "n desc, key desc", 5)
     + " select fold, count(*) as n, count(distinct l_partkey) as n_groups from lineitem join r on key = l_partkey::varchar group by 1",
     "derived_key_folds": greedy_sql("""select case when source <> 'src5' then lang || '/' || source else '' end as key, count(*) as n, min(doc_id) as f

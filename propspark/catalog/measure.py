@@ -29,6 +29,13 @@ def dedup_prefer(spark, root):
     return _rounded(out, *KEYS)
 
 
+def dedup_prefer_text(spark, root):
+    """Text never equals a boolean: preferring the boolean false over a text column that says "False" changes nothing."""
+    rows = table(spark, root, "lineitem").withColumn("scaled", F.when(F.col("l_returnflag") == "N", "False").when(F.col("l_returnflag") == "A", "x").otherwise("True"))
+    out = deduplicate(rows, key_cols=KEYS, target_col=TARGET, prefer_col="scaled", prefer_value="False")
+    return _rounded(out, *KEYS)
+
+
 def dedup_median(spark, root):
     out = deduplicate(table(spark, root, "lineitem"), key_cols=["l_partkey"], target_col=TARGET, method="median", prefer_col="l_returnflag", prefer_value="N")
     return _rounded(out, "l_partkey")
@@ -150,7 +157,7 @@ def ranked_models(spark, root):
 
 
 QUERIES = {f.__name__: f for f in (
-    dedup_mean, dedup_prefer, dedup_median, dedup_min_keep, first_present, preferred_rows, category_counts, column_summary,
+    dedup_mean, dedup_prefer, dedup_prefer_text, dedup_median, dedup_min_keep, first_present, preferred_rows, category_counts, column_summary,
     column_summary_all, histogram, duplicated_keys, column_stats, kept_columns, median_impute, percentile_cutoff,
     percentile_cutoff_sorted, tied_ranks, fold_summary, best_combination, pivot_macro, ranked_models,
 )}
@@ -165,6 +172,7 @@ ORACLES = {
     "dedup_mean": f"select l_partkey, l_suppkey, round(avg(l_extendedprice), 6) as l_extendedprice_deduplicated, {_STATS} from lineitem group by 1, 2",
     "dedup_prefer": f"""select l_partkey, l_suppkey, round(avg(l_extendedprice), 6) as l_extendedprice_deduplicated, {_STATS}
         from {_PREFER.format(k='l_partkey, l_suppkey')} group by 1, 2""",
+    "dedup_prefer_text": f"select l_partkey, l_suppkey, round(avg(l_extendedprice), 6) as l_extendedprice_deduplicated, {_STATS} from lineitem group by 1, 2",
     "dedup_median": f"""select l_partkey, round(median(l_extendedprice), 6) as l_extendedprice_deduplicated, {_STATS}
         from {_PREFER.format(k='l_partkey')} group by 1""",
     "dedup_min_keep": """select user_id, arg_min(props, event_id) filter (where event_type <> 'error') as props, arg_min(event_type, event_id) as event_type,

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from propspark.catalog.base import FOLD_PAIRS, fold_pairs, price_pairs, r6, scratch, table
 from propspark.catalog.text import chars_sql
 from propspark.operators.folds import SplitConfig, holdout, random_folds
+from propspark.operators.rows import union_all
 from propspark.plans import nested_cv as N
 from propspark.plans import search as H
 from propspark.plans.features import Feature, assemble, featurize
-from propspark.plans.models import fit_predict, load_model, save_model
+from propspark.plans.models import fit_model, fit_predict, load_model, save_model
+from propspark.session import cut_lineage
 
 EMB = (Feature("embedding", "dense", "embedding", width=64),)
 REDUCED = (Feature("reduced", "dense", "embedding", width=64, reduce_to=16),)
@@ -112,9 +114,68 @@ def batch_scoring(spark, root):
     return N.score_table(loaded, rows, key_column="key").select("vec_id", "label", "prediction")
 
 
+def scored_gaps(spark, root):
+    """A line fitted on complete rows; rows without the input are scored at its training median."""
+    rows = table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"), F.col("l_extendedprice").alias("price"))
+    line = (Feature("num", "numeric", "q", columns=("q",)),)
+    fitted = fit_model(rows.filter("l_linenumber <= 3"), line, "price", "linear")
+    asked = rows.filter("l_linenumber > 3").withColumn("q", F.when(F.col("l_linenumber") != 5, F.col("q")))
+    return fitted.predict(asked).select("l_orderkey", "l_linenumber", F.round("prediction", 2).alias("prediction"))
+
+
+def model_facts(spark, root):
+    """What must hold for every model's hold-out predictions: all rows, none missing, and for trees inside the labels' range."""
+    rows = cut_lineage(holdout(_vectors(spark, root), "vec_id", SplitConfig("random"), 0.2))
+    train, valid = rows.filter("NOT is_valid"), rows.filter("is_valid")
+    tab, _ = H.candidate_predictions(train, valid, EMB, "label", "vec_id", CANDIDATES)
+    low, high = train.agg(F.min("label"), F.max("label")).first()
+    long = tab.select("vec_id", F.inline(F.array(*[F.struct(F.lit(c.name).alias("model"), F.col(f"p_{c.name}").alias("p")) for c in CANDIDATES])))
+    inside = F.when(F.col("model") == "rf", F.bool_and(F.col("p").between(low, high)))
+    return long.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("ids"), F.count_if(F.col("p").isNull() | F.isnan("p")).alias("n_missing"), inside.alias("inside"))
+
+
+def scoring_facts(spark, root):
+    """A saved and loaded model scores as the unsaved one; rows without a key get nothing."""
+    train = _vectors(spark, root)
+    fitted = fit_model(train, EMB, "label", "linear", params={"reg_param": 0.1})
+    loaded, meta = load_model(spark, save_model(fitted, scratch(spark) + "/refit", spark, feature_set="emb"))
+    rows = train.withColumn("key", F.when(F.col("label") != 3, F.col("vec_id")))
+    both = N.score_table(fitted, N.score_table(loaded, rows, key_column="key"), key_column="key", prediction_column="direct")
+    return both.select("vec_id", F.col("prediction").isNull().alias("no_prediction"), F.col("prediction").eqNullSafe(F.col("direct")).alias("same"),
+                       F.lit(len(meta["feature_names"])).cast("bigint").alias("n_features"))
+
+
+SEARCH = H.SearchConfig(True, n_trials=2, startup_trials=1, space={"n_estimators": ("int", 3, 9, 2), "max_depth": ("mode", {"none": 30, "int": ("int", 2, 5, 1)})})
+
+
+def _searched(spark, root):
+    split = SplitConfig("random", outer_folds=5, inner_folds=2)
+    cfg = _run(feature_sets={"reduced": REDUCED}, models=("rf",), split=split, search=SEARCH, model_params={}, parallelism=5, metrics=("rmse", "mae"))
+    return N.run_nested_cv(_vectors(spark, root), cfg)
+
+
+def nested_cv_search(spark, root):
+    """Every outer fold searches its parameters on its own training rows; scores are recomputed from the stored predictions."""
+    got = _searched(spark, root)
+    again = got.predictions.groupBy("outer_fold").agg(F.sqrt(F.avg((F.col("y_true") - F.col("y_pred")) ** 2)).alias("again"), F.sum("row_id").alias("ids"))
+    found = [len(p) for p in got.best_params["rf__reduced"]]
+    return got.folds.join(again, "outer_fold").select(
+        "outer_fold", "n_train", "n_test", "ids", (F.abs(F.col("rmse") - F.col("again")) < 1e-9).alias("rmse_agrees"), F.lit(min(found)).cast("bigint").alias("n_searched"))
+
+
+def cv_artifacts(spark, root):
+    """All tables of a run, written and read back, with their row counts."""
+    path = scratch(spark)
+    N.save_cv(_searched(spark, root), path, spark)
+    names = ("fold_results", "summary", "predictions", "best_params", "feature_names")
+    return union_all([spark.read.parquet(f"{path}/{n}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("artifact"), "n") for n in names])
+
+
 QUERIES = {f.__name__: f for f in (
     assembled_features, random_forest, gradient_boosting, kernel_regression, leaderboard_models, stored_leaderboard, parameter_search,
     nested_cv, nested_cv_time, nested_cv_scores, batch_scoring,
+    scored_gaps, model_facts, scoring_facts, nested_cv_search, cv_artifacts,
 )}
 
 _RMSE = "sqrt(avg(pow(y_true - y_pred, 2)))"
@@ -128,4 +189,13 @@ ORACLES = {
         f as (select model, feature_set, outer_fold, {_RMSE} as rmse, avg(abs(y_true - y_pred)) as mae, 1 - sum(pow(y_true - y_pred, 2)) / sum(pow(y_true - mu, 2)) as r2
           from p join m on a = model and b = feature_set and c = outer_fold group by all)
         select model, feature_set, {', '.join(f'round(avg({x}), 6) as {x}_mean, round(coalesce(stddev_samp({x}), 0), 6) as {x}_std' for x in ('rmse', 'mae', 'r2'))} from f group by 1, 2""",
+    "scored_gaps": """with t as (select regr_slope(l_extendedprice, l_quantity) b, regr_intercept(l_extendedprice, l_quantity) a, median(l_quantity) m from lineitem where l_linenumber <= 3)
+        select l_orderkey, l_linenumber, round(a + b * case when l_linenumber = 5 then m else l_quantity end, 2) as prediction from lineitem, t where l_linenumber > 3""",
+    "model_facts": """with h as (select vec_id, row_number() over (order by md5('0:' || vec_id), vec_id) <= (select ceil(count(*) * 0.2) from embeddings) as v from embeddings)
+        select model, count(*) as n, sum(vec_id)::bigint as ids, 0 as n_missing, case when model = 'rf' then true end as inside
+        from h, (values ('rf'), ('gbt'), ('svm'), ('linear')) m(model) where v group by 1""",
+    "scoring_facts": "select vec_id, label = 3 as no_prediction, true as same, 64 as n_features from embeddings",
+    "nested_cv_search": """with f as (select vec_id, ntile(5) over (order by md5('0:' || vec_id), vec_id) as fold from embeddings)
+        select fold as outer_fold, (select count(*) from embeddings) - count(*) as n_train, count(*) as n_test, sum(vec_id)::bigint as ids, true as rmse_agrees, 2 as n_searched from f group by 1""",
+    "cv_artifacts": "select 'predictions' as artifact, count(*) as n from embeddings union all values ('fold_results', 5), ('summary', 1), ('best_params', 5), ('feature_names', 16)",
 }

@@ -118,7 +118,9 @@ def selected_bits(spark, root):
 
 
 def projection(spark, root):
-    return table(spark, root, "embeddings").select("vec_id", P.project("embedding", 64, 16).alias("projected"))
+    """Coordinates to three decimals, as the matrix product sums floats in an order of its own."""
+    at = F.transform(P.project("embedding", 64, 16), lambda x: F.round(x.cast("double"), 3) + F.lit(0.0))
+    return table(spark, root, "embeddings").select("vec_id", F.posexplode(at).alias("axis", "projected"))
 
 
 def vector_norms(spark, root):
@@ -208,7 +210,10 @@ _CHAR_BITS = chars_sql("documents", "doc_id", 1024)
 _SUPPORT = f"""(select b as bit, count(*) / (select count(*) from documents) as frequency
  from {_CHAR_BITS} group by 1 having count(*) / (select count(*) from documents) between 0.02 and 0.6)"""
 
+_MATRIX = ", ".join("[" + ", ".join(f"{float(x)!r}::double" for x in col) + "]" for col in P.projection_matrix(64, 16, 0).T)
 ORACLES = {
+    "projection": f"select vec_id, (axis - 1)::integer as axis, round(list_dot_product(embedding::double[], m[axis]), 3) + 0.0 as projected from embeddings, (select [{_MATRIX}] m), range(1, 17) r(axis)",
+
     "text_normalize": f"""select doc_id, trim(regexp_replace(replace(lower(text || ' | ' || lang || ' | ' || case when lang <> 'de' then source else '' end),
         'onthe', 'on the'), '{BLANKS}', ' ', 'g')) as text from documents""",
     "pattern_classifier": f"""select doc_id, {classify_sql('t', WORD_CLASSES)} as bucket

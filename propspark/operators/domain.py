@@ -195,6 +195,30 @@ def run_dual_ad_batch(train: DataFrame, test: DataFrame, blocks, feature_sets, *
     return table, dual_ad_summary(table, sizes["o"], sizes["f"], best_by=best_by, label=label)
 
 
+def write_ad_batch(table: DataFrame, summary: DataFrame, path: str) -> None:
+    """A batch's table, partitioned by feature set, and its summary beside it, as Parquet."""
+    table.write.mode("overwrite").partitionBy("feature_set").parquet(f"{path}/table")
+    summary.coalesce(1).write.mode("overwrite").parquet(f"{path}/summary")
+
+
+def stacked(df: DataFrame, blocks: Sequence[Block], out: str = "stacked") -> DataFrame:
+    """All blocks of a feature set as one dense array, the on-bits of binary blocks as ones."""
+
+    def part(b: Block) -> Column:
+        if b.family == "binary":
+            return F.transform(F.sequence(F.lit(0), F.lit(b.width - 1)), lambda i: F.array_contains(b.column, i).cast("double"))
+        return F.col(b.column).cast("array<double>")
+
+    return df.withColumn(out, F.concat(*[part(b) for b in blocks]))
+
+
+def pca_blocks(train: DataFrame, test: DataFrame, blocks: Sequence[Block], *, id_col: str = "id", dims: int = 2) -> DataFrame:
+    """Principal coordinates of training and test rows together over all blocks of a feature set, with ``role``."""
+    both = train.withColumn("role", F.lit("train")).unionByName(test.withColumn("role", F.lit("test")), allowMissingColumns=True)
+    rows = stacked(both, blocks).select(F.struct(id_col, "role").alias("_who"), "stacked")
+    return pca_coordinates(rows, "stacked", id_col="_who", dims=dims).select("_who.*", *[f"pc{i + 1}" for i in range(dims)])
+
+
 def pca_coordinates(df: DataFrame, vector_col: str, *, id_col: str = "id", dims: int = 2) -> DataFrame:
     """First principal coordinates of a dense array column. MLlib does not centre when it projects, so a
     mean-only scaler comes first; the sign of an axis is arbitrary."""

@@ -49,6 +49,7 @@ class CvResult:
     best_row: dict[str, Any]
     best_params: dict[str, list[dict]]
     refit: FittedModel | None = None
+    feature_names: dict[str, list[str]] = field(default_factory=dict)
 
 
 def _checked(df: DataFrame, cfg: RunConfig) -> DataFrame:
@@ -89,6 +90,7 @@ def run_nested_cv(df: DataFrame, cfg: RunConfig) -> CvResult:
     counts = {r["_outer"]: r["n"] for r in folded.groupBy("_outer").agg(F.count(F.lit(1)).alias("n")).collect()}
     outer = sorted(k for k in counts if k >= 1)
     best_params: dict[str, list[dict]] = {}
+    names: dict[str, list[str]] = {}
     tables: list[DataFrame] = []
     for fs, features in cfg.feature_sets.items():
         data = featurize(folded, features).persist()
@@ -102,11 +104,12 @@ def run_nested_cv(df: DataFrame, cfg: RunConfig) -> CvResult:
                     scored = fitted.predict(te, "y_pred").select(
                         F.col(cfg.id_column).alias("row_id"), F.lit(model).alias("model"), F.lit(fs).alias("feature_set"),
                         F.lit(fold).alias("outer_fold"), F.col(cfg.target_column).cast("double").alias("y_true"), "y_pred")
-                    return found, cut_lineage(scored)
+                    return found, cut_lineage(scored), fitted.feature_names
 
                 with ThreadPoolExecutor(max(1, cfg.parallelism)) as pool:
                     got = list(pool.map(one, outer))
                 best_params[f"{model}__{fs}"] = [g[0] for g in got]
+                names[f"{model}__{fs}"] = got[-1][2]
                 tables += [g[1] for g in got]
         finally:
             data.unpersist()
@@ -122,7 +125,7 @@ def run_nested_cv(df: DataFrame, cfg: RunConfig) -> CvResult:
         found = _search(data, features, best["model"], cfg)
         refit = fit_model(data, features, cfg.target_column, best["model"],
                           params={**cfg.model_params.get(best["model"], {}), **found}, seed=cfg.random_state)
-    return CvResult(folds, summary, predictions, best, best_params, refit)
+    return CvResult(folds, summary, predictions, best, best_params, refit, names)
 
 
 def score_predictions(predictions: DataFrame, metrics: Sequence[str], counts: Mapping[int, int] | None = None, split: SplitConfig = SplitConfig()) -> tuple[DataFrame, DataFrame]:
@@ -141,11 +144,16 @@ def score_predictions(predictions: DataFrame, metrics: Sequence[str], counts: Ma
 
 
 def save_cv(result: CvResult, root: str, spark: SparkSession) -> None:
-    """Fold results, summary, predictions and parameters as tables; the refitted model beside them."""
+    """Fold results, summary, predictions, parameters and feature names as tables; the refitted model beside them.
+
+    Feature names are those of the last fold, whose training rows are the most in a time split.
+    """
     params = spark.createDataFrame(
         [(combo, fold + 1, json.dumps(p)) for combo, per in result.best_params.items() for fold, p in enumerate(per)],
         "combination string, outer_fold int, params string")
-    write_artifacts({"fold_results": result.folds, "summary": result.summary, "predictions": result.predictions, "best_params": params},
+    names = spark.createDataFrame([(combo, i, n) for combo, own in result.feature_names.items() for i, n in enumerate(own)],
+                                  "combination string, position int, feature string")
+    write_artifacts({"feature_names": names, "fold_results": result.folds, "summary": result.summary, "predictions": result.predictions, "best_params": params},
                     root, partition_by={"predictions": ["model", "feature_set"]})
     if result.refit is not None:
         save_model(result.refit, f"{root}/refit", spark, feature_set=result.best_row["feature_set"], extra={"summary_row": result.best_row})
