@@ -214,6 +214,9 @@ def _kendall_exact_p(n: int, discordant: int) -> float:
     c = min(discordant, pairs - discordant)
     if 2 * c >= pairs:
         return 1.0
+    if c <= 1:
+        # One order has no inversion and n - 1 have one.
+        return min(1.0, 2.0 * (n if c else 1) * math.exp(-math.lgamma(n + 1)))
     ways = [1.0]
     for size in range(2, n + 1):
         run, nxt = 0.0, []
@@ -226,6 +229,7 @@ def _kendall_exact_p(n: int, discordant: int) -> float:
 
 
 def _kendall_p(s, n, xt, yt, x0, y0, x1, y1) -> float:
+    """Exact without ties for at most 33 rows or one inversion (a fixed rule of the usual library), else normal."""
     pairs = n * (n - 1) / 2
     if n < 2 or xt >= pairs or yt >= pairs:
         return 1.0
