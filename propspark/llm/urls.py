@@ -33,7 +33,8 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
         for i, w in enumerate(words):
             hosts = (f"{w}.example.com", f"www.{w}-{words[(i + 5) % len(words)]}.example.net", f"{words[(i + 9) % len(words)]}{w}.example.org")
             rows += [(f"https://{h}{PATHS[(i + k) % len(PATHS)]}", label) for k, h in enumerate(hosts)]
-    return spark.createDataFrame(rows, "url string, label int")
+    table = json.dumps([{"url": u, "label": label} for u, label in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<url string, label int>>")))
 
 
 def host_of(url: Column) -> Column:
