@@ -232,3 +232,19 @@ ORACLES = {
 }
 ORACLES["ad_sink"] = ORACLES["ad_table"]
 ORACLES["pca_blocks"] = "select case when label < 8 then 'train' else 'test' end as role, count(*) as n, true as centred, true as uncorrelated, true as wider_first from embeddings group by 1"
+_STEP = "list_transform({m}, lambda row: list_dot_product(row, v))"
+_UNIT = "list_transform({x}, lambda y: y / sqrt(list_dot_product({x}, {x})))"
+
+
+def _leading(name: str, matrix: str) -> str:
+    """Power iteration: the largest eigenvalue and its vector of a symmetric matrix, given as a list of rows."""
+    step = _STEP.format(m="m")
+    return f"""{name}_r as (select 0 as it, list_transform(range(1, 65), lambda i: 1.0 / i) as v, 0::double as size union all
+        select it + 1, list_transform(w, lambda y: y / sqrt(list_dot_product(w, w))), sqrt(list_dot_product(w, w)) from (select it, {step} as w from {name}_r, {matrix} where it < 4000)),
+        {name} as (select v, size from {name}_r where it = 4000)"""
+
+
+ORACLES["pca_variance"] = f"""with recursive e as (select unnest(range(1, 65)) as i, embedding::double[] as x from embeddings),
+    c as (select i, j, covar_samp(x[i], x[j]) as c from e, range(1, 65) r(j) group by all), mat as materialized (select list(row order by i) as m from (select i, list(c order by j) as row from c group by i)),
+    {_leading('one', 'mat')}, rest as materialized (select list_transform(m, lambda row, i: list_transform(row, lambda y, j: y - size * v[i] * v[j])) as m from mat, one), {_leading('two', 'rest')}
+    select round(one.size, 6) as var1, round(two.size, 6) as var2, 0.0::double as mean1 from one, two"""

@@ -210,7 +210,28 @@ _FLAG = f"""select 'flag_' || l_returnflag as Name, l_suppkey as key, t as x, av
  (select l_suppkey as sk, avg(l_extendedprice) as t from lineitem group by 1) on sk = l_suppkey group by all"""
 _CONST = f"""(select l_returnflag, floor(case when l_returnflag <> 'A' then y_true else 1.0 end / 5000) as x, l_quantity as y from {PRICE_PAIRS})"""
 
+_SIMPSON = "list_sum(list_transform(range(0, 8001), lambda i: (case when i in (0, 8000) then 1 when i % 2 = 1 then 4 else 2 end) * {f})) * ({b} - ({a})) / 8000 / 3"
+
+
+def pvalues_sql() -> str:
+    """Both tails by Simpson's rule: Student's as an integral of powers of the cosine, the normal one as it stands."""
+    rows = "(select event_type, value as x, user_id as y from events)"
+    ties = lambda c: f"""t{c}_ as (select event_type, sum(t * (t - 1) * (2 * t + 5))::double as {c}1, sum(t * (t - 1) * (t - 2))::double as {c}0
+        from (select event_type, {c}, sum(w) as t from d group by all) group by 1)"""
+    step = lambda a, b: f"({a} + i * ({b} - ({a})) / 8000)"
+    student = _SIMPSON.format(f=f"pow(cos({step('th', 'top')}), df - 1)", a="th", b="top")
+    normal = _SIMPSON.format(f=f"exp(-pow({step('z', '(z + 8)')}, 2))", a="z", b="(z + 8)")
+    return tau_sql(rows, "event_type", "a.event_type = b.event_type") + f""", {ties('x')}, {ties('y')}, r as {rho_sql(rows, 'event_type')},
+        v as (select event_type, s, n::double as n, n * (n - 1)::double as m, tx.tx::double as xt, ty.ty::double as yt, x1, x0, y1, y0 from s join n using (event_type) join tx using (event_type)
+          join ty using (event_type) join tx2 using (event_type) join ty2 using (event_type)),
+        k as (select event_type, n, abs(s) / sqrt((m * (2 * n + 5) - x1 - y1) / 18 + 2 * xt * yt / m + x0 * y0 / (9 * m * (n - 2))) / sqrt(2) as z from v),
+        q as (select event_type, n - 2 as df, atan(abs(rho) / sqrt(1 - rho * rho)) as th from r), u as (select *, least(pi() / 2, th + 14 / sqrt(df)) as top from q)
+        select event_type, n::bigint as n, round(2 * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(pi()) * {student}, 6) as spearman_pvalue,
+          round(2 / sqrt(pi()) * {normal}, 6) as kendall_tau_pvalue from k join u using (event_type)""".replace("tx2", "tx_").replace("ty2", "ty_")
+
+
 ORACLES = {
+    "rank_pvalues": pvalues_sql(),
     "row_errors": f"""select l_orderkey, round(abs(sum(y_true) - sum(y_pred)), 6) as abs_error, round(pow(sum(y_true) - sum(y_pred), 2) / 1e6::double, 3) as squared_error
         from {PRICE_PAIRS} group by 1""",
     "error_metrics": f"""with p as {PRICE_PAIRS}, m as (select p_brand as b, avg(y_true) as mu from p group by 1)
@@ -230,7 +251,7 @@ ORACLES = {
     "prediction_pairs": f"select key, round(price_hat, 6) as \"HLM_pred\", round(price, 6) as \"HLM_true\" from {_SUP}",
     "unpredicted_keys": "select p_partkey as key from part except select l_partkey from lineitem where l_quantity > 49",
     "bootstrap": boot_sql(_ENDS, "Endpoint") + ' select Endpoint as "Endpoint", Sample as "Sample", Metric as "Metric", round(Value, 6) as "Value" from long',
-    "bootstrap_poisson": boot_sql(_ENDS, "Endpoint", poisson_sql(20))
+    "bootstrap_poisson": boot_sql(_ENDS, "Endpoint", poisson_sql(SAMPLES))
     + ' select Endpoint as "Endpoint", Metric as "Metric", round(avg(Value), 6) as mean from long group by 1, 2',
     "evaluation": boot_sql(_ENDS, "Endpoint") + f""", w as ({_wide('Endpoint')}), u as (select * from w union all select 'Macro Average',
         {', '.join(f'avg("{c}")' for c in _NAMES)} from w) select Endpoint as "Endpoint", {_ROUNDED} from u""",
