@@ -126,6 +126,20 @@ def pca_variance(spark, root):
     return pcs.agg(r6(F.var_samp("pc1"), "var1"), r6(F.var_samp("pc2"), "var2"), r6(F.abs(F.avg("pc1")), "mean1"))
 
 
+def tanimoto_pruned(spark, root):
+    """The same as ``tanimoto_documents`` for two large sides: chunks by on-bit count, rows bounded one by one."""
+    docs, bench = _documents(spark, root)
+    return summarize_top(nearest(docs, bench, TEXT_BLOCKS, {"path": ["path"]}, k=5, broadcast_cells=1, chunk_cells=TEXT_BLOCKS[0].width * 500)).select(
+        F.col("id").alias("doc_id"), r6("max_sim"), r6("mean_topk"))
+
+
+def nearest_broadcast_left(spark, root):
+    """Only the left side is small enough to be broadcast."""
+    train, test = _sides(spark, root)
+    top = nearest(test, train, BLOCKS, {"emb": ["emb"]}, k=5, id_col="vec_id", broadcast_cells=64 * test.count())
+    return summarize_top(top).select(F.col("id").alias("vec_id"), r6("max_sim"), r6("mean_topk"))
+
+
 def ad_sink(spark, root):
     """A batch's table written by feature set and read back."""
     train, test = _sides(spark, root)
@@ -150,7 +164,7 @@ def pca_blocks(spark, root):
 
 QUERIES = {f.__name__: f for f in (
     nearest_cosine, nearest_cosine_chunked, nearest_all_vectors, tanimoto_documents, multi_block_texts, train_neighbour, document_neighbour,
-    ad_table, dual_ad_table, ad_summary, dual_ad_summary, pca_variance, ad_sink, pca_blocks,
+    ad_table, dual_ad_table, ad_summary, dual_ad_summary, pca_variance, tanimoto_pruned, nearest_broadcast_left, ad_sink, pca_blocks,
 )}
 
 _V = """v as (select vec_id, label, embedding::double[] as e, list_filter(range(0, 64), lambda i: embedding[i + 1] > 0.1::float) as bits, label < 4 as ft from embeddings)"""
@@ -230,6 +244,8 @@ ORACLES = {
         round(tf - ta, 6) as delta_mean_topk_finetune_minus_all, round(100.0 * npf / n_test, 6)::double as pct_outside_ad_train_finetune_p5, tf > ta as fine_tuning_preferred,
         row_number() over (order by npf, mf desc, feature_set) = 1 as is_best from s""",
 }
+ORACLES["tanimoto_pruned"] = ORACLES["tanimoto_documents"]
+ORACLES["nearest_broadcast_left"] = ORACLES["nearest_cosine_chunked"]
 ORACLES["ad_sink"] = ORACLES["ad_table"]
 ORACLES["pca_blocks"] = "select case when label < 8 then 'train' else 'test' end as role, count(*) as n, true as centred, true as uncorrelated, true as wider_first from embeddings group by 1"
 _STEP = "list_transform({m}, lambda row: list_dot_product(row, v))"

@@ -13,7 +13,7 @@ row. Three routes give the same result:
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,8 +88,9 @@ class _Best:
             yield pd.DataFrame({"id": ids.to_numpy()[row], "feature_set": fs, "scope": scope, "sim": m[row, col]})
 
 
-def _score(best: _Best, left: dict, right: dict, blocks, feature_sets, l_ids, r_ids, r_scope, exclude_self) -> None:
-    sims = {b.name: block_similarity(left[b.name], right[b.name], b.family) for b in blocks}
+def _score(best: _Best, left: Callable[[Block], np.ndarray], right: Callable[[Block], np.ndarray], blocks, feature_sets, l_ids, r_ids, r_scope, exclude_self) -> None:
+    # One block after another: only its own two matrices are held.
+    sims = {b.name: block_similarity(left(b), right(b), b.family) for b in blocks}
     same = np.asarray(l_ids)[:, None] == np.asarray(r_ids)[None, :] if exclude_self else None
     for fs, names in feature_sets.items():
         sim = np.mean([sims[n] for n in names], axis=0) if len(names) > 1 else sims[names[0]]
@@ -134,7 +135,7 @@ def nearest(
     r_rows = right.select(F.col(id_col).alias("id"), *columns, *flag)
     scopes = ["all", "finetune"] if finetune_col else ["all"]
     keys = [(fs, s) for fs in feature_sets for s in scopes]
-    width = sum(b.width for b in blocks)
+    width, widest = sum(b.width for b in blocks), max(b.width for b in blocks)
     schema = T.StructType([
         l_rows.schema["id"], T.StructField("feature_set", T.StringType()),
         T.StructField("scope", T.StringType()), T.StructField("sim", T.DoubleType()),
@@ -146,9 +147,9 @@ def nearest(
     if l_rows.limit(fits + 1).count() <= fits:
         part = _by_broadcast_left(l_rows, r_rows, *args)
     elif main := _shared_binary(blocks, feature_sets):
-        part = _by_pruned_chunks(l_rows, r_rows, *args, max(1, chunk_cells // width), main)
+        part = _by_pruned_chunks(l_rows, r_rows, *args, max(1, chunk_cells // widest), main)
     else:
-        part = _by_chunks(l_rows, r_rows, *args, max(1, chunk_cells // width))
+        part = _by_chunks(l_rows, r_rows, *args, max(1, chunk_cells // widest))
     order = Window.partitionBy("id", "feature_set", "scope").orderBy(F.desc("sim"))
     return part.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= k).drop("_rn")
 
@@ -171,8 +172,7 @@ def _by_broadcast_right(l_rows, r_rows, blocks, feature_sets, keys, k, exclude_s
             for at in range(0, len(batch), step):
                 lp = batch.iloc[at : at + step]
                 best = _Best(len(lp), k, keys)
-                left = {b.name: _matrix(lp[b.column].tolist(), b) for b in blocks}
-                _score(best, left, mats, blocks, feature_sets, lp["id"], ids, scope, exclude_self)
+                _score(best, lambda b, lp=lp: _matrix(lp[b.column].tolist(), b), lambda b: mats[b.name], blocks, feature_sets, lp["id"], ids, scope, exclude_self)
                 yield from best.rows(lp["id"])
 
     return l_rows.mapInPandas(run, schema)
@@ -189,8 +189,7 @@ def _by_broadcast_left(l_rows, r_rows, blocks, feature_sets, keys, k, exclude_se
         for batch in it:
             for at in range(0, len(batch), step):
                 r = batch.iloc[at : at + step]
-                right = {b.name: _matrix(r[b.column].tolist(), b) for b in blocks}
-                _score(best, mats, right, blocks, feature_sets, ids, r["id"], r["_ft"].to_numpy(bool) if scoped else None, exclude_self)
+                _score(best, lambda b: mats[b.name], lambda b, r=r: _matrix(r[b.column].tolist(), b), blocks, feature_sets, ids, r["id"], r["_ft"].to_numpy(bool) if scoped else None, exclude_self)
         yield from best.rows(ids)
 
     return r_rows.mapInPandas(run, schema)
@@ -214,9 +213,7 @@ def _multiply(lx, rx, blocks, feature_sets, keys, k, exclude_self, schema, scope
         if lp.empty or rp.empty:
             return pd.DataFrame({f.name: [] for f in schema.fields})
         best = _Best(len(lp), k, keys)
-        left = {b.name: _matrix(lp[b.column].tolist(), b) for b in blocks}
-        right = {b.name: _matrix(rp[b.column].tolist(), b) for b in blocks}
-        _score(best, left, right, blocks, feature_sets, lp["id"], rp["id"], rp["_ft"].to_numpy(bool) if scoped else None, exclude_self)
+        _score(best, lambda b: _matrix(lp[b.column].tolist(), b), lambda b: _matrix(rp[b.column].tolist(), b), blocks, feature_sets, lp["id"], rp["id"], rp["_ft"].to_numpy(bool) if scoped else None, exclude_self)
         return pd.concat(list(best.rows(lp["id"])), ignore_index=True)
 
     # Both sides may come from one table; fresh column identities keep the pairing unambiguous.
@@ -235,56 +232,66 @@ def _sized_chunks(rows: DataFrame, main: Block, chunk_rows: int, name: str) -> t
     at = global_index(rows.withColumn("_on", on), ["_on", F.xxhash64("id"), "id"], "_i")
     cut = at.withColumn(name, F.floor(F.col("_i") / chunk_rows).cast("int")).drop("_i")
     meta = cut.groupBy(name).agg(F.min("_on").alias("lo"), F.max("_on").alias("hi"), F.count(F.lit(1)).alias("n")).orderBy(name).collect()
-    return cut.drop("_on"), [(r["lo"], r["hi"], r["n"]) for r in meta]
+    return cut, [(r["lo"], r["hi"], r["n"]) for r in meta]
 
 
-def reachable(l_lo: int, l_hi: int, r_lo: np.ndarray, r_hi: np.ndarray, ratio: float) -> tuple[int, int]:
-    """First and last right chunk that may hold a row of the needed similarity.
+def reachable(l_lo, l_hi, r_lo: np.ndarray, r_hi: np.ndarray, ratio) -> tuple[np.ndarray, np.ndarray]:
+    """First and last right chunk that may hold a row of the needed similarity, for single rows or arrays of them.
 
     Tanimoto never exceeds the smaller on-bit count over the larger one. Chunks are in count order, so the
     admissible ones are neighbours. Rounding is given a little room.
     """
-    if ratio <= 0:
-        return 0, len(r_lo) - 1
-    ratio *= 1 - 1e-9
-    return int(np.searchsorted(r_hi, ratio * l_lo, "left")), int(np.searchsorted(r_lo, l_hi / ratio, "right")) - 1
+    ratio = np.asarray(ratio, dtype=float) * (1 - 1e-9)
+    safe = np.where(ratio > 0, ratio, 1.0)
+    first = np.searchsorted(r_hi, np.asarray(l_lo) * safe, "left")
+    last = np.searchsorted(r_lo, np.asarray(l_hi) / safe, "right") - 1
+    return np.where(ratio > 0, first, 0), np.where(ratio > 0, last, len(r_lo) - 1)
 
 
 def _by_pruned_chunks(l_rows, r_rows, blocks, feature_sets, keys, k, exclude_self, schema, scoped, chunk_rows, main) -> DataFrame:
     """Exact, in two rounds. Chunks of similar on-bit count are multiplied first; the k-th best value found
-    there bounds, per left chunk, which other chunks can still matter. Only chunk ranges pass the driver."""
+    there bounds, for each left row, which other chunks can still matter, and only these get the row: one
+    lonely row does not open all chunks to its neighbours. Only chunk ranges pass the driver."""
     lx, l_meta = _sized_chunks(l_rows, main, chunk_rows, "_lc")
     rx, r_meta = _sized_chunks(r_rows, main, chunk_rows, "_rc")
+    rx = rx.drop("_on")
     r_lo, r_hi = np.array([m[0] for m in r_meta]), np.array([m[1] for m in r_meta])
     spark, last = l_rows.sparkSession, len(r_meta) - 1
 
-    def products(ranges: list[tuple[int, int, int]]) -> DataFrame:
-        table = spark.createDataFrame(ranges, "_lc int, _from int, _to int")
-        pairs = broadcast_if_small(table.select("_lc", F.explode(F.sequence("_from", "_to")).alias("_rc")))
-        return _multiply(lx.join(pairs, "_lc"), rx.join(pairs, "_rc"), blocks, feature_sets, keys, k, exclude_self, schema, scoped)
-
     band = []
     for lo, hi, _ in l_meta:
         mid = min(last, max(0, int(np.searchsorted(r_lo, (lo + hi) / 2, "right")) - 1))
         band.append((max(0, mid - 1), min(last, mid + 1)))
-    first = cut_lineage(products([(c, b, e) for c, (b, e) in enumerate(band)]))
+    table = spark.createDataFrame([(c, b, e) for c, (b, e) in enumerate(band)], "_lc int, _from int, _to int")
+    pairs = broadcast_if_small(table.select("_lc", F.explode(F.sequence("_from", "_to")).alias("_rc")))
+    first = cut_lineage(_multiply(lx.drop("_on").join(pairs, "_lc"), rx.join(pairs, "_rc"), blocks, feature_sets, keys, k, exclude_self, schema, scoped))
     order = Window.partitionBy("id", "feature_set", "scope").orderBy(F.desc("sim"))
     kept = first.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= k)
-    per_row = kept.groupBy("id", "feature_set", "scope").agg(F.count(F.lit(1)).alias("_n"), F.min("sim").alias("_kth"))
-    bound = F.when(F.col("_n") >= k, F.col("_kth")).otherwise(F.lit(-1.0))
-    floors = (
-        per_row.join(lx.select("id", "_lc"), "id").groupBy("_lc", "feature_set", "scope")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(bound).alias("floor")).collect()
-    )
-    found = {(r["_lc"], r["feature_set"], r["scope"]): r["floor"] if r["n"] == l_meta[r["_lc"]][2] else -1.0 for r in floors}
-    rest = []
-    for c, (lo, hi, _) in enumerate(l_meta):
-        # The mean over B blocks can reach f only if this block's share reaches B f - (B - 1).
-        ratio = min(len(feature_sets[fs]) * found.get((c, fs, s), -1.0) - (len(feature_sets[fs]) - 1) for fs, s in keys)
-        a, z = reachable(lo, hi, r_lo, r_hi, ratio)
-        b, e = band[c]
-        rest += [(c, f, t) for f, t in ((a, min(z, b - 1)), (max(a, e + 1), z)) if f <= t]
-    return first.unionByName(products(rest)) if rest else first
+    per_key = kept.groupBy("id", "feature_set", "scope").agg(F.count(F.lit(1)).alias("_n"), F.min("sim").alias("_kth"))
+    # The mean over B blocks can reach f only if the shared block's share reaches B f - (B - 1).
+    n_blocks = F.lit(1)
+    for fs, names in feature_sets.items():
+        n_blocks = F.when(F.col("feature_set") == fs, F.lit(len(names))).otherwise(n_blocks)
+    need = F.when(F.col("_n") >= k, n_blocks * F.col("_kth") - (n_blocks - 1)).otherwise(F.lit(-1.0))
+    per_row = per_key.groupBy("id").agg(F.count(F.lit(1)).alias("_keys"), F.min(need).alias("_need"))
+    per_row = per_row.select(F.col("id").alias("_id"), F.when(F.col("_keys") == len(keys), F.col("_need")).otherwise(F.lit(-1.0)).alias("_ratio"))
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def open_chunks(chunk: pd.Series, on: pd.Series, ratio: pd.Series) -> pd.Series:
+        a, z = reach(on.to_numpy(), on.to_numpy(), r_lo, r_hi, ratio.fillna(-1.0).to_numpy())
+        out = []
+        for c, f, t in zip(chunk, a, z):
+            b, e = band[c]
+            out.append([*range(int(f), min(int(t) + 1, b)), *range(max(int(f), e + 1), int(t) + 1)])
+        return pd.Series(out, dtype=object)
+
+    reach = reachable
+    asked = lx.join(per_row, lx["id"] == per_row["_id"], "left").withColumn("_rc", F.explode(open_chunks("_lc", "_on", "_ratio")))
+    asked = cut_lineage(asked.drop("_id", "_ratio", "_on"))
+    if is_empty(asked):
+        return first
+    more = broadcast_if_small(asked.select("_lc", "_rc").distinct())
+    return first.unionByName(_multiply(asked, rx.join(more, "_rc"), blocks, feature_sets, keys, k, exclude_self, schema, scoped))
 
 
 def summarize_top(top: DataFrame) -> DataFrame:

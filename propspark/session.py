@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,9 +43,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage and read it back, so that later plans see fixed rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` below the checkpoint folder and read it back, so that later plans see fixed rows.
+
+    Parquet keeps the table narrow for plans that need some of its columns. It is removed when the driver
+    ends. Rows whose columns share a name, which Parquet cannot hold, go through a reliable checkpoint.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if len({c.lower() for c in df.columns}) < len(df.columns) or not df.columns:
+        return df.checkpoint(eager=True)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.sc().hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _bytes_of(field: T.StructField) -> Column:

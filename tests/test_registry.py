@@ -8,7 +8,8 @@ import pytest
 import __spark_entry__ as entry
 
 SAMPLE = ("lookup_join", "dedup_prefer", "dedup_min_keep", "histogram", "pivot_macro", "harvested", "standardized_keys", "substructure_bits",
-          "dual_ad_table", "group_folds", "time_splits", "kendall_tied", "domain_errors", "nested_cv_scores")
+          "dual_ad_table", "group_folds", "time_splits", "kendall_tied", "domain_errors", "nested_cv_scores",
+          "dedup_prefer_text", "dedup_median", "scored_gaps", "scoring_facts", "ad_sink", "holdout_group", "holdout_time", "pca_variance", "rank_pvalues", "projection")
 
 
 @pytest.fixture(scope="module")

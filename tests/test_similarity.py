@@ -86,6 +86,22 @@ def test_chunk_pruning_is_exact(spark):
     assert all(pruned[i] == pytest.approx(whole[i]) for i in whole)
 
 
+def test_lonely_row_does_not_open_all_chunks(spark, monkeypatch):
+    """Groups of like rows, and one row like none: only that row is sent on to further chunks."""
+    import propspark.operators.similarity as S
+
+    data = [(g * 40 + i, list(range(g * 100, g * 100 + 10 * (g + 1) + i % 2))) for g in range(6) for i in range(40)]
+    data.append((999, [7000, 7001, 7002, 7003]))
+    df = spark.createDataFrame(data, "id long, bits array<int>")
+    sent, multiply = [], S._multiply
+    monkeypatch.setattr(S, "_multiply", lambda lx, *a: sent.append(lx) or multiply(lx, *a))
+    args = ([Block("bits", "bits", "binary", 8000)], {"bits": ["bits"]})
+    got = {r["id"]: r["max_sim"] for r in summarize_top(nearest(df, df, *args, exclude_self=True, broadcast_cells=1, chunk_cells=8000 * 20)).collect()}
+    assert len(sent) == 2 and {r["id"] for r in sent[1].select("id").distinct().collect()} == {999}
+    whole = {r["id"]: r["max_sim"] for r in summarize_top(nearest(df, df, *args, exclude_self=True)).collect()}
+    assert got == pytest.approx(whole)
+
+
 def test_reachable_chunks():
     lo, hi = np.array([1, 10, 50, 100]), np.array([9, 40, 90, 200])
     assert reachable(20, 25, lo, hi, 0.5) == (1, 2)
