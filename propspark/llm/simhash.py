@@ -86,8 +86,9 @@ def classes(docs: DataFrame, *, radius: int = 2, **options) -> DataFrame:
     keep = Stored(docs.sparkSession)
     rows = keep(fingerprints(docs, **options))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    # Fingerprints are small but their balls are not, so they are dealt out again before they grow.
-    spread = nodes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # Fingerprints are small but their balls are not, so they are dealt out again before they grow; by a
+    # hash, as a second deal by the same key would be left out as redundant.
+    spread = nodes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     roots = connected_components(links(spread, radius), "a", "b").withColumnRenamed("node", "fp")
     placed = keep(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
