@@ -27,7 +27,7 @@ def position_in_group(df: DataFrame, by: Iterable[str], key: str) -> DataFrame:
     return at.join(broadcast_if_small(span), by).withColumn("_pos", F.col("_g") - F.col("_start")).drop("_g", "_start")
 
 
-def bootstrap_draws(df: DataFrame, by: Iterable[str], key: str, cols: Iterable[str], *, samples: int, seed: int = 0) -> DataFrame:
+def counted_draws(df: DataFrame, by: Iterable[str], key: str, cols: Iterable[str], *, samples: int, seed: int = 0) -> DataFrame:
     """``samples`` resamples of full size with replacement, per group: ``by, Sample, cols, _weight``.
 
     Draws of the same row are counted before the rows are joined, so a resample has each row once.
@@ -40,6 +40,13 @@ def bootstrap_draws(df: DataFrame, by: Iterable[str], key: str, cols: Iterable[s
     return slot.join(broadcast_if_small(rows.select(*by, "_pos", *cols)), [*by, "_pos"]).select(*by, "Sample", *cols, "_weight")
 
 
+def bootstrap_draws(df: DataFrame, by: Iterable[str], key: str, cols: Iterable[str], *, samples: int, seed: int = 0) -> DataFrame:
+    """The same resamples with a row for every draw: ``by, Sample, cols``."""
+    by, cols = list(by), list(cols)
+    counted = counted_draws(df, by, key, cols, samples=samples, seed=seed)
+    return counted.select(*by, "Sample", *cols, F.explode(F.sequence(F.lit(1), F.col("_weight").cast("int"))).alias("_nth")).drop("_nth")
+
+
 def poisson_draws(df: DataFrame, key: str, cols: Iterable[str], *, samples: int, seed: int = 0) -> DataFrame:
     """Approximate bootstrap for very large tables: independent Poisson(1) row weights, no join."""
     u = hash60(F.concat_ws(":", F.lit(str(seed)), F.col("Sample"), F.col(key))) / F.lit(float(1 << 60))
@@ -54,7 +61,7 @@ def bootstrap_metrics(
     """Long table ``by, Sample, Metric, Value`` of the five report metrics."""
     by = list(by)
     if method == "exact":
-        draws = bootstrap_draws(df, by, key, [y, p], samples=samples, seed=seed)
+        draws = counted_draws(df, by, key, [y, p], samples=samples, seed=seed)
     elif method == "poisson":
         draws = poisson_draws(df, key, [*by, y, p], samples=samples, seed=seed)
     else:

@@ -11,7 +11,7 @@ from propspark.operators.dedup import deduplicate, prefer_rows
 from propspark.operators.domain import pca_blocks, stacked
 from propspark.operators.metrics import _kendall_exact_p, metric_table
 from propspark.operators.ordered import cut_keys
-from propspark.operators.resample import bootstrap_draws
+from propspark.operators.resample import counted_draws
 from propspark.operators.similarity import Block
 from propspark.plans import models as M
 from propspark.plans import search as H
@@ -112,7 +112,7 @@ def test_nearly_monotone_p_value():
 
 def test_draws_are_counted(spark):
     df = spark.createDataFrame([(g, i, float(i)) for g in "ab" for i in range(30)], "g string, id long, y double")
-    out = bootstrap_draws(df, ["g"], "id", ["y"], samples=20)
+    out = counted_draws(df, ["g"], "id", ["y"], samples=20)
     per = {(r["g"], r["Sample"]): (r["n"], r["m"]) for r in out.groupBy("g", "Sample").agg(F.sum("_weight").alias("n"), F.count("*").alias("m")).collect()}
     assert len(per) == 40 and all(n == 30 and m < 30 for n, m in per.values())
 
