@@ -64,8 +64,9 @@ def cut_keys(df: DataFrame, number: Column, order: list[Column], ranks: Iterable
     keys = df.select(number.alias("_n"), *[c.alias(n) for c, n in zip(order, names)])
     low, high, total = keys.agg(F.min("_n"), F.max("_n"), F.count(F.lit(1))).first()
     counted: dict[tuple, dict[int, int]] = {}
-    held: dict[tuple, list[tuple]] = {}
-    found = []
+    found: dict[int, tuple] = {}
+    small: list[tuple[int, int, int, int]] = []
+    ranks = list(ranks)
     for rank in ranks:
         lo, hi, n, at = low, high, total, rank
         while n > limit and lo < hi:
@@ -78,14 +79,20 @@ def cut_keys(df: DataFrame, number: Column, order: list[Column], ranks: Iterable
                     break
                 at -= m
             lo, hi, n = lo + b * step, min(hi, lo + (b + 1) * step - 1), m
-        own = keys.filter(F.col("_n").between(lo, hi)).select(*names)
         if n > limit:
-            found.append(tuple(global_index(own, names, "_at").filter(F.col("_at") == at).select(*names).first()))
-            continue
-        if (lo, hi) not in held:
-            held[lo, hi] = [tuple(r) for r in own.orderBy(*names).collect()]
-        found.append(held[lo, hi][at])
-    return found
+            own = keys.filter(F.col("_n").between(lo, hi)).select(*names)
+            found[rank] = tuple(global_index(own, names, "_at").filter(F.col("_at") == at).select(*names).first())
+        else:
+            small.append((rank, lo, hi, at))
+    if small:
+        # One pass brings the rows around all ranks.
+        near = F.lit(False)
+        for lo, hi in sorted({(lo, hi) for _, lo, hi, _ in small}):
+            near = near | F.col("_n").between(lo, hi)
+        rows = keys.filter(near).orderBy(*names).collect()
+        for rank, lo, hi, at in small:
+            found[rank] = tuple([r for r in rows if lo <= r["_n"] <= hi][at])[1:]
+    return [found[r] for r in ranks]
 
 
 def pieces(df: DataFrame, number: Column, order: list[Column], starts: Iterable[int]) -> Column:
