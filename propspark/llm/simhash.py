@@ -105,15 +105,14 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return classes(docs, **options).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_per_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def one_of_each(docs: DataFrame, rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents (all columns) without near copies: each class keeps the row of its smallest id.
 
-    A null id counts as the largest. Of rows that share the kept id and text one stays, chosen by the
-    hash of its other columns.
+    ``rows`` has ``doc_id``, ``text_hash`` and ``root`` of every document. A null id counts as the largest.
+    Of rows that share the kept id and text one stays, chosen by the hash of its other columns.
     """
     found = Stored(docs.sparkSession)(
-        classes(docs, id_col=id_col, text_col=text_col, **options)
-        .groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
+        rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
         .select(group_key(F.col("k.doc_id")).alias("_id"), F.col("k.text_hash").alias("_hash")))
     rows = docs.select(
         F.struct("*").alias("_row"), group_key(F.col(id_col)).alias("_id"), F.xxhash64(text_col).alias("_hash"))
@@ -121,3 +120,8 @@ def one_per_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return (
         rows.join(found, ["_id", "_hash"]).withColumn("_other", F.xxhash64("_row"))
         .withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") == 1).select("_row.*"))
+
+
+def one_per_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents without near copies, by the rule of ``one_of_each``. Options: those of ``classes``."""
+    return one_of_each(docs, classes(docs, id_col=id_col, text_col=text_col, **options), id_col=id_col, text_col=text_col)
