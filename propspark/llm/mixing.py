@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from propspark.llm.common import Stored, group_key, ranked, seeded
+from propspark.sources.tables import is_empty
 
 
 def cyclic_weights(sources: list[str | None], cycle: tuple[int, ...] = (1, 2, 3)) -> dict[str | None, int]:
@@ -102,7 +103,8 @@ def taken(docs: DataFrame, size: Column, member_of: Column, *, weights=cyclic_we
     ``member_of`` is the array of sources that list a document (elements may be null), ``weights`` a
     function from the sources to their weights. A document is taken whole, ``max_repeats`` times at most:
     every document of a pattern as often as the pattern's words fit as a whole, and of the rest a
-    seeded run of documents, then the one document that comes nearest to what is missing, if it comes nearer.
+    seeded run of documents; where it stops, runs in the same order of documents of at most half the gap, until
+    none of that size are left; then the one document that comes nearest to what is missing, if it comes nearer.
 
     Only one row per pattern reaches the driver; more than ``max_patterns`` raise an error, as quotas are
     stated for a catalogue of sources. Null texts, ids and sources are kept; documents without words are
@@ -127,10 +129,25 @@ def taken(docs: DataFrame, size: Column, member_of: Column, *, weights=cyclic_we
     keyed = rows.withColumn("_id", group_key(F.col("doc_id")))
     order = ranked(keyed, "_p", seeded(seed, "_p", "_id", "text_hash", "size"), ["_id", "text_hash", "size"], sum(r["n"] for r in found), F.col("size"))
     order = keep(order.join(F.broadcast(plan), "_p").withColumn("_more", F.col("_before") + F.col("size") <= F.col("_rest")))
-    gap = order.groupBy("_p", "_rest").agg(F.sum(F.when(F.col("_more"), F.col("size")).otherwise(0)).alias("_got"))
-    gap = F.broadcast(gap.select("_p", (F.col("_rest") - F.col("_got")).alias("_gap")))
+    got = F.sum(F.when(F.col("_more"), F.col("size")).otherwise(0))
+    gap = keep(order.groupBy("_p", "_rest").agg(got.alias("_got")).select("_p", (F.col("_rest") - F.col("_got")).alias("_gap")))
+    # A pass takes the next documents of at most half of what is missing: it halves the gap, or none of that size are left.
+    open_ = order.filter(~F.col("_more")).select("_p", "_id", "text_hash", "size", F.col("_rank").alias("_at"))
+    filled = open_.select("_p", "_at").limit(0)
+    while True:
+        open_ = open_.join(F.broadcast(gap), "_p").filter((F.col("size") > 0) & (2 * F.col("size") <= F.col("_gap")))
+        tried = ranked(open_, "_p", seeded(seed, "_p", "_id", "text_hash", "size"), ["_id", "text_hash", "size", "_at"], sum(r["n"] for r in found), F.col("size"))
+        tried = keep(tried.select(*open_.columns, (F.col("_before") + F.col("size") <= F.col("_gap")).alias("_fits")))
+        if is_empty(tried):
+            break
+        filled = filled.unionByName(tried.filter("_fits").select("_p", "_at"))
+        more = tried.filter("_fits").groupBy("_p").agg(F.sum("size").alias("_got"))
+        gap = keep(gap.join(more, "_p", "left").select("_p", (F.col("_gap") - F.coalesce("_got", F.lit(0))).alias("_gap")))
+        open_ = tried.filter(~F.col("_fits")).drop("_gap", "_fits")
+    filled = filled.select("_p", F.col("_at").alias("_rank"), F.lit(True).alias("_filled"))
+    order = keep(order.join(filled, ["_p", "_rank"], "left").withColumn("_more", F.col("_more") | F.coalesce("_filled", F.lit(False))).drop("_filled"))
     miss = F.abs(F.col("_gap") - F.col("size"))
-    last = order.join(gap, "_p").filter(~F.col("_more") & (miss < F.col("_gap"))).groupBy("_p").agg(F.min(F.struct(miss, "_rank")).alias("_last"))
+    last = order.join(F.broadcast(gap), "_p").filter(~F.col("_more") & (miss < F.col("_gap"))).groupBy("_p").agg(F.min(F.struct(miss, "_rank")).alias("_last"))
     last = F.broadcast(last.select("_p", F.col("_last._rank").alias("_closing")))
     chosen = F.col("_more") | F.coalesce(F.col("_rank") == F.col("_closing"), F.lit(False))
     times = F.col("_whole") + F.when(chosen & (F.col("_whole") < max_repeats), 1).otherwise(0)
