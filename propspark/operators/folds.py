@@ -51,7 +51,8 @@ def random_folds(df: DataFrame, id_col: str, k: int, *, seed: int = 0, shuffle:
     if shuffle:
         fold = _shuffled_pieces(df, id_col, seed, starts)
     elif isinstance(df.schema[id_col].dataType, T.IntegralType):
-        fold = pieces(df, F.col(id_col).cast("long"), [F.col(id_col)], starts)
+        # Null ids come first; like the smallest number they are told apart by the order alone.
+        fold = pieces(df, F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), [F.col(id_col)], starts)
     else:
         at = F.col("_idx")
         run = sum(((at >= s).cast("int") for s in starts), F.lit(0))
@@ -62,7 +63,8 @@ def random_folds(df: DataFrame, id_col: str, k: int, *, seed: int = 0, shuffle:
 def _shuffled_pieces(df: DataFrame, id_col: str, seed: int, starts: list[int]) -> Column:
     """Runs of the seeded order; its key is hexadecimal text, whose first 15 digits are a number."""
     key = seeded_key(seed, F.col(id_col))
-    return pieces(df, F.conv(F.substring(key, 1, 15), 16, 10).cast("long"), [key, F.col(id_col)], starts)
+    number = F.coalesce(F.conv(F.substring(key, 1, 15), 16, 10).cast("long"), F.lit(-1))
+    return pieces(df, number, [key, F.col(id_col)], starts)
 
 
 def _timed_pieces(df: DataFrame, time_col: str, id_col: str, ascending: bool, starts: list[int]) -> Column:
