@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from propspark.llm.audit import audited
+from propspark.llm.audit import sql as audit_sql
 from propspark.llm.common import read, text_of, words_of
 from propspark.llm.grades import fitted, graded
 from propspark.llm.licenses import scanned
@@ -15,6 +17,8 @@ from propspark.llm.neighbours import nearest
 from propspark.llm.packing import packed
 from propspark.llm.quality import checked
 from propspark.llm.quality import sql as quality_sql
+from propspark.llm.recipes import exact_duplicates
+from propspark.llm.recipes import sql as recipe_sql
 from propspark.llm.sharding import sharded
 from propspark.llm.simhash import near_duplicates
 from propspark.llm.toolcalls import linked
@@ -107,5 +111,13 @@ def op10_simhash(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates(read(spark, root, "documents"), radius=2, shingle=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_licenses, op3_sharding, op4_tool_calls, op5_quality, op6_neighbours, op7_grades, op8_mixing, op9_urls, op10_simhash)}
-ORACLES: dict[str, str] = {"op2_licenses": license_sql(), "op4_tool_calls": OP4_SQL, "op5_quality": quality_sql()}
+def op11_recipes(spark: SparkSession, root: str) -> DataFrame:
+    return exact_duplicates(read(spark, root, "documents"))
+
+
+def op12_audit(spark: SparkSession, root: str) -> DataFrame:
+    return audited(read(spark, root, "documents"), read(spark, root, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_licenses, op3_sharding, op4_tool_calls, op5_quality, op6_neighbours, op7_grades, op8_mixing, op9_urls, op10_simhash, op11_recipes, op12_audit)}
+ORACLES: dict[str, str] = {"op2_licenses": license_sql(), "op4_tool_calls": OP4_SQL, "op5_quality": quality_sql(), "op11_recipes": recipe_sql(), "op12_audit": audit_sql()}
