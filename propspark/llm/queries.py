@@ -10,6 +10,8 @@ from propspark.llm.audit import audited
 from propspark.llm.audit import sql as audit_sql
 from propspark.llm.common import read, text_of, words_of
 from propspark.llm.grades import fitted, graded
+from propspark.llm.lexical import search
+from propspark.llm.lexical import sql as lexical_sql
 from propspark.llm.licenses import scanned
 from propspark.llm.licenses import sql as license_sql
 from propspark.llm.mixing import mixed
@@ -119,5 +121,9 @@ def op12_audit(spark: SparkSession, root: str) -> DataFrame:
     return audited(read(spark, root, "documents"), read(spark, root, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_licenses, op3_sharding, op4_tool_calls, op5_quality, op6_neighbours, op7_grades, op8_mixing, op9_urls, op10_simhash, op11_recipes, op12_audit)}
-ORACLES: dict[str, str] = {"op2_licenses": license_sql(), "op4_tool_calls": OP4_SQL, "op5_quality": quality_sql(), "op11_recipes": recipe_sql(), "op12_audit": audit_sql()}
+def op13_lexical(spark: SparkSession, root: str) -> DataFrame:
+    return search(read(spark, root, "documents"), read(spark, root, "benchmark"), 10)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_licenses, op3_sharding, op4_tool_calls, op5_quality, op6_neighbours, op7_grades, op8_mixing, op9_urls, op10_simhash, op11_recipes, op12_audit, op13_lexical)}
+ORACLES: dict[str, str] = {"op2_licenses": license_sql(), "op4_tool_calls": OP4_SQL, "op5_quality": quality_sql(), "op11_recipes": recipe_sql(), "op12_audit": audit_sql(), "op13_lexical": lexical_sql()}
