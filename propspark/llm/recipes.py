@@ -108,9 +108,11 @@ def exact_duplicates(docs: DataFrame, *, mean: int = 2048, key_bytes: int = 16,
     """
     own = {"mean": mean, "seed": seed, "text_col": text_col}
     size = verified_key_bytes(docs, key_bytes=key_bytes, **own)
+    keep = Stored(docs.sparkSession)
     # The row's number is fixed once the table is written.
-    rows = Stored(docs.sparkSession)(recipes(docs, key_bytes=size, id_col=id_col, **own).withColumn("_nth", F.monotonically_increasing_id()))
-    groups = rows.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "_nth")).alias("_last"))
+    rows = keep(recipes(docs, key_bytes=size, id_col=id_col, **own).withColumn("_nth", F.monotonically_increasing_id()))
+    # Stored, so that the join reads plain shuffles, of which Spark splits a hot group.
+    groups = keep(rows.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "_nth")).alias("_last")))
     return rows.join(groups, "recipe").select(
         "doc_id", F.col("_last.doc_id").alias("keep_id"), "group_size", (F.col("_nth") == F.col("_last._nth")).alias("kept"), "text_sha256")
 
