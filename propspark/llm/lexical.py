@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,10 +32,11 @@ def terms_of(text: Column) -> Column:
 
 
 def indexed(docs: DataFrame, *, width: int = 1 << 14, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row ``doc_id``, ``n`` (terms with repeats), ``terms`` and ``counts`` (distinct ones), ``coords`` and ``peaks``.
+    """Per row ``doc_id``, ``n`` (terms with repeats), ``terms`` (distinct ones, by spaces), their ``counts``, ``coords`` and ``peaks``.
 
-    ``coords`` (16 bits each) are the coordinates below ``width`` that the terms are hashed to, ``peaks``
-    (32 bits each) the largest count at each. A null or empty text has no terms.
+    ``coords`` (16 bits each) are the coordinates below ``width`` that the terms are hashed to, ``peaks`` the
+    largest count at each. Counts take 8, 16 or 32 bits, as their largest needs (``whole_numbers`` reads them).
+    A null or empty text has no terms.
     """
     if not 0 < width <= 1 << 16:
         raise ValueError("the width must lie between 1 and 65536")
@@ -43,16 +45,18 @@ def indexed(docs: DataFrame, *, width: int = 1 << 14, seed: int = 42, id_col: st
         import re
         from collections import Counter
 
-        import numpy as np
-        import pyarrow as pa
         from xxhash import xxh64_intdigest
 
+        def packed(numbers, n: int) -> bytes:
+            m = np.fromiter(numbers, "<u4", n)
+            return m.astype(f"<u{1 if m.max(initial=0) < 1 << 8 else 2 if m.max() < 1 << 16 else 4}").tobytes()
+
         term = re.compile(f"[^{BREAKS}]+")
         place: dict[str, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                sizes, terms, ends, counts, coords, peaks = [], [], [0], [], [], []
+                sizes, terms, counts, coords, peaks = [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     found = Counter(term.findall((text or "").encode().lower().decode()))
                     sketch: dict[int, int] = {}
@@ -65,19 +69,22 @@ def indexed(docs: DataFrame, *, width: int = 1 << 14, seed: int = 42, id_col: st
                         if sketch.get(c, 0) < n:
                             sketch[c] = n
                     sizes.append(sum(found.values()))
-                    terms.extend(found)
-                    ends.append(len(terms))
-                    counts.append(np.fromiter(found.values(), "<u4", len(found)).tobytes())
+                    terms.append(" ".join(found))
+                    counts.append(packed(found.values(), len(found)))
                     coords.append(np.fromiter(sketch, "<u2", len(sketch)).tobytes())
-                    peaks.append(np.fromiter(sketch.values(), "<u4", len(sketch)).tobytes())
+                    peaks.append(packed(sketch.values(), len(sketch)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(terms, pa.string())),
-                     pa.array(counts, pa.binary()), pa.array(coords, pa.binary()), pa.array(peaks, pa.binary())],
+                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(terms, pa.string()), pa.array(counts, pa.binary()), pa.array(coords, pa.binary()), pa.array(peaks, pa.binary())],
                     ["doc_id", "n", "terms", "counts", "coords", "peaks"])
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, n long, terms array<string>, counts binary, coords binary, peaks binary")
+    return src.mapInArrow(run, f"doc_id {kind}, n long, terms string, counts binary, coords binary, peaks binary")
+
+
+def whole_numbers(packed: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers of a column of counts or peaks."""
+    return np.frombuffer(packed, f"<u{len(packed) // n if n else 1}").astype("i8")
 
 
 def _searcher(items: list, item_type: pa.DataType, words: list[list[tuple[str, int, int]]], floors: list[int], k: int) -> Callable:
@@ -89,9 +96,6 @@ def _searcher(items: list, item_type: pa.DataType, words: list[list[tuple[str, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from bisect import insort
 
-        import numpy as np
-        import pyarrow as pa
-
         used = sorted({c for own in words for _, c, _ in own})
         row_of = np.full(1 << 16, -1)
         row_of[used] = np.arange(len(used))
@@ -110,7 +114,7 @@ def _searcher(items: list, item_type: pa.DataType, words: list[list[tuple[str, i
                 coords = [np.frombuffer(x, "<u2") for x in part.column("coords").to_pylist()]
                 docs = np.repeat(np.arange(rows), [len(c) for c in coords])
                 where = row_of[np.concatenate(coords)]
-                peak = np.concatenate([np.frombuffer(x, "<u4") for x in part.column("peaks").to_pylist()]).astype("i8")
+                peak = np.concatenate([whole_numbers(x, len(c)) for x, c in zip(part.column("peaks").to_pylist(), coords)])
                 known = where >= 0
                 where, docs, peak = where[known], docs[known], peak[known]
                 maxima[where, docs] = (1_000_000_000 * peak) // (1000 * peak + 8 * sizes[docs])
@@ -128,8 +132,8 @@ def _searcher(items: list, item_type: pa.DataType, words: list[list[tuple[str, i
                         if len(top) == k and not entry < top[-1]:
                             break
                         if d not in held:
-                            terms = part.column("terms")[d].values.to_pylist()
-                            held[d] = dict(zip(terms, np.frombuffer(part.column("counts")[d].as_py(), "<u4").tolist()))
+                            terms = part.column("terms")[d].as_py().split(" ")
+                            held[d] = dict(zip(terms, whole_numbers(part.column("counts")[d].as_py(), len(terms)).tolist()))
                         m, has = int(sizes[d]), held[d]
                         score = sum(w * (1_000_000_000 * has[t] // (1000 * has[t] + 8 * m)) for t, _, w in own if t in has)
                         if score >= floor:
@@ -169,7 +173,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, *, width: int = 1 <<
     n_docs, n_terms = index.agg(F.count(F.when(F.col("n") > 0, 1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     asked = items.select(F.col(item_col).alias("item_id"), F.explode(F.array_distinct(terms_of(text_of(item_text_col)))).alias("term")).distinct()
     asked = keep(asked)
-    held = index.select(F.explode("terms").alias("term")).join(broadcast_if_small(asked.select("term").distinct()), "term", "left_semi")
+    held = index.select(F.explode(F.split("terms", " ")).alias("term")).join(broadcast_if_small(asked.select("term").distinct()), "term", "left_semi")
     held = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.floor(1000 * F.log((F.lit(2.0 * n_docs) + 2) / (2 * F.col("df") + 1)))
     weighted = keep(asked.join(held, "term").select("item_id", "term", weight.alias("w")))
