@@ -50,6 +50,13 @@ def nearest_all_vectors(spark, root):
     return summarize_top(top).select(F.col("id").alias("vec_id"), r6("max_sim"), r6("mean_topk"))
 
 
+def dense_pruned(spark, root):
+    """The same for a table too large for a broadcast: rows bounded by their angles to pivots, small chunks."""
+    v = _vectors(spark, root)
+    top = nearest(v, v, BLOCKS, {"emb": ["emb"]}, k=3, id_col="vec_id", exclude_self=True, broadcast_cells=1, chunk_cells=64 * 250)
+    return summarize_top(top).select(F.col("id").alias("vec_id"), r6("max_sim"), r6("mean_topk"))
+
+
 def _documents(spark, root):
     bits = lambda t, i: spread_scan(table(spark, root, t), i).select(
         F.col(i).alias("id"), path_bits(F.col("text"), PathConfig(1, 3, 2048)).alias("path"), substructure_bits(F.col("text"), SubstructureConfig(3, 1024)).alias("chars"))
@@ -129,7 +136,7 @@ def pca_variance(spark, root):
 def tanimoto_pruned(spark, root):
     """The same as ``tanimoto_documents`` for two large sides: chunks by on-bit count, rows bounded one by one."""
     docs, bench = _documents(spark, root)
-    return summarize_top(nearest(docs, bench, TEXT_BLOCKS, {"path": ["path"]}, k=5, broadcast_cells=1, chunk_cells=TEXT_BLOCKS[0].width * 500)).select(
+    return summarize_top(nearest(docs, bench, TEXT_BLOCKS, {"path": ["path"]}, k=5, broadcast_cells=1, chunk_cells=TEXT_BLOCKS[0].cells * 500)).select(
         F.col("id").alias("doc_id"), r6("max_sim"), r6("mean_topk"))
 
 
@@ -163,7 +170,7 @@ def pca_blocks(spark, root):
 
 
 QUERIES = {f.__name__: f for f in (
-    nearest_cosine, nearest_cosine_chunked, nearest_all_vectors, tanimoto_documents, multi_block_texts, train_neighbour, document_neighbour,
+    nearest_cosine, nearest_cosine_chunked, nearest_all_vectors, dense_pruned, tanimoto_documents, multi_block_texts, train_neighbour, document_neighbour,
     ad_table, dual_ad_table, ad_summary, dual_ad_summary, pca_variance, tanimoto_pruned, nearest_broadcast_left, ad_sink, pca_blocks,
 )}
 
@@ -211,6 +218,7 @@ ORACLES = {
     "nearest_cosine": _NEAREST,
     "nearest_cosine_chunked": _NEAREST,
     "nearest_all_vectors": f"with {_V}, p as (select a.vec_id, {_COS} as s from v a, v b where a.vec_id <> b.vec_id) {_TOP.format(k=3)}",
+    "dense_pruned": f"with {_V}, p as (select a.vec_id, {_COS} as s from v a, v b where a.vec_id <> b.vec_id) {_TOP.format(k=3)}",
     "tanimoto_documents": f"""with p as ({_text_pairs('documents', 'doc_id', 'benchmark', 'item_id', _path)})
         select l as doc_id, round(max(s), 6) as max_sim, round(avg(s), 6) as mean_topk from
         (select *, row_number() over (partition by l order by s desc) as rn from p) where rn <= 5 group by 1""",

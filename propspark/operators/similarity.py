@@ -1,13 +1,14 @@
 """Nearest-neighbour similarity between two tables, as block products inside Spark tasks.
 
 Tanimoto for on-bit arrays, cosine for dense vectors, and the mean over blocks for combined feature
-sets. Pairs never become rows: each task multiplies two blocks and emits only the k best values per left
-row. Three routes give the same result:
+sets. On-bits travel as packed 64-bit words. Pairs never become rows: each task multiplies two blocks and emits
+only the k best values per left row. Three routes give the same result:
 
 * the right side is shown to be small: it is broadcast and every left row is finished where it lies;
 * the left side is shown to be small: it is broadcast, the right side streams by without a shuffle;
-* otherwise both sides are cut into chunks and every chunk pair is one bounded task. Fingerprints are
-  chunked by their number of on-bits, and chunk pairs that cannot reach a row's k best are left out.
+* otherwise both sides are cut into chunks and every chunk pair is one bounded task. Rows are chunked by
+  coordinates that bound similarities (the number of on-bits; the angles to pivot vectors), a first round takes
+  each row to its most promising chunks, and a second one only where its k best can still be beaten.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from propspark.operators.ordered import global_index
 from propspark.session import broadcast_if_small, cut_lineage
 from propspark.sources.tables import is_empty, require_columns
 
-# Cells (rows x feature width) of a left side that may be broadcast: 160 MB as float64.
+# Cells (rows x numbers or 32-bit words) of a side that may be broadcast: 160 MB of numbers, 80 MB of words.
 BROADCAST_CELLS = 20_000_000
 CHUNK_CELLS = 4_000_000
+# Pivot vectors, the rows that they are chosen from, and the runs of chunks that rows are bounded against.
+PIVOTS, PIVOT_ROWS, REGIONS = 32, 2048, 4096
 
 
 @dataclass(frozen=True)
@@ -44,28 +47,76 @@ class Block:
         if self.family not in ("binary", "dense"):
             raise ValueError(f"unknown feature family: {self.family}")
 
+    @property
+    def cells(self) -> int:
+        return self.width if self.family == "dense" else 2 * _words(self.width)
+
+
+def _words(width: int) -> int:
+    return max(1, -(-width // 64))
+
+
+def pack_bits(values: Sequence, width: int) -> np.ndarray:
+    """Lists of on-bits as rows of 64-bit words; a missing list has none."""
+    out = np.zeros((len(values), _words(width)), "<u8")
+    for at in range(0, len(values), 1024):
+        part = values[at : at + 1024]
+        sizes = [0 if v is None else len(v) for v in part]
+        flat = np.zeros((len(part), out.shape[1] * 64), np.uint8)
+        if sum(sizes):
+            flat[np.repeat(np.arange(len(part)), sizes), np.concatenate([np.asarray(v, dtype=np.int64) for v in part if v is not None])] = 1
+        out[at : at + 1024] = np.packbits(flat, axis=1, bitorder="little").view("<u8")
+    return out
+
+
+def _packed(rows: DataFrame, blocks: Sequence[Block]) -> DataFrame:
+    """The rows with every on-bit column as the bytes of its words."""
+    widths: dict[str, int] = {}
+    for b in blocks:
+        if b.family == "binary":
+            widths[b.column] = max(b.width, widths.get(b.column, 0))
+    return rows.withColumns({column: _packer(width)(column) for column, width in widths.items()})
+
+
+def _packer(width: int) -> Callable:
+    @F.pandas_udf(T.BinaryType())
+    def pack(v: pd.Series) -> pd.Series:
+        return pd.Series([w.tobytes() for w in pack_bits(v.tolist(), width)], dtype=object)
+
+    return pack
+
 
 def _matrix(values: Sequence, block: Block) -> np.ndarray:
-    """Rows of one block as a dense matrix; missing rows are all zero. Dense rows get unit length."""
+    """Rows of one block: words of packed bits, or numbers of unit length; missing rows are all zero."""
     n = len(values)
     if block.family == "binary":
-        m = np.zeros((n, block.width), dtype=np.float32)
-        sizes = [0 if v is None else len(v) for v in values]
-        if sum(sizes):
-            m[np.repeat(np.arange(n), sizes), np.concatenate([np.asarray(v, dtype=np.int64) for v in values if v is not None])] = 1.0
-        return m
+        return np.frombuffer(b"".join(values), "<u8").reshape(n, -1) if n else np.zeros((0, _words(block.width)), "<u8")
     zero = np.zeros(block.width)
     m = np.stack([zero if v is None else np.asarray(v, dtype=np.float64) for v in values]) if n else np.zeros((0, block.width))
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
+def _common_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that each row of ``a`` shares with each row of ``b``, a few rows at a time so that counts stay in the cache."""
+    out = np.empty((len(a), len(b)))
+    columns, step = np.ascontiguousarray(b.T), max(1, (1 << 16) // max(1, len(b)))
+    for at in range(0, len(a), step):
+        part = a[at : at + step]
+        held = np.zeros((len(part), len(b)), np.uint32)
+        for w, column in enumerate(columns):
+            held += np.bitwise_count(part[:, w, None] & column)
+        out[at : at + step] = held
+    return out
+
+
 def block_similarity(a: np.ndarray, b: np.ndarray, family: str) -> np.ndarray:
     """All pairs of two prepared blocks. An empty union or a zero vector gives 0."""
-    inter = (a @ b.T).astype(np.float64)
     if family == "dense":
-        return inter
-    union = a.sum(axis=1, dtype=np.float64)[:, None] + b.sum(axis=1, dtype=np.float64)[None, :] - inter
+        return a @ b.T
+    inter = _common_bits(a, b)
+    on = lambda m: np.bitwise_count(m).sum(axis=1, dtype=np.float64)
+    union = on(a)[:, None] + on(b)[None, :] - inter
     return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
 
 
@@ -130,23 +181,23 @@ def nearest(
     blocks = [b for b in blocks if any(b.name in names for names in feature_sets.values())]
     columns = sorted({b.column for b in blocks})
     require_columns(left, id_col, *columns)
-    l_rows = left.select(F.col(id_col).alias("id"), *columns)
+    l_rows = _packed(left.select(F.col(id_col).alias("id"), *columns), blocks)
     flag = [F.coalesce(F.col(finetune_col), F.lit(False)).alias("_ft")] if finetune_col else []
-    r_rows = right.select(F.col(id_col).alias("id"), *columns, *flag)
+    r_rows = _packed(right.select(F.col(id_col).alias("id"), *columns, *flag), blocks)
     scopes = ["all", "finetune"] if finetune_col else ["all"]
     keys = [(fs, s) for fs in feature_sets for s in scopes]
-    width, widest = sum(b.width for b in blocks), max(b.width for b in blocks)
+    width, widest = sum(b.cells for b in blocks), max(b.cells for b in blocks)
     schema = T.StructType([
         l_rows.schema["id"], T.StructField("feature_set", T.StringType()),
         T.StructField("scope", T.StringType()), T.StructField("sim", T.DoubleType()),
     ])
     fits = max(1, broadcast_cells // width)
     args = (blocks, feature_sets, keys, k, exclude_self, schema, bool(flag))
-    if r_rows.limit(fits + 1).count() <= fits:
+    if right.select(id_col).limit(fits + 1).count() <= fits:
         return _by_broadcast_right(l_rows, r_rows, *args)
-    if l_rows.limit(fits + 1).count() <= fits:
+    if left.select(id_col).limit(fits + 1).count() <= fits:
         part = _by_broadcast_left(l_rows, r_rows, *args)
-    elif main := _shared_binary(blocks, feature_sets):
+    elif main := _shared_block(blocks, feature_sets):
         part = _by_pruned_chunks(l_rows, r_rows, *args, max(1, chunk_cells // widest), main)
     else:
         part = _by_chunks(l_rows, r_rows, *args, max(1, chunk_cells // widest))
@@ -212,59 +263,116 @@ def _multiply(lx, rx, blocks, feature_sets, keys, k, exclude_self, schema, scope
     def run(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
             return pd.DataFrame({f.name: [] for f in schema.fields})
-        best = _Best(len(lp), k, keys)
-        _score(best, lambda b: _matrix(lp[b.column].tolist(), b), lambda b: _matrix(rp[b.column].tolist(), b), blocks, feature_sets, lp["id"], rp["id"], rp["_ft"].to_numpy(bool) if scoped else None, exclude_self)
-        return pd.concat(list(best.rows(lp["id"])), ignore_index=True)
+        mats = {b.name: _matrix(rp[b.column].tolist(), b) for b in blocks}
+        step, out = max(1, CHUNK_CELLS // len(rp)), []
+        for at in range(0, len(lp), step):
+            part = lp.iloc[at : at + step]
+            best = _Best(len(part), k, keys)
+            _score(best, lambda b, part=part: _matrix(part[b.column].tolist(), b), lambda b: mats[b.name], blocks, feature_sets, part["id"], rp["id"], rp["_ft"].to_numpy(bool) if scoped else None, exclude_self)
+            out += best.rows(part["id"])
+        return pd.concat(out, ignore_index=True)
 
     # Both sides may come from one table; fresh column identities keep the pairing unambiguous.
     lx, rx = lx.toDF(*lx.columns), rx.toDF(*rx.columns)
     return lx.groupBy("_lc", "_rc").cogroup(rx.groupBy("_lc", "_rc")).applyInPandas(run, schema)
 
 
-def _shared_binary(blocks, feature_sets) -> Block | None:
-    """A fingerprint block that every feature set uses."""
-    return next((b for b in blocks if b.family == "binary" and all(b.name in names for names in feature_sets.values())), None)
+def _shared_block(blocks, feature_sets) -> Block | None:
+    """A block that every feature set uses, fingerprints first."""
+    shared = [b for b in blocks if all(b.name in names for names in feature_sets.values())]
+    return next((b for b in shared if b.family == "binary"), shared[0] if shared else None)
 
 
-def _sized_chunks(rows: DataFrame, main: Block, chunk_rows: int, name: str) -> tuple[DataFrame, list]:
-    """Chunks of equal size in order of on-bit count, and (first count, last count, rows) of each."""
-    on = F.greatest(F.coalesce(F.size(main.column), F.lit(0)), F.lit(0))
-    at = global_index(rows.withColumn("_on", on), ["_on", F.xxhash64("id"), "id"], "_i")
-    cut = at.withColumn(name, F.floor(F.col("_i") / chunk_rows).cast("int")).drop("_i")
-    meta = cut.groupBy(name).agg(F.min("_on").alias("lo"), F.max("_on").alias("hi"), F.count(F.lit(1)).alias("n")).orderBy(name).collect()
-    return cut, [(r["lo"], r["hi"], r["n"]) for r in meta]
+def choose_pivots(m: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` rows of unit length that lie far from each other: each next one is the farthest from those before."""
+    m = m[np.linalg.norm(m, axis=1) > 0]
+    if not len(m):
+        return np.zeros((1, m.shape[1]))
+    at, nearest_to = [0], m @ m[0]
+    while len(at) < n and nearest_to.min() < 1 - 1e-9:
+        at.append(int(nearest_to.argmin()))
+        nearest_to = np.maximum(nearest_to, m @ m[at[-1]])
+    return m[at]
 
 
-def reachable(l_lo, l_hi, r_lo: np.ndarray, r_hi: np.ndarray, ratio) -> tuple[np.ndarray, np.ndarray]:
-    """First and last right chunk that may hold a row of the needed similarity, for single rows or arrays of them.
+def upper_bounds(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, family: str) -> np.ndarray:
+    """The largest similarity that a row with coordinates ``x`` (rows x coordinates) may have inside each box ``lo`` to ``hi``.
 
-    Tanimoto never exceeds the smaller on-bit count over the larger one. Chunks are in count order, so the
-    admissible ones are neighbours. Rounding is given a little room.
+    On-bit counts: Tanimoto never exceeds the smaller count over the larger one. Angles to pivots: two
+    vectors are at least as far apart as their angles to any pivot differ. Rounding is given a little room.
     """
-    ratio = np.asarray(ratio, dtype=float) * (1 - 1e-9)
-    safe = np.where(ratio > 0, ratio, 1.0)
-    first = np.searchsorted(r_hi, np.asarray(l_lo) * safe, "left")
-    last = np.searchsorted(r_lo, np.asarray(l_hi) / safe, "right") - 1
-    return np.where(ratio > 0, first, 0), np.where(ratio > 0, last, len(r_lo) - 1)
+    if family == "binary":
+        y = np.clip(x[:, :1], lo[:, 0], hi[:, 0])
+        most = np.maximum(x[:, :1], y)
+        return np.divide(np.minimum(x[:, :1], y), most, out=np.zeros_like(y), where=most > 0) + 1e-9
+    gap = np.zeros((len(x), len(lo)))
+    for p in range(x.shape[1]):
+        np.maximum(gap, lo[:, p] - x[:, p, None], out=gap)
+        np.maximum(gap, x[:, p, None] - hi[:, p], out=gap)
+    return np.cos(np.maximum(gap - 1e-6, 0)) + 1e-9
+
+
+def _placed(rows: DataFrame, main: Block, pivots: np.ndarray | None) -> DataFrame:
+    """Add ``_where``, the coordinates of a row, and ``_cell``, the pivot that it is nearest to."""
+
+    @F.pandas_udf("cell int, at array<double>")
+    def place(v: pd.Series) -> pd.DataFrame:
+        m = _matrix(v.tolist(), main)
+        at = np.bitwise_count(m).sum(axis=1, dtype=np.float64)[:, None] if pivots is None else np.arccos(np.clip(m @ pivots.T, -1, 1))
+        return pd.DataFrame({"cell": at.argmin(axis=1).astype("int32"), "at": list(at)})
+
+    return rows.withColumn("_p", place(main.column)).select(*rows.columns, F.col("_p.at").alias("_where"), F.col("_p.cell").alias("_cell"))
+
+
+def _chunked(rows: DataFrame, chunk_rows: int, name: str) -> DataFrame:
+    """Chunks of equal size of neighbouring rows: by cell, then by the distance to its pivot."""
+    order = ["_cell", F.get("_where", F.col("_cell")), F.xxhash64("id"), "id"]
+    return global_index(rows, order, "_i").withColumn(name, F.floor(F.col("_i") / chunk_rows).cast("int")).drop("_i", "_cell")
 
 
 def _by_pruned_chunks(l_rows, r_rows, blocks, feature_sets, keys, k, exclude_self, schema, scoped, chunk_rows, main) -> DataFrame:
-    """Exact, in two rounds. Chunks of similar on-bit count are multiplied first; the k-th best value found
-    there bounds, for each left row, which other chunks can still matter, and only these get the row: one
-    lonely row does not open all chunks to its neighbours. Only chunk ranges pass the driver."""
-    lx, l_meta = _sized_chunks(l_rows, main, chunk_rows, "_lc")
-    rx, r_meta = _sized_chunks(r_rows, main, chunk_rows, "_rc")
-    rx = rx.drop("_on")
-    r_lo, r_hi = np.array([m[0] for m in r_meta]), np.array([m[1] for m in r_meta])
-    spark, last = l_rows.sparkSession, len(r_meta) - 1
-
-    band = []
-    for lo, hi, _ in l_meta:
-        mid = min(last, max(0, int(np.searchsorted(r_lo, (lo + hi) / 2, "right")) - 1))
-        band.append((max(0, mid - 1), min(last, mid + 1)))
-    table = spark.createDataFrame([(c, b, e) for c, (b, e) in enumerate(band)], "_lc int, _from int, _to int")
-    pairs = broadcast_if_small(table.select("_lc", F.explode(F.sequence("_from", "_to")).alias("_rc")))
-    first = cut_lineage(_multiply(lx.drop("_on").join(pairs, "_lc"), rx.join(pairs, "_rc"), blocks, feature_sets, keys, k, exclude_self, schema, scoped))
+    """Exact, in two rounds. Every left row meets its two most promising regions of chunks first; the k-th best
+    value found there bounds which others can still matter, and only these get the row: one lonely row does not open
+    all chunks to its neighbours. At most ``REGIONS`` boxes and ``PIVOT_ROWS`` sample rows pass the driver."""
+    pivots = None
+    if main.family == "dense":
+        sample = r_rows.select("id", main.column).orderBy(F.xxhash64("id"), "id").limit(PIVOT_ROWS).select(main.column).toPandas()
+        pivots = choose_pivots(_matrix(sample[main.column].tolist(), main), PIVOTS)
+    lx = _chunked(_placed(l_rows, main, pivots), chunk_rows, "_lc")
+    rx = _chunked(_placed(r_rows, main, pivots), chunk_rows, "_rc")
+    n_chunks = rx.agg(F.max("_rc")).first()[0] + 1
+    n_at = 1 if pivots is None else len(pivots)
+    region = F.floor(F.col("_rc") * min(REGIONS, n_chunks) / n_chunks)
+    ends = [f(F.get("_where", F.lit(i))).alias(f"{name}{i}") for name, f in (("lo", F.min), ("hi", F.max)) for i in range(n_at)]
+    boxes = rx.groupBy(region.alias("_r")).agg(F.min("_rc").alias("first"), F.max("_rc").alias("last"), *ends).orderBy("_r").collect()
+    lo, hi = (np.array([[b[f"{name}{i}"] for i in range(n_at)] for b in boxes]) for name in ("lo", "hi"))
+    chunks = [list(range(b["first"], b["last"] + 1)) for b in boxes]
+    rx, family = rx.drop("_where"), main.family
+
+    def regions(at: np.ndarray, ratio: np.ndarray | None) -> Iterator[list[int]]:
+        """Chunks of the two best regions of each row, or those of all others that reach its ratio."""
+        step = max(1, CHUNK_CELLS // len(lo))
+        for i in range(0, len(at), step):
+            best = upper_bounds(at[i : i + step], lo, hi, family)
+            home = np.argsort(-best, axis=1, kind="stable")[:, :2]
+            open_ = np.zeros(best.shape, bool)
+            if ratio is not None:
+                open_ = best >= ratio[i : i + step, None]
+            np.put_along_axis(open_, home, ratio is None, axis=1)
+            for row in open_:
+                yield [c for r in np.flatnonzero(row) for c in chunks[r]]
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def homes(at: pd.Series) -> pd.Series:
+        return pd.Series(list(regions(np.stack(at.tolist()), None)) if len(at) else [], dtype=object)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def others(at: pd.Series, ratio: pd.Series) -> pd.Series:
+        return pd.Series(list(regions(np.stack(at.tolist()), ratio.fillna(-2.0).to_numpy())) if len(at) else [], dtype=object)
+
+    asked = cut_lineage(lx.withColumn("_rc", F.explode(homes("_where"))).drop("_where"))
+    pairs = broadcast_if_small(asked.select("_lc", "_rc").distinct())
+    first = cut_lineage(_multiply(asked, rx.join(pairs, "_rc"), blocks, feature_sets, keys, k, exclude_self, schema, scoped))
     order = Window.partitionBy("id", "feature_set", "scope").orderBy(F.desc("sim"))
     kept = first.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= k)
     per_key = kept.groupBy("id", "feature_set", "scope").agg(F.count(F.lit(1)).alias("_n"), F.min("sim").alias("_kth"))
@@ -272,22 +380,11 @@ def _by_pruned_chunks(l_rows, r_rows, blocks, feature_sets, keys, k, exclude_sel
     n_blocks = F.lit(1)
     for fs, names in feature_sets.items():
         n_blocks = F.when(F.col("feature_set") == fs, F.lit(len(names))).otherwise(n_blocks)
-    need = F.when(F.col("_n") >= k, n_blocks * F.col("_kth") - (n_blocks - 1)).otherwise(F.lit(-1.0))
+    need = F.when(F.col("_n") >= k, n_blocks * F.col("_kth") - (n_blocks - 1)).otherwise(F.lit(-2.0))
     per_row = per_key.groupBy("id").agg(F.count(F.lit(1)).alias("_keys"), F.min(need).alias("_need"))
-    per_row = per_row.select(F.col("id").alias("_id"), F.when(F.col("_keys") == len(keys), F.col("_need")).otherwise(F.lit(-1.0)).alias("_ratio"))
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def open_chunks(chunk: pd.Series, on: pd.Series, ratio: pd.Series) -> pd.Series:
-        a, z = reach(on.to_numpy(), on.to_numpy(), r_lo, r_hi, ratio.fillna(-1.0).to_numpy())
-        out = []
-        for c, f, t in zip(chunk, a, z):
-            b, e = band[c]
-            out.append([*range(int(f), min(int(t) + 1, b)), *range(max(int(f), e + 1), int(t) + 1)])
-        return pd.Series(out, dtype=object)
-
-    reach = reachable
-    asked = lx.join(per_row, lx["id"] == per_row["_id"], "left").withColumn("_rc", F.explode(open_chunks("_lc", "_on", "_ratio")))
-    asked = cut_lineage(asked.drop("_id", "_ratio", "_on"))
+    per_row = per_row.select(F.col("id").alias("_id"), F.when(F.col("_keys") == len(keys), F.col("_need")).otherwise(F.lit(-2.0)).alias("_ratio"))
+    asked = lx.join(per_row, lx["id"] == per_row["_id"], "left").withColumn("_rc", F.explode(others("_where", "_ratio")))
+    asked = cut_lineage(asked.drop("_id", "_ratio", "_where"))
     if is_empty(asked):
         return first
     more = broadcast_if_small(asked.select("_lc", "_rc").distinct())

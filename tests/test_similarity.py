@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from propspark.operators import domain as D
 from propspark.operators.fingerprints import SubstructureConfig, substructure_bits
-from propspark.operators.similarity import Block, block_similarity, nearest, reachable, summarize_top, train_neighbours
+from propspark.operators.similarity import Block, block_similarity, choose_pivots, nearest, pack_bits, summarize_top, train_neighbours, upper_bounds
 
 BLOCKS = (Block("bits", "bits", "binary", 40), Block("vec", "vec", "dense", 6))
 SETS = {"bits": ["bits"], "both": ["bits", "vec"]}
@@ -34,7 +34,7 @@ def _sims(pdf_a, pdf_b):
     return tan, cos
 
 
-@pytest.mark.parametrize("sizes", [{}, {"broadcast_cells": 46 * 30}, {"broadcast_cells": 1, "chunk_cells": 46 * 20}])
+@pytest.mark.parametrize("sizes", [{}, {"broadcast_cells": 8 * 30}, {"broadcast_cells": 1, "chunk_cells": 6 * 20}])
 def test_routes_match_brute_force(rows, sizes):
     test, train = rows.filter("id < 25"), rows.filter("id >= 25")
     top = summarize_top(nearest(test, train, BLOCKS, SETS, k=5, finetune_col="is_finetune", **sizes)).collect()
@@ -50,7 +50,7 @@ def test_routes_match_brute_force(rows, sizes):
     assert len(top) == 25 * 2 * 2
 
 
-@pytest.mark.parametrize("sizes", [{}, {"broadcast_cells": 1, "chunk_cells": 46 * 20}])
+@pytest.mark.parametrize("sizes", [{}, {"broadcast_cells": 1, "chunk_cells": 6 * 20}])
 def test_train_neighbours(rows, sizes):
     """Self is left out by row, duplicates give 1, blocks are averaged after their own maximum."""
     got = {(r["id"], r["feature_set"], r["scope"]): r["nn_sim"] for r in
@@ -81,7 +81,7 @@ def test_chunk_pruning_is_exact(spark):
     blocks, sets = [Block("bits", "bits", "binary", 256)], {"bits": ["bits"]}
     run = lambda **kw: {(r["id"]): (r["max_sim"], r["mean_topk"]) for r in summarize_top(
         nearest(df, df, blocks, sets, k=3, exclude_self=True, **kw)).collect()}
-    whole, pruned = run(), run(broadcast_cells=1, chunk_cells=256 * 20)
+    whole, pruned = run(), run(broadcast_cells=1, chunk_cells=8 * 20)
     assert len(whole) == len(pruned) == 240
     assert all(pruned[i] == pytest.approx(whole[i]) for i in whole)
 
@@ -96,17 +96,77 @@ def test_lonely_row_does_not_open_all_chunks(spark, monkeypatch):
     sent, multiply = [], S._multiply
     monkeypatch.setattr(S, "_multiply", lambda lx, *a: sent.append(lx) or multiply(lx, *a))
     args = ([Block("bits", "bits", "binary", 8000)], {"bits": ["bits"]})
-    got = {r["id"]: r["max_sim"] for r in summarize_top(nearest(df, df, *args, exclude_self=True, broadcast_cells=1, chunk_cells=8000 * 20)).collect()}
+    got = {r["id"]: r["max_sim"] for r in summarize_top(nearest(df, df, *args, exclude_self=True, broadcast_cells=1, chunk_cells=250 * 20)).collect()}
     assert len(sent) == 2 and {r["id"] for r in sent[1].select("id").distinct().collect()} == {999}
     whole = {r["id"]: r["max_sim"] for r in summarize_top(nearest(df, df, *args, exclude_self=True)).collect()}
     assert got == pytest.approx(whole)
 
 
-def test_reachable_chunks():
-    lo, hi = np.array([1, 10, 50, 100]), np.array([9, 40, 90, 200])
-    assert reachable(20, 25, lo, hi, 0.5) == (1, 2)
-    assert reachable(20, 25, lo, hi, -1.0) == (0, 3)
-    assert reachable(20, 20, lo, hi, 1.0) == (1, 1)
+def test_bounds_hold():
+    """No similarity of a row to a member of a box is above its bound; counts alone give the exact ratio."""
+    lo, hi = np.array([[1.0], [10.0], [50.0], [0.0]]), np.array([[9.0], [40.0], [90.0], [0.0]])
+    assert upper_bounds(np.array([[20.0], [0.0]]), lo, hi, "binary") == pytest.approx(np.array([[9 / 20, 1, 20 / 50, 0], [0, 0, 0, 0]]), abs=1e-8)
+    rng = np.random.default_rng(3)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    x, boxes = unit(rng.normal(size=(50, 5))), [unit(rng.normal(size=(20, 5)) * 0.3 + rng.normal(size=5)) for _ in range(12)]
+    boxes[3][4] = 0
+    x[7] = 0
+    pivots = choose_pivots(np.concatenate(boxes), 6)
+    assert len(pivots) == 6 and np.linalg.norm(pivots, axis=1) == pytest.approx(np.ones(6))
+    angles = lambda m: np.arccos(np.clip(m @ pivots.T, -1, 1))
+    ends = [np.stack([f(angles(b), axis=0) for b in boxes]) for f in (np.min, np.max)]
+    bound = upper_bounds(angles(x), *ends, "dense")
+    for j, b in enumerate(boxes):
+        assert (bound[:, j] >= (x @ b.T).max(axis=1)).all()
+    assert choose_pivots(np.zeros((3, 2)), 4).tolist() == [[0, 0]] and len(choose_pivots(np.ones((9, 2)), 4)) == 1
+
+
+def clustered(spark, clusters, each, width, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, width))
+    rows = [(c * each + i, (centres[c] + 0.15 * rng.normal(size=width)).tolist()) for c in range(clusters) for i in range(each)]
+    rows[5] = (5, [0.0] * width)
+    rows[6] = (6, None)
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "id long, vec array<double>")
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_dense_pruning(spark, monkeypatch, exclude_self):
+    """On clustered vectors few of all chunk pairs are multiplied, and the result is that of all pairs."""
+    import propspark.operators.similarity as S
+
+    df = clustered(spark, 24, 50, 16, 1)
+    blocks, sets = [Block("vec", "vec", "dense", 16)], {"vec": ["vec"]}
+    run = lambda **kw: {r["id"]: (r["max_sim"], r["mean_topk"]) for r in summarize_top(
+        nearest(df, df, blocks, sets, k=4, exclude_self=exclude_self, **kw)).collect()}
+    whole = run()
+    sent, multiply = [], S._multiply
+    monkeypatch.setattr(S, "_multiply", lambda lx, *a: sent.append(lx) or multiply(lx, *a))
+    monkeypatch.setattr(S, "_by_chunks", None)
+    pruned = run(broadcast_cells=1, chunk_cells=16 * 30)
+    assert len(whole) == len(pruned) == 1200
+    assert all(pruned[i] == pytest.approx(whole[i], abs=1e-12) for i in whole)
+    pairs = {(r["_lc"], r["_rc"]) for lx in sent for r in lx.select("_lc", "_rc").distinct().collect()}
+    rows = sum(lx.count() for lx in sent)
+    assert len(pairs) < 0.3 * 40 * 40 and rows < 0.3 * 1200 * 40
+
+
+def test_regions_of_many_chunks(spark, monkeypatch):
+    """More chunks than regions: rows are bounded against runs of chunks."""
+    import propspark.operators.similarity as S
+
+    monkeypatch.setattr(S, "REGIONS", 5)
+    df = clustered(spark, 6, 40, 8, 2)
+    args = ([Block("vec", "vec", "dense", 8)], {"vec": ["vec"]})
+    run = lambda **kw: {r["id"]: r["max_sim"] for r in summarize_top(nearest(df, df, *args, k=2, exclude_self=True, **kw)).collect()}
+    assert run(broadcast_cells=1, chunk_cells=8 * 10) == pytest.approx(run(), abs=1e-12)
+
+
+def test_packed_bits():
+    m = pack_bits([[0, 63, 64], None, [], [129]], 130)
+    assert m.shape == (4, 3) and m.tolist() == [[1 | 1 << 63, 1, 0], [0, 0, 0], [0, 0, 0], [0, 0, 2]]
+    assert Block("x", "x", "binary", 1024).cells == 32 and Block("x", "x", "dense", 64).cells == 64
 
 
 def test_lone_and_empty_train(rows):
@@ -117,7 +177,7 @@ def test_lone_and_empty_train(rows):
 
 
 def test_block_similarity_edges():
-    a = np.array([[0, 0], [1, 1]], dtype=np.float32)
+    a = pack_bits([[], [0, 1]], 2)
     assert block_similarity(a, a, "binary").tolist() == [[0, 0], [0, 1]]
     with pytest.raises(ValueError):
         Block("x", "x", "fuzzy", 3)
