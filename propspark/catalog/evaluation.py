@@ -8,7 +8,7 @@ from propspark.catalog.base import PRICE_PAIRS, price_pairs, r6, table
 from propspark.functions.scalars import abs_error, squared_error
 from propspark.operators.lookups import missing_keys, pair_predictions
 from propspark.operators.metrics import metric_table
-from propspark.operators.resample import _POISSON_CDF, REPORT_METRICS, bootstrap_metrics
+from propspark.operators.resample import _POISSON_CDF, REPORT_METRICS, bootstrap_metrics, split_metrics, split_weights
 from propspark.plans import evaluate as E
 from propspark.session import cut_lineage
 
@@ -99,6 +99,24 @@ def bootstrap_poisson(spark, root):
     return m.groupBy("Endpoint", "Metric").agg(r6(F.avg("Value"), "mean"))
 
 
+def bootstrap_weights(spark, root):
+    """Resamples by splitting: every one draws as many rows as its endpoint has, none below 0."""
+    w = split_weights(_log_pairs(spark, root), ["Endpoint"], "key", samples=SAMPLES, block_rows=16)
+    return w.groupBy("Endpoint", "Sample").agg(F.sum("_weight").alias("n"), F.min("_weight").alias("least"))
+
+
+def bootstrap_split(spark, root):
+    """Over the resamples by splitting, the mean error lies around that of all rows, and spreads as a mean of n rows does."""
+    pairs = _log_pairs(spark, root)
+    err = F.abs(F.col("y_true") - F.col("y_pred"))
+    plain = pairs.groupBy("Endpoint").agg(F.count(F.lit(1)).alias("n"), F.avg(err).alias("mae"), (F.stddev_pop(err) / F.sqrt(F.count(F.lit(1)))).alias("se"))
+    boot = split_metrics(pairs, "y_true", "y_pred", by=["Endpoint"], key="key", samples=SAMPLES, block_rows=16)
+    boot = boot.groupBy("Endpoint").agg(F.count(F.lit(1)).alias("samples"), F.avg("mae").alias("m"), F.stddev("mae").alias("s"), F.max("r2").alias("r2"), F.min("rae").alias("rae"))
+    near = F.abs(F.col("m") - F.col("mae")) <= 6 * F.col("se") / F.sqrt(F.lit(SAMPLES))
+    spread = F.col("s").between(0.8 * F.col("se"), 1.25 * F.col("se"))
+    return plain.join(boot, "Endpoint").select("Endpoint", "n", "samples", r6("mae"), near.alias("mean_near"), spread.alias("spread_near"), ((F.col("r2") <= 1) & (F.col("rae") >= 0)).alias("bounded"))
+
+
 def evaluation(spark, root):
     out = E.evaluation_table(_log_pairs(spark, root), "key", samples=SAMPLES)
     return out.select("Endpoint", *[r6(F.col(f"`{c}`"), c) for c in out.columns if c != "Endpoint"])
@@ -132,7 +150,7 @@ def domain_errors(spark, root):
 
 QUERIES = {f.__name__: f for f in (
     row_errors, error_metrics, constant_target, spearman, spearman_sorted, kendall, kendall_tied, rank_pvalues, prediction_pairs, unpredicted_keys,
-    bootstrap, bootstrap_poisson, evaluation, model_comparison, scatter, domain_errors,
+    bootstrap, bootstrap_poisson, bootstrap_weights, bootstrap_split, evaluation, model_comparison, scatter, domain_errors,
 )}
 
 
@@ -253,6 +271,9 @@ ORACLES = {
     "bootstrap": boot_sql(_ENDS, "Endpoint") + ' select Endpoint as "Endpoint", Sample as "Sample", Metric as "Metric", round(Value, 6) as "Value" from long',
     "bootstrap_poisson": boot_sql(_ENDS, "Endpoint", poisson_sql(SAMPLES))
     + ' select Endpoint as "Endpoint", Metric as "Metric", round(avg(Value), 6) as mean from long group by 1, 2',
+    "bootstrap_weights": f'select Endpoint as "Endpoint", r.Sample::int as "Sample", count(*) as n, 1::bigint as least from ({_ENDS}), range({SAMPLES}) r(Sample) where x is not null and y is not null group by all',
+    "bootstrap_split": f"""with p as (select Endpoint, abs(log10(greatest(x, 0) + 1) - log10(greatest(y, 0) + 1)) as e from ({_ENDS}) where x is not null and y is not null)
+        select Endpoint as "Endpoint", count(*) as n, {SAMPLES}::bigint as samples, round(avg(e), 6) as mae, true as mean_near, true as spread_near, true as bounded from p group by 1""",
     "evaluation": boot_sql(_ENDS, "Endpoint") + f""", w as ({_wide('Endpoint')}), u as (select * from w union all select 'Macro Average',
         {', '.join(f'avg("{c}")' for c in _NAMES)} from w) select Endpoint as "Endpoint", {_ROUNDED} from u""",
     "model_comparison": boot_sql(_FLAG, "Name") + f""", w as ({_wide('Name')}) select row_number() over (order by "mean_MAE", Name) as "Rank", Name as "Name", 'HLM' as "Endpoint", {_ROUNDED} from w""",
