@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from propspark.functions.text import seeded_key
-from propspark.operators.ordered import global_index, join_counted, pieces
+from propspark.operators.ordered import global_index, in_pieces, join_counted
 from propspark.session import broadcast_if_small
 from propspark.sources.tables import require_columns
 
@@ -49,29 +49,29 @@ def random_folds(df: DataFrame, id_col: str, k: int, *, seed: int = 0, shuffle:
     size, longer = divmod(n, k)
     starts = [j * size + min(j, longer) for j in range(1, k)]
     if shuffle:
-        fold = _shuffled_pieces(df, id_col, seed, starts)
+        out = _shuffled_pieces(df, id_col, seed, starts, name)
     elif isinstance(df.schema[id_col].dataType, T.IntegralType):
         # Null ids come first; like the smallest number they are told apart by the order alone.
-        fold = pieces(df, F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), [F.col(id_col)], starts)
+        out = in_pieces(df, F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), [F.col(id_col)], starts, name)
     else:
         at = F.col("_idx")
         run = sum(((at >= s).cast("int") for s in starts), F.lit(0))
         return global_index(df, [F.col(id_col)], "_idx").withColumn(name, run + 1).drop("_idx")
-    return df.withColumn(name, fold + 1)
+    return out.withColumn(name, F.col(name) + 1)
 
 
-def _shuffled_pieces(df: DataFrame, id_col: str, seed: int, starts: list[int]) -> Column:
+def _shuffled_pieces(df: DataFrame, id_col: str, seed: int, starts: list[int], name: str) -> DataFrame:
     """Runs of the seeded order; its key is hexadecimal text, whose first 15 digits are a number."""
     key = seeded_key(seed, F.col(id_col))
     number = F.coalesce(F.conv(F.substring(key, 1, 15), 16, 10).cast("long"), F.lit(-1))
-    return pieces(df, number, [key, F.col(id_col)], starts)
+    return in_pieces(df, number, [key, F.col(id_col)], starts, name)
 
 
-def _timed_pieces(df: DataFrame, time_col: str, id_col: str, ascending: bool, starts: list[int]) -> Column:
+def _timed_pieces(df: DataFrame, time_col: str, id_col: str, ascending: bool, starts: list[int], name: str) -> DataFrame:
     """Runs of the time order; rows without a time come first, or last where the order falls."""
     number = F.coalesce(F.unix_micros(F.to_timestamp(time_col)), F.lit(-(1 << 62)))
     number = number if ascending else -number
-    return pieces(df, number, [number, F.col(id_col)], starts)
+    return in_pieces(df, number, [number, F.col(id_col)], starts, name)
 
 
 def lightest_first_schedule(classes: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
@@ -172,8 +172,8 @@ def time_splits(df: DataFrame, time_col: str, id_col: str, k: int, *, ascending:
     if size == 0:
         raise ValueError(f"too few rows ({n}) for {k} time splits")
     first = n - k * size
-    window = _timed_pieces(df, time_col, id_col, ascending, [first + j * size for j in range(k)])
-    laid = df.select(id_col, window.alias("_w"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("split"))
+    window = _timed_pieces(df.select(id_col, time_col), time_col, id_col, ascending, [first + j * size for j in range(k)], "_w")
+    laid = window.select(id_col, "_w", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("split"))
     role = F.when(F.col("_w") < F.col("split"), F.lit("train")).when(F.col("_w") == F.col("split"), F.lit("test"))
     return laid.select("split", role.alias("role"), id_col).filter(F.col("role").isNotNull())
 
@@ -207,7 +207,7 @@ def _time_fold_column(df: DataFrame, id_col: str, cfg: SplitConfig, k: int, name
     if size == 0:
         raise ValueError(f"too few rows ({n}) for {k} time splits")
     first = n - k * size
-    return df.withColumn(name, _timed_pieces(df, cfg.time_column, id_col, cfg.time_ascending, [first + j * size for j in range(k)]))
+    return _timed_pieces(df, cfg.time_column, id_col, cfg.time_ascending, [first + j * size for j in range(k)], name)
 
 
 def train_test(df: DataFrame, cfg: SplitConfig, fold: int, *, name: str = "fold") -> tuple[DataFrame, DataFrame]:
@@ -222,9 +222,9 @@ def holdout(df: DataFrame, id_col: str, cfg: SplitConfig, fraction: float, *, na
         raise ValueError("need at least 4 rows to hold out a validation set")
     n_valid = min(max(1, math.ceil(n * fraction)), n - 1)
     if cfg.method == "random":
-        return df.withColumn(name, _shuffled_pieces(df, id_col, cfg.random_state, [n_valid]) == 0)
+        return _shuffled_pieces(df, id_col, cfg.random_state, [n_valid], name).withColumn(name, F.col(name) == 0)
     if cfg.method == "time_series":
         if not cfg.time_column:
             raise ValueError("time_column must be provided for time_series split")
-        return df.withColumn(name, _timed_pieces(df, cfg.time_column, id_col, cfg.time_ascending, [n - n_valid]) == 1)
+        return _timed_pieces(df, cfg.time_column, id_col, cfg.time_ascending, [n - n_valid], name).withColumn(name, F.col(name) == 1)
     return assign_folds(df, id_col, cfg, min(5, n), name="_fold").withColumn(name, F.col("_fold") == 1).drop("_fold")

@@ -7,6 +7,7 @@ one weighted row first, and positions are broken by further order columns.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,56 +54,72 @@ def global_index(df: DataFrame, order: Iterable[str | Column], name: str = "row_
     )
 
 
-def cut_keys(df: DataFrame, number: Column, order: list[Column], ranks: Iterable[int], *, bins: int = 4096, limit: int = 100_000) -> list[tuple]:
-    """The order key at each 0-based rank of the total order, by counting passes over the key columns alone.
+def cut_keys(df: DataFrame, number: Column, order: list[Column], ranks: Iterable[int], *, accuracy: int = 20_000, limit: int = 100_000) -> list[tuple]:
+    """The order key at each 0-based rank of the total order, by three passes over the key columns alone.
 
-    ``number`` is a whole number that never falls along ``order``. The range around a rank is counted in
-    ``bins`` equal steps until it holds at most ``limit`` rows, which are sorted on the driver; a single
-    number shared by more rows is sorted in Spark. No row of ``df`` is moved.
+    ``number`` is a whole number that never falls along ``order``. A mergeable quantile sketch brackets every
+    rank, a second pass counts the rows below and in each bracket exactly, and the rows in the brackets, of which
+    the sketch leaves a share of about 4 / ``accuracy`` for each rank, are sorted on the driver. A bracket that missed is
+    opened to the whole range; one that holds more than ``limit`` rows, as where many share a number, is sorted
+    in Spark. No row of ``df`` is moved, and a row's key is computed once in a pass.
     """
     names = [f"_o{i}" for i in range(len(order))]
     keys = df.select(number.alias("_n"), *[c.alias(n) for c, n in zip(order, names)])
-    low, high, total = keys.agg(F.min("_n"), F.max("_n"), F.count(F.lit(1))).first()
-    counted: dict[tuple, dict[int, int]] = {}
-    found: dict[int, tuple] = {}
-    small: list[tuple[int, int, int, int]] = []
     ranks = list(ranks)
-    for rank in ranks:
-        lo, hi, n, at = low, high, total, rank
-        while n > limit and lo < hi:
-            step = (hi - lo) // bins + 1
-            inside = keys.filter(F.col("_n").between(lo, hi))
-            if (lo, hi) not in counted:
-                counted[lo, hi] = {r["b"]: r["count"] for r in inside.groupBy(F.expr(f"(_n - {lo}L) div {step}L").alias("b")).count().collect()}
-            for b, m in sorted(counted[lo, hi].items()):
-                if at < m:
-                    break
-                at -= m
-            lo, hi, n = lo + b * step, min(hi, lo + (b + 1) * step - 1), m
-        if n > limit:
-            own = keys.filter(F.col("_n").between(lo, hi)).select(*names)
-            found[rank] = tuple(global_index(own, names, "_at").filter(F.col("_at") == at).select(*names).first())
-        else:
-            small.append((rank, lo, hi, at))
-    if small:
-        # One pass brings the rows around all ranks.
-        near = F.lit(False)
-        for lo, hi in sorted({(lo, hi) for _, lo, hi, _ in small}):
-            near = near | F.col("_n").between(lo, hi)
-        rows = keys.filter(near).orderBy(*names).collect()
-        for rank, lo, hi, at in small:
-            found[rank] = tuple([r for r in rows if lo <= r["_n"] <= hi][at])[1:]
+    wanted = sorted(set(ranks))
+    if not wanted:
+        return []
+    total = df.count()
+    shares = [min(1.0, max(0.0, (r + 0.5) / total + d / accuracy)) for r in wanted for d in (-2, 2)]
+    low, high, ends = keys.agg(F.min("_n"), F.max("_n"), F.approx_percentile("_n", shares, accuracy)).first()
+    around = {}
+    for i, rank in enumerate(wanted):
+        # The sketch works in doubles, so a few units are added at either side.
+        lo, hi = (int(v) for v in ends[2 * i : 2 * i + 2])
+        around[rank] = max(low, lo - abs(lo) // (1 << 50) - 1), min(high, hi + abs(hi) // (1 << 50) + 1)
+    below = _counted(keys, around)
+    missed = [r for r in wanted if not below[r][0] <= r < below[r][0] + below[r][1]]
+    for r in missed:
+        around[r], below[r] = (low, high), (0, total)
+    found: dict[int, tuple] = {}
+    near = []
+    for rank in wanted:
+        if below[rank][1] * len(wanted) <= limit or total <= limit:
+            near.append(rank)
+            continue
+        own = keys.filter(F.col("_n").between(*around[rank])).select(*names)
+        found[rank] = tuple(global_index(own, names, "_at").filter(F.col("_at") == rank - below[rank][0]).select(*names).first())
+    if near:
+        # Rows of the brackets, without a filter that would compute the key anew for each comparison.
+        inside = sum(((F.col("_n") >= lo) & (F.col("_n") <= hi)).cast("int") for lo, hi in (around[r] for r in near)) > 0
+        rows = keys.select(F.inline(F.when(inside, F.array(F.struct("_n", *names))).otherwise(F.array().cast(keys.select(F.array(F.struct("_n", *names))).schema[0].dataType))))
+        rows = rows.orderBy(*names).collect()
+        numbers = [r["_n"] for r in rows]
+        for rank in near:
+            found[rank] = tuple(rows[bisect_left(numbers, around[rank][0]) + rank - below[rank][0]])[1:]
     return [found[r] for r in ranks]
 
 
-def pieces(df: DataFrame, number: Column, order: list[Column], starts: Iterable[int]) -> Column:
-    """Into which run of the total order a row falls, runs beginning at the given ranks (above 0): a column from 0.
+def _counted(keys: DataFrame, around: dict[int, tuple[int, int]]) -> dict[int, tuple[int, int]]:
+    """Per rank the rows below its bracket and in it."""
+    sums = []
+    for lo, hi in around.values():
+        sums += [F.count_if(F.col("_n") < lo), F.count_if(F.col("_n").between(lo, hi))]
+    got = keys.agg(*sums).first()
+    return {rank: (got[2 * i], got[2 * i + 1]) for i, rank in enumerate(around)}
+
+
+def in_pieces(df: DataFrame, number: Column, order: list[Column], starts: Iterable[int], name: str) -> DataFrame:
+    """Add into which run of the total order a row falls, runs beginning at the given ranks (above 0): a number from 0.
 
     The cuts become constants, so the rows stay where they are. The order should be total (unique ids).
     """
-    key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     cuts = cut_keys(df, number, order, starts)
-    return sum(((key >= F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(cut)])).cast("int") for cut in cuts), F.lit(0))
+    names = [f"_o{i}" for i in range(len(order))]
+    keyed = df.select("*", *[c.alias(n) for c, n in zip(order, names)])
+    key = F.struct(*names)
+    run = sum(((key >= F.struct(*[F.lit(v).alias(n) for n, v in zip(names, cut)])).cast("int") for cut in cuts), F.lit(0))
+    return keyed.withColumn(name, run).drop(*names)
 
 
 def running_total(df: DataFrame, order: Iterable[str | Column], weight: str, name: str) -> DataFrame:

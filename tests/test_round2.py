@@ -25,7 +25,7 @@ def test_cut_keys(spark, limit):
     values = [(int(v), i) for i, v in enumerate(np.concatenate([rng.integers(-(10**12), 10**12, 200), np.repeat(7, 40), rng.integers(0, 9, 60)]))]
     df = spark.createDataFrame(values, "v long, id long").repartition(3)
     ranks = [0, 1, 99, 150, 151, 200, 299]
-    got = cut_keys(df, F.col("v"), [F.col("v"), F.col("id")], ranks, bins=8, limit=limit)
+    got = cut_keys(df, F.col("v"), [F.col("v"), F.col("id")], ranks, accuracy=50, limit=limit)
     assert got == [sorted(values)[r] for r in ranks]
 
 
