@@ -12,7 +12,8 @@ def sharded(docs: DataFrame, n_shards: int = 16, *, seed: int = 7, id_col: str =
     """Per row ``doc_id``, ``source``, ``size``, ``text_crc32``, ``shard`` and ``slot``.
 
     Rows are shuffled by a seeded hash within their source; the row of rank r among n gets the fraction
-    (r + 1/2) / n. Rows sorted by fraction are cut into shards whose counts differ by one at most, and
+    (r + u) / n, where u is a seeded offset of the source below 1, so that many small sources spread over the whole
+    order. Rows sorted by fraction are cut into shards whose counts differ by one at most, and
     any run of the order holds each source in proportion. ``size`` is the UTF-8 length plus 1.
 
     A null source is a source of its own, a null text is empty. The order is by hash, id and checksum, so
@@ -27,7 +28,8 @@ def sharded(docs: DataFrame, n_shards: int = 16, *, seed: int = 7, id_col: str =
     n = rows.count()
     ties = ["_id", "text_crc32", "size"]
     mixed = ranked(rows, "_source", seeded(seed, "_source", "_id", "text_crc32", "size"), ties, n)
-    share = ((F.col("_rank") + F.lit(0.5)) / F.col("_size")).alias("_share")
+    offset = seeded(seed + 1, "_source") / F.lit(float(1 << 63))
+    share = F.least((F.col("_rank") + offset) / F.col("_size"), F.lit(1 - 2.0**-53)).alias("_share")
     mixed = keep(mixed.select(*rows.columns, share, F.lit("all").alias("_all")))
     # 52 bits of the fraction as an even key; the sources' ties go by name, then hash.
     key = F.shiftleft(F.floor(F.col("_share") * F.lit(float(1 << 52))).cast("long"), 11)

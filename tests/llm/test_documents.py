@@ -1,8 +1,11 @@
 """Document operators against plain Python on a small table with nulls, ties, repeats, long texts and clashing columns."""
 
 import collections
+import random
 import re
 import zlib
+from fractions import Fraction
+from itertools import product
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from propspark.llm import grades, licenses, mixing, packing, quality, sharding, simhash
-from propspark.llm.common import text_of, words_of
+from propspark.llm.common import cell_bits, group_key, seeded, text_of, words_of
 
 SHAPE = ("doc_id long, text string, lang string, source string, size long, fp long, shard int, words array<string>, n int, _row string, _key long, "
          "key string, taken long, target double, _n int")
@@ -130,6 +133,43 @@ def test_sharding(docs, empty, rows):
     assert len(few) == 2 and len({r["shard"] for r in few}) == 2
 
 
+def test_sharding_step_by_step(spark):
+    """Shards and slots from the seeded keys by sorting in plain Python."""
+    rng = random.Random(2)
+    rows = [(i, "x" * rng.randint(0, 9), rng.choice(["a"] * 6 + ["b", "c", None, f"own{i}"])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keyed = docs.select("doc_id", "source", F.crc32(F.col("text").cast("binary")).alias("crc"), (F.octet_length("text") + 1).cast("long").alias("size"),
+                        group_key(F.col("doc_id")).alias("_id"), group_key(F.col("source")).alias("_source"))
+    keyed = keyed.withColumn("key", seeded(7, "_source", "_id", "crc", "size")).withColumn("offset", seeded(8, "_source")).collect()
+    groups = collections.defaultdict(list)
+    for r in keyed:
+        groups[r["_source"]].append(r)
+    order = []
+    for own in groups.values():
+        own.sort(key=lambda r: (r["key"], r["_id"]))
+        order += [((i + r["offset"] / (1 << 63)) / len(own), r["_source"], r["_id"], r["doc_id"]) for i, r in enumerate(own)]
+    order.sort()
+    place = [(i * 7 // 400, i) for i in range(400)]
+    first = {s: min(i for t, i in place if t == s) for s in range(7)}
+    want = {x[3]: (s, i - first[s]) for x, (s, i) in zip(order, place)}
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.sharded(docs, 7).collect()} == want
+
+
+def test_small_sources_do_not_share_a_cell(spark, monkeypatch):
+    """20,000 sources of one row each: no cell of the order holds more than a small share of them."""
+    seen, ranked = [], sharding.ranked
+
+    def counted_cells(df, group, key, ties, n):
+        cells = df.groupBy(group, F.shiftright(key, 63 - cell_bits(n))).count()
+        seen.append(cells.agg(F.max("count")).first()[0])
+        return ranked(df, group, key, ties, n)
+
+    monkeypatch.setattr(sharding, "ranked", counted_cells)
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.col("id").cast("string").alias("source"))
+    got = sharding.sharded(docs, 16).groupBy("shard").count().collect()
+    assert {r["count"] for r in got} == {1250} and seen[1] < 200
+
+
 def counted(text):
     text = text or ""
     words, lines = re.findall(SPACE, text), [x for x in text.split("\n") if re.search(SPACE, x)]
@@ -205,7 +245,7 @@ def test_mixing(docs, empty, rows):
     sizes = collections.Counter()
     for _, t, _, s in rows:
         sizes[s] += len(re.findall(SPACE, t or ""))
-    target = mixing.quotas(dict(sizes), mixing.cyclic_weights(list(sizes)))
+    target = water_levels(dict(sizes), cyclic_weights(list(sizes)))
     assert sum(target.values()) == sum(sizes.values()) and all(target[s] <= 3 * sizes[s] for s in sizes)
     source = {(d, len(re.findall(SPACE, t or ""))): s for d, t, _, s in rows}
     taken = collections.Counter()
@@ -222,11 +262,67 @@ def test_mixing(docs, empty, rows):
     assert mixing.mixed(empty, size).count() == 0
 
 
-def test_weights_and_quotas():
-    assert mixing.cyclic_weights(["b", None, "a", "ä"]) == {"a": 1, "b": 2, "ä": 3, None: 1}
-    got = mixing.quotas({"a": 10, "b": 100, "c": 190}, {"a": 1, "b": 1, "c": 1})
-    assert got["a"] == 30 and got["b"] == got["c"] == 135
-    assert mixing.quotas({"a": 0, "b": 6}, {"a": 5, "b": 1}) == {"a": 0, "b": 6}
+def cyclic_weights(sources):
+    order = sorted(s for s in sources if s is not None) + [None] * (None in sources)
+    return {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
+
+
+def water_levels(sizes, weights, cap=3):
+    """Targets by trying every level at which a source stops: the one at which all words are shared out."""
+    total, open_ = sum(sizes.values()), [s for s in sizes if weights[s] > 0]
+    for stopped in sorted({Fraction(0), *(Fraction(cap * sizes[s], weights[s]) for s in open_)}):
+        capped = [s for s in open_ if Fraction(cap * sizes[s], weights[s]) <= stopped]
+        rest = [s for s in open_ if s not in capped]
+        left = total - sum(cap * sizes[s] for s in capped)
+        if not rest or left <= min(Fraction(cap * sizes[s], weights[s]) for s in rest) * sum(weights[s] for s in rest):
+            out = {s: Fraction(cap * sizes[s]) for s in capped} | {s: Fraction(left * weights[s], sum(weights[r] for r in rest)) for s in rest}
+            return {s: out.get(s, Fraction(0)) for s in sizes}
+
+
+def test_weights_and_quotas(spark):
+    def found(sizes, weights=None):
+        table = spark.createDataFrame(list(sizes.items()), "source string, own long")
+        got = mixing.quotas(mixing.weighed(table, weights and (lambda names: {n: weights[n] for n in names}), 100)).collect()
+        return {r["source"]: r for r in got}
+
+    assert {s: r["weight"] for s, r in found({"b": 1, None: 1, "a": 1, "ä": 1}).items()} == {"a": 1, "b": 2, "ä": 3, None: 1}
+    rng = random.Random(6)
+    cases = [({"a": 10, "b": 100, "c": 190}, {"a": 1, "b": 1, "c": 1}), ({"a": 0, "b": 6}, {"a": 5, "b": 1}), ({"a": 4, "b": 6}, {"a": 0, "b": 1}), ({"a": 1}, {"a": 0})]
+    for _ in range(6):
+        sizes = {f"s{i}": rng.choice((0, 1, 7, 10**rng.randint(1, 12))) for i in range(rng.randint(1, 8))}
+        cases.append((sizes, {s: rng.randint(0, 5) for s in sizes}))
+    for sizes, weights in cases:
+        want, got = water_levels(sizes, weights), found(sizes, weights)
+        for s in sizes:
+            assert got[s]["target"] == pytest.approx(float(want[s]), rel=1e-12) and abs(got[s]["quota"] - want[s]) <= Fraction(1, 2)
+    with pytest.raises(ValueError):
+        mixing.weighed(spark.createDataFrame([("a", 1), ("b", 1)], "source string, own long"), lambda s: dict.fromkeys(s, 1), 1)
+
+
+def cheapest(patterns, targets, cap):
+    """The largest flow and its least cost by trying all ways to share out whole words."""
+    shapes, best = list(patterns), None
+    ways = [[w for w in product(*(range(cap * patterns[p] + 1) for _ in p)) if sum(w) <= cap * patterns[p]] for p in shapes]
+    for choice in product(*ways):
+        into = dict.fromkeys(targets, 0)
+        for p, w in zip(shapes, choice):
+            for s, n in zip(p, w):
+                into[s] += n
+        if all(into[s] <= targets[s] for s in targets):
+            cost = sum(sum(max(0, sum(w) - r * patterns[p]) for r in range(1, cap)) for p, w in zip(shapes, choice))
+            best = min(best or (0, 0), (-sum(map(sum, choice)), cost))
+    return best
+
+
+def test_flow_is_the_cheapest_largest():
+    rng = random.Random(3)
+    for _ in range(25):
+        shapes = rng.sample([("a",), ("b",), ("c",), ("a", "b"), ("b", "c"), ("a", "c")], 3)
+        patterns, cap = {p: rng.randint(0, 2) for p in shapes}, rng.choice((2, 3))
+        targets = {s: rng.randint(0, 6) for s in {s for p in shapes for s in p}}
+        give = mixing.route(patterns, targets, cap)
+        cost = sum(sum(max(0, give[p] - r * patterns[p]) for r in range(1, cap)) for p in shapes)
+        assert (-sum(give.values()), cost) == cheapest(patterns, targets, cap)
 
 
 def test_flow_prefers_first_copies(spark):
@@ -235,12 +331,15 @@ def test_flow_prefers_first_copies(spark):
     assert give == {("a",): 10, ("a", "b"): 10}
     give = mixing.route({("a",): 10, ("b",): 5, ("a", "b"): 10}, {"a": 12, "b": 20})
     assert sum(give.values()) == 32 and sum(max(0, give[p] - n) for p, n in {("a",): 10, ("b",): 5, ("a", "b"): 10}.items()) == 7
-    docs = spark.createDataFrame([(i, "w " * 5, ["a"] if i % 2 else ["b", "a"]) for i in range(40)], "doc_id long, text string, lists array<string>")
-    out, own, target = mixing.taken(docs, F.size(words_of(text_of())), F.col("lists"), weights=lambda s: dict.fromkeys(s, 1))
-    assert own == {"a": 200, "b": 100} and target == {"a": 150, "b": 150}
-    assert sum(r["taken"] for r in out.collect()) == 300
+    docs = spark.createDataFrame([(i, "w " * 5, ["a"] if i % 2 else ["b", "a"]) for i in range(40)] + [(99, "w " * 30, ["c"])], "doc_id long, text string, lists array<string>")
+    out, sources = mixing.taken(docs, F.size(words_of(text_of())), F.col("lists"), weights=lambda s: dict.fromkeys(s, 1))
+    assert {r["source"]: (r["own"], r["target"]) for r in sources.collect()} == {"a": (200, 120.0), "b": (100, 120.0), "c": (30, 90.0)}
+    assert sum(r["taken"] for r in out.collect()) == 330
+    overlapping = F.array(F.col("doc_id"), F.col("doc_id") + 1)
+    with pytest.raises(ValueError):
+        mixing.taken(docs, F.lit(1), overlapping, max_patterns=3, weights=lambda s: dict.fromkeys(s, 1))
     with pytest.raises(ValueError):
-        mixing.taken(docs, F.lit(1), F.array(F.col("doc_id")), max_patterns=3)
+        mixing.taken(docs, F.lit(1), overlapping, max_patterns=3)
 
 
 def fingerprint(text):
