@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from propspark.plans.features import Feature, assemble, fill_numbers, fit_numbers
+from propspark.plans.support import SupportLine, fit_support
 
 MAX_DEPTH = 30  # MLlib's limit
 
@@ -33,10 +34,21 @@ DEFAULTS: dict[str, dict[str, Any]] = {
 }
 MODELS = tuple(DEFAULTS)
 LOADERS = {"rf": RandomForestRegressionModel, "xgb": GBTRegressionModel, "lgbm": GBTRegressionModel,
-           "svm": LinearRegressionModel, "linear": LinearRegressionModel}
+           "svm": SupportLine, "linear": LinearRegressionModel}
 METADATA = "best_model_metadata"
 
 
+@dataclass(frozen=True)
+class SupportVectors:
+    """The kernel model's estimator: see ``fit_support``."""
+
+    c: float
+    epsilon: float
+
+    def fit(self, rows: DataFrame) -> SupportLine:
+        return fit_support(rows, c=self.c, epsilon=self.epsilon)
+
+
 def make_estimator(model: str, params: dict[str, Any] | None = None, seed: int = 0):
     if model not in DEFAULTS:
         raise ValueError(f"unknown model: {model}")
@@ -58,7 +70,7 @@ def make_estimator(model: str, params: dict[str, Any] | None = None, seed: int =
             **cols, seed=seed, maxIter=int(p["n_estimators"]), stepSize=float(p["learning_rate"]), maxDepth=int(p["max_depth"]),
             subsamplingRate=float(p["subsample"]), minInstancesPerNode=int(p["min_instances"]))
     if model == "svm":
-        return LinearRegression(**cols, loss="huber", epsilon=1.0 + float(p["epsilon"]), regParam=0.01 / float(p["C"]))
+        return SupportVectors(c=float(p["C"]), epsilon=float(p["epsilon"]))
     return LinearRegression(**cols, regParam=float(p["reg_param"]))
 
 
@@ -156,7 +168,10 @@ def _children(spark: SparkSession, path: str) -> list[str]:
 
 def save_model(fitted: FittedModel, path: str, spark: SparkSession, *, feature_set: str = "", extra: dict | None = None) -> str:
     name = f"best_model_{fitted.model}"
-    fitted.regressor.write().overwrite().save(f"{path}/{name}")
+    if isinstance(fitted.regressor, SupportLine):
+        fitted.regressor.save(spark, f"{path}/{name}")
+    else:
+        fitted.regressor.write().overwrite().save(f"{path}/{name}")
     if fitted.scaler is not None:
         fitted.scaler.write().overwrite().save(f"{path}/scaler")
     meta = {

@@ -18,7 +18,7 @@ from propspark.operators.summaries import best_combination, fold_summary
 from propspark.plans.features import Feature, featurize
 from propspark.plans.models import MODELS, FittedModel, fit_model, load_model, save_model
 from propspark.plans.search import SearchConfig, tune
-from propspark.session import cut_lineage
+from propspark.session import broadcast_if_small, cut_lineage
 from propspark.sources.tables import is_empty, read_table, require_columns, write_artifacts, write_table
 
 
@@ -63,56 +63,68 @@ def _checked(df: DataFrame, cfg: RunConfig) -> DataFrame:
     return drop_missing(df, keys=[cfg.key_column] if cfg.dropna_key else (), target=cfg.target_column if cfg.dropna_target else None)
 
 
-def _with_inner_folds(train: DataFrame, cfg: RunConfig) -> tuple[DataFrame, int]:
-    folded = assign_folds(train, cfg.id_column, cfg.split, cfg.split.inner_folds, name="_inner")
-    found = folded.agg(F.max("_inner").alias("n")).first()["n"]
-    return folded, int(found)
-
-
-def _search(train: DataFrame, features, model: str, cfg: RunConfig) -> dict[str, Any]:
-    """Inner search on outer-training rows only."""
-    if not cfg.search.enabled:
-        return {}
-    folded, n = _with_inner_folds(train, cfg)
-    best, _ = tune(folded, features, cfg.target_column, model, cfg.search, split=cfg.split, n_folds=n,
+def _search(train: DataFrame, features, model: str, cfg: RunConfig, n_inner: int) -> dict[str, Any]:
+    """Search on the inner folds (column ``_inner``) of training rows only."""
+    best, _ = tune(train, features, cfg.target_column, model, cfg.search, split=cfg.split, n_folds=n_inner,
                    fixed=dict(cfg.model_params.get(model, {})), seed=cfg.random_state)
     return best
 
 
+def fold_matrix(folded: DataFrame, cfg: RunConfig, outer: Sequence[int]) -> DataFrame:
+    """Per id ``_inner_of``: for every outer fold that trains on the row, its inner fold there.
+
+    Ids and fold numbers alone are stored; all feature sets, models and trials share the table.
+    """
+    needed = {cfg.id_column, "_outer", *filter(None, (cfg.split.group_column, cfg.split.time_column))}
+    keyed = folded if cfg.split.derived_key else folded.select(*[c for c in folded.columns if c in needed])
+    parts = []
+    for fold in outer:
+        train, _ = train_test(keyed, cfg.split, fold, name="_outer")
+        inner = assign_folds(train, cfg.id_column, cfg.split, cfg.split.inner_folds, name="_in")
+        parts.append(inner.select(F.col(cfg.id_column).alias("_id"), F.lit(fold).alias("_of"), "_in"))
+    each = union_all(parts).groupBy("_id", "_of").agg(F.min("_in").cast("int").alias("_in"))
+    return cut_lineage(each.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_of", "_in"))).alias("_inner_of")))
+
+
 def run_nested_cv(df: DataFrame, cfg: RunConfig) -> CvResult:
     """Score every (feature set, model) on outer folds, pick the best, refit it on all rows.
 
-    Folds are assigned once and kept as a column; features are computed once per feature set and kept for
-    all models and folds. Scores of all folds come from the stored predictions in one aggregate.
+    Outer and inner folds are assigned once and kept as columns; features are computed once per feature set
+    and stored for all models, folds and trials. Scores of all folds come from the stored predictions in one aggregate.
     """
     rows = _checked(df, cfg)
     folded = cut_lineage(assign_folds(rows, cfg.id_column, cfg.split, cfg.split.outer_folds, name="_outer"))
     counts = {r["_outer"]: r["n"] for r in folded.groupBy("_outer").agg(F.count(F.lit(1)).alias("n")).collect()}
     outer = sorted(k for k in counts if k >= 1)
+    n_inner: dict[int, int] = {}
+    if cfg.search.enabled:
+        matrix = fold_matrix(folded, cfg, outer)
+        n_inner = {r["of"]: r["n"] for r in matrix.select(F.explode("_inner_of").alias("of", "n")).groupBy("of").agg(F.max("n").alias("n")).collect()}
+        folded = folded.join(broadcast_if_small(matrix), F.col(cfg.id_column).eqNullSafe(F.col("_id"))).drop("_id")
     best_params: dict[str, list[dict]] = {}
     names: dict[str, list[str]] = {}
     tables: list[DataFrame] = []
     for fs, features in cfg.feature_sets.items():
-        data = featurize(folded, features).persist()
-        try:
-            for model in cfg.models:
-                def one(fold: int, model=model, features=features, data=data, fs=fs):
-                    tr, te = train_test(data, cfg.split, fold, name="_outer")
-                    found = _search(tr, features, model, cfg)
-                    fitted = fit_model(tr, features, cfg.target_column, model,
-                                       params={**cfg.model_params.get(model, {}), **found}, seed=cfg.random_state)
-                    scored = fitted.predict(te, "y_pred").select(
-                        F.col(cfg.id_column).alias("row_id"), F.lit(model).alias("model"), F.lit(fs).alias("feature_set"),
-                        F.lit(fold).alias("outer_fold"), F.col(cfg.target_column).cast("double").alias("y_true"), "y_pred")
-                    return found, cut_lineage(scored), fitted.feature_names
-
-                with ThreadPoolExecutor(max(1, cfg.parallelism)) as pool:
-                    got = list(pool.map(one, outer))
-                best_params[f"{model}__{fs}"] = [g[0] for g in got]
-                names[f"{model}__{fs}"] = got[-1][2]
-                tables += [g[1] for g in got]
-        finally:
-            data.unpersist()
+        data = cut_lineage(featurize(folded, features))
+        for model in cfg.models:
+            def one(fold: int, model=model, features=features, data=data, fs=fs):
+                df.sparkSession.sparkContext.setLocalProperty("spark.scheduler.pool", f"{model}-{fs}-fold-{fold}")
+                tr, te = train_test(data, cfg.split, fold, name="_outer")
+                found = {}
+                if cfg.search.enabled:
+                    found = _search(tr.withColumn("_inner", F.col("_inner_of")[F.lit(fold)]), features, model, cfg, n_inner[fold])
+                fitted = fit_model(tr, features, cfg.target_column, model,
+                                   params={**cfg.model_params.get(model, {}), **found}, seed=cfg.random_state)
+                scored = fitted.predict(te, "y_pred").select(
+                    F.col(cfg.id_column).alias("row_id"), F.lit(model).alias("model"), F.lit(fs).alias("feature_set"),
+                    F.lit(fold).alias("outer_fold"), F.col(cfg.target_column).cast("double").alias("y_true"), "y_pred")
+                return found, cut_lineage(scored), fitted.feature_names
+
+            with ThreadPoolExecutor(max(1, cfg.parallelism)) as pool:
+                got = list(pool.map(one, outer))
+            best_params[f"{model}__{fs}"] = [g[0] for g in got]
+            names[f"{model}__{fs}"] = got[-1][2]
+            tables += [g[1] for g in got]
     predictions = union_all(tables)
     if is_empty(predictions):
         raise RuntimeError("no cross-validation results")
@@ -122,7 +134,10 @@ def run_nested_cv(df: DataFrame, cfg: RunConfig) -> CvResult:
     if cfg.refit_best_model:
         features = cfg.feature_sets[best["feature_set"]]
         data = featurize(rows, features)
-        found = _search(data, features, best["model"], cfg)
+        found = {}
+        if cfg.search.enabled:
+            data = cut_lineage(assign_folds(data, cfg.id_column, cfg.split, cfg.split.inner_folds, name="_inner"))
+            found = _search(data, features, best["model"], cfg, int(data.agg(F.max("_inner")).first()[0]))
         refit = fit_model(data, features, cfg.target_column, best["model"],
                           params={**cfg.model_params.get(best["model"], {}), **found}, seed=cfg.random_state)
     return CvResult(folds, summary, predictions, best, best_params, refit, names)

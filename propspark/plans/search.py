@@ -13,8 +13,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propspark.operators.folds import SplitConfig, train_test
+from propspark.operators.folds import SplitConfig, assign_folds, train_test
 from propspark.operators.metrics import ERROR_METRICS, KENDALL_METRICS, SPEARMAN_METRICS, metric_table
+from propspark.operators.rows import union_all
 from propspark.operators.summaries import HIGHER_BETTER
 from propspark.plans.features import Feature
 from propspark.plans.models import DEFAULTS, MAX_DEPTH, FittedModel, fit_model
@@ -148,18 +149,42 @@ def tune(
             trial.state = "complete"
         return trial
 
+    def pooled(number: int) -> Trial:
+        # Where the scheduler is fair, trials of a round share the cluster instead of queueing behind each other.
+        train.sparkSession.sparkContext.setLocalProperty("spark.scheduler.pool", f"{model}-trial-{number}")
+        return run(number)
+
     began, width = time.monotonic(), max(1, cfg.parallelism)
     with ThreadPoolExecutor(width) as pool:
         for first in range(0, cfg.n_trials, width):
             if first and cfg.timeout_s is not None and time.monotonic() - began >= cfg.timeout_s:
                 break
-            trials += list(pool.map(run, range(first, min(first + width, cfg.n_trials))))
+            trials += list(pool.map(pooled, range(first, min(first + width, cfg.n_trials))))
     complete = [t for t in trials if t.state == "complete"]
     sign = -1.0 if cfg.metric in HIGHER_BETTER else 1.0
     best = min(complete, key=lambda t: (sign * t.value, t.number))
     return {k: v for k, v in best.params.items() if k not in (fixed or {})}, trials
 
 
+def tuned_prediction(train: DataFrame, rows: DataFrame, features: Sequence[Feature], target: str, id_col: str, model: str, cfg: SearchConfig, *,
+                     split: SplitConfig = SplitConfig(), fixed: dict | None = None, seed: int = 0, column: str = "prediction",
+                     ) -> tuple[DataFrame, FittedModel, list[Trial]]:
+    """Tune on inner folds of the training rows, fit them all with the best parameters, and predict ``rows``.
+
+    Gives all columns of ``rows`` plus the prediction, the fitted model (its ``params`` hold what was found) and the
+    trials. Training rows without a target are left out before folds are made. With the search switched off
+    the model's defaults and ``fixed`` are used and there are no trials.
+    """
+    known = train.filter(F.col(target).isNotNull())
+    found, trials = {}, []
+    if cfg.enabled:
+        folded = cut_lineage(assign_folds(known, id_col, split, split.inner_folds, name="_inner"))
+        n = folded.agg(F.max("_inner")).first()[0]
+        found, trials = tune(folded, features, target, model, cfg, split=split, n_folds=n, fixed=fixed, seed=seed)
+    fitted = fit_model(known, features, target, model, params={**(fixed or {}), **found}, seed=seed)
+    return fitted.predict(rows, column), fitted, trials
+
+
 def trials_table(df: DataFrame, trials: Sequence[Trial]) -> DataFrame:
     return df.sparkSession.createDataFrame(
         [(t.number, str(sorted(t.params.items(), key=lambda kv: kv[0])), t.state, len(t.running), float(t.running[-1])) for t in trials],
@@ -187,6 +212,73 @@ def candidate_predictions(train: DataFrame, valid: DataFrame, features: Sequence
     return cut_lineage(table), fitted
 
 
+def out_of_fold_predictions(rows: DataFrame, features: Sequence[Feature], target: str, id_col: str, candidates: Sequence[Candidate], *,
+                            split: SplitConfig = SplitConfig(), n_folds: int | None = None, parallelism: int = 1, seed: int = 0) -> DataFrame:
+    """Each row predicted by candidates that were fitted without its fold: id, ``fold``, ``y`` and ``p_<candidate>``, stored.
+
+    Rows without a target are left out; the warm-up rows of time windows have no predictions. Fits of different
+    candidates and folds run side by side.
+    """
+    known = rows.filter(F.col(target).isNotNull())
+    folded = cut_lineage(assign_folds(known, id_col, split, n_folds or split.outer_folds, name="fold"))
+    last = folded.agg(F.max("fold")).first()[0]
+
+    def one(at: tuple[int, Candidate]) -> tuple[int, str, FittedModel]:
+        fold, c = at
+        train, _ = train_test(folded, split, fold)
+        folded.sparkSession.sparkContext.setLocalProperty("spark.scheduler.pool", f"{c.name}-fold-{fold}")
+        return fold, c.name, fit_model(train, features, target, c.model, params=dict(c.params), seed=seed)
+
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        fitted = {(f, n): m for f, n, m in pool.map(one, [(f, c) for f in range(1, last + 1) for c in candidates])}
+    parts = []
+    for fold in range(1, last + 1):
+        _, part = train_test(folded, split, fold)
+        for c in candidates:
+            part = fitted[fold, c.name].predict(part, f"p_{c.name}")
+        parts.append(part.select(id_col, "fold", F.col(target).cast("double").alias("y"), *[f"p_{c.name}" for c in candidates]))
+    return cut_lineage(union_all(parts))
+
+
+def stacking_weights(table: DataFrame, names: Sequence[str], *, fold_col: str | None = None) -> dict[Any, tuple[float, dict[str, float]]]:
+    """The second level: the line in the candidates' predictions with the least squared error, as (intercept, weights).
+
+    One aggregate gives all sums of products; the normal equations of that small matrix are solved on the driver,
+    by the smallest weights where candidates agree. With ``fold_col`` there is a line for every fold, of all
+    other folds' rows, so that a stacked prediction has not seen its own row either.
+    """
+    cols = [F.lit(1.0), *[F.col(f"p_{n}") for n in names], F.col("y")]
+    sums = [F.sum(a * b).alias(f"g{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
+    parts = table.groupBy(*([fold_col] if fold_col else [])).agg(*sums).collect()
+    m = len(cols)
+    gram = {r[fold_col] if fold_col else None: np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(m)] for i in range(m)]) for r in parts}
+    whole = sum(gram.values())
+    out = {}
+    for key in gram:
+        g = whole - gram[key] if fold_col else whole
+        w = np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=1e-12)[0]
+        out[key] = float(w[0]), {n: float(v) for n, v in zip(names, w[1:])}
+    return out
+
+
+def stacked_prediction(table: DataFrame, weights: Mapping[Any, tuple[float, Mapping[str, float]]], column: str = "p_stacked", *, fold_col: str | None = None) -> DataFrame:
+    """Add the second level's prediction; with ``fold_col`` each fold by its own line."""
+    line = lambda at: sum((F.lit(w) * F.col(f"p_{n}") for n, w in weights[at][1].items()), F.lit(weights[at][0]))
+    if fold_col is None:
+        return table.withColumn(column, line(None))
+    value = F.lit(None).cast("double")
+    for fold in weights:
+        value = F.when(F.col(fold_col) == fold, line(fold)).otherwise(value)
+    return table.withColumn(column, value)
+
+
+def stacked_leaderboard(table: DataFrame, names: Sequence[str], *, scoring: str = "neg_mean_squared_error", fold_col: str = "fold") -> DataFrame:
+    """Candidates, their greedy average ("ensemble") and their second level ("stacked"), best first, all scored out of fold."""
+    table = ensemble_prediction(table, ensemble_weights(table, names))
+    table = stacked_prediction(table, stacking_weights(table, names, fold_col=fold_col), fold_col=fold_col)
+    return leaderboard(cut_lineage(table), [*names, "ensemble", "stacked"], scoring=scoring)
+
+
 def prediction_scores(table: DataFrame, names: Sequence[str], *, metrics: Sequence[str] = ("rmse",)) -> DataFrame:
     """Score per candidate of a wide prediction table, as ``pipeline`` plus metric columns."""
     pairs = F.array(*[F.struct(F.lit(n).alias("pipeline"), F.col(f"p_{n}").alias("p")) for n in names])
