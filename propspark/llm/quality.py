@@ -119,19 +119,22 @@ def judged(rows: DataFrame, refs: DataFrame, *, max_chars: float = 0.3, max_comm
     return known.withColumn("kept", against == 0)
 
 
-def checked(docs: DataFrame, **options) -> DataFrame:
+def checked(docs: DataFrame, refs: DataFrame | None = None, **options) -> DataFrame:
     """The rules' counts and verdict per row; texts are read once and only counts are stored.
 
-    Rows that repeat are judged alike; other columns are not read; an empty table gives an empty result.
+    ``refs`` is a table of ``references`` made from trusted texts; without it the table's own documents that
+    pass the base rules are the reference. Rows that repeat are judged alike; other columns are not read; an
+    empty table gives an empty result.
     """
     keep = Stored(docs.sparkSession)
     rows = keep(measured(docs, **options))
-    return judged(rows, keep(references(rows)))
+    return judged(rows, keep(references(rows)) if refs is None else refs)
 
 
-def passing(docs: DataFrame, **options) -> DataFrame:
-    """The documents (all columns) that pass, without a shuffle of texts: they are measured again instead."""
-    refs = Stored(docs.sparkSession)(references(measured(docs, **options)))
+def passing(docs: DataFrame, refs: DataFrame | None = None, **options) -> DataFrame:
+    """The documents (all columns) that pass, without a shuffle of texts: they are measured again instead. ``refs`` as for ``checked``."""
+    if refs is None:
+        refs = Stored(docs.sparkSession)(references(measured(docs, **options)))
     return judged(measured(docs, F.struct("*").alias("_row"), **options), refs).filter("kept").select("_row.*")
 
 

@@ -117,6 +117,44 @@ def test_license_score_is_the_share_in_place(spark):
     assert got == {1: (0.8, "t", 0, ""), 2: (0.4, "t", 0, ""), 3: (0, "", 0, "")}
 
 
+def test_license_postings_are_intersected(spark):
+    """Index words alone, in another order or at another distance, lead to no start that all postings share."""
+    t = [licenses.Template("one", "[rare words stand here] and more"), licenses.Template("two", "[rare things]"), licenses.Template("three", "[here here]")]
+    facts, postings = licenses.index(t, rare=2)
+    assert [f["rare"] for f in facts] == [2, 2, 2] and postings["here"] == [{"t": 2, "off": 0}, {"t": 2, "off": 1}]
+    assert all(len([p for own in postings.values() for p in own if p["t"] == k]) == 2 for k in range(3))
+    texts = ["rare words stand here and more", "here stand words rare", "rare x words stand here", "rare things rare words stand here here", "here here here", "words stand"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(m["label"], m["start"]) for m in r["matches"]] for r in licenses.scanned(df, t).collect()}
+    assert got == {0: [("one", 0)], 1: [], 2: [], 3: [("two", 0), ("one", 2), ("three", 5)], 4: [("three", 0), ("three", 1)], 5: []}
+
+
+def test_every_notice_is_found_once(spark):
+    """Each full notice carries its label with score 1."""
+    df = spark.createDataFrame([(i, "x " + re.sub(r"[\[\]]", "", t.notice) + " y") for i, t in enumerate(licenses.NOTICES)], "doc_id long, text string")
+    for r in licenses.scanned(df).collect():
+        t = licenses.NOTICES[r["doc_id"]]
+        assert t.label in r["labels"].split(",") and r["score"] == pytest.approx(1.0)
+    assert len(licenses.NOTICES) >= 40 and len({t.label for t in licenses.NOTICES}) == len(licenses.NOTICES)
+
+
+def test_quality_against_given_references(spark, docs):
+    """Trusted texts as the reference: a table of nothing but noise cannot pass by being its own measure."""
+    from propspark.llm.common import Stored
+
+    rng = random.Random(1)
+    prose = [(i, " ".join(rng.choice(("the", "of", "and", f"house{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}", "Garden" + chr(97 + j % 26))) for j in range(300)), "en") for i in range(20)]
+    noise = [(100 + i, " ".join("9%d!%d" % (i, j) for j in range(300)), "en") for i in range(20)]
+    shape = "doc_id long, text string, lang string"
+    trusted, bad = spark.createDataFrame(prose, shape), spark.createDataFrame(noise, shape)
+    refs = Stored(spark)(quality.references(quality.measured(trusted)))
+    assert {r["kept"] for r in quality.checked(bad).collect()} == {True}
+    assert {r["kept"] for r in quality.checked(bad, refs).collect()} == {False}
+    fair = [r["kept"] for r in quality.checked(trusted, refs).collect() if not r["base_failed"]]
+    assert len(fair) > 10 and all(fair)
+    assert quality.passing(bad.unionByName(trusted), refs).count() == len(fair)
+
+
 def test_sharding(docs, empty, rows):
     got = sharded = sharding.sharded(docs, 4).collect()
     assert bag((r["doc_id"], r["source"], r["size"], r["text_crc32"]) for r in got) == bag(
@@ -407,3 +445,57 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 5000), (None, 3), (7, 6), (7, 6)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {i: 0 for i in range(201)} | {i: 1000 for i in range(1000, 1100)}
+
+
+def plain_chances(score, cuts, grade):
+    edges = [-np.inf, *cuts, np.inf]
+    tail = lambda c: 1 / (1 + np.exp(-(c - score)))
+    return tail(edges[grade + 1]) - tail(edges[grade])
+
+
+def likelihood(x, row, bucket, value, grade, penalty, n_buckets):
+    w, cuts = x[:n_buckets], x[n_buckets] + np.concatenate([[0.0], np.cumsum(np.exp(x[n_buckets + 1 :]))])
+    score = np.zeros(len(grade))
+    for r, b, v in zip(row, bucket, value):
+        score[r] += v * w[b]
+    return -np.mean([np.log(plain_chances(s, cuts, g)) for s, g in zip(score, grade)]) + penalty * (w @ w)
+
+
+def test_grades_fit_is_the_best_likelihood():
+    """The fit's penalised likelihood against a slow search by finite differences, on 50 rows."""
+    rng = np.random.default_rng(3)
+    row, bucket = np.repeat(np.arange(50), 3), rng.integers(0, 4, 150)
+    value, grade = rng.random(150), rng.integers(0, 3, 50)
+    for r in range(50):
+        if (bucket[row == r] == 0).sum() >= 1:
+            grade[r] = min(2, grade[r] + 1)
+    got = grades.fit_ordinal(row, bucket, value, grade, 3, 4, rounds=2000, penalty=1e-2, min_rows=1)
+    point = np.concatenate([got.weights.astype(float), [got.cuts[0], np.log(got.cuts[1] - got.cuts[0])]])
+    loss = lambda x: likelihood(x, row, bucket, value, grade, 1e-2, 4)
+
+    def slope(x):
+        return np.array([(loss(x + h) - loss(x - h)) / 2e-5 for h in np.eye(len(x)) * 1e-5])
+
+    assert np.abs(slope(point)).max() < 2e-3
+    slow = np.zeros(6)
+    for _ in range(3000):
+        slow -= 0.4 * slope(slow)
+    assert loss(point) <= loss(slow) + 1e-5 and point == pytest.approx(slow, abs=0.05)
+
+
+def test_grade_tails_from_scratch(spark):
+    """Score, tails and expected grade of fixed weights, recomputed word by word with the same hashes."""
+    rng = np.random.default_rng(5)
+    model = grades.GradeModel(rng.normal(size=64).astype(np.float32), np.array([-0.5, 0.75]))
+    texts = ["Good words, GOOD words 12", "one", "", None, "(x) Y-z 7 7 7 " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = df.select("doc_id", *grades.hashed(text_of("text"), 64)).collect()
+    want = {}
+    for r in ids:
+        score = sum(np.sqrt(n / len(own)) * float(model.weights[b]) for own in (r["words"], r["shapes"]) for b, n in collections.Counter(own).items())
+        tails = [1 / (1 + np.exp(c - score)) for c in model.cuts]
+        want[r["doc_id"]] = (sum(tails), *tails)
+    got = {r["doc_id"]: (r["expected_grade"], *r["tails"]) for r in grades.graded(df, model, F.col("doc_id")).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+    split = {r["doc_id"]: (len(r["words"]), len(r["shapes"])) for r in ids}
+    assert split == {0: (5, 5), 1: (1, 1), 2: (0, 0), 3: (0, 0), 4: (240, 200)}

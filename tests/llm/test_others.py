@@ -44,6 +44,38 @@ def test_url_model_is_the_regression(spark):
     assert got[0] > 0.8 and got[1] < 0.2
 
 
+def test_url_chances_from_weights_and_grams(spark):
+    """p_block recomputed from the trained weights and plain n-grams with their hashes."""
+    labelled = urls.labelled_urls(spark)
+    weights, intercept = urls.trained(labelled)
+    asked = [u for u in URLS if u and len(u) < 1000]
+    df = spark.createDataFrame(list(enumerate(asked)), "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judged_urls(df, labelled).collect()}
+    own = {}
+    for i, r in got.items():
+        own[i] = [(seed, f"^{part}$"[a : a + n]) for seed, part in ((1, r["host"]), (2, r["path"])) for n in (3, 4, 5) for a in range(len(part) + 3 - n)]
+    every = sorted({g for gs in own.values() for g in gs})
+    table = spark.createDataFrame(every, "seed int, gram string").select("seed", "gram", F.pmod(F.xxhash64("seed", "gram"), F.lit(1 << 14)).alias("bucket"))
+    bucket = {(r["seed"], r["gram"]): r["bucket"] for r in table.collect()}
+    for i, r in got.items():
+        counts = collections.Counter(bucket[g] for g in own[i])
+        norm = max(1.0, sum(n * n for n in counts.values())) ** 0.5
+        score = intercept + sum(n * weights[b] for b, n in counts.items()) / norm
+        assert r["p_block"] == pytest.approx(1 / (1 + np.exp(-score)), abs=1e-9)
+
+
+def test_url_model_on_hosts_it_has_not_seen(spark):
+    """Every fifth host is held out of the training; most of these are still judged as labelled."""
+    rows = [(r["url"], r["label"]) for r in urls.labelled_urls(spark).collect()]
+    held = [r for i, r in enumerate(sorted(rows)) if i % 5 == 0]
+    train = spark.createDataFrame([r for r in rows if r not in held], "url string, label int")
+    asked = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string")
+    got = {r["page_id"]: r["p_block"] > 0.5 for r in urls.judged_urls(asked, train, rules=()).collect()}
+    right = np.mean([got[i] == bool(label) for i, (_, label) in enumerate(held)])
+    print("held-out accuracy", right, len(held))
+    assert right >= 0.85
+
+
 def test_tool_levels(spark):
     rng = np.random.default_rng(3)
     edges = {(f"c{i}", f"c{i - 1}") for i in range(1, 60)} | {("j", "c9"), ("j", "c30"), ("k", "j"), ("m", "k"), ("m", "c2"), ("x", "y"), ("y", "x"), ("z", "x"), ("s", "s"), ("w", "z"), ("w", "c1")}
