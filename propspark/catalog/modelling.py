@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from propspark.catalog.base import FOLD_PAIRS, fold_pairs, price_pairs, r6, scratch, table
+from propspark.catalog.base import FOLD_PAIRS, PRICE_PAIRS, fold_pairs, price_pairs, r6, scratch, table
 from propspark.catalog.text import chars_sql
 from propspark.operators.folds import SplitConfig, holdout, random_folds
 from propspark.operators.rows import union_all
@@ -81,6 +81,26 @@ def parameter_search(spark, root):
     return H.trials_table(rows, trials)
 
 
+TUNING = H.SearchConfig(True, n_trials=6, startup_trials=6, parallelism=6)
+
+
+def tuned_prediction(spark, root):
+    """Tune, fit and predict in one call over the whole space of the line, with five inner folds."""
+    rows = table(spark, root, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("item"), "l_linenumber", F.col("l_quantity").cast("double").alias("q"), F.col("l_extendedprice").alias("price"))
+    line = (Feature("num", "numeric", "q", columns=("q",)),)
+    out, _, _ = H.tuned_prediction(rows.filter("l_linenumber <= 3"), rows.filter("l_linenumber > 3"), line, "price", "item", "linear", TUNING)
+    return out.select("item", F.round("prediction", 2).alias("prediction"))
+
+
+def stacked_leaderboard(spark, root):
+    """Two stored predictions and their second level, each fold's line from the rows of all other folds."""
+    p = price_pairs(spark, root)
+    tab = cut_lineage(p.select(F.col("l_linenumber").alias("fold"), F.col("y_true").alias("y"), F.col("y_pred").alias("p_list"), (F.col("l_quantity") * 1000).alias("p_flat")))
+    board = H.stacked_leaderboard(tab, ["list", "flat"])
+    return board.filter("pipeline <> 'ensemble'").select("pipeline", F.round(F.col("cv_score") / 1e6, 6).alias("cv_score"), r6("cv_rmse"))
+
+
 def _run(**kw):
     base = dict(key_column="embedding", target_column="label", id_column="vec_id", feature_sets={"emb": EMB, "reduced": REDUCED}, models=("rf", "linear"),
                 metrics=("rmse", "mae", "r2", "spearman_rho"), split=SplitConfig("random", outer_folds=3), model_params={"rf": SMALL_RF}, parallelism=3)
@@ -173,18 +193,40 @@ def cv_artifacts(spark, root):
 
 
 QUERIES = {f.__name__: f for f in (
-    assembled_features, random_forest, gradient_boosting, kernel_regression, leaderboard_models, stored_leaderboard, parameter_search,
+    assembled_features, random_forest, gradient_boosting, kernel_regression, leaderboard_models, stored_leaderboard, parameter_search, tuned_prediction, stacked_leaderboard,
     nested_cv, nested_cv_time, nested_cv_scores, batch_scoring,
     scored_gaps, model_facts, scoring_facts, nested_cv_search, cv_artifacts,
 )}
 
 _RMSE = "sqrt(avg(pow(y_true - y_pred, 2)))"
+_DRAWN = ", ".join(f"{H.draw_params(H.SPACES['linear'], TUNING.random_state, i)['reg_param']!r}::double" for i in range(TUNING.n_trials))
+
+
+def tuned_sql() -> str:
+    """The line by its closed form for every drawn penalty and inner fold; the penalty with the least mean error predicts."""
+    fit = lambda by: f"""regr_slope(y, q) / (1 + lam / stddev_samp(y)) as b, avg(y) as my, avg(q) as mq {by}"""
+    return f"""with i as (select l_orderkey || '-' || l_linenumber as item, l_linenumber as k, l_quantity::double as q, l_extendedprice::double as y from lineitem),
+        t as materialized (select *, ntile(5) over (order by md5('0:' || item), item) as fold from i where k <= 3), l as (select unnest([{_DRAWN}]) as lam),
+        m as (select lam, f.fold, {fit('')} from t, l, range(1, 6) f(fold) where t.fold <> f.fold group by lam, f.fold),
+        s as (select lam, m.fold, sqrt(avg(pow(y - (my + b * (q - mq)), 2))) as rmse from t join m on t.fold = m.fold group by all),
+        best as (select lam from (select lam, avg(rmse) as e from s group by lam) order by e limit 1), w as (select lam, {fit('')} from t, best group by lam)
+        select item, round(my + b * (q - mq), 2) as prediction from i, w where k > 3"""
+
+
+STACKED_SQL = f"""with p as materialized (select l_linenumber as fold, y_true as y, y_pred as a, l_quantity * 1000 as b from {PRICE_PAIRS}), f as (select distinct fold from p),
+    c as (select f.fold, avg(a) as ma, avg(b) as mb, avg(y) as my, var_pop(a) as aa, var_pop(b) as bb, covar_pop(a, b) as ab, covar_pop(a, y) as ya, covar_pop(b, y) as yb
+      from f join p on p.fold <> f.fold group by all),
+    w as (select *, (ya * bb - yb * ab) / (aa * bb - ab * ab) as wa, (yb * aa - ya * ab) / (aa * bb - ab * ab) as wb from c),
+    e as (select unnest(['list', 'flat', 'stacked']) as pipeline, unnest([a, b, my + wa * (a - ma) + wb * (b - mb)]) - y as d from p join w using (fold))
+    select pipeline, round(-avg(d * d) / 1e6::double, 6) as cv_score, round(sqrt(avg(d * d)), 6) as cv_rmse from e group by 1"""
 ORACLES = {
     "assembled_features": f"""select t.doc_id, 521::bigint as width, count(b) as n_on from documents t
         left join {chars_sql('documents', 'doc_id', 512)} x on x.doc_id = t.doc_id group by 1""",
     "stored_leaderboard": """with e as (select unnest(['list', 'flat', 'discounted']) as pipeline, unnest([l_quantity * p_retailprice, l_quantity * 1000, l_quantity * p_retailprice * (1 - l_discount)])
         - l_extendedprice as d from lineitem join part on l_partkey = p_partkey)
         select pipeline, round(-avg(d * d) / 1e6::double, 6) as cv_score, round(sqrt(avg(d * d)), 6) as cv_rmse from e group by 1""",
+    "tuned_prediction": tuned_sql(),
+    "stacked_leaderboard": STACKED_SQL,
     "nested_cv_scores": f"""with p as {FOLD_PAIRS}, m as (select model as a, feature_set as b, outer_fold as c, avg(y_true) as mu from p group by all),
         f as (select model, feature_set, outer_fold, {_RMSE} as rmse, avg(abs(y_true - y_pred)) as mae, 1 - sum(pow(y_true - y_pred, 2)) / sum(pow(y_true - mu, 2)) as r2
           from p join m on a = model and b = feature_set and c = outer_fold group by all)

@@ -44,9 +44,10 @@ class SupportVectors:
 
     c: float
     epsilon: float
+    tolerance: float = 1e-3
 
     def fit(self, rows: DataFrame) -> SupportLine:
-        return fit_support(rows, c=self.c, epsilon=self.epsilon)
+        return fit_support(rows, c=self.c, epsilon=self.epsilon, tolerance=self.tolerance)
 
 
 def make_estimator(model: str, params: dict[str, Any] | None = None, seed: int = 0):

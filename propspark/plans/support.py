@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from propspark.session import cut_lineage
 
-#: Lengths of a Newton step that are tried together in one pass.
-STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3)
+#: Numbers of the summed matrix that travel together.
+PIECE = 1 << 14
 
 
 def tube_loss(r: np.ndarray, epsilon: float, delta: float) -> np.ndarray:
@@ -38,41 +38,30 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.nd
                 yield np.column_stack([z, np.ones(len(z))]), part["y"].iloc[at : at + step].to_numpy(float)
 
 
-def _slopes(rows: DataFrame, w: np.ndarray, epsilon: float, delta: float) -> np.ndarray:
-    """Curvature (rows of the matrix) with the gradient as its last column, summed over all rows."""
+def _sums(rows: DataFrame, w: np.ndarray, epsilon: float, delta: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, gradient and curvature of the loss at ``w``, summed over all rows in one pass."""
+    m = len(w)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(w), len(w) + 1))
+        loss, pull, curve = 0.0, np.zeros(m), np.zeros((m, m))
         for z, y in _blocks(batches):
             r = y - z @ w
             over = np.abs(r) - epsilon
-            pull = np.sign(r) * np.clip(over / delta, 0, 1)
             bent = z[(over > 0) & (over < delta)]
-            total[:, :-1] += bent.T @ bent / delta
-            total[:, -1] -= z.T @ pull
-        yield pd.DataFrame({"i": np.arange(len(w)), "v": list(total)})
+            loss += tube_loss(r, epsilon, delta).sum()
+            pull -= z.T @ (np.sign(r) * np.clip(over / delta, 0, 1))
+            curve += bent.T @ bent / delta
+        total = np.concatenate([[loss], pull, curve.ravel()])
+        yield pd.DataFrame({"i": np.arange(0, len(total), PIECE), "v": [total[i : i + PIECE] for i in range(0, len(total), PIECE)]})
 
-    # Sums of arrays by position, combined in the shuffle's tasks.
+    # Pieces are added up by place, in as many tasks as there are pieces.
     def add(i: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"i": [i[0]], "v": [np.sum(np.stack(part["v"].to_list()), axis=0)]})
 
     shape = "i int, v array<double>"
     found = rows.mapInPandas(run, shape).groupBy("i").applyInPandas(add, shape).collect()
-    return np.array([r["v"] for r in sorted(found, key=lambda r: r["i"])])
-
-
-def _losses(rows: DataFrame, tries: list[np.ndarray], epsilon: float, delta: float) -> list[float]:
-    """The summed loss of several weight vectors in one pass."""
-    table = np.column_stack(tries)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(table.shape[1])
-        for z, y in _blocks(batches):
-            total += tube_loss(y[:, None] - z @ table, epsilon, delta).sum(axis=0)
-        yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
-
-    found = {r["i"]: r["v"] for r in rows.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
-    return [found[i] for i in range(len(tries))]
+    total = np.concatenate([r["v"] for r in sorted(found, key=lambda r: r["i"])])
+    return float(total[0]), total[1 : m + 1], total[m + 1 :].reshape(m, m)
 
 
 @dataclass
@@ -102,11 +91,12 @@ class SupportLine:
         return SupportLine(list(row["weights"]), row["intercept"])
 
 
-def fit_support(df: DataFrame, *, c: float, epsilon: float, tolerance: float = 1e-4, max_steps: int = 60) -> SupportLine:
+def fit_support(df: DataFrame, *, c: float, epsilon: float, tolerance: float = 1e-4, max_passes: int = 100) -> SupportLine:
     """Weights w and intercept b with least |w|^2 / 2 + c * sum(max(0, |y - w z - b| - epsilon)) over ``_features`` and ``_label``.
 
     The rounding shrinks tenfold, from the spread of the labels to ``tolerance`` of it; each width takes Newton steps
-    until the loss falls by less than that share. No rows are an error.
+    until the loss falls by less than that share. A step that does not lower the loss is cut to a quarter. No rows
+    are an error.
     """
     rows = cut_lineage(df.select(vector_to_array("_features").alias("z"), F.col("_label").cast("double").alias("y")))
     facts = rows.agg(F.count(F.lit(1)), F.max(F.size("z")), F.percentile_approx("y", 0.5), F.stddev_pop("y")).first()
@@ -116,20 +106,28 @@ def fit_support(df: DataFrame, *, c: float, epsilon: float, tolerance: float = 1
     w[-1] = facts[2]
     ridge = np.append(np.ones(facts[1]), 1e-10)
     delta = scale = max(float(facts[3]), 1e-12)
-    total = lambda v, loss: float(v[:-1] @ v[:-1]) / 2 + c * loss
-    taken = 0
+
+    def at(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        loss, pull, curve = _sums(rows, v, epsilon, delta)
+        return float(v[:-1] @ v[:-1]) / 2 + c * loss, ridge * v + c * pull, np.diag(ridge) + c * curve
+
+    passes = 0
     while True:
-        now = None
-        while taken < max_steps:
-            taken += 1
-            sums = _slopes(rows, w, epsilon, delta)
-            step = np.linalg.solve(np.diag(ridge) + c * sums[:, :-1], ridge * w + c * sums[:, -1])
-            tries = [w, *[w - t * step for t in STEPS]]
-            values = [total(v, loss) for v, loss in zip(tries, _losses(rows, tries, epsilon, delta))]
-            at = int(np.argmin(values))
-            before, now, w = values[0], values[at], tries[at]
-            if before - now <= tolerance * max(abs(now), 1e-12):
+        now, slope, curve = at(w)
+        passes += 1
+        while passes < max_passes:
+            step, size = np.linalg.solve(curve, slope), 1.0
+            while passes < max_passes:
+                passes += 1
+                there = at(w - size * step)
+                if there[0] <= now or size < 1e-3:
+                    break
+                size /= 4
+            fallen = now - there[0]
+            if fallen > 0:
+                w, (now, slope, curve) = w - size * step, there
+            if fallen <= tolerance * max(abs(now), 1e-12):
                 break
-        if delta <= tolerance * scale or taken >= max_steps:
+        if delta <= tolerance * scale or passes >= max_passes:
             return SupportLine(w[:-1].tolist(), float(w[-1]))
         delta = max(delta / 10, tolerance * scale)
