@@ -65,7 +65,8 @@ def fit_ordinal(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: n
                 rate: float = 0.5, penalty: float = 2e-6, min_rows: int = 5) -> GradeModel:
     """Penalised maximum likelihood of the cumulative logit model, by Adam on all rows.
 
-    Buckets held by fewer than ``min_rows`` rows keep weight 0. Without rows the chances are even.
+    Buckets held by fewer than ``min_rows`` rows keep weight 0. Without rows the chances are even. The entries
+    are held once, in 32 bits each, and worked on in blocks.
     """
     n = len(grade)
     above = np.array([(grade > k).sum() for k in range(n_grades - 1)], float)
@@ -75,9 +76,10 @@ def fit_ordinal(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: n
     if n == 0 or not used.any() or len(np.unique(grade)) < 2:
         return GradeModel(weights, cuts)
     hold = used[bucket]
-    row, bucket, value = row[hold], bucket[hold], value[hold]
-    place = np.cumsum(used) - 1
-    at = place[bucket]
+    row, value = row[hold].astype(np.int32), value[hold].astype(np.float32 if value.dtype == np.float32 else float)
+    at = (np.cumsum(used) - 1).astype(np.int32)[bucket[hold]]
+    del bucket, hold
+    blocks = [slice(i, i + (1 << 18)) for i in range(0, len(row), 1 << 18)]
     x = np.zeros(used.sum() + n_grades - 1)
     x[-(n_grades - 1)] = cuts[0]
     x[len(x) - n_grades + 2 :] = np.log(np.maximum(np.diff(cuts), 1e-2))
@@ -87,7 +89,7 @@ def fit_ordinal(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: n
     for t in range(1, rounds + 1):
         w, gaps = x[: 1 - n_grades], np.exp(x[len(x) - n_grades + 2 :])
         cuts = x[-(n_grades - 1)] + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = np.bincount(row, weights=value * w[at], minlength=n)
+        score = sum(np.bincount(row[s], weights=value[s] * w[at[s]], minlength=n) for s in blocks)
         c = edge(cuts)
         low, high = logistic(c[grade] - score), logistic(c[grade + 1] - score)
         p = np.maximum(high - low, 1e-12)
@@ -95,7 +97,7 @@ def fit_ordinal(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: n
         d_score = (d_high - d_low) / p / n
         d_cut = np.array([(d_low / p)[grade == k + 1].sum() - (d_high / p)[grade == k].sum() for k in range(n_grades - 1)]) / n
         g = np.concatenate([
-            np.bincount(at, weights=value * d_score[row], minlength=len(w)) + 2 * penalty * w, [d_cut.sum()], np.cumsum(d_cut[::-1])[::-1][1:] * gaps])
+            sum(np.bincount(at[s], weights=value[s] * d_score[row[s]], minlength=len(w)) for s in blocks) + 2 * penalty * w, [d_cut.sum()], np.cumsum(d_cut[::-1])[::-1][1:] * gaps])
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         step = first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.999**t)) + 1e-10)
         x = x - rate * (1 - t / (rounds + 1)) * step
@@ -135,10 +137,10 @@ def fitted(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int = 3,
     if not sample.num_rows:
         none = np.zeros(0, np.int64)
         return fit_ordinal(none, none, none.astype(float), none, n_grades, buckets, **options)
-    bucket, value = (sample.column(c).combine_chunks() for c in ("bucket", "value"))
-    size = np.diff(bucket.offsets.to_numpy())
-    return fit_ordinal(np.repeat(np.arange(sample.num_rows), size), bucket.values.to_numpy(), value.values.to_numpy().astype(float),
-                       sample.column("_grade").to_numpy(), n_grades, buckets, **options)
+    grades, bucket, value = (sample.column(c).combine_chunks() for c in ("_grade", "bucket", "value"))
+    del sample
+    row = np.repeat(np.arange(len(grades), dtype=np.int32), np.diff(bucket.offsets.to_numpy()))
+    return fit_ordinal(row, bucket.values.to_numpy(), value.values.to_numpy(), grades.to_numpy(), n_grades, buckets, **options)
 
 
 def graded(docs: DataFrame, model: GradeModel, *carry: Column, text_col: str = "text") -> DataFrame:
