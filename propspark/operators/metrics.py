@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -29,21 +30,41 @@ BUCKETS = 256
 # ---- rank statistics of one bounded group, in numpy -------------------------------------------------
 
 
-def net_order(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """Weighted concordant minus discordant pairs; pairs tied in x or y count nothing.
+def whole_dot(a: np.ndarray, b: np.ndarray) -> int:
+    """The exact sum of products of whole numbers (int64), in limbs of 20 bits where 64 bits might not hold it."""
+    if not len(a):
+        return 0
+    if float(np.abs(a).max()) * float(np.abs(b).max()) * len(a) < 2.0**62:
+        return int(a @ b)
+    if len(a) > 1 << 20:
+        return sum(whole_dot(a[i : i + (1 << 20)], b[i : i + (1 << 20)]) for i in range(0, len(a), 1 << 20))
+    limbs = lambda v: [(v >> s) & ((1 << 20) - 1) if s < 60 else v >> s for s in (0, 20, 40, 60)]
+    return sum(int(p @ q) << 20 * (i + j) for i, p in enumerate(limbs(a)) for j, q in enumerate(limbs(b)))
+
+
+def _whole(w: np.ndarray) -> bool:
+    return bool((w == np.floor(w)).all() and np.abs(w).sum() < 2.0**53)
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> int | float:
+    return whole_dot(a, b) if a.dtype == np.int64 else float(a @ b)
+
+
+def net_order(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> int | float:
+    """Weighted concordant minus discordant pairs; pairs tied in x or y count nothing. Exact for whole weights.
 
     Sorted by x, the pairs are split by block halves of doubling width; each level looks all right-half
     rows up among the left-half rows of their block at once.
     """
     n = len(x)
     if n < 2:
-        return 0.0
+        return 0
     order = np.lexsort((y, x))
-    x, w = x[order], w[order].astype(np.float64)
+    x, w = x[order], w[order].astype(np.int64 if _whole(w) else np.float64)
     yr = np.unique(y, return_inverse=True)[1][order].astype(np.int64)
     m = int(yr.max()) + 1
     at = np.arange(n)
-    total, width = 0.0, 1
+    total, width = 0, 1
     while width < n:
         pair = at // (2 * width)
         key = pair * m + yr
@@ -51,31 +72,33 @@ def net_order(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
         lk, lw = key[~right], w[~right]
         by_key = np.argsort(lk, kind="stable")
         lk = lk[by_key]
-        cum = np.concatenate([[0.0], np.cumsum(lw[by_key])])
+        cum = np.concatenate([np.zeros(1, w.dtype), np.cumsum(lw[by_key])])
         base = pair[right] * m
         less = cum[np.searchsorted(lk, key[right], "left")] - cum[np.searchsorted(lk, base, "left")]
         more = cum[np.searchsorted(lk, base + m, "left")] - cum[np.searchsorted(lk, key[right], "right")]
-        total += float(np.sum(w[right] * (less - more)))
+        total += _dot(w[right], less - more)
         width *= 2
     # Within one x, rows came in y order and were counted as concordant; take them out again.
     edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
     per_x = np.add.reduceat(w, edge)
     edge_xy = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (yr[1:] != yr[:-1])]))
     per_xy = np.add.reduceat(w, edge_xy)
-    return total - (float(np.sum(per_x**2)) - float(np.sum(per_xy**2))) / 2.0
+    tied = _dot(per_x, per_x) - _dot(per_xy, per_xy)
+    return total - (tied // 2 if isinstance(tied, int) else tied / 2.0)
 
 
-def net_order_cells(i: np.ndarray, j: np.ndarray, c: np.ndarray) -> float:
+def net_order_cells(i: np.ndarray, j: np.ndarray, c: np.ndarray) -> int | float:
     """The same over a table of bucket counts, for pairs that differ in both buckets."""
     iu, ii = np.unique(i, return_inverse=True)
     ju, jj = np.unique(j, return_inverse=True)
-    grid = np.zeros((len(iu), len(ju)))
+    c = c.astype(np.int64 if _whole(c) else np.float64)
+    grid = np.zeros((len(iu), len(ju)), c.dtype)
     np.add.at(grid, (ii, jj), c)
     above = np.cumsum(grid, axis=0) - grid
     left = np.cumsum(above, axis=1)
     less = left - above
     more = left[:, -1:] - left
-    return float(np.sum(grid * (less - more)))
+    return _dot(grid.ravel(), (less - more).ravel())
 
 
 def _clip(c: Column) -> Column:
@@ -94,12 +117,20 @@ def _tag(df: DataFrame, keys: list[str], tag: str, *cols: str) -> DataFrame:
     return df.select(*[F.col(k).alias(f"{tag}{k}") for k in keys], *cols)
 
 
-def _per_group(df: DataFrame, keys: list[str], fn) -> DataFrame:
-    """Run ``fn(pdf) -> float`` for every (bounded) group."""
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("s", T.DoubleType())])
+# Pair counts of whole weights; 10^15 rows have less than 10^30 pairs.
+PAIRS = T.DecimalType(38, 0)
+
+
+def _pairs(n: int | float, whole: bool) -> Decimal | float:
+    return Decimal(int(n)) if whole else float(n)
+
+
+def _per_group(df: DataFrame, keys: list[str], fn, whole: bool) -> DataFrame:
+    """Run ``fn(pdf)``, a count of pairs, for every (bounded) group."""
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("s", PAIRS if whole else T.DoubleType())])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, fn(pdf)]], columns=[*keys, "s"])
+        return pd.DataFrame([[*key, _pairs(fn(pdf), whole)]], columns=[*keys, "s"])
 
     return df.groupBy(*keys).applyInPandas(run, schema)
 
@@ -117,7 +148,7 @@ def _buckets(dist: DataFrame, keys: list[str], col: str, name: str) -> DataFrame
     return at.select(*keys, col, "_c", num.alias(name))
 
 
-def _net(dist: DataFrame, keys: list[str], leaf: int) -> DataFrame:
+def _net(dist: DataFrame, keys: list[str], leaf: int, whole: bool) -> DataFrame:
     """``keys, s`` with s the weighted concordant minus discordant pairs of distinct (x, y, w) rows.
 
     Groups beyond ``leaf`` rows are cut into buckets of x and of y. Pairs that differ in both buckets come
@@ -125,23 +156,23 @@ def _net(dist: DataFrame, keys: list[str], leaf: int) -> DataFrame:
     minus pairs within both, each solved by the same function on much smaller groups. Exact.
     """
     if not has_large_groups(dist, keys, leaf):
-        return _per_group(dist, keys, lambda p: net_order(p["_x"].to_numpy(), p["_y"].to_numpy(), p["_w"].to_numpy()))
+        return _per_group(dist, keys, lambda p: net_order(p["_x"].to_numpy(), p["_y"].to_numpy(), p["_w"].to_numpy()), whole)
     d = len(keys)
     bx, by = f"_bx{d}", f"_by{d}"
     placed = join_counted(dist, _buckets(dist, keys, "_x", bx), [*keys, "_x"], {bx: bx}, "_c")
     placed = join_counted(placed, _buckets(dist, keys, "_y", by), [*keys, "_y"], {by: by}, "_c")
     cells = placed.groupBy(*keys, bx, by).agg(F.sum("_w").alias("_w"))
-    cross = _per_group(cells, keys, lambda p: net_order_cells(p[bx].to_numpy(), p[by].to_numpy(), p["_w"].to_numpy()))
+    cross = _per_group(cells, keys, lambda p: net_order_cells(p[bx].to_numpy(), p[by].to_numpy(), p["_w"].to_numpy()), whole)
     # A bucket with a single value has only tied pairs.
     many_x, many_y = F.col(bx) % 2 == 0, F.col(by) % 2 == 0
-    in_x = _net(placed.filter(many_x), [*keys, bx], leaf)
-    in_y = _net(placed.filter(many_y), [*keys, by], leaf)
-    in_both = _net(placed.filter(many_x & many_y), [*keys, bx, by], leaf)
+    in_x = _net(placed.filter(many_x), [*keys, bx], leaf, whole)
+    in_y = _net(placed.filter(many_y), [*keys, by], leaf, whole)
+    in_both = _net(placed.filter(many_x & many_y), [*keys, bx, by], leaf, whole)
     parts = [cross, in_x, in_y, in_both.withColumn("s", -F.col("s"))]
     out = parts[0].select(*keys, "s")
     for p in parts[1:]:
         out = out.unionByName(p.select(*keys, "s"))
-    return out.groupBy(*keys).agg(F.sum("s").alias("s"))
+    return out.groupBy(*keys).agg(F.sum("s").cast(PAIRS if whole else "double").alias("s"))
 
 
 TIES = ("_n", "_tie_x", "_tie_y", "_t0_x", "_t0_y", "_t1_x", "_t1_y")
@@ -156,29 +187,32 @@ def rank_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[float]:
         _, at = np.unique(v, return_inverse=True)
         t = np.bincount(at, weights=w)
         ranks[tag] = (np.cumsum(t) - (t - 1) / 2.0)[at] - (n + 1) / 2.0
-        sums[f"_tie{tag}"], sums[f"_t0{tag}"] = np.sum(t * (t - 1) / 2), np.sum(t * (t - 1) * (t - 2))
+        whole = t.astype(np.int64) if _whole(t) else t
+        pairs = _dot(whole, whole - 1)
+        sums[f"_tie{tag}"], sums[f"_t0{tag}"] = pairs // 2 if isinstance(pairs, int) else pairs / 2, np.sum(t * (t - 1) * (t - 2))
         sums[f"_t1{tag}"] = np.sum(t * (t - 1) * (2 * t + 5))
     rx, ry = ranks["_x"], ranks["_y"]
     sums |= {"_n": n, "_sxy": np.sum(w * rx * ry), "_sxx": np.sum(w * rx * rx), "_syy": np.sum(w * ry * ry)}
-    return [net_order(x, y, w), *[float(sums[c]) for c in (*TIES, *MOMENTS)]]
+    return [net_order(x, y, w), *[sums[c] if c.startswith("_tie") else float(sums[c]) for c in (*TIES, *MOMENTS)]]
 
 
-def _rank_sums_small(dist: DataFrame, keys: list[str]) -> DataFrame:
+def _rank_sums_small(dist: DataFrame, keys: list[str], whole: bool) -> DataFrame:
     """One shuffle for all rank metrics of groups that fit a task."""
     out = ["s", *TIES, *MOMENTS]
-    schema = T.StructType([*[dist.schema[k] for k in keys], *[T.StructField(c, T.DoubleType()) for c in out]])
+    exact = {"s", "_tie_x", "_tie_y"} if whole else set()
+    schema = T.StructType([*[dist.schema[k] for k in keys], *[T.StructField(c, PAIRS if c in exact else T.DoubleType()) for c in out]])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sums = rank_sums(*(pdf[c].to_numpy(dtype=float) for c in ("_x", "_y", "_w")))
-        return pd.DataFrame([[*key, *sums]], columns=[*keys, *out])
+        return pd.DataFrame([[*key, *[_pairs(v, c in exact) for c, v in zip(out, sums)]]], columns=[*keys, *out])
 
     return dist.groupBy(*keys).applyInPandas(run, schema)
 
 
-def _rank_sums_large(dist: DataFrame, keys: list[str], leaf: int, kendall: bool, spearman: bool) -> DataFrame:
+def _rank_sums_large(dist: DataFrame, keys: list[str], leaf: int, kendall: bool, spearman: bool, whole: bool) -> DataFrame:
     """The same sums from distributed order statistics."""
     out = dist.groupBy(*keys).agg(F.sum("_w").cast("double").alias("_n"))
-    parts = [_tie_terms(dist, keys, "_x"), _tie_terms(dist, keys, "_y"), _net(dist, keys, leaf)] if kendall else []
+    parts = [_tie_terms(dist, keys, "_x", whole), _tie_terms(dist, keys, "_y", whole), _net(dist, keys, leaf, whole)] if kendall else []
     parts += [_rank_moments(dist, keys)] if spearman else []
     for i, part in enumerate(parts):
         side = _tag(part, keys, f"_p{i}_", *[c for c in part.columns if c not in keys])
@@ -186,11 +220,14 @@ def _rank_sums_large(dist: DataFrame, keys: list[str], leaf: int, kendall: bool,
     return out
 
 
-def _tie_terms(dist: DataFrame, keys: list[str], col: str) -> DataFrame:
+def _tie_terms(dist: DataFrame, keys: list[str], col: str, whole: bool) -> DataFrame:
     t = F.col("_t").cast("double")
+    # Twice the pairs are a whole number; half their sum is one again.
+    n = F.col("_t").cast("decimal(17,0)")
+    tied = (F.sum(n * (n - 1)) / 2).cast(PAIRS) if whole else F.sum(t * (t - 1) / 2)
     per_value = dist.groupBy(*keys, col).agg(F.sum("_w").alias("_t"))
     return per_value.groupBy(*keys).agg(
-        F.sum(t * (t - 1) / 2).alias(f"_tie{col}"),
+        tied.alias(f"_tie{col}"),
         F.sum(t * (t - 1) * (t - 2)).alias(f"_t0{col}"),
         F.sum(t * (t - 1) * (2 * t + 5)).alias(f"_t1{col}"),
     )
@@ -292,10 +329,10 @@ def _spearman_p_udf(rho: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([one(r, k) for r, k in zip(rho, n)], dtype="float64")
 
 
-def _rank_metrics(dist: DataFrame, keys: list[str], leaf: int, metrics: list[str]) -> DataFrame:
+def _rank_metrics(dist: DataFrame, keys: list[str], leaf: int, metrics: list[str], whole: bool) -> DataFrame:
     kendall, spearman = bool(set(KENDALL_METRICS) & set(metrics)), bool(set(SPEARMAN_METRICS) & set(metrics))
     large = has_large_groups(dist, keys, leaf)
-    sums = _rank_sums_large(dist, keys, leaf, kendall, spearman) if large else _rank_sums_small(dist, keys)
+    sums = _rank_sums_large(dist, keys, leaf, kendall, spearman, whole) if large else _rank_sums_small(dist, keys, whole)
     cols = []
     if spearman:
         rho = _clip(F.try_divide(F.col("_sxy"), F.sqrt("_sxx") * F.sqrt("_syy")))
@@ -305,12 +342,14 @@ def _rank_metrics(dist: DataFrame, keys: list[str], leaf: int, metrics: list[str
             sums = sums.withColumn("spearman_pvalue", _spearman_p_udf("spearman_rho", "_n"))
             cols.append("spearman_pvalue")
     if kendall:
-        pairs = F.col("_n") * (F.col("_n") - 1) / 2
-        tau = F.try_divide(F.col("s"), F.sqrt(pairs - F.col("_tie_x")) * F.sqrt(pairs - F.col("_tie_y")))
+        # Counts of pairs are subtracted as whole numbers; what is left becomes a double.
+        n = F.col("_n").cast("decimal(17,0)") if whole else F.col("_n")
+        free = lambda c: (n * (n - 1) / 2 - F.col(c)).cast("double")
+        tau = F.try_divide(F.col("s").cast("double"), F.sqrt(free("_tie_x")) * F.sqrt(free("_tie_y")))
         sums = sums.withColumn("kendall_tau", _clip(tau))
         cols.append("kendall_tau")
         if "kendall_tau_pvalue" in metrics:
-            p = _kendall_p_udf("s", "_n", "_tie_x", "_tie_y", "_t0_x", "_t0_y", "_t1_x", "_t1_y")
+            p = _kendall_p_udf(*[F.col(c).cast("double") for c in ("s", "_n", "_tie_x", "_tie_y", "_t0_x", "_t0_y", "_t1_x", "_t1_y")])
             sums = sums.withColumn("kendall_tau_pvalue", p)
             cols.append("kendall_tau_pvalue")
     return sums.select(*keys, *cols)
@@ -334,7 +373,8 @@ def metric_table(
 
     ``undefined_as_zero`` is the model-scoring rule: R2 of a constant target and correlations of a constant
     side are 0. Without it they are null (the evaluation rule). Undefined p-values are 1 in both.
-    Rows with a missing truth or prediction are left out.
+    Rows with a missing truth or prediction are left out. Without weights, or with whole ones, pairs of rows are
+    counted exactly at any size.
     """
     metrics = list(metrics)
     unknown = set(metrics) - set(METRICS)
@@ -373,7 +413,8 @@ def metric_table(
         r2 = F.lit(1.0) - F.try_divide(F.col("mse") * F.col("_n"), F.col("_sst"))
         out = out.withColumn("r2", F.coalesce(r2, F.lit(0.0)) if undefined_as_zero else r2)
     if ranked:
-        part = _rank_metrics(rows, keys, leaf, metrics)
+        whole = weight is None or isinstance(df.schema[weight].dataType, T.IntegralType)
+        part = _rank_metrics(rows, keys, leaf, metrics, whole)
         cols = [c for c in part.columns if c not in keys]
         part = _tag(part, keys, "_j_", *cols)
         out = out.join(part, _null_safe(out, part, keys, "_j_"), "left")

@@ -73,7 +73,7 @@ def weighted_metrics(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[float
     mae, dev = (w * np.abs(err)).sum() / n, x - (w * x).sum() / n
     sad, sst = (w * np.abs(dev)).sum(), (w * dev * dev).sum()
     sums = rank_sums(x, y, w)
-    s, pairs, tie_x, tie_y = sums[0], n * (n - 1) / 2, sums[2], sums[3]
+    s, pairs, tie_x, tie_y = float(sums[0]), n * (n - 1) / 2, float(sums[2]), float(sums[3])
     sxy, sxx, syy = sums[-3:]
     clip = lambda v: min(1.0, max(-1.0, v))
     return [
