@@ -44,16 +44,15 @@ def _check_preference(df: DataFrame, prefer_col: str, prefer_value: Any) -> None
 def prefer_rows(df: DataFrame, *, key_cols: Iterable[str], prefer_col: str, prefer_value: Any) -> DataFrame:
     """Keep only preferred rows in groups that hold both kinds; leave uniform groups alone.
 
-    Only the other rows of mixed groups go, so an anti join against the keys that own a preferred row
-    does it; no group is gathered in one place. Null keys form a group.
+    Only the other rows of mixed groups go: every row looks up whether its key owns a preferred row. The keys are
+    one column pass, the rows another; a hot key's rows may be split over tasks. Null keys form a group.
     """
     keys = list(key_cols)
     _check_preference(df, prefer_col, prefer_value)
     flagged = df.withColumn("_p", _preferred(df, prefer_col, prefer_value))
-    owners = flagged.filter("_p").select(*[F.col(k).alias(f"_k_{k}") for k in keys]).distinct()
-    others = flagged.filter("NOT _p")
-    kept = others.join(owners, [others[k].eqNullSafe(owners[f"_k_{k}"]) for k in keys], "left_anti")
-    return flagged.filter("_p").unionByName(kept).drop("_p")
+    owners = flagged.filter("_p").select(*[F.col(k).alias(f"_k_{k}") for k in keys]).distinct().withColumn("_mixed", F.lit(True))
+    met = flagged.join(owners, [flagged[k].eqNullSafe(owners[f"_k_{k}"]) for k in keys], "left")
+    return met.filter(F.col("_p") | F.col("_mixed").isNull()).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def deduplicate(

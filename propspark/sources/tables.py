@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from propspark.session import cut_lineage
+
 # Names under which a row-number column leaks into files that were written with their index.
 INDEX_COLUMNS = ("_c0", "Unnamed: 0")
 
@@ -109,14 +111,12 @@ def write_buckets(df: DataFrame, path: str, bucket_col: str, *, fmt: str = "parq
 def write_split(df: DataFrame, condition: Column, yes_path: str, no_path: str, *, fmt: str = "parquet") -> None:
     """Write the rows that meet ``condition`` to one sink and all the others to another.
 
-    The frame is stored once under a flag partition, so its plan runs once; null counts as "not met".
+    The frame is stored once with a flag below the checkpoint folder, so its plan runs once, also where executors
+    are lost in between; null counts as "not met".
     """
-    flagged = df.withColumn("_met", F.coalesce(condition, F.lit(False))).persist()
-    try:
-        write_table(flagged.filter("_met").drop("_met"), yes_path, fmt=fmt)
-        write_table(flagged.filter("NOT _met").drop("_met"), no_path, fmt=fmt)
-    finally:
-        flagged.unpersist()
+    flagged = cut_lineage(df.withColumn("_met", F.coalesce(condition, F.lit(False))))
+    write_table(flagged.filter("_met").drop("_met"), yes_path, fmt=fmt)
+    write_table(flagged.filter("NOT _met").drop("_met"), no_path, fmt=fmt)
 
 
 def lookup_table(df: DataFrame, id_col: str, name_col: str) -> DataFrame:
