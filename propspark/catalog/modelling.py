@@ -76,7 +76,7 @@ def stored_leaderboard(spark, root):
 
 def parameter_search(spark, root):
     cfg = H.SearchConfig(True, n_trials=4, startup_trials=2, space={"n_estimators": ("int", 5, 15, 5), "max_depth": ("int", 2, 6, 1)})
-    rows = random_folds(_vectors(spark, root), "vec_id", 3, name="_inner").persist()
+    rows = cut_lineage(random_folds(_vectors(spark, root), "vec_id", 3, name="_inner"))
     _, trials = H.tune(rows, EMB, "label", "rf", cfg, split=SplitConfig("random"), n_folds=3)
     return H.trials_table(rows, trials)
 
