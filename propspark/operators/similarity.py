@@ -6,9 +6,10 @@ only the k best values per left row. Three routes give the same result:
 
 * the right side is shown to be small: it is broadcast and every left row is finished where it lies;
 * the left side is shown to be small: it is broadcast, the right side streams by without a shuffle;
-* otherwise both sides are cut into chunks and every chunk pair is one bounded task. Rows are chunked by
-  coordinates that bound similarities (the number of on-bits; the angles to pivot vectors), a first round takes
-  each row to its most promising chunks, and a second one only where its k best can still be beaten.
+* otherwise both sides are cut into chunks. Rows are chunked by coordinates that bound similarities (the number of
+  on-bits; the angles to pivot vectors), a first round takes each row to its most promising chunks, and a second
+  one only where its k best can still be beaten. Rows travel to blocks of chunks, whose number follows from what a task
+  can hold: however small the chunks are, a row is copied once for each block that holds one it must see.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ BROADCAST_CELLS = 20_000_000
 CHUNK_CELLS = 4_000_000
 # Pivot vectors, the rows that they are chosen from, and the runs of chunks that rows are bounded against.
 PIVOTS, PIVOT_ROWS, REGIONS = 32, 2048, 4096
+# Rows and columns of a tile of similarities, which stays in the cache, and the least blocks that a side of many chunks makes.
+TILE, MIN_BLOCKS = (256, 1024), 8
 
 
 @dataclass(frozen=True)
@@ -117,7 +120,7 @@ def block_similarity(a: np.ndarray, b: np.ndarray, family: str) -> np.ndarray:
     inter = _common_bits(a, b)
     on = lambda m: np.bitwise_count(m).sum(axis=1, dtype=np.float64)
     union = on(a)[:, None] + on(b)[None, :] - inter
-    return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
+    return inter / np.maximum(union, 1)
 
 
 class _Best:
@@ -126,12 +129,16 @@ class _Best:
     def __init__(self, n: int, k: int, keys: Sequence[tuple[str, str]]):
         self.k = k
         self.top = {key: np.full((n, k), -np.inf) for key in keys}
+        self.least = {key: np.full(n, -np.inf) for key in keys}
 
-    def add(self, key: tuple[str, str], sim: np.ndarray) -> None:
-        if sim.shape[1] == 0:
-            return
-        both = np.concatenate([self.top[key], sim], axis=1)
-        self.top[key] = np.partition(both, -self.k, axis=1)[:, -self.k :]
+    def add(self, key: tuple[str, str], at: np.ndarray, sim: np.ndarray, peak: np.ndarray) -> None:
+        """Merge the similarities of the left rows ``at``; rows whose ``peak`` is not above their k-th best stay as they are."""
+        hit = np.flatnonzero(~(peak <= self.least[key][at]))
+        if len(hit):
+            both = np.concatenate([self.top[key][at[hit]], sim[hit]], axis=1)
+            best = np.partition(both, -self.k, axis=1)[:, -self.k :]
+            self.top[key][at[hit]] = best
+            self.least[key][at[hit]] = best[:, 0]
 
     def rows(self, ids: pd.Series) -> Iterator[pd.DataFrame]:
         for (fs, scope), m in self.top.items():
@@ -139,17 +146,46 @@ class _Best:
             yield pd.DataFrame({"id": ids.to_numpy()[row], "feature_set": fs, "scope": scope, "sim": m[row, col]})
 
 
-def _score(best: _Best, left: Callable[[Block], np.ndarray], right: Callable[[Block], np.ndarray], blocks, feature_sets, l_ids, r_ids, r_scope, exclude_self) -> None:
-    # One block after another: only its own two matrices are held.
-    sims = {b.name: block_similarity(left(b), right(b), b.family) for b in blocks}
-    same = np.asarray(l_ids)[:, None] == np.asarray(r_ids)[None, :] if exclude_self else None
-    for fs, names in feature_sets.items():
-        sim = np.mean([sims[n] for n in names], axis=0) if len(names) > 1 else sims[names[0]]
-        if same is not None:
-            sim = np.where(same, -np.inf, sim)
-        best.add((fs, "all"), sim)
-        if r_scope is not None:
-            best.add((fs, "finetune"), sim[:, r_scope])
+def _codes(left: pd.Series, right: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that are equal where ids are (NaN is equal to nothing)."""
+    both = np.concatenate([left.to_numpy(), right.to_numpy()])
+    codes = pd.factorize(both, use_na_sentinel=both.dtype.kind == "f")[0].astype(np.int32)
+    return np.where(codes < 0, -2, codes)[: len(left)], codes[len(left) :]
+
+
+def _mats(rows: pd.DataFrame, blocks: Sequence[Block]) -> dict[str, np.ndarray]:
+    return {b.name: _matrix(rows[b.column].tolist(), b) for b in blocks}
+
+
+def _flagged_first(rows: pd.DataFrame, *before: str) -> tuple[pd.DataFrame, int | None]:
+    """The right rows with flagged ones first (below the order of other columns) and how many are flagged; None without flags."""
+    if "_ft" in rows:
+        return rows.iloc[np.lexsort([~rows["_ft"].to_numpy(bool), *[rows[c].to_numpy() for c in before]])], int(rows["_ft"].sum())
+    return (rows.sort_values(list(before), kind="stable") if before else rows), None
+
+
+def _score(best: _Best, left: dict, right: dict, blocks, feature_sets, n_flagged: int | None, same: tuple | None, at: np.ndarray | None = None) -> None:
+    """Meet the left rows ``at`` (all by default) with all right rows, tile by tile.
+
+    ``same`` has the codes of both sides' ids where equal ones are left out. Flagged right rows come first.
+    """
+    n_left, n_right = (len(m[blocks[0].name]) for m in (left, right))
+    at = np.arange(n_left) if at is None else at
+    cuts = sorted({*range(0, n_right, TILE[1]), n_right, n_flagged or 0})
+    for i in range(0, len(at), TILE[0]):
+        rows = at[i : i + TILE[0]]
+        mine = {name: m[rows] for name, m in left.items()}
+        for lo, hi in zip(cuts, cuts[1:]):
+            sims = {b.name: block_similarity(mine[b.name], right[b.name][lo:hi], b.family) for b in blocks}
+            own = same[0][rows, None] == same[1][lo:hi] if same else None
+            own = own if own is not None and own.any() else None
+            for fs, names in feature_sets.items():
+                sim = sum((sims[n] for n in names[1:]), sims[names[0]]) / len(names) if len(names) > 1 else sims[names[0]]
+                sim = sim if own is None else np.where(own, -np.inf, sim)
+                peak = sim.max(axis=1)
+                best.add((fs, "all"), rows, sim, peak)
+                if n_flagged is not None and hi <= n_flagged:
+                    best.add((fs, "finetune"), rows, sim, peak)
 
 
 def nearest(
@@ -205,45 +241,45 @@ def nearest(
     return part.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= k).drop("_rn")
 
 
-def _share(rows: DataFrame, blocks, scoped: bool):
+def _share(rows: DataFrame, blocks):
     """A side of checked size as matrices on every executor."""
-    pdf = rows.toPandas()
-    mats = {b.name: _matrix(pdf[b.column].tolist(), b) for b in blocks}
-    return rows.sparkSession.sparkContext.broadcast((pdf["id"], mats, pdf["_ft"].to_numpy(bool) if scoped else None))
+    pdf, n_flagged = _flagged_first(rows.toPandas())
+    return rows.sparkSession.sparkContext.broadcast((pdf["id"], _mats(pdf, blocks), n_flagged))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of few files, which may arrive in one task, dealt out for work that is far larger than they are."""
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= tasks else rows.repartition(tasks)
 
 
 def _by_broadcast_right(l_rows, r_rows, blocks, feature_sets, keys, k, exclude_self, schema, scoped) -> DataFrame:
-    """Right side on every executor: each left row sees all candidates at once, nothing is shuffled."""
-    shared = _share(r_rows, blocks, scoped)
+    """Right side on every executor: each left row sees all candidates at once; only left rows are dealt out."""
+    shared = _share(r_rows, blocks)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, mats, scope = shared.value
-        step = max(1, CHUNK_CELLS // max(1, len(ids)))
+        ids, mats, n_flagged = shared.value
         for batch in it:
-            for at in range(0, len(batch), step):
-                lp = batch.iloc[at : at + step]
-                best = _Best(len(lp), k, keys)
-                _score(best, lambda b, lp=lp: _matrix(lp[b.column].tolist(), b), lambda b: mats[b.name], blocks, feature_sets, lp["id"], ids, scope, exclude_self)
-                yield from best.rows(lp["id"])
+            best = _Best(len(batch), k, keys)
+            _score(best, _mats(batch, blocks), mats, blocks, feature_sets, n_flagged, _codes(batch["id"], ids) if exclude_self else None)
+            yield from best.rows(batch["id"])
 
-    return l_rows.mapInPandas(run, schema)
+    return _dealt(l_rows).mapInPandas(run, schema)
 
 
 def _by_broadcast_left(l_rows, r_rows, blocks, feature_sets, keys, k, exclude_self, schema, scoped) -> DataFrame:
-    """Left side on every executor; the right side is read once, without any shuffle."""
-    shared = _share(l_rows, blocks, False)
+    """Left side on every executor; the right side is read once, its rows dealt out where they come in few files."""
+    shared = _share(l_rows, blocks)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, mats, _ = shared.value
         best = _Best(len(ids), k, keys)
-        step = max(1, CHUNK_CELLS // max(1, len(ids)))
         for batch in it:
-            for at in range(0, len(batch), step):
-                r = batch.iloc[at : at + step]
-                _score(best, lambda b: mats[b.name], lambda b, r=r: _matrix(r[b.column].tolist(), b), blocks, feature_sets, ids, r["id"], r["_ft"].to_numpy(bool) if scoped else None, exclude_self)
+            part, n_flagged = _flagged_first(batch)
+            _score(best, mats, _mats(part, blocks), blocks, feature_sets, n_flagged, _codes(ids, part["id"]) if exclude_self else None)
         yield from best.rows(ids)
 
-    return r_rows.mapInPandas(run, schema)
+    return _dealt(r_rows).mapInPandas(run, schema)
 
 
 def _by_chunks(l_rows, r_rows, blocks, feature_sets, keys, k, exclude_self, schema, scoped, chunk_rows) -> DataFrame:
@@ -257,26 +293,46 @@ def _by_chunks(l_rows, r_rows, blocks, feature_sets, keys, k, exclude_self, sche
     return _multiply(lx, rx, blocks, feature_sets, keys, k, exclude_self, schema, scoped)
 
 
-def _multiply(lx, rx, blocks, feature_sets, keys, k, exclude_self, schema, scoped) -> DataFrame:
-    """One bounded block product per (_lc, _rc)."""
+def _multiply(lx, rx, blocks, feature_sets, keys, k, exclude_self, schema, scoped, bounds=None) -> DataFrame:
+    """One bounded block product per (_lc, _rc).
+
+    With ``bounds`` the right rows have a region ``_r``, and a left row meets those regions of the block alone that
+    it asks for: those of ``_home``, or with a ``_ratio`` all others whose bound reaches it.
+    """
 
     def run(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
             return pd.DataFrame({f.name: [] for f in schema.fields})
-        mats = {b.name: _matrix(rp[b.column].tolist(), b) for b in blocks}
-        step, out = max(1, CHUNK_CELLS // len(rp)), []
-        for at in range(0, len(lp), step):
-            part = lp.iloc[at : at + step]
-            best = _Best(len(part), k, keys)
-            _score(best, lambda b, part=part: _matrix(part[b.column].tolist(), b), lambda b: mats[b.name], blocks, feature_sets, part["id"], rp["id"], rp["_ft"].to_numpy(bool) if scoped else None, exclude_self)
-            out += best.rows(part["id"])
-        return pd.concat(out, ignore_index=True)
+        rp, n_flagged = _flagged_first(rp, *(["_r"] if bounds else []))
+        left, right, best = _mats(lp, blocks), _mats(rp, blocks), _Best(len(lp), k, keys)
+        same = _codes(lp["id"], rp["id"]) if exclude_self else None
+        if bounds is None:
+            _score(best, left, right, blocks, feature_sets, n_flagged, same)
+        else:
+            regions, starts = np.unique(rp["_r"].to_numpy(), return_index=True)
+            open_ = _wanted(lp, regions, *bounds)
+            for r, lo, hi in zip(range(len(regions)), starts, [*starts[1:], len(rp)]):
+                part = {name: m[lo:hi] for name, m in right.items()}
+                flagged = int(rp["_ft"].iloc[lo:hi].sum()) if scoped else None
+                _score(best, left, part, blocks, feature_sets, flagged, (same[0], same[1][lo:hi]) if same else None, np.flatnonzero(open_[:, r]))
+        return pd.concat(best.rows(lp["id"]), ignore_index=True)
 
     # Both sides may come from one table; fresh column identities keep the pairing unambiguous.
     lx, rx = lx.toDF(*lx.columns), rx.toDF(*rx.columns)
     return lx.groupBy("_lc", "_rc").cogroup(rx.groupBy("_lc", "_rc")).applyInPandas(run, schema)
 
 
+def _wanted(lp: pd.DataFrame, regions: np.ndarray, lo: np.ndarray, hi: np.ndarray, family: str) -> np.ndarray:
+    """Which of the regions (columns) each left row asks for."""
+    home = (np.stack(lp["_home"].tolist())[:, :, None] == regions).any(axis=1)
+    if "_ratio" not in lp:
+        return home
+    at, ratio = np.stack(lp["_where"].tolist()), lp["_ratio"].to_numpy()[:, None]
+    step = max(1, CHUNK_CELLS // len(regions))
+    reach = [upper_bounds(at[i : i + step], lo[regions], hi[regions], family) >= ratio[i : i + step] for i in range(0, len(at), step)]
+    return np.concatenate(reach) & ~home
+
+
 def _shared_block(blocks, feature_sets) -> Block | None:
     """A block that every feature set uses, fingerprints first."""
     shared = [b for b in blocks if all(b.name in names for names in feature_sets.values())]
@@ -332,47 +388,58 @@ def _chunked(rows: DataFrame, chunk_rows: int, name: str) -> DataFrame:
 
 def _by_pruned_chunks(l_rows, r_rows, blocks, feature_sets, keys, k, exclude_self, schema, scoped, chunk_rows, main) -> DataFrame:
     """Exact, in two rounds. Every left row meets its two most promising regions of chunks first; the k-th best
-    value found there bounds which others can still matter, and only these get the row: one lonely row does not open
-    all chunks to its neighbours. At most ``REGIONS`` boxes and ``PIVOT_ROWS`` sample rows pass the driver."""
+    value found there bounds which others can still matter, and only these see the row: one lonely row does not open
+    all chunks to its neighbours. Rows travel to blocks of regions, as many as tasks of ``CHUNK_CELLS`` need and ``MIN_BLOCKS`` at
+    least. At most ``REGIONS`` boxes (or one for each block) and ``PIVOT_ROWS`` sample rows pass the driver."""
     pivots = None
     if main.family == "dense":
         sample = r_rows.select("id", main.column).orderBy(F.xxhash64("id"), "id").limit(PIVOT_ROWS).select(main.column).toPandas()
         pivots = choose_pivots(_matrix(sample[main.column].tolist(), main), PIVOTS)
     lx = _chunked(_placed(l_rows, main, pivots), chunk_rows, "_lc")
     rx = _chunked(_placed(r_rows, main, pivots), chunk_rows, "_rc")
-    n_chunks = rx.agg(F.max("_rc")).first()[0] + 1
+    n_left, n_chunks = (d.agg(F.max(c)).first()[0] for d, c in ((lx, "_lc"), (rx, "_rc")))
+    n_left, n_chunks = -1 if n_left is None else n_left, n_chunks + 1
     n_at = 1 if pivots is None else len(pivots)
-    region = F.floor(F.col("_rc") * min(REGIONS, n_chunks) / n_chunks)
+    full = max(chunk_rows, CHUNK_CELLS // max(b.cells for b in blocks))
+    n_blocks = lambda n: min(n, max(MIN_BLOCKS, math.ceil(n * chunk_rows / full)))
+    n_lb, n_rb = max(1, n_blocks(n_left + 1)), n_blocks(n_chunks)
+    n_regions = max(n_rb, min(REGIONS, n_chunks))
+    run_of = lambda c, n, of: F.floor(F.col(c) * n / of).cast("int")
+    rx = rx.withColumn("_r", run_of("_rc", n_regions, n_chunks)).withColumn("_rc", run_of("_r", n_rb, n_regions))
     ends = [f(F.get("_where", F.lit(i))).alias(f"{name}{i}") for name, f in (("lo", F.min), ("hi", F.max)) for i in range(n_at)]
-    boxes = rx.groupBy(region.alias("_r")).agg(F.min("_rc").alias("first"), F.max("_rc").alias("last"), *ends).orderBy("_r").collect()
+    boxes = rx.groupBy("_r").agg(*ends).orderBy("_r").collect()
     lo, hi = (np.array([[b[f"{name}{i}"] for i in range(n_at)] for b in boxes]) for name in ("lo", "hi"))
-    chunks = [list(range(b["first"], b["last"] + 1)) for b in boxes]
     rx, family = rx.drop("_where"), main.family
+    block_of = np.arange(n_regions) * n_rb // n_regions
 
-    def regions(at: np.ndarray, ratio: np.ndarray | None) -> Iterator[list[int]]:
-        """Chunks of the two best regions of each row, or those of all others that reach its ratio."""
+    def bounded(at: pd.Series) -> Iterator[np.ndarray]:
         step = max(1, CHUNK_CELLS // len(lo))
         for i in range(0, len(at), step):
-            best = upper_bounds(at[i : i + step], lo, hi, family)
-            home = np.argsort(-best, axis=1, kind="stable")[:, :2]
-            open_ = np.zeros(best.shape, bool)
-            if ratio is not None:
-                open_ = best >= ratio[i : i + step, None]
-            np.put_along_axis(open_, home, ratio is None, axis=1)
-            for row in open_:
-                yield [c for r in np.flatnonzero(row) for c in chunks[r]]
+            yield upper_bounds(np.stack(at.iloc[i : i + step].tolist()), lo, hi, family)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def homes(at: pd.Series) -> pd.Series:
-        return pd.Series(list(regions(np.stack(at.tolist()), None)) if len(at) else [], dtype=object)
+        """The two best regions."""
+        return pd.Series([h for best in bounded(at) for h in np.argsort(-best, axis=1, kind="stable")[:, :2].astype("int32")], dtype=object)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def others(at: pd.Series, ratio: pd.Series) -> pd.Series:
-        return pd.Series(list(regions(np.stack(at.tolist()), ratio.fillna(-2.0).to_numpy())) if len(at) else [], dtype=object)
-
-    asked = cut_lineage(lx.withColumn("_rc", F.explode(homes("_where"))).drop("_where"))
+    def others(at: pd.Series, home: pd.Series, ratio: pd.Series) -> pd.Series:
+        """The blocks of all other regions that reach the row's ratio."""
+        found, done = [], 0
+        for best in bounded(at):
+            rows = slice(done, done + len(best))
+            open_ = best >= ratio.iloc[rows].to_numpy()[:, None]
+            np.put_along_axis(open_, np.stack(home.iloc[rows].tolist()).astype(int), False, axis=1)
+            held = np.logical_or.reduceat(open_, np.searchsorted(block_of, np.arange(n_rb)), axis=1)
+            found += [np.flatnonzero(h).astype("int32") for h in held]
+            done += len(best)
+        return pd.Series(found, dtype=object)
+
+    args = (blocks, feature_sets, keys, k, exclude_self, schema, scoped, (lo, hi, family))
+    lx = cut_lineage(lx.withColumn("_lc", run_of("_lc", n_lb, n_left + 1 or 1)).withColumn("_home", homes("_where")))
+    asked = lx.withColumn("_rc", F.explode(F.array_distinct(F.transform("_home", lambda r: F.floor(r * n_rb / n_regions).cast("int"))))).drop("_where")
     pairs = broadcast_if_small(asked.select("_lc", "_rc").distinct())
-    first = cut_lineage(_multiply(asked, rx.join(pairs, "_rc"), blocks, feature_sets, keys, k, exclude_self, schema, scoped))
+    first = cut_lineage(_multiply(asked, rx.join(pairs, "_rc"), *args))
     order = Window.partitionBy("id", "feature_set", "scope").orderBy(F.desc("sim"))
     kept = first.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= k)
     per_key = kept.groupBy("id", "feature_set", "scope").agg(F.count(F.lit(1)).alias("_n"), F.min("sim").alias("_kth"))
@@ -383,12 +450,12 @@ def _by_pruned_chunks(l_rows, r_rows, blocks, feature_sets, keys, k, exclude_sel
     need = F.when(F.col("_n") >= k, n_blocks * F.col("_kth") - (n_blocks - 1)).otherwise(F.lit(-2.0))
     per_row = per_key.groupBy("id").agg(F.count(F.lit(1)).alias("_keys"), F.min(need).alias("_need"))
     per_row = per_row.select(F.col("id").alias("_id"), F.when(F.col("_keys") == len(keys), F.col("_need")).otherwise(F.lit(-2.0)).alias("_ratio"))
-    asked = lx.join(per_row, lx["id"] == per_row["_id"], "left").withColumn("_rc", F.explode(others("_where", "_ratio")))
-    asked = cut_lineage(asked.drop("_id", "_ratio", "_where"))
+    asked = lx.join(per_row, lx["id"] == per_row["_id"], "left").drop("_id").withColumn("_ratio", F.coalesce("_ratio", F.lit(-2.0)))
+    asked = cut_lineage(asked.withColumn("_rc", F.explode(others("_where", "_home", "_ratio"))))
     if is_empty(asked):
         return first
     more = broadcast_if_small(asked.select("_lc", "_rc").distinct())
-    return first.unionByName(_multiply(asked, rx.join(more, "_rc"), blocks, feature_sets, keys, k, exclude_self, schema, scoped))
+    return first.unionByName(_multiply(asked, rx.join(more, "_rc"), *args))
 
 
 def summarize_top(top: DataFrame) -> DataFrame:

@@ -211,3 +211,29 @@ def test_ad_batches(spark):
         D.dual_ad_table(bits(docs).withColumn("is_finetune", F.lit(False)), bits(test), blocks, sets)
     with pytest.raises(ValueError, match="best_by"):
         D.run_ad_batch(bits(docs), bits(test), blocks, sets, best_by="nope")
+
+
+def test_copies_do_not_grow_with_chunks(spark, monkeypatch):
+    """Rows without any order, so that all chunks must be met: a row is copied once for each block, not for each small chunk."""
+    import propspark.operators.similarity as S
+
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, rng.normal(size=12).tolist(), i % 3 == 0) for i in range(400)], "id long, vec array<double>, is_finetune boolean")
+    blocks, sets = [Block("vec", "vec", "dense", 12)], {"vec": ["vec"]}
+    run = lambda **kw: {(r["id"], r["scope"]): (r["max_sim"], r["mean_topk"]) for r in summarize_top(
+        nearest(df, df, blocks, sets, k=3, exclude_self=True, finetune_col="is_finetune", **kw)).collect()}
+    whole = run()
+    sent, multiply = [], S._multiply
+    monkeypatch.setattr(S, "_multiply", lambda lx, *a: sent.append(lx) or multiply(lx, *a))
+    pruned = run(broadcast_cells=1, chunk_cells=12 * 5)
+    assert len(whole) == len(pruned) == 800 and all(pruned[i] == pytest.approx(whole[i], abs=1e-12) for i in whole)
+    assert sum(lx.count() for lx in sent) <= 400 * (S.MIN_BLOCKS + 2)
+
+
+def test_one_file_is_dealt_out(spark, tmp_path):
+    """A table of one file is not searched in a single task."""
+    spark.createDataFrame([(i, [float(i), 1.0]) for i in range(300)], "id long, vec array<double>").coalesce(1).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    args = ([Block("vec", "vec", "dense", 2)], {"vec": ["vec"]})
+    tasks = lambda **kw: nearest(df, df.limit(100), *args, **kw).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks() > 8
