@@ -25,6 +25,8 @@ SPEARMAN_METRICS = ("spearman_rho", "spearman_pvalue")
 KENDALL_METRICS = ("kendall_tau", "kendall_tau_pvalue")
 METRICS = ERROR_METRICS + SPREAD_METRICS + SPEARMAN_METRICS + KENDALL_METRICS
 BUCKETS = 256
+# Rows that one task solves at a time where buckets are many and small.
+BATCH_ROWS = 200_000
 
 
 # ---- rank statistics of one bounded group, in numpy -------------------------------------------------
@@ -87,6 +89,46 @@ def net_order(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> int | float:
     return total - (tied // 2 if isinstance(tied, int) else tied / 2.0)
 
 
+def net_orders(g: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> int | float:
+    """The sum of ``net_order`` over all groups (values of ``g``), without a step for each group.
+
+    Rows are put in order by group and x. Where the halves of a block meet, one group at most lies on both sides,
+    so only its rows in the block are looked up.
+    """
+    n = len(x)
+    if n < 2:
+        return 0
+    if _whole(w) and float(w.sum()) ** 2 >= 2.0**62:
+        by_group = np.argsort(g, kind="stable")
+        return sum(net_order(x[i], y[i], w[i]) for i in np.split(by_group, np.flatnonzero(np.diff(g[by_group])) + 1))
+    order = np.lexsort((y, x, g))
+    g, x, w = g[order], x[order], w[order].astype(np.int64 if _whole(w) else np.float64)
+    yr = np.unique(y, return_inverse=True)[1][order].astype(np.int64)
+    m = int(yr.max()) + 1
+    at = np.arange(n)
+    total, width = w.dtype.type(0), 1
+    while width < n:
+        mid = at // (2 * width) * (2 * width) + width
+        seam = np.minimum(mid, n - 1)
+        rows = np.flatnonzero((mid < n) & (g == g[seam]) & (g == g[seam - 1]))
+        right = rows >= mid[rows]
+        base = rows // (2 * width) * m
+        key = base + yr[rows]
+        lk, lw = key[~right], w[rows[~right]]
+        by_key = np.argsort(lk, kind="stable")
+        lk = lk[by_key]
+        cum = np.concatenate([np.zeros(1, w.dtype), np.cumsum(lw[by_key])])
+        less = cum[np.searchsorted(lk, key[right], "left")] - cum[np.searchsorted(lk, base[right], "left")]
+        more = cum[np.searchsorted(lk, base[right] + m, "left")] - cum[np.searchsorted(lk, key[right], "right")]
+        total += w[rows[right]] @ (less - more)
+        width *= 2
+    new_x = np.concatenate([[True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])])
+    per_x = np.add.reduceat(w, np.flatnonzero(new_x))
+    per_xy = np.add.reduceat(w, np.flatnonzero(new_x | np.concatenate([[True], yr[1:] != yr[:-1]])))
+    tied = per_x @ per_x - per_xy @ per_xy
+    return int(total) - int(tied) // 2 if w.dtype == np.int64 else float(total - tied / 2.0)
+
+
 def net_order_cells(i: np.ndarray, j: np.ndarray, c: np.ndarray) -> int | float:
     """The same over a table of bucket counts, for pairs that differ in both buckets."""
     iu, ii = np.unique(i, return_inverse=True)
@@ -148,29 +190,45 @@ def _buckets(dist: DataFrame, keys: list[str], col: str, name: str) -> DataFrame
     return at.select(*keys, col, "_c", num.alias(name))
 
 
-def _net(dist: DataFrame, keys: list[str], leaf: int, whole: bool) -> DataFrame:
-    """``keys, s`` with s the weighted concordant minus discordant pairs of distinct (x, y, w) rows.
+def _net_of_groups(dist: DataFrame, keys: list[str], cuts: list[str], batches: int, whole: bool) -> DataFrame:
+    """``keys, s`` summed over the groups of ``cuts``, each of which fits a task; many small ones are solved together."""
+    schema = T.StructType([*[dist.schema[k] for k in keys], T.StructField("s", PAIRS if whole else T.DoubleType())])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        g = pdf.groupby(cuts, sort=False).ngroup().to_numpy() if cuts else np.zeros(len(pdf), np.int64)
+        s = net_orders(g, *(pdf[c].to_numpy(dtype=float) for c in ("_x", "_y", "_w")))
+        return pd.DataFrame([[*key[:-1], _pairs(s, whole)]], columns=[*keys, "s"])
+
+    batch = F.pmod(F.xxhash64(*cuts), F.lit(batches)).cast("int") if cuts else F.lit(0)
+    return dist.withColumn("_batch", batch).groupBy(*keys, "_batch").applyInPandas(run, schema)
+
+
+def _net(dist: DataFrame, keys: list[str], leaf: int, whole: bool, cuts: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, s`` with s the weighted concordant minus discordant pairs of distinct (x, y, w) rows that agree in ``cuts``.
 
     Groups beyond ``leaf`` rows are cut into buckets of x and of y. Pairs that differ in both buckets come
     from the table of cell counts; the others are pairs within an x bucket, plus pairs within a y bucket,
     minus pairs within both, each solved by the same function on much smaller groups. Exact.
     """
-    if not has_large_groups(dist, keys, leaf):
-        return _per_group(dist, keys, lambda p: net_order(p["_x"].to_numpy(), p["_y"].to_numpy(), p["_w"].to_numpy()), whole)
-    d = len(keys)
+    inner = [*keys, *cuts]
+    sizes = dist.groupBy(*inner).count().groupBy(*keys).agg(F.sum("count").alias("n"), F.max("count").alias("most"))
+    rows, most = sizes.agg(F.max("n"), F.max("most")).first()
+    if (most or 0) <= leaf:
+        return _net_of_groups(dist, keys, list(cuts), math.ceil((rows or 1) / BATCH_ROWS), whole).groupBy(*keys).agg(
+            F.sum("s").cast(PAIRS if whole else "double").alias("s"))
+    d = len(inner)
     bx, by = f"_bx{d}", f"_by{d}"
-    placed = join_counted(dist, _buckets(dist, keys, "_x", bx), [*keys, "_x"], {bx: bx}, "_c")
-    placed = join_counted(placed, _buckets(dist, keys, "_y", by), [*keys, "_y"], {by: by}, "_c")
-    cells = placed.groupBy(*keys, bx, by).agg(F.sum("_w").alias("_w"))
-    cross = _per_group(cells, keys, lambda p: net_order_cells(p[bx].to_numpy(), p[by].to_numpy(), p["_w"].to_numpy()), whole)
+    placed = join_counted(dist, _buckets(dist, inner, "_x", bx), [*inner, "_x"], {bx: bx}, "_c")
+    placed = cut_lineage(join_counted(placed, _buckets(dist, inner, "_y", by), [*inner, "_y"], {by: by}, "_c"))
+    cells = placed.groupBy(*inner, bx, by).agg(F.sum("_w").alias("_w"))
+    cross = _per_group(cells, inner, lambda p: net_order_cells(p[bx].to_numpy(), p[by].to_numpy(), p["_w"].to_numpy()), whole)
     # A bucket with a single value has only tied pairs.
     many_x, many_y = F.col(bx) % 2 == 0, F.col(by) % 2 == 0
-    in_x = _net(placed.filter(many_x), [*keys, bx], leaf, whole)
-    in_y = _net(placed.filter(many_y), [*keys, by], leaf, whole)
-    in_both = _net(placed.filter(many_x & many_y), [*keys, bx, by], leaf, whole)
-    parts = [cross, in_x, in_y, in_both.withColumn("s", -F.col("s"))]
-    out = parts[0].select(*keys, "s")
-    for p in parts[1:]:
+    in_x = _net(placed.filter(many_x), keys, leaf, whole, (*cuts, bx))
+    in_y = _net(placed.filter(many_y), keys, leaf, whole, (*cuts, by))
+    in_both = _net(placed.filter(many_x & many_y), keys, leaf, whole, (*cuts, bx, by))
+    out = cross.select(*keys, "s")
+    for p in (in_x, in_y, in_both.withColumn("s", (-F.col("s")).cast(PAIRS if whole else "double"))):
         out = out.unionByName(p.select(*keys, "s"))
     return out.groupBy(*keys).agg(F.sum("s").cast(PAIRS if whole else "double").alias("s"))
 

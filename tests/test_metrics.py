@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from propspark.operators.metrics import _kendall_exact_p, incomplete_beta, metric_table, net_order, net_order_cells
+from propspark.operators.metrics import _kendall_exact_p, incomplete_beta, metric_table, net_order, net_order_cells, net_orders
 from propspark.operators.resample import bootstrap_draws
 
 
@@ -96,3 +96,28 @@ def test_bootstrap_draws(spark):
     assert counts == {s: 50 for s in range(5)}
     b = bootstrap_draws(df, ["e"], "id", ["v"], samples=5)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_net_orders_of_many_groups():
+    """The sum over groups is that of each group alone; groups may be of one row or of all rows."""
+    rng = np.random.default_rng(4)
+    for n, groups in ((1, 1), (2, 1), (2, 2), (50, 50), (300, 40), (500, 3), (257, 1)):
+        g, x, y, w = rng.integers(0, groups, n), rng.integers(0, 9, n).astype(float), rng.integers(0, 7, n).astype(float), rng.integers(1, 4, n).astype(float)
+        each = [brute(x[g == k], y[g == k], w[g == k]) for k in range(groups)]
+        assert net_orders(g, x, y, w) == sum(each)
+        assert net_orders(g, x, y, w / 3) == pytest.approx(sum(each) / 9, abs=1e-9)
+        assert net_orders(g, x, y, w * 2.0**31) == sum(each) * 2**62
+
+
+def test_small_buckets_are_solved_together(spark, monkeypatch):
+    """A group cut into many small buckets takes a few calls of Python, not one for each bucket."""
+    import propspark.operators.metrics as M
+
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b)) for a, b in rng.normal(size=(3000, 2))]
+    df = spark.createDataFrame(rows, "y double, p double")
+    asked, per_group = [], M._per_group
+    monkeypatch.setattr(M, "_per_group", lambda d, keys, *a: asked.append(d.select(*keys).distinct().count()) or per_group(d, keys, *a))
+    got = metric_table(df, "y", "p", metrics=["kendall_tau"], leaf=200).first()["kendall_tau"]
+    assert got == pytest.approx(metric_table(df, "y", "p", metrics=["kendall_tau"]).first()["kendall_tau"], abs=1e-12)
+    assert sum(asked) <= 10
