@@ -24,8 +24,8 @@ from propspark.sources.tables import is_empty
 
 # Report names of the evaluation metrics.
 REPORT_METRICS = {"MAE": "mae", "RAE": "rae", "R2": "r2", "Spearman R": "spearman_rho", "Kendall's Tau": "kendall_tau"}
-# Resamples that one task makes of a group, and rows of a block that is split off.
-SAMPLES_PER_TASK, BLOCK_ROWS = 25, 100_000
+# Resamples that one task makes of a group, rows of a block that is split off, and rows of neighbouring blocks that are drawn together.
+SAMPLES_PER_TASK, BLOCK_ROWS, RUN_ROWS = 25, 100_000, 2048
 # Cumulative Poisson(1) probabilities for weights 0, 1, 2, ...
 _POISSON_CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
                 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
@@ -122,26 +122,39 @@ def block_totals(name: tuple, size: int, block: int, block_rows: int, samples: i
     The range of all blocks is halved down to the block; the draws of the left half are binomial, with
     numbers that belong to the half and not to who asks. So all blocks agree, and their totals add up to ``size``.
     """
-    total, lo, hi = np.full(samples, size, np.int64), 0, -(-size // block_rows)
-    while hi - lo > 1:
+    return run_totals(name, size, range(block, block + 1), block_rows, samples)[block]
+
+
+def run_totals(name: tuple, size: int, blocks: range, block_rows: int, samples: int) -> dict[int, np.ndarray]:
+    """``block_totals`` of neighbouring blocks; a half that they share is drawn once."""
+    found, open_ = {}, [(np.full(samples, size, np.int64), 0, -(-size // block_rows))]
+    while open_:
+        total, lo, hi = open_.pop()
+        if hi - lo == 1:
+            found[lo] = total
+            continue
         mid = (lo + hi) // 2
         left, rows = (mid - lo) * block_rows, min(size, hi * block_rows) - lo * block_rows
         drawn = _stream(*name, "split", lo, hi).binomial(total, left / rows)
-        total, lo, hi = (drawn, lo, mid) if block < mid else (total - drawn, mid, hi)
-    return total
+        open_ += [part for part in ((drawn, lo, mid), (total - drawn, mid, hi)) if part[1] < blocks.stop and part[2] > blocks.start]
+    return found
 
 
-def _block_weights(name: tuple, size: int, block: int, block_rows: int, samples: int, wanted: range | None = None) -> Iterator[np.ndarray]:
-    """The weights of a block's rows in each resample (or the wanted ones), in turn."""
-    rows = min(size, (block + 1) * block_rows) - block * block_rows
-    totals = block_totals(name, size, block, block_rows, samples)
-    for sample in range(samples) if wanted is None else wanted:
-        yield np.bincount(_stream(*name, "block", block, sample).integers(0, rows, totals[sample]), minlength=rows)
+def _run_weights(name: tuple, pdf: pd.DataFrame, block_rows: int, samples: int, wanted: range) -> Iterator[tuple[slice, int, np.ndarray]]:
+    """For the rows of a run (in order of ``_pos``): the slice of a block, a wanted resample and the weights there."""
+    size, held = int(pdf["_size"].iloc[0]), pdf["_block"].to_numpy()
+    totals = run_totals(name, size, range(int(held[0]), int(held[-1]) + 1), block_rows, samples)
+    for block in np.unique(held).tolist():
+        at, rows = int(np.searchsorted(held, block)), min(size, (block + 1) * block_rows) - block * block_rows
+        for sample in wanted:
+            draws = _stream(*name, "block", block, sample).integers(0, rows, totals[block][sample])
+            yield slice(at, at + rows), sample, np.bincount(draws, minlength=rows)
 
 
 def _blocks(df: DataFrame, by: list[str], key: str, cols: list[str], block_rows: int) -> DataFrame:
-    rows = position_in_group(df.select(*by, key, *cols), by, key)
-    return cut_lineage(rows.withColumn("_block", F.expr(f"_pos div {block_rows}")))
+    """Rows with their block and its run, ``RUN_ROWS`` rows of neighbouring blocks (one block, if that is larger)."""
+    rows = position_in_group(df.select(*by, key, *cols), by, key).withColumn("_block", F.expr(f"_pos div {block_rows}"))
+    return cut_lineage(rows.withColumn("_run", F.expr(f"_block div {max(1, RUN_ROWS // block_rows)}")))
 
 
 def split_weights(df: DataFrame, by: Iterable[str], key: str, cols: Iterable[str] = (), *, samples: int, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -153,23 +166,30 @@ def split_weights(df: DataFrame, by: Iterable[str], key: str, cols: Iterable[str
     blocks = _blocks(df, by, key, cols, block_rows)
     out = T.StructType([*[blocks.schema[c] for c in (*by, key, *cols)], T.StructField("Sample", T.IntegerType()), T.StructField("_weight", T.LongType())])
 
+    # A task's rows times resamples stay below those of a whole block.
+    per_task = max(SAMPLES_PER_TASK, SAMPLES_PER_TASK * BLOCK_ROWS // max(RUN_ROWS, block_rows))
+
     def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")
-        wanted = range(group[-1] * SAMPLES_PER_TASK, min((group[-1] + 1) * SAMPLES_PER_TASK, samples))
-        draws = _block_weights((seed, *group[:-2]), int(pdf["_size"].iloc[0]), int(group[-2]), block_rows, samples, wanted)
-        found = [(np.flatnonzero(w), w) for w in draws]
-        part = pdf.iloc[np.concatenate([at for at, _ in found])][[*by, key, *cols]]
-        return part.assign(Sample=np.repeat(list(wanted), [len(at) for at, _ in found]), _weight=np.concatenate([w[at] for at, w in found]))
+        wanted = range(group[-1] * per_task, min((group[-1] + 1) * per_task, samples))
+        rows, drawn, weights = [], [], []
+        for at, sample, w in _run_weights((seed, *group[:-2]), pdf, block_rows, samples, wanted):
+            held = np.flatnonzero(w)
+            rows.append(at.start + held)
+            drawn.append(np.full(len(held), sample, np.int32))
+            weights.append(w[held])
+        part = pdf.iloc[np.concatenate(rows)][[*by, key, *cols]]
+        return part.assign(Sample=np.concatenate(drawn), _weight=np.concatenate(weights))
 
-    every = F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // SAMPLES_PER_TASK)))
-    return blocks.withColumn("_task", every).groupBy(*by, "_block", "_task").applyInPandas(run, out)
+    every = F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // per_task)))
+    return blocks.withColumn("_task", every).groupBy(*by, "_run", "_task").applyInPandas(run, out)
 
 
 def split_metrics(df: DataFrame, y: str, p: str, *, by: Iterable[str], key: str, samples: int = 1000, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Metrics that are sums of errors, for groups of any size: ``by, Sample, n, mae, rae, r2``.
 
-    A block sends its sums for each resample, never a draw: rows are moved once, and ``samples`` partial sums for
-    each ``block_rows`` rows. A second pass makes the same draws again for deviations from each resample's mean.
+    A run of blocks sends its sums for each resample, never a draw: rows are moved once, and ``samples`` partial sums for
+    each ``block_rows`` (or ``RUN_ROWS``) rows. A second pass makes the same draws again for deviations from each resample's mean.
     """
     by = list(by)
     rows = df.select(*by, key, F.col(y).cast("double").alias("_x"), F.col(p).cast("double").alias("_y")).dropna(subset=["_x", "_y"])
@@ -183,17 +203,19 @@ def split_metrics(df: DataFrame, y: str, p: str, *, by: Iterable[str], key: str,
             pdf = pdf.sort_values("_pos")
             x, e = pdf["_x"].to_numpy(), (pdf["_x"] - pdf["_y"]).to_numpy()
             means = pdf["_means"].iloc[0] if "_means" in pdf else np.zeros(samples)
-            draws = _block_weights((seed, *group[:-1]), int(pdf["_size"].iloc[0]), int(group[-1]), block_rows, samples)
-            return pd.DataFrame([[*group[:-1], s, *sums(w, x, e, means[s])] for s, w in enumerate(draws)], columns=shape.names)
+            found = np.zeros((samples, len(names)))
+            for at, s, w in _run_weights((seed, *group[:-1]), pdf, block_rows, samples, range(samples)):
+                found[s] += sums(w, x[at], e[at], means[s])
+            return pd.DataFrame([[*group[:-1], s, *row] for s, row in enumerate(found.tolist())], columns=shape.names)
 
         return run, shape
 
     run, shape = passing(["_n", "_sx", "_sae", "_sse"], lambda w, x, e, _: (w.sum(), w @ x, w @ np.abs(e), w @ (e * e)))
-    first = blocks.groupBy(*by, "_block").applyInPandas(run, shape)
+    first = blocks.groupBy(*by, "_run").applyInPandas(run, shape)
     first = cut_lineage(first.groupBy(*by, "Sample").agg(*[F.sum(c).alias(c) for c in shape.names[-4:]]))
     means = first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("Sample", (F.col("_sx") / F.col("_n")).alias("m")))), lambda v: v["m"]).alias("_means"))
     run, shape = passing(["_sad", "_sst"], lambda w, x, e, mean: (w @ np.abs(x - mean), w @ (x - mean) ** 2))
-    second = blocks.join(broadcast_if_small(means), by).groupBy(*by, "_block").applyInPandas(run, shape)
+    second = blocks.join(broadcast_if_small(means), by).groupBy(*by, "_run").applyInPandas(run, shape)
     second = second.groupBy(*by, "Sample").agg(F.sum("_sad").alias("_sad"), F.sum("_sst").alias("_sst"))
     both = first.join(second, [*by, "Sample"])
     return both.select(

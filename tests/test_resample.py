@@ -30,6 +30,16 @@ def test_block_totals_add_up():
     assert (R.block_totals((3, "g"), 50, 0, 100, 5) == 50).all()
 
 
+def test_runs_share_their_halves(monkeypatch):
+    """Neighbouring blocks have the totals that each finds alone, and a half of the range is drawn once for all of them."""
+    alone = [R.block_totals((3, "g"), 5_010, b, 16, 40) for b in range(314)]
+    asked, stream = [], R._stream
+    monkeypatch.setattr(R, "_stream", lambda *name: asked.append(name) or stream(*name))
+    together = R.run_totals((3, "g"), 5_010, range(128, 256), 16, 40)
+    assert all((together[b] == alone[b]).all() for b in range(128, 256))
+    assert len(asked) == len(set(asked)) <= 128 + 2 * 9
+
+
 def test_split_weights(spark, pairs):
     w = R.split_weights(pairs, ["g"], "k", [Y], samples=60, seed=5, block_rows=16)
     again = R.split_weights(pairs.repartition(7), ["g"], "k", [Y], samples=60, seed=5, block_rows=16)
