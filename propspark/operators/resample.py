@@ -25,7 +25,7 @@ from propspark.sources.tables import is_empty
 # Report names of the evaluation metrics.
 REPORT_METRICS = {"MAE": "mae", "RAE": "rae", "R2": "r2", "Spearman R": "spearman_rho", "Kendall's Tau": "kendall_tau"}
 # Resamples that one task makes of a group, rows of a block that is split off, and rows of neighbouring blocks that are drawn together.
-SAMPLES_PER_TASK, BLOCK_ROWS, RUN_ROWS = 25, 100_000, 2048
+SAMPLES_PER_TASK, BLOCK_ROWS, RUN_ROWS = 25, 100_000, 512
 # Cumulative Poisson(1) probabilities for weights 0, 1, 2, ...
 _POISSON_CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
                 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
@@ -157,6 +157,12 @@ def _blocks(df: DataFrame, by: list[str], key: str, cols: list[str], block_rows:
     return cut_lineage(rows.withColumn("_run", F.expr(f"_block div {max(1, RUN_ROWS // block_rows)}")))
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key in a stated number of tasks: they are few bytes for much work, and would be merged by their size."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def split_weights(df: DataFrame, by: Iterable[str], key: str, cols: Iterable[str] = (), *, samples: int, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact multinomial resamples by splitting: ``by, Sample, <key>, cols, _weight`` (weights above 0, ``n`` in all for each group of n).
 
@@ -182,7 +188,7 @@ def split_weights(df: DataFrame, by: Iterable[str], key: str, cols: Iterable[str
         return part.assign(Sample=np.concatenate(drawn), _weight=np.concatenate(weights))
 
     every = F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // per_task)))
-    return blocks.withColumn("_task", every).groupBy(*by, "_run", "_task").applyInPandas(run, out)
+    return _dealt(blocks.withColumn("_task", every), *by, "_run", "_task").groupBy(*by, "_run", "_task").applyInPandas(run, out)
 
 
 def split_metrics(df: DataFrame, y: str, p: str, *, by: Iterable[str], key: str, samples: int = 1000, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -211,11 +217,11 @@ def split_metrics(df: DataFrame, y: str, p: str, *, by: Iterable[str], key: str,
         return run, shape
 
     run, shape = passing(["_n", "_sx", "_sae", "_sse"], lambda w, x, e, _: (w.sum(), w @ x, w @ np.abs(e), w @ (e * e)))
-    first = blocks.groupBy(*by, "_run").applyInPandas(run, shape)
+    first = _dealt(blocks, *by, "_run").groupBy(*by, "_run").applyInPandas(run, shape)
     first = cut_lineage(first.groupBy(*by, "Sample").agg(*[F.sum(c).alias(c) for c in shape.names[-4:]]))
     means = first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("Sample", (F.col("_sx") / F.col("_n")).alias("m")))), lambda v: v["m"]).alias("_means"))
     run, shape = passing(["_sad", "_sst"], lambda w, x, e, mean: (w @ np.abs(x - mean), w @ (x - mean) ** 2))
-    second = blocks.join(broadcast_if_small(means), by).groupBy(*by, "_run").applyInPandas(run, shape)
+    second = _dealt(blocks, *by, "_run").join(broadcast_if_small(means), by).groupBy(*by, "_run").applyInPandas(run, shape)
     second = second.groupBy(*by, "Sample").agg(F.sum("_sad").alias("_sad"), F.sum("_sst").alias("_sst"))
     both = first.join(second, [*by, "Sample"])
     return both.select(
