@@ -11,6 +11,7 @@ from propspark.operators import fingerprints as P
 from propspark.operators.selectors import BitFrequencySelector
 from propspark.operators.standardize import standardize_key, standardize_with, strip_fragments
 from propspark.operators.summaries import counts_by_reason, counts_with_zeros
+from propspark.session import cut_lineage
 from propspark.sources.tables import spread_scan
 
 
@@ -112,7 +113,7 @@ def bit_selector(spark, root):
 
 
 def selected_bits(spark, root):
-    d = documents(spark, root).select("doc_id", P.substructure_bits(F.col("text")).alias("bits"))
+    d = cut_lineage(documents(spark, root).select("doc_id", P.substructure_bits(F.col("text")).alias("bits")))
     out = BitFrequencySelector(0.02, 0.6).fit(d, "bits", 1024).transform(d, "bits")
     return out.select("doc_id", F.size("bits").cast("bigint").alias("n_on"))
 

@@ -3,7 +3,7 @@ and dense vectors."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from propspark.functions.text import let, tokens
+from propspark.functions.text import collapse_blanks, md5, tokens
 
 
 @dataclass(frozen=True)
@@ -40,58 +40,89 @@ class SubstructureConfig:
     n_bits: int = 1024
 
 
-def _fold(pieces: Column, n_bits: int) -> Column:
-    """Distinct pieces to sorted distinct bit numbers: the first 32 bits of md5, modulo the width."""
-    bit = lambda s: (F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint") % n_bits).cast("int")
-    return F.array_sort(F.array_distinct(F.transform(F.array_distinct(pieces), bit)))
+def _folded(text: Column, bits_of: Callable[[list[str]], list[np.ndarray]]) -> Column:
+    """Sorted distinct bit numbers of texts, in Arrow batches."""
 
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def fold(texts: pd.Series) -> pd.Series:
+        return pd.Series(bits_of(texts.to_list()), dtype=object)
 
-def _word_runs(text: Column, n: int) -> Column:
-    """All runs of exactly ``n`` neighbouring words of a text with single blanks: one regex pass, with a
-    look-ahead at each word start so that runs may overlap."""
-    return F.regexp_extract_all(text, F.lit(r"(?<![^ ])(?=((?:[^ ]+ ){%d}[^ ]+))" % (n - 1)), F.lit(1))
+    return fold(text)
 
 
-def _char_runs(text: Column, n: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{%d}))" % n), F.lit(1))
+def _plain(c: Column) -> Column:
+    """The ``tokens`` of a text with single blanks between them."""
+    return collapse_blanks(F.lower(F.coalesce(c, F.lit(""))))
 
 
-def _edge_windows(words: Column, r: int) -> Column:
-    """Windows of half-width ``r`` that are cut off at the start or the end of the text."""
-    n = F.size(words)
-    upto = F.sequence(F.lit(1), F.least(n, F.lit(r + 1)))
-    head = F.transform(upto, lambda i: F.array_join(F.slice(words, F.lit(1), F.least(i + r, n)), " "))
-    tail = F.transform(upto, lambda i: F.array_join(F.slice(words, F.greatest(n - i + 1 - r, F.lit(1)), n), " "))
-    return F.when(n > 0, F.concat(head, tail)).otherwise(F.array().cast("array<string>"))
+def _bits(pieces: Iterable[bytes], n_bits: int) -> np.ndarray:
+    """The first 32 bits of every piece's md5, modulo the width."""
+    return np.frombuffer(bytearray().join([md5(s).digest()[:4] for s in pieces]), ">u4") % np.uint32(n_bits)
+
+
+def _sorted_distinct(bits: np.ndarray, n_bits: int) -> np.ndarray:
+    held = np.zeros(n_bits, bool)
+    held[bits] = True
+    return np.flatnonzero(held).astype(np.int32)
+
+
+def _char_bits(texts: list[str], size: int, n_bits: int) -> list[np.ndarray]:
+    """Bits of the character runs of up to three characters, packed to one number each; a run is hashed once for all texts."""
+    runs = []
+    for text in texts:
+        c = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+        n = max(0, len(c) - size + 1)
+        runs.append(np.unique(sum((c[i : i + n] << 21 * i for i in range(1, size)), c[:n])))
+    every = np.unique(np.concatenate(runs)) if runs else np.empty(0, np.int64)
+    code = np.stack([every >> 21 * i & (1 << 21) - 1 for i in range(size)], axis=1).astype("<u4").tobytes()
+    bits = _bits((code[at : at + 4 * size].decode("utf-32-le").encode() for at in range(0, len(code), 4 * size)), n_bits)
+    return [_sorted_distinct(bits[np.searchsorted(every, r)], n_bits) for r in runs]
+
+
+def _runs(words: list[bytes], n: int) -> Iterator[bytes]:
+    """All runs of exactly ``n`` neighbouring words."""
+    return map(b" ".join, zip(*(words[i:] for i in range(n)))) if n > 1 else iter(words)
 
 
 def neighbourhood_bits(c: Column, cfg: NeighbourhoodConfig = NeighbourhoodConfig()) -> Column:
+    """Windows are cut off at the start and the end of the text."""
     if cfg.radius < 0 or cfg.n_bits < 1:
         raise ValueError("radius must be >= 0 and n_bits >= 1")
+    radius, n_bits = cfg.radius, cfg.n_bits
 
-    def body(text: Column) -> Column:
-        words = F.filter(F.split(text, " "), lambda w: w != "")
-        parts = []
-        for r in range(cfg.radius + 1):
-            whole = _word_runs(text, 2 * r + 1)
-            every = let(words, lambda ws: F.concat(whole, _edge_windows(ws, r))) if r else whole  # noqa: B023
-            parts.append(F.transform(F.array_distinct(every), lambda s: F.concat(F.lit(f"{r}:"), s)))  # noqa: B023
-        return _fold(F.concat(*parts), cfg.n_bits)
+    def bits_of(text: str) -> np.ndarray:
+        words = text.encode().split(b" ") if text else []
+        pieces: set[bytes] = set()
+        for r in range(radius + 1):
+            ends = {*range(min(r, len(words))), *range(max(0, len(words) - r), len(words))}
+            windows = {*_runs(words, 2 * r + 1), *(b" ".join(words[max(0, i - r) : i + r + 1]) for i in ends)}
+            pieces.update(map((b"%d:" % r).__add__, windows))
+        return _sorted_distinct(_bits(pieces, n_bits), n_bits)
 
-    return let(F.array_join(tokens(c), " "), body)
+    return _folded(_plain(c), lambda texts: [bits_of(t) for t in texts])
 
 
 def path_bits(c: Column, cfg: PathConfig = PathConfig()) -> Column:
     if not 1 <= cfg.min_path <= cfg.max_path:
         raise ValueError("need 1 <= min_path <= max_path")
-    return let(
-        F.array_join(tokens(c), " "),
-        lambda text: _fold(F.concat(*[_word_runs(text, n) for n in range(cfg.min_path, cfg.max_path + 1)]), cfg.n_bits),
-    )
+    sizes, n_bits = range(cfg.min_path, cfg.max_path + 1), cfg.n_bits
+
+    def bits_of(text: str) -> np.ndarray:
+        words = text.encode().split(b" ") if text else []
+        return _sorted_distinct(_bits(set().union(*(_runs(words, n) for n in sizes)), n_bits), n_bits)
+
+    return _folded(_plain(c), lambda texts: [bits_of(t) for t in texts])
 
 
 def substructure_bits(c: Column, cfg: SubstructureConfig = SubstructureConfig()) -> Column:
-    return _fold(_char_runs(F.array_join(tokens(c), " "), cfg.size), cfg.n_bits)
+    size, n_bits = cfg.size, cfg.n_bits
+
+    def bits_of(texts: list[str]) -> list[np.ndarray]:
+        if 1 <= size <= 3:
+            return _char_bits(texts, size, n_bits)
+        return [_sorted_distinct(_bits({t[i : i + size].encode() for i in range(len(t) - size + 1)}, n_bits), n_bits) for t in texts]
+
+    return _folded(_plain(c), bits_of)
 
 
 def bit_names(token: str, n_bits: int) -> list[str]:

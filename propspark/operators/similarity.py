@@ -395,8 +395,9 @@ def _by_pruned_chunks(l_rows, r_rows, blocks, feature_sets, keys, k, exclude_sel
     if main.family == "dense":
         sample = r_rows.select("id", main.column).orderBy(F.xxhash64("id"), "id").limit(PIVOT_ROWS).select(main.column).toPandas()
         pivots = choose_pivots(_matrix(sample[main.column].tolist(), main), PIVOTS)
-    lx = _chunked(_placed(l_rows, main, pivots), chunk_rows, "_lc")
-    rx = _chunked(_placed(r_rows, main, pivots), chunk_rows, "_rc")
+    # Stored, as putting rows in order reads them twice and their features may be costly.
+    lx = _chunked(cut_lineage(_placed(l_rows, main, pivots)), chunk_rows, "_lc")
+    rx = _chunked(cut_lineage(_placed(r_rows, main, pivots)), chunk_rows, "_rc")
     n_left, n_chunks = (d.agg(F.max(c)).first()[0] for d, c in ((lx, "_lc"), (rx, "_rc")))
     n_left, n_chunks = -1 if n_left is None else n_left, n_chunks + 1
     n_at = 1 if pivots is None else len(pivots)

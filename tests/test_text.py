@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -156,3 +157,24 @@ def test_pruning_and_imputation(spark):
     filled = median_impute(df, df.columns)
     assert filled.columns == ["a", "b", "c"]
     assert sorted(r["a"] for r in filled.collect()) == [1.0, 2.0, 2.5, 3.0, 4.0]
+
+
+def test_fingerprints_of_odd_texts(spark):
+    """Bits come from Arrow batches and are those of all runs of the text, whatever its characters."""
+    texts = [None, "", "  ", "a", "ab", "Ab  c\tD\n\ne", "\U0001f600x\U0001f600 y", "one two one two one", "\x00 \u2003 é"]
+    plain = [" ".join(w for w in re.split(r"[ \t\n\x0b\f\r]+", (t or "").lower()) if w) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+
+    def check(column, runs):
+        out = df.select("i", column.alias("bits"))
+        assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
+        got = [r["bits"] for r in out.orderBy("i").collect()]
+        assert got == [sorted({int(hashlib.md5(s.encode()).hexdigest()[:8], 16) % 97 for s in runs(t)}) for t in plain]
+
+    c = F.col("text")
+    for size in range(1, 5):
+        check(P.substructure_bits(c, P.SubstructureConfig(size, 97)), lambda t: [t[i : i + size] for i in range(len(t) - size + 1)])
+    words = lambda t: t.split(" ") if t else []
+    check(P.path_bits(c, P.PathConfig(1, 3, 97)), lambda t: [" ".join(words(t)[i : i + n]) for n in (1, 2, 3) for i in range(len(words(t)) - n + 1)])
+    check(P.neighbourhood_bits(c, P.NeighbourhoodConfig(2, 97)), lambda t: [
+        f"{r}:" + " ".join(words(t)[max(0, i - r) : i + r + 1]) for r in range(3) for i in range(len(words(t)))])
