@@ -8,7 +8,6 @@ splitting: a block of rows finds out by itself how many draws of each resample f
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from propspark.functions.text import hash60
+from propspark.functions.text import hash60, md5
 from propspark.operators.metrics import metric_table, rank_sums
 from propspark.operators.ordered import GROUP_ROWS_PER_TASK, global_index
 from propspark.session import broadcast_if_small, cut_lineage
@@ -82,10 +81,28 @@ def weighted_metrics(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[float
         clip(s / (np.sqrt(pairs - tie_x) * np.sqrt(pairs - tie_y))) if pairs > tie_x and pairs > tie_y else None]
 
 
-def _resampled(rows: DataFrame, by: list[str], key: str, samples: int, seed: int) -> DataFrame:
+def _slot_weights(seed: int, sample: int, keys: list) -> np.ndarray:
+    """How often the slots of a resample draw each row of a group, in the order of its keys, as ``counted_draws`` does."""
+    start, n = md5(f"{seed}:{sample}:".encode()), len(keys)
+    drawn = np.empty(n, np.int64)
+    for pos in range(n):
+        h = start.copy()
+        h.update(b"%d" % pos)
+        drawn[pos] = int(h.hexdigest()[:15], 16) % n
+    return np.bincount(drawn, minlength=n)
+
+
+def _poisson_weights(seed: int, sample: int, keys: list) -> np.ndarray:
+    """The weights of ``poisson_draws``; a key is the text that follows seed and resample there."""
+    start = f"{seed}:{sample}"
+    found = np.array([int(md5((start + key).encode()).hexdigest()[:15], 16) for key in keys], np.int64)
+    return np.searchsorted(_POISSON_CDF, found.astype(float) / float(1 << 60), "right")
+
+
+def _resampled(rows: DataFrame, by: list[str], key: str, samples: int, seed: int, weights=_slot_weights) -> DataFrame:
     """Metrics of each resample of groups that fit a task: ``by, Sample`` and a column for each metric.
 
-    The draws are those of ``counted_draws``. A row is sent once for every ``SAMPLES_PER_TASK`` resamples.
+    The draws are those of ``counted_draws`` or ``poisson_draws``. A row is sent once for every ``SAMPLES_PER_TASK`` resamples.
     """
     names = list(REPORT_METRICS.values())
     fields = [rows.schema[k] for k in by]
@@ -93,18 +110,13 @@ def _resampled(rows: DataFrame, by: list[str], key: str, samples: int, seed: int
 
     def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key, na_position="first", kind="stable")
-        x, y, n = pdf["_x"].to_numpy(float), pdf["_y"].to_numpy(float), len(pdf)
+        x, y, held_keys = pdf["_x"].to_numpy(float), pdf["_y"].to_numpy(float), pdf[key].to_list()
         first, found = group[-1] * SAMPLES_PER_TASK, []
         for sample in range(first, min(first + SAMPLES_PER_TASK, samples)):
-            start = md5(f"{seed}:{sample}:".encode())
-            drawn = np.empty(n, np.int64)
-            for pos in range(n):
-                h = start.copy()
-                h.update(b"%d" % pos)
-                drawn[pos] = int(h.hexdigest()[:15], 16) % n
-            w = np.bincount(drawn, minlength=n)
+            w = weights(seed, sample, held_keys)
             held = w > 0
-            found.append([*group[:-1], sample, *weighted_metrics(x[held], y[held], w[held].astype(float))])
+            if held.any():
+                found.append([*group[:-1], sample, *weighted_metrics(x[held], y[held], w[held].astype(float))])
         return pd.DataFrame(found, columns=out.names)
 
     every = F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // SAMPLES_PER_TASK)))
@@ -236,7 +248,7 @@ def bootstrap_metrics(
     """Long table ``by, Sample, Metric, Value`` of the five report metrics.
 
     "exact" draws by hash, groups up to ``group_rows`` rows inside tasks and larger ones by a join; "poisson" is
-    approximate; "split" gives the error metrics alone (MAE, RAE, R2), for groups of any size, without moving draws.
+    approximate, with such groups inside tasks too; "split" gives the error metrics alone (MAE, RAE, R2), for groups of any size, without moving draws.
     Rows with a missing truth or prediction are left out. The group columns must not be null.
     """
     by = list(by)
@@ -244,7 +256,7 @@ def bootstrap_metrics(
     if method == "exact":
         wide = _exact_metrics(df.dropna(subset=[y, p]), y, p, by, key, samples, seed, group_rows)
     elif method == "poisson":
-        wide = _metrics_of_draws(poisson_draws(df, key, [*by, y, p], samples=samples, seed=seed), y, p, by)
+        wide = _poisson_metrics(df, y, p, by, key, samples, seed, group_rows)
     elif method == "split":
         wide = split_metrics(df, y, p, by=by, key=key, samples=samples, seed=seed)
         report = {n: c for n, c in report.items() if c in wide.columns}
@@ -270,3 +282,20 @@ def _exact_metrics(df: DataFrame, y: str, p: str, by: list[str], key: str, sampl
     drawn = counted_draws(rows.join(side, by, "left_semi"), by, key, [y, p], samples=samples, seed=seed)
     names = list(REPORT_METRICS.values())
     return in_task(rows.join(side, by, "left_anti")).unionByName(_metrics_of_draws(drawn, y, p, by).select(*by, "Sample", *names))
+
+
+def _poisson_metrics(df: DataFrame, y: str, p: str, by: list[str], key: str, samples: int, seed: int, group_rows: int) -> DataFrame:
+    """Groups up to ``group_rows`` rows are weighted inside tasks, larger ones and those that hold NaN row by row."""
+    x_y = F.col(y).cast("double").alias("_x"), F.col(p).cast("double").alias("_y")
+    after = F.coalesce(F.concat(F.lit(":"), F.col(key).cast("string")), F.lit(""))
+    rows = df.select(*by, key, y, p, after.alias("_after"), *x_y).filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), F.max(F.isnan("_x") | F.isnan("_y")).alias("_nan"))
+    large = cut_lineage(sizes.filter((F.col("_rows") > group_rows) | F.col("_nan")))
+    in_task = lambda part: _resampled(part.select(*by, "_after", "_x", "_y"), by, "_after", samples, seed, _poisson_weights)
+    if is_empty(large):
+        return in_task(rows)
+    side = broadcast_if_small(large.select(*[F.col(k).alias(f"_l_{k}") for k in by]))
+    on = [rows[k].eqNullSafe(side[f"_l_{k}"]) for k in by]
+    drawn = poisson_draws(rows.join(side, on, "left_semi"), key, [*by, y, p], samples=samples, seed=seed)
+    names = list(REPORT_METRICS.values())
+    return in_task(rows.join(side, on, "left_anti")).unionByName(_metrics_of_draws(drawn, y, p, by).select(*by, "Sample", *names))

@@ -89,3 +89,20 @@ def test_split_method_and_missing_values(spark, pairs):
     assert run(pairs.limit(0), "exact") == run(pairs.limit(0), "split") == set()
     with pytest.raises(ValueError, match="method"):
         R.bootstrap_metrics(pairs, Y, P, by=["g"], key="k", method="other")
+
+
+def test_poisson_in_tasks(spark):
+    """Groups that fit a task are weighted there, by the same weights as row by row; NaN, null keys and null groups stay as they were."""
+    from propspark.operators.resample import bootstrap_metrics
+
+    rows = [(g, None if i == 3 else i, float(i * 7 % 11), float(i * 5 % 13)) for g in ("a", None) for i in range(40)]
+    rows += [("b", 1, 2.0, 3.0), ("c", 1, None, 3.0), ("d", 1, float("nan"), 1.0), ("d", 2, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, key int, y double, p double")
+    small, large = (bootstrap_metrics(df, "y", "p", by=["g"], key="key", samples=30, method="poisson", group_rows=n) for n in (1000, 0))
+    assert "FlatMapGroupsInPandas" in small._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sample" in small.columns and small.filter("g is null").count() == 30 * 5
+    key = lambda r: (r["g"] or "", r["Sample"], r["Metric"])
+    one, two = ({key(r): r["Value"] for r in d.collect()} for d in (small, large))
+    assert one.keys() == two.keys()
+    for k, v in one.items():
+        assert v == two[k] or (v != v and two[k] != two[k]) or abs(v - two[k]) < 1e-9, k
