@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from propspark.operators.ordered import GROUP_ROWS_PER_TASK, average_ranks, has_large_groups, join_counted, running_total
+from propspark.operators.ordered import GROUP_ROWS_PER_TASK, centred_ranks, has_large_groups, join_counted, running_total
 from propspark.session import broadcast_if_small, cut_lineage
 
 ERROR_METRICS = ("rmse", "mse", "mae")
@@ -237,8 +237,8 @@ TIES = ("_n", "_tie_x", "_tie_y", "_t0_x", "_t0_y", "_t1_x", "_t1_y")
 MOMENTS = ("_sxy", "_sxx", "_syy")
 
 
-def rank_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[float]:
-    """All sums behind rho and tau of one bounded group: net order, size, tie terms, rank moments."""
+def rank_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, kendall: bool = True) -> list[float]:
+    """All sums behind rho and tau of one bounded group: net order (0 where tau is not asked for), size, tie terms, rank moments."""
     sums, ranks = {}, {}
     n = float(w.sum())
     for tag, v in (("_x", x), ("_y", y)):
@@ -251,17 +251,17 @@ def rank_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[float]:
         sums[f"_t1{tag}"] = np.sum(t * (t - 1) * (2 * t + 5))
     rx, ry = ranks["_x"], ranks["_y"]
     sums |= {"_n": n, "_sxy": np.sum(w * rx * ry), "_sxx": np.sum(w * rx * rx), "_syy": np.sum(w * ry * ry)}
-    return [net_order(x, y, w), *[sums[c] if c.startswith("_tie") else float(sums[c]) for c in (*TIES, *MOMENTS)]]
+    return [net_order(x, y, w) if kendall else 0, *[sums[c] if c.startswith("_tie") else float(sums[c]) for c in (*TIES, *MOMENTS)]]
 
 
-def _rank_sums_small(dist: DataFrame, keys: list[str], whole: bool) -> DataFrame:
+def _rank_sums_small(dist: DataFrame, keys: list[str], kendall: bool, whole: bool) -> DataFrame:
     """One shuffle for all rank metrics of groups that fit a task."""
     out = ["s", *TIES, *MOMENTS]
     exact = {"s", "_tie_x", "_tie_y"} if whole else set()
     schema = T.StructType([*[dist.schema[k] for k in keys], *[T.StructField(c, PAIRS if c in exact else T.DoubleType()) for c in out]])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sums = rank_sums(*(pdf[c].to_numpy(dtype=float) for c in ("_x", "_y", "_w")))
+        sums = rank_sums(*(pdf[c].to_numpy(dtype=float) for c in ("_x", "_y", "_w")), kendall)
         return pd.DataFrame([[*key, *[_pairs(v, c in exact) for c, v in zip(out, sums)]]], columns=[*keys, *out])
 
     return dist.groupBy(*keys).applyInPandas(run, schema)
@@ -292,15 +292,15 @@ def _tie_terms(dist: DataFrame, keys: list[str], col: str, whole: bool) -> DataF
 
 
 def _rank_moments(dist: DataFrame, keys: list[str]) -> DataFrame:
-    ranked = dist
-    for col in ("_x", "_y"):
-        table = average_ranks(dist, col, "_w", keys)
-        ranked = join_counted(ranked, table, [*keys, col], {"rank": f"_r{col}"}, "ties")
-    size = broadcast_if_small(_tag(dist.groupBy(*keys).agg(F.sum("_w").alias("_m")), keys, "_g_", "_m"))
-    w, mid = F.col("_w").cast("double"), (F.col("_m") + 1) / 2
-    dx, dy = F.col("_r_x") - mid, F.col("_r_y") - mid
-    return ranked.join(size, _null_safe(ranked, size, keys, "_g_")).groupBy(*keys).agg(
-        F.sum(w * dx * dy).alias("_sxy"), F.sum(w * dx * dx).alias("_sxx"), F.sum(w * dy * dy).alias("_syy"))
+    """Sums of products of the centred ranks; groups go by a number, and rows are sorted twice, once for each side."""
+    groups = cut_lineage(dist.select(*keys).distinct().withColumn("_g", F.monotonically_increasing_id()))
+    side = broadcast_if_small(_tag(groups, keys, "_g_", "_g"))
+    rows = dist.join(side, _null_safe(dist, side, keys, "_g_")).select("_g", "_x", "_y", "_w")
+    rows = centred_ranks(rows, "_g", "_x", "_w", "_r_x", ["_y"])
+    rows = centred_ranks(rows.drop("_x"), "_g", "_y", "_w", "_r_y", ["_r_x"])
+    w, dx, dy = F.col("_w").cast("double"), F.col("_r_x"), F.col("_r_y")
+    sums = rows.groupBy("_g").agg(F.sum(w * dx * dy).alias("_sxy"), F.sum(w * dx * dx).alias("_sxx"), F.sum(w * dy * dy).alias("_syy"))
+    return groups.join(sums, "_g").drop("_g")
 
 
 def _kendall_exact_p(n: int, discordant: int) -> float:
@@ -390,7 +390,7 @@ def _spearman_p_udf(rho: pd.Series, n: pd.Series) -> pd.Series:
 def _rank_metrics(dist: DataFrame, keys: list[str], leaf: int, metrics: list[str], whole: bool) -> DataFrame:
     kendall, spearman = bool(set(KENDALL_METRICS) & set(metrics)), bool(set(SPEARMAN_METRICS) & set(metrics))
     large = has_large_groups(dist, keys, leaf)
-    sums = _rank_sums_large(dist, keys, leaf, kendall, spearman, whole) if large else _rank_sums_small(dist, keys, whole)
+    sums = _rank_sums_large(dist, keys, leaf, kendall, spearman, whole) if large else _rank_sums_small(dist, keys, kendall, whole)
     cols = []
     if spearman:
         rho = _clip(F.try_divide(F.col("_sxy"), F.sqrt("_sxx") * F.sqrt("_syy")))

@@ -7,17 +7,22 @@ one weighted row first, and positions are broken by further order columns.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from propspark.session import broadcast_if_small, cut_lineage
 from propspark.sources.tables import is_empty
 
 # Groups up to this many rows may be handled inside one task.
 GROUP_ROWS_PER_TASK = 1_000_000
+# Rows of a range that one task sorts and ranks, about; ranges are at least as many as the cores.
+RANGE_ROWS = 250_000
 
 
 def _as_cols(order: Iterable[str | Column]) -> list[Column]:
@@ -212,6 +217,55 @@ def average_ranks(df: DataFrame, col: str, weight: str, by: Iterable[str] = ())
     return out.select(*by, col, "rank", "ties")
 
 
+def centred_ranks(df: DataFrame, group: str, col: str, weight: str, name: str, ties: Iterable[str] = ()) -> DataFrame:
+    """Add the average rank of ``col`` (doubles) within ``group`` (whole numbers), less the group's mean rank; neither is null.
+
+    Rows are dealt to ranges once and ranked there, so neither a table of values nor a join of all rows with it
+    is made. ``ties`` are further columns of the order: rows of a hot value then fall to many ranges. A range knows its
+    values' weights and what lies before them in it; the few values that reach an end of a range are summed up over ranges.
+    """
+    order = [group, col, *ties]
+    ranges = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / RANGE_ROWS))
+    placed = df.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id())
+    schema = T.StructType([*placed.schema, T.StructField("_low", T.DoubleType()), T.StructField("_own", T.DoubleType()), T.StructField("_end", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        # Spark has dealt the ranges; inside one, numpy sorts faster than row comparisons. Rows of a value may lie in any order.
+        rows = rows.take(np.lexsort((rows.column(col).to_numpy(), rows.column(group).to_numpy())))
+        g, v, w = (rows.column(c).to_numpy() for c in (group, col, weight))
+        new_group = np.concatenate([[True], g[1:] != g[:-1]])
+        new = new_group | np.concatenate([[True], (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1]))])
+        first = np.flatnonzero(new)
+        before = np.concatenate([[0.0], np.cumsum(w[:-1], dtype=float)])
+        low = before[first] - before[np.maximum.accumulate(np.where(new_group, np.arange(len(g)), 0))[first]]
+        end = np.zeros(len(first), bool)
+        end[[0, -1]] = True
+        at = np.cumsum(new) - 1
+        for c, of in (("_low", low), ("_own", np.add.reduceat(w.astype(float), first)), ("_end", end)):
+            rows = rows.append_column(c, pa.array(of[at]))
+        yield from rows.to_batches(max_chunksize=1 << 16)
+
+    fixed = cut_lineage(placed.mapInArrow(run, schema))
+    inside = Window.partitionBy(group)
+    shares = fixed.groupBy(group, "_part").agg(F.sum(F.col(weight).cast("double")).alias("_size"))
+    shares = cut_lineage(shares.select(
+        group, "_part", F.sum("_size").over(inside).alias("_all"),
+        F.coalesce(F.sum("_size").over(inside.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_off")))
+    # Two values for each range at most.
+    ends = fixed.filter("_end").groupBy(group, col, "_part").agg(F.max("_low").alias("_low"), F.max("_own").alias("_own"))
+    ends = ends.join(shares, [group, "_part"]).groupBy(group, col).agg(F.min(F.col("_off") + F.col("_low")).alias("_from"), F.sum("_own").alias("_ties"))
+    placed = fixed.join(broadcast_if_small(shares), [group, "_part"]).join(F.broadcast(ends), [group, col], "left")
+    rank = F.coalesce("_from", F.col("_off") + F.col("_low")) + (F.coalesce("_ties", "_own") + 1) / 2 - (F.col("_all") + 1) / 2
+    return placed.select(*df.columns, rank.alias(name))
+
+
 def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], values: dict[str, str], count_col: str, *,
                  hot_rows: int = GROUP_ROWS_PER_TASK, max_hot: int = 1000) -> DataFrame:
     """Bring ``values`` (table column to new name) to every row by a unique key that is never missing.
