@@ -15,7 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propspark.llm.common import SPACES, seeded, text_of
+from propspark.llm.common import SPACES, Stored, seeded, text_of
+
+#: Documents of the sample that reach the driver at a time.
+CHUNK = 1500
 
 
 @dataclass
@@ -65,21 +68,28 @@ def fit_ordinal(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: n
                 rate: float = 0.5, penalty: float = 2e-6, min_rows: int = 5) -> GradeModel:
     """Penalised maximum likelihood of the cumulative logit model, by Adam on all rows.
 
-    Buckets held by fewer than ``min_rows`` rows keep weight 0. Without rows the chances are even. The entries
-    are held once, in 32 bits each, and worked on in blocks.
+    Buckets held by fewer than ``min_rows`` rows keep weight 0. Without rows the chances are even.
     """
+    return _fit([(row, bucket, value)], grade, n_grades, buckets, rounds=rounds, rate=rate, penalty=penalty, min_rows=min_rows)
+
+
+def _fit(parts: list[tuple], grade: np.ndarray, n_grades: int, buckets: int, *, rounds: int = 200, rate: float = 0.5, penalty: float = 2e-6,
+         min_rows: int = 5) -> GradeModel:
+    """The same over entries in parts (row, bucket, value), which are used up: they are held once, in 32 bits each, and worked on in blocks."""
     n = len(grade)
     above = np.array([(grade > k).sum() for k in range(n_grades - 1)], float)
     cuts = np.maximum.accumulate(-np.log((above + 0.5) / (n - above + 0.5)))
     weights = np.zeros(buckets, np.float32)
-    used = np.bincount(bucket, minlength=buckets) >= min_rows
+    used = sum((np.bincount(bucket, minlength=buckets) for _, bucket, _ in parts), np.zeros(buckets, np.int64)) >= min_rows
     if n == 0 or not used.any() or len(np.unique(grade)) < 2:
         return GradeModel(weights, cuts)
-    hold = used[bucket]
-    row, value = row[hold].astype(np.int32), value[hold].astype(np.float32 if value.dtype == np.float32 else float)
-    at = (np.cumsum(used) - 1).astype(np.int32)[bucket[hold]]
-    del bucket, hold
-    blocks = [slice(i, i + (1 << 18)) for i in range(0, len(row), 1 << 18)]
+    place, blocks = (np.cumsum(used) - 1).astype(np.int32), []
+    while parts:
+        row, bucket, value = parts.pop(0)
+        for s in (slice(i, i + (1 << 18)) for i in range(0, len(row), 1 << 18)):
+            hold = used[bucket[s]]
+            blocks.append((row[s][hold].astype(np.int32), place[bucket[s][hold]], value[s][hold].astype(np.float32 if value.dtype == np.float32 else float)))
+    del row, bucket, value
     x = np.zeros(used.sum() + n_grades - 1)
     x[-(n_grades - 1)] = cuts[0]
     x[len(x) - n_grades + 2 :] = np.log(np.maximum(np.diff(cuts), 1e-2))
@@ -89,7 +99,7 @@ def fit_ordinal(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: n
     for t in range(1, rounds + 1):
         w, gaps = x[: 1 - n_grades], np.exp(x[len(x) - n_grades + 2 :])
         cuts = x[-(n_grades - 1)] + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = sum(np.bincount(row[s], weights=value[s] * w[at[s]], minlength=n) for s in blocks)
+        score = sum(np.bincount(row, weights=value * w[at], minlength=n) for row, at, value in blocks)
         c = edge(cuts)
         low, high = logistic(c[grade] - score), logistic(c[grade + 1] - score)
         p = np.maximum(high - low, 1e-12)
@@ -97,7 +107,7 @@ def fit_ordinal(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: n
         d_score = (d_high - d_low) / p / n
         d_cut = np.array([(d_low / p)[grade == k + 1].sum() - (d_high / p)[grade == k].sum() for k in range(n_grades - 1)]) / n
         g = np.concatenate([
-            sum(np.bincount(at[s], weights=value[s] * d_score[row[s]], minlength=len(w)) for s in blocks) + 2 * penalty * w, [d_cut.sum()], np.cumsum(d_cut[::-1])[::-1][1:] * gaps])
+            sum(np.bincount(at, weights=value * d_score[row], minlength=len(w)) for row, at, value in blocks) + 2 * penalty * w, [d_cut.sum()], np.cumsum(d_cut[::-1])[::-1][1:] * gaps])
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         step = first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.999**t)) + 1e-10)
         x = x - rate * (1 - t / (rounds + 1)) * step
@@ -110,7 +120,7 @@ def fitted(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int = 3,
     """A model of the rated documents: at most ``max_rows`` of them, the first by a seeded hash of their ids.
 
     ``grade`` is a column of ``labels`` from 0 (worst); rows without one are left out, and of several
-    ratings the lowest counts. Only hashed counts of the sample reach the driver.
+    ratings the lowest counts. Only hashed counts of the sample reach the driver, ``CHUNK`` documents at a time.
     """
     rated = labels.select(F.col(id_col).alias("_id"), grade.cast("int").alias("_grade")).filter("_grade is not null and _id is not null")
     rated = rated.groupBy("_id").agg(F.min("_grade").alias("_grade")).withColumn("_order", seeded(seed, "_id"))
@@ -133,14 +143,22 @@ def fitted(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int = 3,
 
     found = rows.select("_grade", "_order", F.xxhash64("text").alias("_tie"), *hashed(F.col("text"), buckets)).mapInArrow(
         run, "_grade int, _order long, _tie long, bucket array<int>, value array<float>")
-    sample = found.orderBy("_order", "_tie", "_grade").limit(max_rows).select("_grade", "bucket", "value").toArrow()
-    if not sample.num_rows:
-        none = np.zeros(0, np.int64)
-        return fit_ordinal(none, none, none.astype(float), none, n_grades, buckets, **options)
-    grades, bucket, value = (sample.column(c).combine_chunks() for c in ("_grade", "bucket", "value"))
-    del sample
-    row = np.repeat(np.arange(len(grades), dtype=np.int32), np.diff(bucket.offsets.to_numpy()))
-    return fit_ordinal(row, bucket.values.to_numpy(), value.values.to_numpy(), grades.to_numpy(), n_grades, buckets, **options)
+    # The sample is stored in its order; a chunk is all that Spark's driver and Arrow hold beside the fit's own arrays.
+    keep = Stored(docs.sparkSession)
+    sample, path = keep.put(found.orderBy("_order", "_tie", "_grade").limit(max_rows).select("_grade", "bucket", "value").withColumn(
+        "_at", F.monotonically_increasing_id()))
+    spans = sample.select((F.col("_at") - F.col("_at") % CHUNK).alias("_from"), "_at").groupBy("_from").agg(F.max("_at").alias("_to")).orderBy("_from").collect()
+    grades, parts, n = [np.zeros(0, np.int32)], [], 0
+    for span in spans:
+        chunk = sample.filter(F.col("_at").between(span["_from"], span["_to"])).coalesce(1).sortWithinPartitions("_at").toArrow()
+        grade, bucket, value = (chunk.column(c).combine_chunks() for c in ("_grade", "bucket", "value"))
+        row = np.repeat(np.arange(n, n + len(grade), dtype=np.int32), np.diff(bucket.offsets.to_numpy()))
+        # Copies, so that no buffer of Arrow stays.
+        parts.append((row, bucket.flatten().to_numpy().copy(), value.flatten().to_numpy().copy()))
+        grades.append(grade.to_numpy().copy())
+        n += len(grade)
+    keep.drop(path)
+    return _fit(parts, np.concatenate(grades), n_grades, buckets, **options)
 
 
 def graded(docs: DataFrame, model: GradeModel, *carry: Column, text_col: str = "text") -> DataFrame:
