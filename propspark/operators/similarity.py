@@ -100,27 +100,73 @@ def _matrix(values: Sequence, block: Block) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _common_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bits that each row of ``a`` shares with each row of ``b``, a few rows at a time so that counts stay in the cache."""
-    out = np.empty((len(a), len(b)))
-    columns, step = np.ascontiguousarray(b.T), max(1, (1 << 16) // max(1, len(b)))
-    for at in range(0, len(a), step):
-        part = a[at : at + step]
-        held = np.zeros((len(part), len(b)), np.uint32)
+def _bits(m: np.ndarray) -> np.ndarray:
+    """Rows of packed bits as zeros and ones."""
+    return np.unpackbits(m.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+
+
+def _common_bits(b: np.ndarray, n: int) -> Callable[[np.ndarray, np.ndarray], None]:
+    """A function that writes for up to ``n`` packed rows how many bits each shares with each row of ``b``.
+
+    Rows of 512 to 4,032 bits are multiplied as zeros and ones, two rows of ``b`` as one, the second one times 4,096: such sums are
+    whole numbers below 2^24 and exact in single precision. Other widths count the bits of their words.
+    """
+    words, half = b.shape[1], -(-len(b) // 2)
+    if 8 <= words < 64:
+        two = _bits(b[:half])
+        two[: len(b) - half] += 4096 * _bits(b[half:])
+        sums, whole, low = (np.empty((n, half), t) for t in (np.float32, np.int32, np.int32))
+
+        def product(a: np.ndarray, out: np.ndarray) -> None:
+            k = len(a)
+            whole[:k] = np.matmul(_bits(a), two.T, out=sums[:k])
+            out[:, :half] = np.bitwise_and(whole[:k], 4095, out=low[:k])
+            out[:, half:] = np.right_shift(whole[:k], 12, out=low[:k])[:, : len(b) - half]
+
+        return product
+    columns = np.ascontiguousarray(b.T)
+
+    def counted(a: np.ndarray, out: np.ndarray) -> None:
+        held = np.zeros((len(a), len(b)), np.uint32)
         for w, column in enumerate(columns):
-            held += np.bitwise_count(part[:, w, None] & column)
-        out[at : at + step] = held
-    return out
+            held += np.bitwise_count(a[:, w, None] & column)
+        out[:] = held
+
+    return counted
+
+
+def _on(m: np.ndarray) -> np.ndarray:
+    """On-bits of every row."""
+    return np.bitwise_count(m).sum(axis=1, dtype=np.float64)
 
 
 def block_similarity(a: np.ndarray, b: np.ndarray, family: str) -> np.ndarray:
     """All pairs of two prepared blocks. An empty union or a zero vector gives 0."""
-    if family == "dense":
-        return a @ b.T
-    inter = _common_bits(a, b)
-    on = lambda m: np.bitwise_count(m).sum(axis=1, dtype=np.float64)
-    union = on(a)[:, None] + on(b)[None, :] - inter
-    return inter / np.maximum(union, 1)
+    return a @ b.T if family == "dense" else _tanimoto(a, b, np.full(len(a), -np.inf))[1]
+
+
+def _tanimoto(a: np.ndarray, b: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of ``a`` that may be more than ``need`` similar to a row of ``b``, and their similarities to all of it.
+
+    Rows are taken a few at a time, so that counts stay in the cache; single precision tells which of them matter.
+    """
+    if not len(b):
+        return np.arange(len(a)), np.zeros((len(a), 0))
+    step = max(1, min(len(a), (1 << 18) // len(b)))
+    inter, ratio = (np.empty((step, len(b)), np.float32) for _ in range(2))
+    on_a, on_b, common = _on(a), _on(b), _common_bits(b, step)
+    some_a, some_b = np.maximum(on_a, 0.5).astype(np.float32), on_b.astype(np.float32)
+    rows, sims = [np.empty(0, int)], [np.empty((0, len(b)))]
+    for at in range(0, len(a), step):
+        part = slice(at, min(at + step, len(a)))
+        held, share = inter[: part.stop - at], ratio[: part.stop - at]
+        common(a[part], held)
+        np.subtract(np.add(some_a[part, None], some_b, out=share), held, out=share)
+        hit = np.flatnonzero(~(np.divide(held, share, out=share).max(axis=1) <= need[part] - 1e-6))
+        exact = held[hit].astype(np.float64)
+        rows.append(at + hit)
+        sims.append(exact / np.maximum(on_a[at + hit, None] + on_b - exact, 1))
+    return np.concatenate(rows), np.concatenate(sims)
 
 
 class _Best:
@@ -140,6 +186,16 @@ class _Best:
             self.top[key][at[hit]] = best
             self.least[key][at[hit]] = best[:, 0]
 
+    def needed(self, at: np.ndarray, feature_sets: Mapping[str, Sequence[str]], flagged: bool) -> np.ndarray:
+        """What the rows must exceed in a block that all feature sets share before any of their k-th best values changes."""
+        out = np.full(len(at), np.inf)
+        for (fs, scope), least in self.least.items():
+            if scope == "all" or flagged:
+                # The mean over B blocks can exceed f only if the shared block's share exceeds B f - (B - 1).
+                n = len(feature_sets[fs])
+                np.minimum(out, least[at] if n == 1 else n * least[at] - (n - 1) - 1e-6, out=out)
+        return out
+
     def rows(self, ids: pd.Series) -> Iterator[pd.DataFrame]:
         for (fs, scope), m in self.top.items():
             row, col = np.nonzero(np.isfinite(m))
@@ -167,25 +223,49 @@ def _flagged_first(rows: pd.DataFrame, *before: str) -> tuple[pd.DataFrame, int
 def _score(best: _Best, left: dict, right: dict, blocks, feature_sets, n_flagged: int | None, same: tuple | None, at: np.ndarray | None = None) -> None:
     """Meet the left rows ``at`` (all by default) with all right rows, tile by tile.
 
-    ``same`` has the codes of both sides' ids where equal ones are left out. Flagged right rows come first.
+    ``same`` has the codes of both sides' ids where equal ones are left out. Flagged right rows come first. Where all feature sets
+    share a binary block, tiles hold rows of like on-bit counts, those of the nearest counts come first, and a row leaves out
+    the tiles whose counts keep them from changing its best values.
     """
     n_left, n_right = (len(m[blocks[0].name]) for m in (left, right))
     at = np.arange(n_left) if at is None else at
-    cuts = sorted({*range(0, n_right, TILE[1]), n_right, n_flagged or 0})
-    for i in range(0, len(at), TILE[0]):
-        rows = at[i : i + TILE[0]]
-        mine = {name: m[rows] for name, m in left.items()}
-        for lo, hi in zip(cuts, cuts[1:]):
-            sims = {b.name: block_similarity(mine[b.name], right[b.name][lo:hi], b.family) for b in blocks}
-            own = same[0][rows, None] == same[1][lo:hi] if same else None
+    if not len(at) or not n_right:
+        return
+    cuts, tile_rows = sorted({*range(0, n_right, TILE[1]), n_right, n_flagged or 0}), TILE[0]
+    main = _shared_block(blocks, feature_sets)
+    main = main if main and main.family == "binary" else None
+    if main:
+        on_left, on_right, tile_rows = _on(left[main.name]), _on(right[main.name]), TILE[1]
+        order = np.lexsort((on_right, np.arange(n_right) >= (n_flagged or 0)))
+        right, same = {name: m[order] for name, m in right.items()}, same and (same[0], same[1][order])
+        at = at[np.argsort(on_left[at], kind="stable")]
+        least, most = (f.reduceat(on_right[order], cuts[:-1])[:, None] for f in (np.minimum, np.maximum))
+    for i in range(0, len(at), tile_rows):
+        rows, tiles = at[i : i + tile_rows], range(len(cuts) - 1)
+        if main:
+            bound = np.minimum(upper_bounds(on_left[rows, None], least, most, "binary"), 1)
+            tiles = np.argsort(-bound.mean(axis=0), kind="stable")
+        for tile in tiles:
+            lo, hi = cuts[tile : tile + 2]
+            flagged = n_flagged is not None and hi <= n_flagged
+            mine, sims = rows, {}
+            if main:
+                need = best.needed(rows, feature_sets, flagged)
+                open_ = ~(bound[:, tile] <= need)
+                hit, sims[main.name] = _tanimoto(left[main.name][rows[open_]], right[main.name][lo:hi], need[open_])
+                mine = rows[open_][hit]
+                if not len(mine):
+                    continue
+            sims |= {b.name: block_similarity(left[b.name][mine], right[b.name][lo:hi], b.family) for b in blocks if b.name not in sims}
+            own = same[0][mine, None] == same[1][lo:hi] if same else None
             own = own if own is not None and own.any() else None
             for fs, names in feature_sets.items():
                 sim = sum((sims[n] for n in names[1:]), sims[names[0]]) / len(names) if len(names) > 1 else sims[names[0]]
                 sim = sim if own is None else np.where(own, -np.inf, sim)
                 peak = sim.max(axis=1)
-                best.add((fs, "all"), rows, sim, peak)
-                if n_flagged is not None and hi <= n_flagged:
-                    best.add((fs, "finetune"), rows, sim, peak)
+                best.add((fs, "all"), mine, sim, peak)
+                if flagged:
+                    best.add((fs, "finetune"), mine, sim, peak)
 
 
 def nearest(
@@ -212,14 +292,19 @@ def nearest(
     feature_sets = {fs: list(names) for fs, names in feature_sets.items()}
     if not feature_sets or any(not names or set(names) - known for names in feature_sets.values()):
         raise ValueError("every feature set needs at least one known block")
-    if is_empty(right):
+    if is_empty(right.select(id_col)):
         raise ValueError("the training side has no rows")
     blocks = [b for b in blocks if any(b.name in names for names in feature_sets.values())]
     columns = sorted({b.column for b in blocks})
     require_columns(left, id_col, *columns)
-    l_rows = _packed(left.select(F.col(id_col).alias("id"), *columns), blocks)
     flag = [F.coalesce(F.col(finetune_col), F.lit(False)).alias("_ft")] if finetune_col else []
     r_rows = _packed(right.select(F.col(id_col).alias("id"), *columns, *flag), blocks)
+    if left is right and any(b.family == "binary" for b in blocks):
+        # Stored, as both sides need them and fingerprints are costly.
+        r_rows = cut_lineage(r_rows)
+        l_rows = r_rows.select("id", *columns)
+    else:
+        l_rows = _packed(left.select(F.col(id_col).alias("id"), *columns), blocks)
     scopes = ["all", "finetune"] if finetune_col else ["all"]
     keys = [(fs, s) for fs in feature_sets for s in scopes]
     width, widest = sum(b.cells for b in blocks), max(b.cells for b in blocks)
@@ -479,7 +564,7 @@ def train_neighbours(
     block's own maximum (the test side instead takes the maximum of the block mean). A lone row counts
     as 1.0. The finetune scope holds flagged rows among themselves.
     """
-    single = {b.name: [b.name] for b in blocks}
+    single = {n: [n] for names in feature_sets.values() for n in names}
     best = nearest(train, train, blocks, single, k=1, id_col=id_col, finetune_col=finetune_col, exclude_self=True, **sizes)
     member = F.array(*[
         F.struct(F.lit(fs).alias("fs"), F.lit(n).alias("block")) for fs, names in feature_sets.items() for n in names
