@@ -302,7 +302,8 @@ def nearest(
     if left is right and any(b.family == "binary" for b in blocks):
         # Stored, as both sides need them and fingerprints are costly.
         r_rows = cut_lineage(r_rows)
-        l_rows = r_rows.select("id", *columns)
+        # Dealt out, as a scan would pack its small files into few tasks.
+        l_rows = r_rows.select("id", *columns).repartition(4 * left.sparkSession.sparkContext.defaultParallelism)
     else:
         l_rows = _packed(left.select(F.col(id_col).alias("id"), *columns), blocks)
     scopes = ["all", "finetune"] if finetune_col else ["all"]
